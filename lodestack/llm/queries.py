@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from lodestack.llm import exact_dedup
+from lodestack.llm import exact_dedup, pii, secret_scan, sharding
 
 QUERIES = {
+    "op5_pii": pii.op5_pii,
+    "op6_sharding": sharding.op6_sharding,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_secret_scan": secret_scan.op9_secret_scan,
 }
 
 ORACLES = {
