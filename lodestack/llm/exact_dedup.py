@@ -25,7 +25,7 @@ from lodestack.llm._spark import prepare, table, written
 from lodestack.llm._tokens import group_stream
 
 #: Distinct keys that a bucket may hold, largest directory depth, and bytes of text a task folds at once.
-BUCKET_KEYS, MAX_DEPTH, FOLD_BYTES = 20_000, 16, 64 << 20
+BUCKET_KEYS, MAX_DEPTH, FOLD_BYTES = 500, 17, 64 << 20
 
 _ENTRY = "entry long, id long, row long, key long, owner long, sha string, n long, body binary, kind int"
 _CHAIN = "kind int, entry long, id long, row long, sha string, bucket int, key long, chain int, keep_id long, keep_row long, n long"
