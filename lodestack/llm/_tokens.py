@@ -71,24 +71,29 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def words(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and offsets: words of text i are hashes[offsets[i]:offsets[i + 1]]."""
+def words(texts: list[str], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and offsets: words of text i are hashes[offsets[i]:offsets[i + 1]].
+
+    With prefixes, hashes has a row for whole words and one for the first n characters, for each n.
+    """
     out, counts = [], []
     for lo, hi in chunks(texts):
-        part = [t.lower() for t in texts[lo:hi]] if lower else texts[lo:hi]
+        part = [t.lower() for t in texts[lo:hi]]
         cp = code_points("\n".join(part) + "\n")
         is_word = _word_table()[cp]
         edge = np.flatnonzero(is_word[1:] != is_word[:-1]) + 1
         if is_word[0]:
             edge = np.concatenate(([0], edge))
         starts, ends = edge[::2], edge[1::2]  # the last character is a line break
-        out.append(run_hashes(cp, starts, ends))
+        whole = run_hashes(cp, starts, ends)
+        out.append(np.stack([whole, *(run_hashes(cp, starts, np.minimum(starts + n, ends)) for n in prefixes)]) if prefixes else whole)
         bounds = np.cumsum(np.fromiter((len(t) + 1 for t in part), np.int64, len(part)))
         counts.append(np.diff(np.searchsorted(starts, bounds), prepend=0))
     counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
     offsets = np.zeros(len(texts) + 1, np.int64)
     np.cumsum(counts, out=offsets[1:])
-    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), offsets
+    none = np.zeros((1 + len(prefixes), 0) if prefixes else 0, np.uint64)
+    return (np.concatenate(out, axis=-1) if out else none), offsets
 
 
 _SHINGLE = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from lodestack.llm import exact_dedup, pii, secret_scan, sharding
+from lodestack.llm import byte_bpe, exact_dedup, language_id, pii, quality, secret_scan, sharding, toxicity
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
+    "op2_byte_bpe": byte_bpe.op2_byte_bpe,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op5_pii": pii.op5_pii,
     "op6_sharding": sharding.op6_sharding,
+    "op7_quality": quality.op7_quality,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_secret_scan": secret_scan.op9_secret_scan,
 }
