@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lodestack.llm import byte_bpe, exact_dedup, language_id, pii, quality, secret_scan, sharding, toxicity
+from lodestack.llm import byte_bpe, exact_dedup, language_id, ngram_join, pii, quality, secret_scan, sharding, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_ngram_jaccard": ngram_join.op4_ngram_jaccard,
     "op5_pii": pii.op5_pii,
     "op6_sharding": sharding.op6_sharding,
     "op7_quality": quality.op7_quality,
