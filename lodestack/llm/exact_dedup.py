@@ -168,6 +168,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of docs without those that have a kept equal; columns unchanged.
+
+    Dropped rows are named by id and digest of the text. Where equal rows also have equal ids, the ids
+    alone cannot tell them apart: one of them stays by dropping repeats of (id, digest) as well.
+    """
+    found = exact_dedup(docs, id_col, text_col)
+    gone = found.where(F.col("group_size") > 1).groupBy(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).agg(F.max("kept").alias("_stays"), F.count(F.lit(1)).alias("_rows"))
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_gone_id")) & (sha == F.col("_gone_sha"))
+    out = docs.join(gone.where("not _stays").select("_gone_id", "_gone_sha"), same, "left_anti")
+    twins = gone.where("_stays and _rows > 1").select("_gone_id", "_gone_sha")
+    if twins.isEmpty():
+        return out
+    single = docs.join(twins, same, "left_semi").withColumn("_sha", sha).dropDuplicates([id_col, "_sha"]).drop("_sha")
+    return out.join(twins, same, "left_anti").unionByName(single)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestack.llm import byte_bpe, exact_dedup, language_id, ngram_join, pii, quality, secret_scan, sharding, toxicity
+from lodestack.llm import byte_bpe, decontaminate, exact_dedup, language_id, ngram_join, pii, quality, secret_scan, sharding, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_quality": quality.op7_quality,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_secret_scan": secret_scan.op9_secret_scan,
+    "op10_decontamination": decontaminate.op10_decontamination,
 }
 
 ORACLES = {
