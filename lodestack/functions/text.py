@@ -139,6 +139,12 @@ def base64url(text: Column) -> Column:
     return F.rtrim(F.translate(F.base64(F.encode(text, "UTF-8")), "+/", "-_"), F.lit("="))
 
 
+def is_json(text: Column) -> Column:
+    """Whether the whole text is one JSON value: the parser stops after the first, so it is tried inside an array and an object."""
+    inside = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}"))).isNotNull()
+    return F.coalesce(inside, F.lit(False)) & text.rlike(r"\S")
+
+
 def singular(word: Column) -> Column:
     """Naive: _ids goes, ies to y, a last s goes."""
     return F.when(word.endswith("_ids"), F.regexp_replace(word, "_ids$", "")).when(word.endswith("ies"), F.regexp_replace(word, "ies$", "y")).otherwise(F.regexp_replace(word, "s$", ""))

@@ -84,12 +84,13 @@ def budgeted(df: DataFrame, order: str, size: str, most_rows: int, most_bytes: i
 
     At most most_rows + 1 rows reach the running sum: the row budget is a top-k.
     """
-    top = df.orderBy(order).limit(most_rows + 1)
-    w = Window.orderBy(order)
-    run = top.withColumn("n", F.row_number().over(w).cast("long")).withColumn("bytes", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    top = df.select(F.struct(*df.columns).alias("_r"), F.col(order).alias("_o"), F.col(size).alias("_s")).orderBy("_o").limit(most_rows + 1)
+    w = Window.orderBy("_o")
+    run = top.withColumn("n", F.row_number().over(w).cast("long")).withColumn("bytes", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     every = Window.partitionBy()
-    run = run.withColumn("stop", F.when(F.max("bytes").over(every) > most_bytes, F.when(F.min(F.when(F.col("bytes") > most_bytes, F.col("n"))).over(every) <= most_rows, "bytes").otherwise("rows")).when(F.max("n").over(every) > most_rows, "rows").otherwise("exhausted"))
-    return run.where((F.col("n") <= most_rows) & (F.col("bytes") <= most_bytes))
+    run = run.withColumn("stop", F.when(F.coalesce(F.min(F.when(F.col("bytes") > most_bytes, F.col("n"))).over(every) <= most_rows, F.lit(False)), "bytes").when(F.max("n").over(every) > most_rows, "rows").otherwise("exhausted"))
+    run = run.where((F.col("n") <= most_rows) & (F.col("bytes") <= most_bytes))
+    return run.select(*(F.col(f"_r.{c}").alias(c) for c in df.columns if c not in ("n", "bytes", "stop")), "n", "bytes", "stop")
 
 
 def retained(snapshots: DataFrame, repo: list[str], id_col: str, published: Column, fresh: Column, building: Column, n_published: int, n_fresh: int) -> DataFrame:

@@ -38,11 +38,15 @@ def bm25(docs: DataFrame, fields: dict[str, float], terms: list[str], tokens=T.t
     return scored.where(hit).select(*docs.columns, total.alias("score"))
 
 
+def _starts(prefix: str):
+    return lambda x: x.startswith(prefix)
+
+
 def prefix_and(df: DataFrame, text: str, terms: list[str]) -> DataFrame:
     """Rows in which every term is the prefix of some token."""
     toks = T.tokens(F.col(text))
     for t in terms:
-        df = df.where(F.exists(toks, lambda x, t=t: x.startswith(t)))
+        df = df.where(F.exists(toks, _starts(t)))
     return df
 
 

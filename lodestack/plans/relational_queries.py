@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import authority as A
 from lodestack.functions import paths as P
+from lodestack.functions.text import is_json
 from lodestack.operators import relational as R
 
 Q: dict = {}
@@ -29,7 +30,7 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # A catalog of files derived from documents: directory and extension follow from doc_id.
 DIRS = ["", "src/", "src/core/", "lib/node_modules/x/", "docs/", "docs/design/", "build/out/", ".github/", ".hidden/", "tests/fixtures/a/", "config/credentials/", "vendor/pkg/", "examples/", "docs/archive/", "cmake-build-debug/", "app/models/"]
-EXTS = [".py", ".ts", ".js", ".md", ".go", ".rb", ".cpp", ".h", ".json", ".yaml", ".toml", ".pem", ".cs", ".tmp", ".exe", ".env", ".rs", ".java", ".sh", "", ".c", ".cfg", ".txt"]
+EXTS = [".py", ".csproj", ".ts", ".js", ".md", ".go", ".rb", ".cpp", ".h", ".json", ".yaml", ".toml", ".pem", ".cs", ".tmp", ".exe", ".env", ".rs", ".java", ".sh", "", ".c", ".cfg", ".txt"]
 _LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 FILES_SQL = f"""files AS (SELECT doc_id AS file_id, {_LIST(DIRS)}[doc_id % {len(DIRS)} + 1] || 'f' || doc_id || {_LIST(EXTS)}[(doc_id // 3) % {len(EXTS)} + 1] AS path,
   source AS unit, n_chars AS size_bytes, doc_id * 1000 AS mtime_ms, text, lang FROM documents)"""
@@ -236,7 +237,7 @@ def reason_merge(spark, sf_dir):
 FROM (SELECT event_type, CASE WHEN event_id % 11 = 0 THEN substr(props, 2) ELSE props END AS p FROM events) GROUP BY 1)""")
 def json_diagnostics(spark, sf_dir):
     e = t(spark, sf_dir, "events").select(F.col("event_type").alias("nation"), F.when(F.col("event_id") % 11 == 0, F.substring(F.col("props"), F.lit(2), F.length("props"))).otherwise(F.col("props")).alias("p"))
-    good = F.try_parse_json("p").isNotNull()
+    good = is_json(F.col("p"))
     return e.groupBy("nation").agg(F.count_if(good).alias("json_valid_n"), F.count_if(~good).alias("bad_n")).withColumn("severity", F.when(F.col("bad_n") > 0, "error").otherwise("info"))
 
 
