@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestack import schemas
 from lodestack.extract import languages, resources
 from lodestack.extract.common import Batch
+from lodestack.shipping import ship
 
 EXTRACTORS: dict[str, Callable[[str, str], Batch]] = {
     "python": languages.python, "javascript": languages.javascript, "typescript": languages.typescript, "go": languages.go, "cpp": languages.cpp, "c": languages.c, "ruby": languages.ruby,
@@ -34,6 +35,7 @@ def extract_one(path: str, language: str, text: str) -> Batch:
 
 def extract(files: DataFrame) -> DataFrame:
     """files: path, language, text. A text that an extractor refuses gives its error and no rows; null texts are skipped."""
+    ship(files.sparkSession)
     probe = files.sparkSession.range(0).select(F.from_json(F.lit("{}"), f"struct<{_inline(schemas.EXTRACTED)}>").alias("r")).select("r.*")
     schema = probe.schema
     from pyspark.sql.pandas.types import to_arrow_schema

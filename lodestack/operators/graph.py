@@ -83,38 +83,57 @@ def search_symbols(nodes: DataFrame, query: str, languages: list[str] | None = N
     return top.withColumn("exact_miss", miss).where(F.col("exact_miss") | (F.col("match") < 10))
 
 
+#: Kinds of node that a reference of a kind may mean; other kinds of reference may mean any.
+FITS = {
+    "type": (("inheritance", "include", "extend", "prepend", "model_dsl"), ("class", "module")),
+    "method": (("call",), ("method", "singleton_method")),
+    "constant": (("constant",), ("class", "module", "constant")),
+    "route": (("route",), ("class", "method")),
+}
+
+
 def resolve_references(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges of references with exactly one candidate, and why the others stay unresolved.
 
     refs: ref_id, source, name, kind, language, static, receiver (import_selector, receiver_or_package_local or null),
     import_dir, paths (array); nodes: node_id, name, qualified_name, kind, language, path. Narrowing comes before
-    the count: a narrower pool is used when it is not empty. The join key is the lower-cased name (or the path of a
-    handler file); a name with very many nodes is counted with map-side combine, never gathered.
+    the count: a narrower pool is used when it is not empty. Nodes are counted by name, by name and directory, by
+    qualified name and by path before they meet references, so every join is on a unique key: a name that many
+    references and many nodes share costs their sum, not their product.
     """
-    low = nodes.select("node_id", F.lower("name").alias("_key"), F.lower(F.coalesce("qualified_name", F.lit(""))).alias("_qn"), F.col("kind").alias("n_kind"), F.col("language").alias("n_language"), F.col("path").alias("n_path"), F.regexp_replace("path", "/?[^/]*$", "").alias("n_dir"))
-    by_name = refs.where("kind <> 'lambda_handler_file'").withColumn("_key", F.lower(F.element_at(F.split(F.replace("name", F.lit("::"), F.lit(".")), r"\."), -1))).join(low, "_key")
-    by_file = refs.where("kind = 'lambda_handler_file'").withColumn("_key", F.explode("paths")).join(low.drop("_key").withColumn("_key", F.col("n_path")), "_key")
-    pool = by_name.unionByName(by_file)
-    ruby = F.col("language") == "ruby"
-    full = F.replace(F.lower("name"), F.lit("::"), F.lit("."))
-    fits = F.when(ruby, F.col("static") & (F.col("_qn") == full) & kinds_fit(F.col("kind"), F.col("n_kind"))).otherwise(F.lit(True))
-    narrow = F.when(F.col("receiver") == "import_selector", (F.col("n_kind") != "method") & (F.col("n_dir") == F.col("import_dir"))).when(F.col("receiver") == "receiver_or_package_local", F.col("n_kind") == "method").otherwise(F.lit(False))
-    got = pool.where(F.coalesce(fits, F.lit(False))).withColumn("_narrow", F.coalesce(narrow, F.lit(False)))
-    n = got.groupBy("ref_id").agg(F.count(F.lit(1)).alias("all"), F.min("node_id").alias("one"), F.count_if("_narrow").alias("few"), F.min(F.when(F.col("_narrow"), F.col("node_id"))).alias("one_few"))
-    out = refs.join(n, "ref_id", "left").withColumn("candidate_count", F.when(F.col("few") > 0, F.col("few")).otherwise(F.coalesce("all", F.lit(0))))
-    target = F.when(F.col("candidate_count") == 1, F.when(F.col("few") > 0, F.col("one_few")).otherwise(F.col("one")))
-    kind = F.when(F.col("kind") == "lambda_handler_file", "routes_to_handler_file").otherwise(F.col("kind"))
-    return out.select("ref_id", "source", target.alias("target"), kind.alias("kind"), "candidate_count", F.when(F.col("candidate_count") == 1, "resolved").when(F.col("candidate_count") > 1, "ambiguous").otherwise("unresolved").alias("resolution"))
-
-
-def kinds_fit(ref: Column, node: Column) -> Column:
-    return (
-        F.when(ref.isin("inheritance", "include", "extend", "prepend", "model_dsl"), node.isin("class", "module"))
-        .when(ref == "call", node.isin("method", "singleton_method"))
-        .when(ref == "constant", node.isin("class", "module", "constant"))
-        .when(ref == "route", node.isin("class", "method"))
-        .otherwise(F.lit(True))
+    low = nodes.select("node_id", F.lower("name").alias("_key"), F.lower(F.coalesce("qualified_name", F.lit(""))).alias("_qn"), "kind", "path", F.regexp_replace("path", "/?[^/]*$", "").alias("_dir"))
+    of = lambda test, name: [F.count_if(test).alias(f"_n_{name}"), F.min(F.when(test, F.col("node_id"))).alias(f"_id_{name}")]
+    some = F.lit(True)
+    named = low.groupBy("_key").agg(*of(some, "all"), *of(F.col("kind") == "method", "methods"))
+    placed = low.where("kind <> 'method'").groupBy("_key", "_dir").agg(*of(some, "dir"))
+    full = low.groupBy("_key", "_qn").agg(*of(some, "any"), *(c for k, (_, kinds) in FITS.items() for c in of(F.col("kind").isin(*kinds), k)))
+    filed = low.groupBy("path").agg(*of(some, "file"))
+
+    name = F.replace(F.lower("name"), F.lit("::"), F.lit("."))
+    own = refs.withColumn("_qn", name).withColumn("_key", F.element_at(F.split(name, r"\."), -1)).withColumn("_dir", F.when(F.col("receiver") == "import_selector", F.col("import_dir")))
+    handler, ruby = F.col("kind") == "lambda_handler_file", F.col("language") == "ruby"
+    by_file = own.where(handler).select("ref_id", F.explode(F.array_distinct("paths")).alias("path")).join(filed, "path").groupBy("ref_id").agg(F.sum("_n_file").alias("_n_file"), F.min("_id_file").alias("_id_file"))
+    by_qn = full.select("_key", "_qn", *(F.col(c) for c in full.columns if c not in ("_key", "_qn")))
+    out = own.join(named, "_key", "left").join(placed, ["_key", "_dir"], "left").join(by_qn, ["_key", "_qn"], "left").join(by_file, "ref_id", "left")
+
+    def pick(which: str) -> Column:
+        """struct(n, id) of a pool."""
+        return F.struct(F.coalesce(f"_n_{which}", F.lit(0)).cast("long").alias("n"), F.col(f"_id_{which}").alias("id"))
+
+    qualified = None
+    for k, (kinds, _) in FITS.items():
+        test = F.col("kind").isin(*kinds)
+        qualified = F.when(test, pick(k)) if qualified is None else qualified.when(test, pick(k))
+    nothing = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast(dict(nodes.dtypes)["node_id"]).alias("id"))
+    pool = (
+        F.when(handler, pick("file"))
+        .when(ruby, F.when(F.coalesce("static", F.lit(False)), qualified.otherwise(pick("any"))).otherwise(nothing))
+        .when((F.col("receiver") == "import_selector") & (F.col("_n_dir") > 0), pick("dir"))
+        .when((F.col("receiver") == "receiver_or_package_local") & (F.col("_n_methods") > 0), pick("methods"))
+        .otherwise(pick("all"))
     )
+    n = F.col("_pool.n")
+    return out.withColumn("_pool", pool).select("ref_id", "source", F.when(n == 1, F.col("_pool.id")).alias("target"), F.when(handler, "routes_to_handler_file").otherwise(F.col("kind")).alias("kind"), n.alias("candidate_count"), F.when(n == 1, "resolved").when(n > 1, "ambiguous").otherwise("unresolved").alias("resolution"))
 
 
 def lexical_references(docs: DataFrame, ident: str, text: str, word: str, id_out: str = "path") -> DataFrame:
@@ -135,13 +154,14 @@ def merge_routes(outgoing: DataFrame, incoming: DataFrame, unresolved: DataFrame
     return ranked(graph.unionByName(rest), [F.col("route"), *map(F.col, order)], n)
 
 
-def handler_groups(hits: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Orders handler bindings by template, logical id and kind, each followed by its handler files.
+def handler_groups(hits: DataFrame, anchors: DataFrame, k: int = 1000) -> DataFrame:
+    """The first k handler bindings by template, logical id and kind, each followed by its handler files.
 
-    hits: node_id, template, logical_id, kind_rank; anchors: node_id, binding (node_id of the binding).
+    hits: node_id, template, logical_id, kind_rank; anchors: node_id, binding (node_id of the binding). A file
+    sorts by the key of its binding, so the order needs no numbering of all bindings.
     """
-    order = [F.col("template"), F.col("logical_id"), F.col("kind_rank"), F.col("node_id")]
-    own = hits.withColumn("_g", F.row_number().over(Window.orderBy(*order)))
-    files = anchors.join(own.select(F.col("node_id").alias("binding"), "_g"), "binding").select("node_id", "_g", F.lit(1).alias("_a"))
-    both = own.select("node_id", "_g", F.lit(0).alias("_a")).unionByName(files)
-    return both.groupBy("node_id").agg(F.min(F.struct("_g", "_a")).alias("x")).withColumn("rank", F.row_number().over(Window.orderBy("x._g", "x._a", "node_id")).cast("long")).select("node_id", "rank")
+    key = F.struct("template", "logical_id", "kind_rank", F.col("node_id").alias("binding"))
+    own = hits.select("node_id", key.alias("key"))
+    files = anchors.join(own.select(F.col("node_id").alias("binding"), "key"), "binding").select("node_id", "key", F.lit(1).alias("file"))
+    both = own.select("node_id", "key", F.lit(0).alias("file")).unionByName(files).groupBy("node_id").agg(F.min(F.struct("key", "file")).alias("at"))
+    return ranked(both, [F.col("at"), F.col("node_id")], k).select("node_id", "rank")

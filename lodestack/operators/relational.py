@@ -114,23 +114,23 @@ def capability_summary(df: DataFrame, keys: list[str], path: str, kind: str, con
     return df.groupBy(*keys).agg(F.array_sort(F.collect_set(path)).alias("paths"), F.array_sort(F.collect_set(kind)).alias("kinds"), F.element_at(F.array(*map(F.lit, levels)), F.max(rank).cast("int")).alias("confidence"))
 
 
-def samples_by_reason(df: DataFrame, reason: str, path: str, n: int = 3) -> DataFrame:
-    """Count per reason with the n least paths; the paths are ranked before they are gathered, so no set grows."""
-    w = Window.partitionBy(reason).orderBy(path)
-    least = df.select(reason, path).distinct().withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).groupBy(reason).agg(F.array_sort(F.collect_list(path)).alias("samples"))
+def samples_by_reason(df: DataFrame, reason: str, path: str, n: int = 3, deals: int = 64) -> DataFrame:
+    """Count per reason with the n least paths. Paths are dealt out and ranked in their deal first, so a reason that most rows share is not one task."""
+    deal = F.pmod(F.xxhash64(path), F.lit(deals))
+    top = df.select(reason, path).distinct().withColumn("_n", F.row_number().over(Window.partitionBy(reason, deal).orderBy(path))).where(F.col("_n") <= n)
+    least = top.groupBy(reason).agg(F.slice(F.array_sort(F.collect_list(path)), 1, n).alias("samples"))
     return df.groupBy(reason).count().join(least, reason)
 
 
 def longest_prefix(df: DataFrame, path: str, units: DataFrame, prefix: str, key: str) -> DataFrame:
     """df with the unit whose prefix is the longest that holds the path ("." holds all); ties by key.
 
-    Every ancestor of a path meets units in an equi-join, so no theta join is planned.
+    Every ancestor of a distinct path meets units in an equi-join, so no theta join is planned.
     """
-    w = df.withColumn("_row", F.monotonically_increasing_id()) if "_row" not in df.columns else df
-    up = w.select("_row", F.explode(paths.ancestors(F.col(path))).alias("_p"))
+    up = df.select(F.col(path).alias("_path")).distinct().select("_path", F.explode(paths.ancestors(F.col("_path"))).alias("_p"))
     own = units.select(F.col(prefix).alias("_p"), F.col(key).alias("_unit"))
-    best = up.join(own, "_p").groupBy("_row").agg(F.min(F.struct((-F.when(F.col("_p") == ".", 0).otherwise(F.length("_p"))).alias("l"), F.col("_unit").alias("unit"), F.col("_p").alias("prefix"))).alias("_b"))
-    return w.join(best, "_row", "left").select(*df.columns, F.col("_b.unit").alias("unit"), F.col("_b.prefix").alias("unit_prefix"))
+    best = up.join(own, "_p").groupBy("_path").agg(F.min(F.struct((-F.when(F.col("_p") == ".", 0).otherwise(F.length("_p"))).alias("l"), F.col("_unit").alias("unit"), F.col("_p").alias("prefix"))).alias("_b"))
+    return df.join(best, F.col(path).eqNullSafe(F.col("_path")), "left").select(*df.columns, F.col("_b.unit").alias("unit"), F.col("_b.prefix").alias("unit_prefix"))
 
 
 def within_range(nodes: DataFrame, start: tuple[int, int], end: tuple[int, int]) -> DataFrame:
