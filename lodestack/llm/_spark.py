@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.shipping import ship
+
 #: Rows and bytes of an Arrow batch handed to Python: a batch of long texts stays small.
 ARROW_ROWS, ARROW_BYTES = 400, 16 << 20
 
@@ -18,19 +18,7 @@ def prepare(spark: SparkSession) -> None:
     """Sets the Arrow batch limits and makes this package importable on executors."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    sc = spark.sparkContext
-    if getattr(sc, "_lodestack_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="lodestack"), "lodestack_src.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(root):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.join("lodestack", os.path.relpath(full, root)))
-    sc.addPyFile(path)
-    sc._lodestack_shipped = True
+    ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
