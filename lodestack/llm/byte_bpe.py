@@ -29,7 +29,7 @@ from lodestack.llm._spark import prepare, table
 from lodestack.llm._tokens import mix, run_hashes
 
 #: Distinct pre-tokens kept resolved, and matches worked on at once.
-MEMO, SLICE = 200_000, 1 << 16
+MEMO, SLICE = 400_000, 1 << 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,46 +86,65 @@ class ByteBpe:
         self.entries = list(ranks)
         self.ids = [ranks[e] for e in self.entries]
         self.hash = PerfectHash(self.entries)
+        self.name = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
         self._ready()
 
     def _ready(self) -> None:
         self.find = regex.compile(self.pattern)
         self.text_of = dict(zip(self.ids, self.entries))
         self.memo: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.older: dict[str, tuple[str, tuple[int, ...]]] = {}
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("find", "text_of", "memo", "ranks")}
-
-    def __setstate__(self, state):
-        self.__dict__ |= state
-        self.ranks = dict(zip(self.entries, self.ids))
-        self._ready()
+    def __reduce__(self):
+        state = {k: v for k, v in self.__dict__.items() if k not in ("find", "text_of", "memo", "older", "ranks")}
+        return _revived, (self.name, state)
 
     def merged(self, piece: bytes) -> tuple[int, ...]:
-        """Ids of a piece that is no entry: the lowest rank merges first, the leftmost of equals."""
-        n, ranks = len(piece), self.ranks
-        parts: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+        """Ids of a piece that is no entry: the lowest rank merges first, the leftmost of equals.
+
+        A part is named by its start; end and before link the parts; rank_at is the rank of a part joined with
+        the next one. A heap entry holds rank and start in one number and is stale when rank_at says otherwise.
+        """
+        n, rank = len(piece), self.ranks.get
+        end, before, rank_at, heap = list(range(1, n + 1)), list(range(-1, n - 1)), [None] * n, []
+        for i in range(n - 1):
+            if (r := rank(piece[i : i + 2])) is not None:
+                rank_at[i] = r
+                heap.append(r << 32 | i)
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i] if parts[i] is not None else n
-            if j >= n or parts[i] is not a or parts[j] is not b:
-                continue  # one of the two has changed meanwhile
-            parts[i], parts[j] = (joint := a + b), None
-            k = after[i] = after[j]
+            x = pop(heap)
+            i = x & 0xFFFFFFFF
+            if rank_at[i] != x >> 32:
+                continue
+            j = end[i]
+            k = end[i] = end[j]
+            rank_at[i] = rank_at[j] = None
             if k < n:
                 before[k] = i
-                if (r := ranks.get(joint + parts[k])) is not None:
-                    heapq.heappush(heap, (r, i, joint, parts[k]))
-            if (p := before[i]) >= 0 and (r := ranks.get(parts[p] + joint)) is not None:
-                heapq.heappush(heap, (r, p, parts[p], joint))
-        return tuple(ranks[p] for p in parts if p is not None)
+                if (r := rank(piece[i : end[k]])) is not None:
+                    rank_at[i] = r
+                    push(heap, r << 32 | i)
+            p = before[i]
+            if p >= 0:
+                r = rank_at[p] = rank(piece[p:k])
+                if r is not None:
+                    push(heap, r << 32 | p)
+        out, i, ranks = [], 0, self.ranks
+        while i < n:
+            out.append(ranks[piece[i : end[i]]])
+            i = end[i]
+        return tuple(out)
 
     def resolve(self, tokens: Iterable[str]) -> None:
         """Puts pre-tokens into the memo."""
-        new = list(tokens)
+        new = []
+        for t in tokens:
+            if (known := self.older.get(t)) is not None:
+                self.memo[t] = known
+            else:
+                new.append(t)
         if not new:
             return
         pieces = [t.encode("utf-8", "surrogatepass") for t in new]
@@ -142,8 +161,8 @@ class ByteBpe:
             it = (m.group() for m in self.find.finditer(text))
             parts = iter(lambda: list(islice(it, SLICE)), [])
         for tokens in parts:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
+            if len(self.memo) > MEMO:  # what is still in use moves on to the new memo, the rest is forgotten
+                self.memo, self.older = {}, self.memo
             self.resolve(set(tokens).difference(self.memo))
             memo = self.memo
             yield [memo[t] for t in tokens]
@@ -167,6 +186,21 @@ class ByteBpe:
         return n, a.hexdigest(), b.hexdigest()
 
 
+#: Encoders of this process by name: a Python worker that is used again keeps what it has resolved.
+_LIVE: dict = {}
+
+
+def _revived(name: str, state: dict) -> ByteBpe:
+    if name not in _LIVE:
+        bpe = ByteBpe.__new__(ByteBpe)
+        bpe.__dict__ |= state
+        bpe.ranks = dict(zip(bpe.entries, bpe.ids))
+        bpe._ready()
+        _LIVE.clear()
+        _LIVE[name] = bpe
+    return _LIVE[name]
+
+
 @functools.lru_cache(4)
 def load(path: str, pattern: str) -> ByteBpe:
     """From a file of base64 entries and ranks, one a line."""
