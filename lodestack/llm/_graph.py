@@ -12,16 +12,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of edges (u, v); root is the least node of the component.
 
     A round links every node's larger neighbours, and then its smaller ones, to the least of its
-    neighbourhood. Least neighbours are aggregates with map-side combine and meet the edges in joins
-    whose hot keys adaptive execution splits, so a hub costs no task its whole neighbourhood.
+    neighbourhood. Least neighbours are aggregates with map-side combine. They are dealt anew before they
+    meet the edges: a join of two plain exchanges is one whose hot keys adaptive execution splits, so a
+    hub costs no task its whole neighbourhood.
     """
     e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).hint("rebalance")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        lower = large.groupBy("u").agg(F.min("v").alias("m")).hint("rebalance")
         small = large.join(lower, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         new = written(small.where("u <> v").distinct(), "edges")
         dropped(e)
