@@ -236,6 +236,21 @@ def resolve_unique_names(spark, sf_dir):
     return G.resolve_references(refs, nodes).select("ref_id", "target", "candidate_count", "resolution")
 
 
+@query("""WITH x AS (SELECT lower(p_name) AS name, 'p' || p_partkey AS node_id FROM part UNION ALL SELECT lower(c_name), 'c' || c_custkey FROM customer), g AS (SELECT name, count(*) AS n, min(node_id) AS one FROM x GROUP BY name),
+r AS (SELECT 's' || s_suppkey AS ref_id, CASE WHEN s_suppkey % 3 = 0 THEN 'red widget' ELSE 'Supplier#' || s_suppkey END AS name FROM supplier UNION ALL SELECT 'c' || c_custkey, c_name FROM customer)
+SELECT ref_id, CASE WHEN coalesce(g.n, 0) = 1 THEN one END AS target, coalesce(g.n, 0) AS candidate_count, CASE WHEN coalesce(g.n, 0) = 1 THEN 'resolved' WHEN coalesce(g.n, 0) > 1 THEN 'ambiguous' ELSE 'unresolved' END AS resolution FROM r LEFT JOIN g ON lower(r.name) = g.name""")
+def resolve_every_name(spark, sf_dir):
+    """As resolve_unique_names, with the names of all customers to resolve; ids of each table have a prefix of their own."""
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    none, k = F.lit(None).cast("string"), F.col("s_suppkey")
+    customers = t(spark, sf_dir, "customer").select(key("c", "c_custkey").alias("id"), F.col("c_name").alias("name"))
+    nodes = t(spark, sf_dir, "part").select(key("p", "p_partkey").alias("id"), F.col("p_name").alias("name")).union(customers)
+    nodes = nodes.select(F.col("id").alias("node_id"), "name", none.alias("qualified_name"), F.lit("function").alias("kind"), F.lit("go").alias("language"), F.lit("a/b.go").alias("path"))
+    refs = t(spark, sf_dir, "supplier").select(key("s", "s_suppkey").alias("id"), F.when(k % 3 == 0, "red widget").otherwise(key("Supplier#", "s_suppkey")).alias("name")).union(customers)
+    refs = refs.select(F.col("id").alias("ref_id"), F.lit("m").alias("source"), "name", F.lit("call").alias("kind"), F.lit("go").alias("language"), F.lit(True).alias("static"), none.alias("receiver"), none.alias("import_dir"), F.array().cast("array<string>").alias("paths"))
+    return G.resolve_references(refs, nodes).select("ref_id", "target", "candidate_count", "resolution")
+
+
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents WHERE contains(text, 'the')),
 p AS (SELECT doc_id, line, regexp_split_to_array(' ' || regexp_replace(s, '[^A-Za-z0-9_]', ' ', 'g') || ' ', ' the ') AS parts, regexp_replace(s, '[^A-Za-z0-9_]', ' ', 'g') AS z FROM l),
 w AS (SELECT doc_id, line, string_split(z, ' ') AS ws FROM p), c AS (SELECT doc_id, line, unnest(ws) AS word, generate_subscripts(ws, 1) AS k, ws FROM w)
