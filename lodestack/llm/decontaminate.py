@@ -12,6 +12,12 @@ of its score, are its non-essential ones; a passage whose essential words of an
 plus all its non-essential ones, stay below the threshold cannot hold it. That bound is computed for whole batches.
 Passages that pass it for some item are searched by block-max WAND, which gives exact results.
 
+An item whose question carries little of its weight stays below the threshold where the question stands
+without the answer, so passages are also found by shingles: one that holds k of a unit's m shingles
+(a unit is an item or a question) holds one of any m - k + 1 of them, and the rarest ones are looked up.
+With both, a pair is reported exactly when its overlap, or that of the question, is reached; the answer's
+overlap is reported only.
+
 Items are indexed in blocks of bounded size (one for usual benchmarks), so what is broadcast is bounded.
 
 Defined cases: null and empty texts have no passages; null, empty and wordless items match nothing;
@@ -34,8 +40,8 @@ from lodestack.llm._spark import prepare, table
 from lodestack.llm._tokens import shingles, words
 
 K1, B, THRESHOLD, OVERLAP, QUESTION_OVERLAP, SPARE = 1.2, 0.75, 0.4, 0.5, 0.8, 0.1
-#: Items indexed at once, postings in a block, and the shortest stride in words.
-ITEM_BLOCK, POSTING_BLOCK, STRIDE = 20_000, 8, 64
+#: Items indexed at once, postings in a block, the shortest stride in words, words in a shingle, and words whose shingles are looked up at once.
+ITEM_BLOCK, POSTING_BLOCK, STRIDE, SHINGLE, SPAN = 20_000, 8, 64, 5, 1 << 18
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
@@ -44,6 +50,48 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (" ".join(parts), "")
 
 
+class Grams:
+    """Postings of the rarest shingles of units (item, shingles, least overlap): as many as no passage can lack that reaches it."""
+
+    def __init__(self, units: list[tuple[int, np.ndarray, float]], n: int = SHINGLE):
+        self.n = n
+        df = Counter(g for _, own, _ in units for g in own.tolist())
+        lists: dict[int, set[int]] = {}
+        for i, own, least in units:
+            m = len(own)
+            k = next(k for k in range(1, m + 1) if k / m >= least)
+            for g in sorted(own.tolist(), key=lambda g: (df[g], g))[: m - k + 1]:
+                lists.setdefault(g, set()).add(i)
+        self.grams = np.array(sorted(lists), np.uint64)
+        own = [sorted(lists[g]) for g in sorted(lists)]
+        self.first = np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int64)
+        self.item = np.array([i for x in own for i in x], np.int64)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.grams & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def passages(self, h: np.ndarray, cuts: np.ndarray, stride: int) -> np.ndarray:
+        """(document, stride number, item) of passages that may hold a unit."""
+        where, gram = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(h) - self.n + 1 if len(self.grams) else 0, SPAN):
+            s = shingles(h[lo : lo + SPAN + self.n - 1], self.n)
+            at = np.flatnonzero(self.maybe[(s & np.uint64((1 << 20) - 1)).astype(np.int64)])
+            g = np.minimum(np.searchsorted(self.grams, s[at]), len(self.grams) - 1)
+            ok = self.grams[g] == s[at]
+            where.append(at[ok] + lo)
+            gram.append(g[ok])
+        where, gram = np.concatenate(where), np.concatenate(gram)
+        doc = np.searchsorted(cuts, where, side="right") - 1
+        ok = where + self.n <= cuts[doc + 1]  # within one text
+        where, gram, doc = where[ok], gram[ok], doc[ok]
+        place = where - cuts[doc]
+        both = place % stride + self.n <= stride  # ends in the stride where it starts, so the passage before holds it too
+        cell = np.concatenate((place // stride, (place // stride - 1)[both]))
+        doc, gram = np.concatenate((doc, doc[both])), np.concatenate((gram, gram[both]))
+        n = self.first[gram + 1] - self.first[gram]
+        at = np.repeat(self.first[gram] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.unique(np.stack((np.repeat(doc, n), np.repeat(cell, n), self.item[at]), 1), axis=0)
+
+
 class Index:
     """Inverted index of items whose length in words is at most `stride`."""
 
@@ -51,17 +99,20 @@ class Index:
         self.stride, self.threshold = stride, threshold
         self.ids = [i for i, _ in items]
         h, cuts = words([t for _, t in items])
-        self.parts = []
-        for _, t in items:
+        self.parts, units = [], []
+        for i, (_, t) in enumerate(items):
             q, a = question_and_answer(t)
             w, c = words([t, q, a])
             self.parts.append(tuple(np.unique(shingles(w[c[k] : c[k + 1]])) for k in range(3)))
+            units += [(i, self.parts[i][k], least) for k, least in ((0, OVERLAP), (1, QUESTION_OVERLAP)) if c[k + 1] - c[k] >= SHINGLE]
+        self.grams = Grams(units)
         n, average = len(items), max(1.0, len(h) / max(1, len(items)))
         tfs = [Counter(h[a:b].tolist()) for a, b in zip(cuts, cuts[1:])]
         df = Counter(t for tf in tfs for t in tf)
         vocabulary = sorted(df)
         at = {t: k for k, t in enumerate(vocabulary)}
         self.vocabulary = np.array(vocabulary, np.uint64)
+        self.own: list[tuple[np.ndarray, np.ndarray]] = []  # terms and impacts of each item
         lists: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
         essential: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
         self.spare = np.zeros(n)  # what an item's non-essential words can give
@@ -69,6 +120,7 @@ class Index:
             length = sum(tf.values())
             impact = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * length / average)) for t, f in tf.items()}
             own = sum(impact.values())
+            self.own.append((np.array([at[t] for t in impact], np.int64), np.array([v / own for v in impact.values()])))
             rest = 0.0
             for t in sorted(impact, key=lambda t: (impact[t], t)):
                 v = impact[t] / own
@@ -162,6 +214,11 @@ class Index:
             cursors = [c for c in cursors if c[0] < c[1]]
         return out
 
+    def score(self, h: np.ndarray, i: int) -> float:
+        """Score of an item for the words of a passage."""
+        term, value = self.own[i]
+        return float(value[np.isin(term, self.terms(h)[1])].sum())
+
 
 def share(part: np.ndarray, seen: np.ndarray) -> float:
     return float(np.isin(part, seen, assume_unique=True).mean()) if len(part) else 0.0
@@ -172,10 +229,16 @@ def matches(indexes: list[Index], texts: list[str]) -> Iterator[tuple[int, int |
     h, cuts = words(texts)
     for index in indexes:
         best: dict[tuple[int, int], tuple[float, float, float, float]] = {}
-        for doc, cell in index.passages(h, cuts).tolist():
+        weighty = set(map(tuple, index.passages(h, cuts).tolist()))
+        held: dict[tuple[int, int], list[int]] = {}
+        for doc, cell, i in index.grams.passages(h, cuts, index.stride).tolist():
+            held.setdefault((doc, cell), []).append(i)
+        for doc, cell in sorted(weighty | held.keys()):
             lo = cuts[doc] + max(0, cell) * index.stride
             passage = h[lo : min(cuts[doc + 1], cuts[doc] + (cell + 2) * index.stride)]
-            found = index.search(passage)
+            found = index.search(passage) if (doc, cell) in weighty else []
+            known = {i for i, _ in found}
+            found += [(i, index.score(passage, i)) for i in held.get((doc, cell), ()) if i not in known]
             seen = np.unique(shingles(passage)) if found else None
             for i, score in found:
                 overlap, question, answer = (share(p, seen) for p in index.parts[i])
