@@ -50,6 +50,25 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (" ".join(parts), "")
 
 
+class Stats:
+    """What BM25 weights need of all items that have words: their number, average length and document frequencies."""
+
+    def __init__(self):
+        self.n, self.words, self.df = 0, 0, Counter()
+
+    def add(self, texts: list[str]) -> Stats:
+        h, cuts = words(texts)
+        self.n += int((np.diff(cuts) > 0).sum())
+        self.words += len(h)
+        for a, b in zip(cuts, cuts[1:]):
+            self.df.update(set(h[a:b].tolist()))
+        return self
+
+    @property
+    def average(self) -> float:
+        return max(1.0, self.words / max(1, self.n))
+
+
 class Grams:
     """Postings of the rarest shingles of units (item, shingles, least overlap): as many as no passage can lack that reaches it."""
 
@@ -95,7 +114,7 @@ class Grams:
 class Index:
     """Inverted index of items whose length in words is at most `stride`."""
 
-    def __init__(self, items: list[tuple[int | None, str]], stride: int, threshold: float):
+    def __init__(self, items: list[tuple[int | None, str]], stride: int, threshold: float, stats: Stats):
         self.stride, self.threshold = stride, threshold
         self.ids = [i for i, _ in items]
         h, cuts = words([t for _, t in items])
@@ -106,16 +125,15 @@ class Index:
             self.parts.append(tuple(np.unique(shingles(w[c[k] : c[k + 1]])) for k in range(3)))
             units += [(i, self.parts[i][k], least) for k, least in ((0, OVERLAP), (1, QUESTION_OVERLAP)) if c[k + 1] - c[k] >= SHINGLE]
         self.grams = Grams(units)
-        n, average = len(items), max(1.0, len(h) / max(1, len(items)))
+        n, average, df = stats.n, stats.average, stats.df
         tfs = [Counter(h[a:b].tolist()) for a, b in zip(cuts, cuts[1:])]
-        df = Counter(t for tf in tfs for t in tf)
-        vocabulary = sorted(df)
+        vocabulary = sorted({t for tf in tfs for t in tf})
         at = {t: k for k, t in enumerate(vocabulary)}
         self.vocabulary = np.array(vocabulary, np.uint64)
         self.own: list[tuple[np.ndarray, np.ndarray]] = []  # terms and impacts of each item
         lists: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
         essential: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
-        self.spare = np.zeros(n)  # what an item's non-essential words can give
+        self.spare = np.zeros(len(items))  # what an item's non-essential words can give
         for i, tf in enumerate(tfs):
             length = sum(tf.values())
             impact = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * length / average)) for t, f in tf.items()}
@@ -248,8 +266,9 @@ def matches(indexes: list[Index], texts: list[str]) -> Iterator[tuple[int, int |
             yield doc, index.ids[i], score, overlap, question, answer
 
 
-def build(items: list[tuple[int | None, str]], threshold: float = THRESHOLD) -> list[Index]:
-    """One index for each length class that has items."""
+def build(items: list[tuple[int | None, str]], threshold: float = THRESHOLD, stats: Stats | None = None) -> list[Index]:
+    """One index for each length class that has items; stats: those of all items where these are some of them."""
+    stats = stats or Stats().add([t or "" for _, t in items])
     by: dict[int, list] = {}
     for i, t in items:
         n = int(words([t])[1][-1]) if t else 0
@@ -258,7 +277,23 @@ def build(items: list[tuple[int | None, str]], threshold: float = THRESHOLD) ->
             while stride < n:
                 stride *= 4
             by.setdefault(stride, []).append((i, t))
-    return [Index(own, stride, threshold) for stride, own in sorted(by.items())]
+    return [Index(own, stride, threshold, stats) for stride, own in sorted(by.items())]
+
+
+def blocks_of(items: DataFrame, item_block: int, threshold: float) -> Iterator[list[Index]]:
+    """The indexes of each block of items (i, t), about item_block of them at once, all with the statistics of all items."""
+    blocks = max(1, -(-items.count() // item_block))
+
+    def block(k: int) -> list[tuple[int | None, str]]:
+        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()
+        return sorted(((r["i"], r["t"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
+    stats = Stats()
+    for k in range(blocks):
+        own = block(k)
+        stats.add([t for _, t in own])
+    for k in range(blocks):
+        yield build(own if blocks == 1 else block(k), threshold, stats)
 
 
 _OUT = "doc_id long, text_hash long, item_id long, bm25_share double, overlap double, question_overlap double, answer_overlap double"
@@ -268,13 +303,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """A row for each document and test item that it holds: doc_id, text_hash, item_id, bm25_share, overlap, question_overlap, answer_overlap."""
     prepare(docs.sparkSession)
     own = items.select(F.col(item_id_col).cast("long").alias("i"), F.coalesce(F.col(item_text_col), F.lit("")).alias("t"))
-    blocks = max(1, -(-own.count() // item_block))
     body = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("body"))
     out = None
-    for k in range(blocks):
-        rows = own.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()  # about item_block rows
-        indexes = build(sorted(((r["i"], r["t"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])), threshold)
+    for indexes in blocks_of(own, item_block, threshold):
 
         def run(batches: Iterator[pa.RecordBatch], indexes=indexes) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -291,10 +323,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Rows of docs that hold no test item; columns unchanged."""
     prepare(docs.sparkSession)
-    own = items.select("item_id", F.coalesce("text", F.lit("")).alias("t"))
-    blocks = max(1, -(-own.count() // ITEM_BLOCK))
-    for k in range(blocks):
-        indexes = build(sorted(((r["item_id"], r["t"]) for r in own.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(blocks)) == k).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])), threshold)
+    own = items.select(F.col("item_id").alias("i"), F.coalesce("text", F.lit("")).alias("t"))
+    for indexes in blocks_of(own, ITEM_BLOCK, threshold):
 
         def run(batches: Iterator[pa.RecordBatch], indexes=indexes) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -56,3 +56,19 @@ def test_texts_longer_than_a_span():
         assert {(k, i) for k, i, *_ in D.matches(D.build(items), [t or "" for t in docs])} == by_rule(items, docs)
     finally:
         D.SPAN = old
+
+
+def test_blocks_change_no_row(spark):
+    items, docs = material()
+    items = items + [(100 + k, " ".join(t for _, t in items[k : k + 4])) for k in range(0, 12, 4)]  # a second length class
+    d, b = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda n: sorted((r["doc_id"], r["item_id"], round(r["bm25_share"], 9), r["overlap"]) for r in D.contaminated(d, b, item_block=n).collect())
+    assert len(D.build(items)) == 2 and len(rows(1000)) > 80
+    assert rows(1000) == rows(20)
+
+
+def test_statistics_are_of_all_items():
+    items, _ = material()
+    alone, both = D.build(items[:40]), D.build(items[:40] + [(500, "long " * 300 + items[0][1])])
+    h = words([items[0][1][:60]])[0]
+    assert len(both) == 2 and alone[0].score(h, 0) != both[0].score(h, 0)
