@@ -21,6 +21,8 @@ overlap is reported only.
 Items are indexed in blocks of bounded size (one for usual benchmarks), so what is broadcast is bounded.
 
 Defined cases: null and empty texts have no passages; null, empty and wordless items match nothing;
+an item of one to four words counts wherever they stand in a row; a question of one to four words
+that is not the whole item would tell too little and counts only where a passage has no other words;
 repeated items and rows are reported each; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -72,7 +74,7 @@ class Stats:
 class Grams:
     """Postings of the rarest shingles of units (item, shingles, least overlap): as many as no passage can lack that reaches it."""
 
-    def __init__(self, units: list[tuple[int, np.ndarray, float]], n: int = SHINGLE):
+    def __init__(self, units: list[tuple[int, np.ndarray, float]], n: int):
         self.n = n
         df = Counter(g for _, own, _ in units for g in own.tolist())
         lists: dict[int, set[int]] = {}
@@ -118,13 +120,18 @@ class Index:
         self.stride, self.threshold = stride, threshold
         self.ids = [i for i, _ in items]
         h, cuts = words([t for _, t in items])
-        self.parts, units = [], []
+        self.parts, units = [], {n: [] for n in range(1, SHINGLE + 1)}
+        self.sizes = []  # words in a shingle of an item and of its question, fewer only for a whole item of few words
         for i, (_, t) in enumerate(items):
             q, a = question_and_answer(t)
             w, c = words([t, q, a])
             self.parts.append(tuple(np.unique(shingles(w[c[k] : c[k + 1]])) for k in range(3)))
-            units += [(i, self.parts[i][k], least) for k, least in ((0, OVERLAP), (1, QUESTION_OVERLAP)) if c[k + 1] - c[k] >= SHINGLE]
-        self.grams = Grams(units)
+            size = min(SHINGLE, int(c[1]))
+            self.sizes.append((size, SHINGLE if len(w) > c[2] else size))
+            units[size].append((i, self.parts[i][0], OVERLAP))
+            if c[2] - c[1] >= SHINGLE:
+                units[SHINGLE].append((i, self.parts[i][1], QUESTION_OVERLAP))
+        self.grams = [Grams(own, n) for n, own in units.items() if own]
         n, average, df = stats.n, stats.average, stats.df
         tfs = [Counter(h[a:b].tolist()) for a, b in zip(cuts, cuts[1:])]
         vocabulary = sorted({t for tf in tfs for t in tf})
@@ -249,17 +256,18 @@ def matches(indexes: list[Index], texts: list[str]) -> Iterator[tuple[int, int |
         best: dict[tuple[int, int], tuple[float, float, float, float]] = {}
         weighty = set(map(tuple, index.passages(h, cuts).tolist()))
         held: dict[tuple[int, int], list[int]] = {}
-        for doc, cell, i in index.grams.passages(h, cuts, index.stride).tolist():
-            held.setdefault((doc, cell), []).append(i)
+        for grams in index.grams:
+            for doc, cell, i in grams.passages(h, cuts, index.stride).tolist():
+                held.setdefault((doc, cell), []).append(i)
         for doc, cell in sorted(weighty | held.keys()):
             lo = cuts[doc] + max(0, cell) * index.stride
             passage = h[lo : min(cuts[doc + 1], cuts[doc] + (cell + 2) * index.stride)]
             found = index.search(passage) if (doc, cell) in weighty else []
             known = {i for i, _ in found}
             found += [(i, index.score(passage, i)) for i in held.get((doc, cell), ()) if i not in known]
-            seen = np.unique(shingles(passage)) if found else None
+            seen = {n: np.unique(shingles(passage, n)) for n in {SHINGLE, *(n for i, _ in found for n in index.sizes[i])}} if found else {}
             for i, score in found:
-                overlap, question, answer = (share(p, seen) for p in index.parts[i])
+                overlap, question, answer = (share(p, seen[n]) for p, n in zip(index.parts[i], (*index.sizes[i], SHINGLE)))
                 if overlap >= OVERLAP or question >= QUESTION_OVERLAP:
                     best[doc, i] = max(best.get((doc, i), (-1.0,) * 4), (overlap, question, answer, score))
         for (doc, i), (overlap, question, answer, score) in sorted(best.items()):

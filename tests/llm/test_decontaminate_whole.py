@@ -72,3 +72,18 @@ def test_statistics_are_of_all_items():
     alone, both = D.build(items[:40]), D.build(items[:40] + [(500, "long " * 300 + items[0][1])])
     h = words([items[0][1][:60]])[0]
     assert len(both) == 2 and alone[0].score(h, 0) != both[0].score(h, 0)
+
+
+def test_items_of_few_words():
+    items, docs = material()
+    short = [(200, "zalo"), (201, "Zuri, zamo!"), (202, "zeta zalo zuri."), (203, "zuri zalo zamo zeta"), (204, "Zeta. Zuri zuri"), (205, "Zeko? " + items[0][1])]
+    r = random.Random(9)
+    some = [" ".join([*t.split()[: r.randint(0, 200)], *(r.choice(["zalo", "zuri", "zamo", "zeta", "zeko"]) for _ in range(k % 6)), *(short[k % 5][1].split() if k % 7 == 0 else []), *t.split()[5:]]) for k, t in enumerate(docs[:-1])]
+    tokens = lambda t: "".join(c if c.isalnum() else " " for c in t.lower()).split()
+    want = {(k, i) for k, d in enumerate(some) for i, t in short[:5] if f" {' '.join(tokens(t))} " in f" {' '.join(tokens(d))} "}
+    got = {(k, i) for k, i, *_ in D.matches(D.build(items + short), some)}
+    assert {i for _, i in want} == {200, 201, 202, 203, 204}
+    assert {(k, i) for k, i in got if 200 <= i < 205} == want
+    lone = {k for k, d in enumerate(some) if "zeko" in tokens(d)} - {k for k, i in got if i == 0}
+    assert lone and not {k for k, i in got if i == 205} & lone  # its question alone tells too little
+    assert [m[4] for m in D.matches(D.build([(1, "Zuri, zamo!")]), ["a b zuri zamo c d e"])] == [1.0]
