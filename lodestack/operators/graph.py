@@ -2,27 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestack.operators.relational import ranked
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again, so that a level's lineage does not hold all levels before it."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="lodestack-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/lodestack/level-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from lodestack.shared import dropped, written
 
 
 def traverse(nodes: DataFrame, edges: DataFrame, start: DataFrame, max_depth: int = 2, max_nodes: int = 50, direction: str = "outgoing", mode: str = "expand") -> DataFrame:
@@ -42,7 +27,7 @@ def traverse(nodes: DataFrame, edges: DataFrame, start: DataFrame, max_depth: in
     for more in links[1:]:
         step = step.unionByName(more)
     first = start.select("node").distinct().join(nodes.select("node"), "node", "left_semi")
-    seen = _cut(ranked(first.withColumn("depth", F.lit(0)), [F.col("node")], max_nodes + 1))
+    seen = written(ranked(first.withColumn("depth", F.lit(0)), [F.col("node")], max_nodes + 1), "level")
     level = seen
     for depth in range(1, max_depth + 1):
         if step is None:
@@ -52,7 +37,7 @@ def traverse(nodes: DataFrame, edges: DataFrame, start: DataFrame, max_depth: in
         found = found.join(F.broadcast(seen.select("node")), "node", "left_anti").join(nodes.select("node"), "node", "left_semi")
         have = seen.count()
         level = ranked(found.select("node", F.lit(depth).alias("depth"), "by"), [F.col("by.parent"), F.col("by.edge_id"), F.col("node")], max(0, max_nodes + 1 - have)).select("node", "depth", (F.col("rank") + have).alias("rank"))
-        level = _cut(level)
+        level = written(level, "level")
         seen = seen.unionByName(level)
         if have >= max_nodes + 1 or level.isEmpty():
             break
@@ -158,7 +143,7 @@ def _numbered(df: DataFrame, order: list[Column]) -> DataFrame:
     """df with `rank` from 1 over all its rows, order total: ranges are sorted and numbered each by itself, and start after the rows of the ranges before."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # the upper bits are the range's number, the lower 33 the row's place in it; written once, so that both stay as they are
-    rows = _cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    rows = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()), "numbered")
     rows = rows.withColumn("_range", F.shiftright("_m", 33))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
     starts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
