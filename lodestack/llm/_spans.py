@@ -1,30 +1,64 @@
-"""Spans of regular expressions as Column expressions: code-point positions without Python on the executors."""
+"""Spans of regular expressions as Column expressions: code-point positions without Python on the executors.
+
+Higher-order functions evaluate what their lambdas capture again for each element, and have no running sums: `let`
+binds a value once, `scan` runs in blocks, so that a text with many matches costs time in proportion to them.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPAN = "array<struct<s:int,e:int,m:string>>"
+SPAN = "array<struct<s:int,e:int,m:string,b:string,a:string>>"
+#: Elements that a scan appends one by one before it starts a new block, and characters of context before a match.
+BLOCK, CONTEXT = 64, 24
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def scan(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """array<int> of the running op (associative) over an array<int>: element i covers values 0 to i."""
+
+    def run(part: Column) -> Column:
+        return F.aggregate(part, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(op(F.get(acc, F.size(acc) - 1), x)))))
+
+    def blocks(v: Column) -> Column:
+        own = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / F.lit(BLOCK)).cast("int")), lambda k: run(F.slice(v, k * BLOCK + 1, F.lit(BLOCK))))
+
+        def joined_(bs: Column) -> Column:
+            totals = run(F.transform(bs, lambda b: F.get(b, F.size(b) - 1)))
+            return let(totals, lambda t: F.flatten(F.transform(bs, lambda b, i: F.when(i == 0, b).otherwise(F.transform(b, lambda x: op(F.get(t, i - 1), x))))))
+
+        return let(own, joined_)
+
+    return let(values, lambda v: F.when(F.size(v) <= BLOCK, run(v)).otherwise(blocks(v)))
 
 
 def matches(text: Column, regex: str) -> Column:
-    """Non-overlapping matches from the left as array<struct<s, e, m>>, s and e in code points, e exclusive.
+    """Non-overlapping matches from the left as array<struct<s, e, m, b, a>>.
 
-    Pieces between matches and the matches themselves alternate, so positions are running lengths.
+    s and e in code points, e exclusive; b the characters before, back to the match before at most; a the next
+    character. Pieces between matches and the matches themselves alternate, so positions are running lengths.
     The expression must not match the empty string.
     """
-    pairs = F.zip_with(F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda p, m: F.struct(F.char_length(p).alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPAN).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["g"]
-        e = s + F.char_length(x["m"])
-        return F.when(x["m"].isNull(), acc).otherwise(
-            F.struct(e.alias("at"), F.concat(F.coalesce(acc["out"], F.array().cast(SPAN)), F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
-        )
 
-    return F.coalesce(F.aggregate(pairs, start, step, lambda acc: acc["out"]), F.array().cast(SPAN))
+    def placed(ps: Column, ms: Column) -> Column:
+        lengths = F.zip_with(F.slice(ps, F.lit(1), F.size(ms)), ms, lambda p, m: F.char_length(p) + F.char_length(m))
+
+        def one(m: Column, i: Column, ends: Column) -> Column:
+            e = F.get(ends, i)
+            after = F.concat(F.get(ps, i + 1), F.coalesce(F.get(ms, i + 1), F.lit("")))
+            return F.struct((e - F.char_length(m)).alias("s"), e.alias("e"), m.alias("m"), F.right(F.get(ps, i), F.lit(CONTEXT)).alias("b"), F.left(after, F.lit(1)).alias("a"))
+
+        return let(scan(lengths, lambda x, y: x + y), lambda ends: F.transform(ms, lambda m, i: one(m, i, ends)))
+
+    found = let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda ms: F.when(F.size(ms) > 0, let(F.split(text, regex, -1), lambda ps: placed(ps, ms))))
+    return F.coalesce(found, none())
 
 
 def none() -> Column:
@@ -50,10 +84,55 @@ def tagged(spans: Column, kind: str, order: int) -> Column:
     return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(order).alias("o"), x["e"].alias("e"), F.lit(kind).alias("k")))
 
 
+TAGGED = "array<struct<s:int,o:int,e:int,k:string>>"
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end of tagged spans, by start and then kind order, comma-joined."""
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", x["k"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def overlaps(a: Column, b: Column) -> Column:
-    return (a["s"] < b["e"]) & (b["s"] < a["e"])
+def news(base: Column, chosen: Column) -> Column:
+    """The chosen spans (s, o, e, k, z) that do not lie inside a base span or another chosen one, tagged.
+
+    Spans that overlap only in part all stay. Of equal spans the one with the largest z stays, then the least o.
+    """
+    row = lambda x, own, z: F.struct(x["s"].alias("s"), (-x["e"]).alias("ne"), F.lit(own).alias("own"), z.alias("nz"), x["o"].alias("o"), x["k"].alias("k"))
+    both = F.array_sort(F.concat(F.transform(base, lambda x: row(x, 0, F.lit(0.0))), F.transform(chosen, lambda x: row(x, 1, -x["z"]))))
+
+    def kept(rows: Column) -> Column:
+        reach = scan(F.transform(rows, lambda x: -x["ne"]), F.greatest)
+        new = let(reach, lambda far: F.filter(rows, lambda x, i: (x["own"] == 1) & ((i == 0) | (F.get(far, i - 1) < -x["ne"]))))
+        return F.transform(new, lambda x: F.struct(x["s"].alias("s"), x["o"].alias("o"), (-x["ne"]).alias("e"), x["k"].alias("k")))
+
+    return F.when(F.size(chosen) > 0, let(both, kept)).otherwise(F.array().cast(TAGGED))
+
+
+def outside(spans: Column, base: Column, least: int) -> Column:
+    """The parts of spans (disjoint, of matches) of at least so many characters that no base span covers, as array<struct<s, e, m>>.
+
+    Ends and starts of both are sorted; running sums tell the stretches that a span covers and no base span does.
+    """
+    none_ = F.array().cast("array<struct<s:int,e:int,m:string>>")
+    mark = lambda at, span, cover, i: F.struct(at.alias("at"), F.lit(span).alias("d"), F.lit(cover).alias("c"), i.alias("i"))
+    marks = F.array_sort(
+        F.concat(
+            F.flatten(F.transform(spans, lambda x, i: F.array(mark(x["s"], 1, 0, i), mark(x["e"], -1, 0, F.lit(-1))))),
+            F.flatten(F.transform(base, lambda x: F.array(mark(x["s"], 0, 1, F.lit(-1)), mark(x["e"], 0, -1, F.lit(-1))))),
+        )
+    )
+
+    def parts(ms: Column, xs: Column, d: Column, c: Column, own: Column) -> Column:
+        def part(m: Column, i: Column) -> Column:
+            x = F.get(xs, F.get(own, i))
+            end = F.get(ms, i + 1)["at"]
+            good = (F.get(d, i) > 0) & (F.get(c, i) == 0) & (end - m["at"] >= least)
+            return F.when(good, F.struct(m["at"].alias("s"), end.alias("e"), F.substring(x["m"], m["at"] - x["s"] + 1, end - m["at"]).alias("m")))
+
+        return F.filter(F.transform(ms, part), lambda x: x.isNotNull())
+
+    add = lambda x, y: x + y
+    run = lambda ms, f, op, body: let(scan(F.transform(ms, f), op), body)
+    cut = let(spans, lambda xs: let(marks, lambda ms: run(ms, lambda m: m["d"], add, lambda d: run(ms, lambda m: m["c"], add, lambda c: run(ms, lambda m: m["i"], F.greatest, lambda own: parts(ms, xs, d, c, own))))))
+    whole = F.transform(F.filter(spans, lambda x: x["e"] - x["s"] >= least), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m")))
+    return F.when(F.size(spans) == 0, none_).when(F.size(base) == 0, whole).otherwise(cut)
