@@ -11,15 +11,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Kinds of master whose executors share the driver's disk.
-LOCAL = ("local",)
+#: Masters whose executors are the driver itself: "local" and "local[...]", not "local-cluster".
+LOCAL = ("local", "local[")
 
 
 def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
-        if not master.startswith(LOCAL):
+        if master != LOCAL[0] and not master.startswith(LOCAL[1]):
             raise RuntimeError(f"spark.checkpoint.dir is unset and {master} does not share this machine's folders")
         base = "file://" + tempfile.mkdtemp(prefix="lodestack-shared")
         spark.conf.set("spark.checkpoint.dir", base)
