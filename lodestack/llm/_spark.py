@@ -1,13 +1,15 @@
-"""Shared Spark plumbing of the operators: shared folder, written tables, Arrow batch sizes, package shipping."""
+"""Shared Spark plumbing of the operators: Arrow batches, tidy workers, tables, held-out rows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.shared import dropped, shared_dir, written  # noqa: F401
 from lodestack.shipping import ship
 
 #: Rows and bytes of an Arrow batch handed to Python: a batch of long texts stays small.
@@ -15,38 +17,37 @@ ARROW_ROWS, ARROW_BYTES = 400, 16 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Sets the Arrow batch limits and makes this package importable on executors."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    """Makes this package importable on executors, and lowers the session's Arrow batch limits to ours where they are higher.
+
+    The limits stay: DataFrames are lazy, and a plan takes them when it runs.
+    """
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        now = str(spark.conf.get(f"spark.sql.execution.arrow.{key}"))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
     ship(spark)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a temporary one is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lodestack-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestack/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lodestack_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a written() table that nothing reads any more."""
-    path = getattr(df, "_lodestack_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def tidy() -> None:
+    """Gives freed memory of this Python worker back to the system: workers are used again by later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema); each task leaves its worker tidy."""
+    prepare(df.sparkSession)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return df.mapInArrow(task, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Vectorised words of whole texts: 64-bit word hashes and document offsets, in numpy.
 
 A word is a maximal run of alphanumeric characters or underscores of the lower-cased text. Its hash
-is a polynomial in its code points modulo 2**64, mixed; hashes are the same on every machine.
+is a polynomial in its code points modulo 2**64, mixed; hashes are the same on every machine. Texts are
+worked on in pieces of bounded size, however long one of them is; pieces end between words.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Characters of text worked on at once (a longer single text is taken whole).
-CHUNK = 1 << 20
+#: Characters worked on at once. A single run (a word without an end) of more counts as runs of so many characters.
+PIECE = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _CP = "utf-32-le" if sys.byteorder == "little" else "utf-32-be"
@@ -28,15 +29,13 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode(_CP, "surrogatepass"), np.uint32)
 
 
-@functools.lru_cache(4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+@functools.lru_cache(1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for one piece: tables of one fixed size."""
     with np.errstate(over="ignore"):
-        a = np.empty(n, np.uint64)
-        b = np.empty(n, np.uint64)
+        a, b = np.full(PIECE, _BASE), np.full(PIECE, _BASE_INV)
         a[0] = b[0] = 1
-        np.multiply.accumulate(np.full(n - 1, _BASE), out=a[1:])
-        np.multiply.accumulate(np.full(n - 1, _BASE_INV), out=b[1:])
-    return a, b
+        return np.multiply.accumulate(a), np.multiply.accumulate(b)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -49,26 +48,44 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def run_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each run cp[start:end]."""
+    """Hash of each run cp[start:end] of one piece."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    size = 1 << max(10, int(len(cp)).bit_length())
-    up, down = _powers(size)
+    up, down = _powers()
     sums = np.zeros(len(cp) + 1, np.uint64)
     np.cumsum((cp.astype(np.uint64) + np.uint64(1)) * up[: len(cp)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about CHUNK characters each."""
-    lo = n = 0
-    for i, t in enumerate(texts):
-        if n and n + len(t) > CHUNK:
-            yield lo, i
-            lo, n = i, 0
-        n += len(t) + 1
-    if lo < len(texts):
-        yield lo, len(texts)
+def pieces(text: str, inside: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(start, code points) of consecutive pieces of at most PIECE characters.
+
+    A piece ends behind the last character that is not `inside` (a table by code point) a run; where a run is
+    longer than a piece, it is cut into pieces from its own start, so cuts do not depend on what stands before.
+    """
+    lo, n = 0, len(text)
+    while lo < n:
+        cp = code_points(text[lo : lo + PIECE])
+        if lo + PIECE < n:
+            for tail in (1 << 12, PIECE):
+                out = np.flatnonzero(~inside[cp[-tail:]])
+                if len(out):
+                    cp = cp[: max(0, len(cp) - tail) + int(out[-1]) + 1]
+                    break
+        yield lo, cp
+        lo += len(cp)
+
+
+def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true."""
+    edge = np.flatnonzero(np.diff(flags.astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    return edge[::2], edge[1::2]
+
+
+def joined(texts: list[str]) -> tuple[str, np.ndarray]:
+    """All texts, each with a line break behind it, and the end of each."""
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    return "\n".join(texts) + "\n" if texts else "", ends
 
 
 def words(texts: list[str], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
@@ -76,22 +93,16 @@ def words(texts: list[str], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray,
 
     With prefixes, hashes has a row for whole words and one for the first n characters, for each n.
     """
-    out, counts = [], []
-    for lo, hi in chunks(texts):
-        part = [t.lower() for t in texts[lo:hi]]
-        cp = code_points("\n".join(part) + "\n")
-        is_word = _word_table()[cp]
-        edge = np.flatnonzero(is_word[1:] != is_word[:-1]) + 1
-        if is_word[0]:
-            edge = np.concatenate(([0], edge))
-        starts, ends = edge[::2], edge[1::2]  # the last character is a line break
+    text, bounds = joined([t.lower() for t in texts])
+    out, at = [], []
+    for lo, cp in pieces(text, _word_table()):
+        starts, ends = runs(_word_table()[cp])
         whole = run_hashes(cp, starts, ends)
         out.append(np.stack([whole, *(run_hashes(cp, starts, np.minimum(starts + n, ends)) for n in prefixes)]) if prefixes else whole)
-        bounds = np.cumsum(np.fromiter((len(t) + 1 for t in part), np.int64, len(part)))
-        counts.append(np.diff(np.searchsorted(starts, bounds), prepend=0))
-    counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        at.append(starts + lo)
     offsets = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum(counts, out=offsets[1:])
+    if out:
+        offsets[1:] = np.searchsorted(np.concatenate(at), bounds)
     none = np.zeros((1 + len(prefixes), 0) if prefixes else 0, np.uint64)
     return (np.concatenate(out, axis=-1) if out else none), offsets
 
@@ -105,10 +116,13 @@ def shingles(hashes: np.ndarray, n: int = 5) -> np.ndarray:
     if not k:
         return np.zeros(0, np.uint64)
     m = max(1, k - n + 1)
-    h = np.full(m, np.uint64(min(n, k)))
-    for j in range(min(n, k)):
-        h = mix(h + hashes[j : j + m] * _SHINGLE[j % 5])
-    return h
+    out = np.full(m, np.uint64(min(n, k)))
+    for lo in range(0, m, PIECE):
+        h = out[lo : lo + PIECE]
+        for j in range(min(n, k)):
+            h = mix(h + hashes[lo + j : lo + j + len(h)] * _SHINGLE[j % 5])
+        out[lo : lo + PIECE] = h
+    return out
 
 
 def group_stream(batches, key):

@@ -3,20 +3,23 @@
 A text is cut into pre-tokens by the tokenizer's pattern. Pre-tokens that are vocabulary entries are
 resolved by a minimal perfect hash over the vocabulary (hash and displace: one displacement per
 bucket of about four entries, every entry its own slot, the entry's bytes compared); the others are
-merged with a heap of (rank, position) over linked bytes. Each distinct pre-token of a task is
-resolved once, in a memo of bounded size. Ranks are read on the driver and travel with the task.
+merged with a heap of (rank, position) over linked bytes. Pre-tokens that come again are found in a memo
+that is bounded by the bytes it holds; long ones are never kept in it. Ranks are read on the driver and
+travel with the task.
 
 Defined cases: null text is empty; an empty text has no tokens (both digests are those of nothing);
 null ids and repeated rows are kept; other columns are ignored; very long texts are worked on in
-slices of matches, digests being updated as they go.
+slices of matches, digests being updated as they go (a single pre-token is merged whole, at some 60 bytes
+of memory for each of its own).
 """
 
 import base64
 import functools
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -25,19 +28,28 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm._spark import prepare, table
-from lodestack.llm._tokens import mix, run_hashes
+from lodestack.llm._spark import arrow_map, prepare, table, tidy
+from lodestack.llm._tokens import PIECE, mix, run_hashes
 
-#: Distinct pre-tokens kept resolved, and matches worked on at once.
-MEMO, SLICE = 400_000, 1 << 16
+#: Bytes (estimated) of each of the memo's two generations, characters of a pre-token that may be kept in it, matches worked on at once.
+MEMO_BYTES, KEPT, SLICE = 24 << 20, 48, 1 << 14
+#: Bytes that a memo entry takes besides its characters and ids: two objects and a place in the table.
+ENTRY = 140
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def byte_hashes(items: list[bytes]) -> np.ndarray:
-    """64-bit hashes of byte strings."""
+    """64-bit hashes of byte strings, none of them longer than a piece."""
     lengths = np.fromiter(map(len, items), np.int64, len(items))
     ends = np.cumsum(lengths)
-    return run_hashes(np.frombuffer(b"".join(items), np.uint8), ends - lengths, ends)
+    out, lo = [np.zeros(0, np.uint64)], 0
+    while lo < len(items):
+        base = int(ends[lo] - lengths[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, base + PIECE, side="right")))
+        own = ends[lo:hi] - base
+        out.append(run_hashes(np.frombuffer(b"".join(items[lo:hi]), np.uint8), own - lengths[lo:hi], own))
+        lo = hi
+    return np.concatenate(out)
 
 
 class PerfectHash:
@@ -92,83 +104,102 @@ class ByteBpe:
     def _ready(self) -> None:
         self.find = regex.compile(self.pattern)
         self.text_of = dict(zip(self.ids, self.entries))
-        self.memo: dict[str, tuple[str, tuple[int, ...]]] = {}
-        self.older: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.longest = max(map(len, self.entries), default=0)
+        self.decimal = {i: str(i) for i in self.ids}
+        self.memo: dict[str, bytes] = {}  # ids as unsigned numbers of 32 bits
+        self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def __reduce__(self):
-        state = {k: v for k, v in self.__dict__.items() if k not in ("find", "text_of", "memo", "older", "ranks")}
+        state = {k: v for k, v in self.__dict__.items() if k not in ("find", "text_of", "longest", "decimal", "memo", "older", "held", "ranks")}
         return _revived, (self.name, state)
 
-    def merged(self, piece: bytes) -> tuple[int, ...]:
+    def merged(self, piece: bytes) -> list[int]:
         """Ids of a piece that is no entry: the lowest rank merges first, the leftmost of equals.
 
         A part is named by its start; end and before link the parts; rank_at is the rank of a part joined with
-        the next one. A heap entry holds rank and start in one number and is stale when rank_at says otherwise.
+        the next one, -1 where that is no entry. A heap entry holds rank and start in one number and is stale
+        when rank_at says otherwise.
         """
         n, rank = len(piece), self.ranks.get
-        end, before, rank_at, heap = list(range(1, n + 1)), list(range(-1, n - 1)), [None] * n, []
-        for i in range(n - 1):
-            if (r := rank(piece[i : i + 2])) is not None:
-                rank_at[i] = r
-                heap.append(r << 32 | i)
+        shift = 13 if n < 1 << 13 else 32
+        mask = (1 << shift) - 1
+        end, before, rank_at = list(range(1, n + 1)), list(range(-1, n - 1)), [rank(piece[i : i + 2], -1) for i in range(n - 1)]
+        rank_at.append(-1)
+        if n > 1 << 13:  # compact, for what may be very long
+            end, before, rank_at = array("q", end), array("q", before), array("q", rank_at)
+        heap = [r << shift | i for i, r in enumerate(rank_at) if r >= 0]
         heapq.heapify(heap)
         pop, push = heapq.heappop, heapq.heappush
         while heap:
             x = pop(heap)
-            i = x & 0xFFFFFFFF
-            if rank_at[i] != x >> 32:
+            i = x & mask
+            if rank_at[i] != x >> shift:
                 continue
             j = end[i]
             k = end[i] = end[j]
-            rank_at[i] = rank_at[j] = None
+            rank_at[j] = -1
             if k < n:
                 before[k] = i
-                if (r := rank(piece[i : end[k]])) is not None:
-                    rank_at[i] = r
-                    push(heap, r << 32 | i)
+                r = rank_at[i] = rank(piece[i : end[k]], -1)
+                if r >= 0:
+                    push(heap, r << shift | i)
+            else:
+                rank_at[i] = -1
             p = before[i]
             if p >= 0:
-                r = rank_at[p] = rank(piece[p:k])
-                if r is not None:
-                    push(heap, r << 32 | p)
+                r = rank_at[p] = rank(piece[p:k], -1)
+                if r >= 0:
+                    push(heap, r << shift | p)
         out, i, ranks = [], 0, self.ranks
         while i < n:
-            out.append(ranks[piece[i : end[i]]])
-            i = end[i]
-        return tuple(out)
-
-    def resolve(self, tokens: Iterable[str]) -> None:
-        """Puts pre-tokens into the memo."""
-        new = []
+            k = end[i]
+            out.append(ranks[piece[i:k]])
+            i = k
+        return out
+
+    def resolve(self, tokens: Iterable[str]) -> dict[str, bytes]:
+        """Puts pre-tokens into the memo; gives those that are too long for it."""
+        new, apart, older, memo, held = [], {}, self.older, self.memo, 0
         for t in tokens:
-            if (known := self.older.get(t)) is not None:
-                self.memo[t] = known
+            if (known := older.get(t)) is not None:
+                memo[t] = known
+                held += ENTRY + len(t) + len(known)
             else:
                 new.append(t)
-        if not new:
-            return
-        pieces = [t.encode("utf-8", "surrogatepass") for t in new]
-        entries, ids = self.entries, self.ids
-        for t, p, at in zip(new, pieces, self.hash.slots(pieces).tolist()):
-            got = (ids[at],) if at >= 0 and entries[at] == p else self.merged(p)
-            self.memo[t] = (" ".join(map(str, got)), got)
-
-    def encode_slices(self, text: str) -> Iterator[list[tuple[str, tuple[int, ...]]]]:
-        """(decimal ids, ids) of each pre-token, in slices."""
+        if new:
+            pieces = [t.encode("utf-8", "surrogatepass") for t in new]
+            entries, ids, longest = self.entries, self.ids, self.longest
+            short = [k for k, p in enumerate(pieces) if len(p) <= longest]
+            at = np.full(len(new), -1)
+            at[short] = self.hash.slots([pieces[k] for k in short])
+            for t, p, k in zip(new, pieces, at.tolist()):
+                known = array("I", (ids[k],) if k >= 0 and entries[k] == p else self.merged(p)).tobytes()
+                if len(t) <= KEPT:
+                    memo[t] = known
+                    held += ENTRY + len(t) + len(known)
+                else:
+                    apart[t] = known
+        self.held += held
+        return apart
+
+    def encode_slices(self, text: str) -> Iterator[list[int]]:
+        """Ids of the text, in slices of its pre-tokens."""
         if len(text) <= SLICE:
             parts = iter([self.find.findall(text)])
         else:
             it = (m.group() for m in self.find.finditer(text))
             parts = iter(lambda: list(islice(it, SLICE)), [])
         for tokens in parts:
-            if len(self.memo) > MEMO:  # what is still in use moves on to the new memo, the rest is forgotten
-                self.memo, self.older = {}, self.memo
-            self.resolve(set(tokens).difference(self.memo))
+            if self.held > MEMO_BYTES:  # what is still in use moves on to the new memo, the rest is forgotten
+                self.memo, self.older, self.held = {}, self.memo, 0
+            apart = self.resolve(set(tokens).difference(self.memo))
             memo = self.memo
-            yield [memo[t] for t in tokens]
+            got = b"".join([memo[t] if t in memo else apart[t] for t in tokens] if apart else [memo[t] for t in tokens])
+            yield np.frombuffer(got, np.uint32).tolist()
 
     def encode(self, text: str) -> list[int]:
-        return [i for part in self.encode_slices(text) for _, ids in part for i in ids]
+        return [i for part in self.encode_slices(text) for i in part]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         text_of = self.text_of
@@ -176,11 +207,10 @@ class ByteBpe:
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """(number of ids, sha256 of the ids in decimal joined by spaces, sha256 of the decoded bytes)."""
-        n, a, b = 0, hashlib.sha256(), hashlib.sha256()
-        for part in self.encode_slices(text):
-            if part:
-                a.update((" " * (n > 0) + " ".join([s for s, _ in part])).encode())
-                ids = list(chain.from_iterable([i for _, i in part]))
+        n, a, b, decimal = 0, hashlib.sha256(), hashlib.sha256(), self.decimal
+        for ids in self.encode_slices(text):
+            if ids:
+                a.update((" " * (n > 0) + " ".join([decimal[i] for i in ids])).encode())
                 b.update(self.decode(ids))
                 n += len(ids)
         return n, a.hexdigest(), b.hexdigest()
@@ -213,14 +243,15 @@ def with_ids(docs: DataFrame, bpe: ByteBpe, text_col: str = "text", ids_col: str
     prepare(docs.sparkSession)
 
     def ids(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: np.array(bpe.encode(t or ""), np.int32))
+        out = texts.map(lambda t: np.array(bpe.encode(t or ""), np.int32))
+        tidy()
+        return out
 
     return docs.withColumn(ids_col, F.pandas_udf(ids, "array<int>")(F.col(text_col)))
 
 
 def encode_digests(docs: DataFrame, bpe: ByteBpe, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -228,7 +259,7 @@ def encode_digests(docs: DataFrame, bpe: ByteBpe, id_col: str = "doc_id", text_c
             yield pa.record_batch([b.column("doc_id"), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    return base.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(base, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def public_bpe() -> ByteBpe:

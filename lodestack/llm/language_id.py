@@ -9,7 +9,8 @@ embeddings are multiplied by the weights once, so a subword costs one lookup of
 
 Defined cases: null texts and texts without a letter get `und`, score 0, rejected; rows with null
 lang are never learned from; a corpus with no labelled row predicts `und`; null ids count as not held
-out and are not learned from; other columns are ignored; whole texts are read, in chunks.
+out and are not learned from; other columns are ignored; whole texts are read, in pieces. The number of
+languages bounds the model as it bounds the sample: both have a row, or rows, for each.
 """
 
 from __future__ import annotations
@@ -21,12 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lodestack.llm._spark import crc_mod, prepare, table
-from lodestack.llm._tokens import chunks, code_points, mix
+from lodestack.llm._spark import arrow_map, crc_mod, table
+from lodestack.llm._tokens import joined, mix, pieces
 
 BUCKETS, DIM, ORDERS = 1 << 16, 12, (2, 3, 4)
-#: Labelled rows that training may fetch for each language: a documented bound.
+#: Distinct labelled texts that training may fetch for each language: a documented bound.
 SAMPLE_PER_LANG = 400
 #: Share of rightly predicted calibration rows that rejection may cost.
 REJECT = 0.001
@@ -40,17 +42,22 @@ def _letters() -> np.ndarray:
     return _LETTER[0]
 
 
-def subwords(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Chunks of (first text, last text, bucket of each subword, text number of each subword)."""
-    for lo, hi in chunks(texts):
-        part = [t.lower() for t in texts[lo:hi]]
-        cp = code_points(" ".join(part) + " ")
-        doc = np.repeat(np.arange(hi - lo, dtype=np.int32), np.fromiter((len(t) + 1 for t in part), np.int64, hi - lo))
+def subwords(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By pieces: bucket of each subword, and the number of its text."""
+    text, ends = joined([t.lower() for t in texts])
+    for lo, cp in pieces(text, _letters()):
+        first, last = np.searchsorted(ends, (lo, lo + len(cp) - 1), side="right")
+        own = np.diff(np.clip(ends[first : last + 1], lo, lo + len(cp)), prepend=lo)
+        doc = np.repeat(np.arange(first, last + 1, dtype=np.int32), own)
         letter = _letters()[cp]
         keep = letter.copy()
         keep[1:] |= letter[:-1]  # one space after each word
         c = np.where(letter, cp, 32)[keep].astype(np.uint64)
         doc = doc[keep]
+        if not len(c):
+            continue
+        if c[-1] != 32:  # a run without an end, cut at the end of the piece
+            c, doc = np.append(c, np.uint64(32)), np.append(doc, doc[-1])
         c = np.concatenate((np.array([32], np.uint64), c))
         doc = np.concatenate((doc[:1], doc))
         space = c == 32
@@ -66,10 +73,10 @@ def subwords(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
                 if 0 < j < n - 1:
                     ok &= ~space[j : j + m]  # a space only at either end
             ok &= ~(space[:m] & space[n - 1 : n - 1 + m]) if n == 2 else ok
-            ok &= doc[n - 1 : n - 1 + m] == np.where(space[:m], doc[min(1, m) : min(1, m) + m], doc[:m])
+            # a subword's text is that of its last character: the space before a text's first word is its predecessor's
             ids.append((mix(h[ok]) & np.uint64(BUCKETS - 1)).astype(np.int32))
             docs.append(doc[n - 1 : n - 1 + m][ok])
-        yield lo, hi, np.concatenate(ids) if ids else np.zeros(0, np.int32), np.concatenate(docs) if docs else np.zeros(0, np.int32)
+        yield np.concatenate(ids), np.concatenate(docs)
 
 
 @dataclass
@@ -85,10 +92,11 @@ class LanguageModel:
         """Mean scores by text and language, and the number of subwords."""
         k = max(1, len(self.langs))
         total, count = np.zeros((len(texts), k)), np.zeros(len(texts), np.int64)
-        for lo, hi, ids, doc in subwords(texts):
-            count[lo:hi] = np.bincount(doc, minlength=hi - lo)
+        for ids, doc in subwords(texts):
+            lo, hi = (int(doc.min()), int(doc.max()) + 1) if len(doc) else (0, 0)
+            count[lo:hi] += np.bincount(doc - lo, minlength=hi - lo)
             for j in range(len(self.langs)):
-                total[lo:hi, j] = np.bincount(doc, weights=self.table[ids, j], minlength=hi - lo)
+                total[lo:hi, j] += np.bincount(doc - lo, weights=self.table[ids, j], minlength=hi - lo)
         return total / np.maximum(count, 1)[:, None] + (self.bias if self.langs else 0), count
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -118,12 +126,10 @@ def train(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 4.0
         return LanguageModel([], np.zeros((BUCKETS, 1), np.float32), np.zeros(1))
     y = np.array([names.index(v) for v in langs])
     rows: list[tuple[np.ndarray, np.ndarray]] = []
-    for lo, hi, ids, doc in subwords(texts):
-        cuts = np.searchsorted(np.sort(doc, kind="stable"), np.arange(hi - lo + 1))
-        ids = ids[np.argsort(doc, kind="stable")]
-        for i in range(hi - lo):
-            u, c = np.unique(ids[cuts[i] : cuts[i + 1]], return_counts=True)
-            rows.append((u, (c / max(1, c.sum())).astype(np.float32)))
+    for t in texts:
+        parts = [ids for ids, _ in subwords([t])]
+        u, c = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int32), return_counts=True)
+        rows.append((u, (c / max(1, c.sum())).astype(np.float32)))
     rng = np.random.default_rng(seed)
     e = (rng.standard_normal((BUCKETS, DIM)) / DIM).astype(np.float32)
     w, b = np.zeros((len(names), DIM), np.float32), np.zeros(len(names), np.float32)
@@ -161,21 +167,21 @@ def train(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 4.0
 
 
 def labelled_sample(docs: DataFrame, text_col: str, lang_col: str, learn, per_lang: int) -> tuple[list[str], list[str]]:
-    """At most per_lang labelled rows of each language, those with the least text hashes; whole texts."""
-    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
-    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
-    if not counts:
+    """The per_lang distinct texts of each language with the least text hashes (all where there are fewer); whole texts.
+
+    A first pass counts the distinct texts of each language roughly; the second keeps hashes below a language's cut,
+    which lets about twice per_lang of them through, folds copies where they lie, and ranks inside the language. So
+    neither a rare language beside large ones nor a text with many copies loses or takes more than its places.
+    """
+    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"), F.pmod(F.xxhash64(text_col), F.lit(1 << 62)).alias("h"))
+    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()}  # a row a language
+    if not sizes:
         return [], []
-    h = F.pmod(F.xxhash64("t"), F.lit(1_000_000))
-    part = F.coalesce(*(F.when(F.col("l") == k, F.lit(int(min(1e6, 1.5e6 * per_lang / n + 20)))) for k, n in counts.items()), F.lit(0))
-    got = rows.where(h < part).select("l", "t", h.alias("h"), F.xxhash64("t", F.lit(1)).alias("g")).orderBy("h", "g").limit(3 * per_lang * len(counts)).collect()
-    texts, langs, taken = [], [], dict.fromkeys(counts, 0)
-    for r in got:
-        if taken[r["l"]] < per_lang:
-            taken[r["l"]] += 1
-            texts.append(r["t"])
-            langs.append(r["l"])
-    return texts, langs
+    cuts = docs.sparkSession.createDataFrame([(k, int((1 << 62) * min(1.0, (2.0 * per_lang + 100) / max(1, n)))) for k, n in sizes.items()], "l string, cut long")
+    few = rows.join(F.broadcast(cuts), "l").where("h <= cut").groupBy("l", "h").agg(F.any_value("t").alias("t"))
+    nth = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    got = few.withColumn("n", nth).where(F.col("n") <= per_lang).orderBy("h", "l").collect()
+    return [r["t"] for r in got], [r["l"] for r in got]
 
 
 def fit(docs: DataFrame, learn=None, text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
@@ -187,7 +193,6 @@ _OUT = "doc_id long, held_out boolean, lang_pred string, score double, rejected
 
 def identify(docs: DataFrame, model: LanguageModel, held_out=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score, rejected."""
-    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -195,18 +200,17 @@ def identify(docs: DataFrame, model: LanguageModel, held_out=None, id_col: str =
             yield pa.record_batch([b.column("doc_id"), b.column("held_out"), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.lit(False) if held_out is None else held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    return base.mapInArrow(run, _OUT)
+    return arrow_map(base, run, _OUT)
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """Rows of docs that the model does not reject, with their columns unchanged."""
-    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(~model.predict([t or "" for t in b.column(text_col).to_pylist()])[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

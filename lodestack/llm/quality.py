@@ -9,11 +9,13 @@ fitted on rows that training leaves out, shifted so that the best threshold ther
 
 Defined cases: null and empty texts have no n-grams and get the score of the bias alone; without
 labels of both classes every score is the share of label 1 (0.5 without labels); rows without label
-are scored like all others; null ids count as not held out; other columns are ignored.
+are scored like all others; null ids count as not held out; a label on a repeated doc_id counts for each of
+its rows; other columns are ignored; whole texts are read, in pieces.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm._spark import crc_mod, prepare, table
-from lodestack.llm._tokens import chunks, code_points, mix, run_hashes
+from lodestack.llm._spark import arrow_map, crc_mod, table
+from lodestack.llm._tokens import code_points, joined, mix, pieces, run_hashes, runs
 
 BITS = 18
-#: Labelled rows of each class that training may fetch: a documented bound.
-SAMPLE_PER_CLASS = 1500
+#: Distinct labelled texts of each class that training may use: a documented bound. So many times as many rows are fetched for it.
+SAMPLE_PER_CLASS, FETCH = 1500, 2
 THRESHOLD = 0.3
+#: Tokens of a text whose n-grams are made at once.
+BLOCK = 1 << 17
 _CLASS: list[np.ndarray] = []
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -44,36 +48,55 @@ def _classes() -> np.ndarray:
     return _CLASS[0]
 
 
+@functools.lru_cache(1)
+def _solid() -> np.ndarray:
+    return _classes() > 0
+
+
+def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the tokens and of their shapes, and offsets by text."""
+    text, bounds = joined(texts)
+    low, _ = joined([t.lower() if len(t.lower()) == len(t) else t for t in texts])
+    word, shape, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for lo, cp in pieces(text, _solid()):
+        cls = _classes()[cp]
+        starts, ends = runs(cls > 0)
+        word.append(run_hashes(code_points(low[lo : lo + len(cp)]), starts, ends))
+        keep = np.ones(len(cls), bool)  # classes with runs collapsed
+        keep[1:] = cls[1:] != cls[:-1]
+        new = np.concatenate(([0], np.cumsum(keep)))
+        shape.append(run_hashes(cls[keep], new[starts], new[ends - 1] + keep[ends - 1]) if len(starts) else shape[0])
+        at.append(starts + lo)
+    offsets = np.zeros(len(texts) + 1, np.int64)
+    offsets[1:] = np.searchsorted(np.concatenate(at), bounds)
+    return np.concatenate(word), np.concatenate(shape), offsets
+
+
 def features(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
     """(text number, its distinct feature buckets), in order."""
-    stamp = np.zeros(1 << BITS, np.int64)
-    for lo, hi in chunks(texts):
-        part = texts[lo:hi]
-        low = [t.lower() if len(t.lower()) == len(t) else t for t in part]
-        cls = _classes()[code_points("\n".join(part) + "\n")]
-        cp = code_points("\n".join(low) + "\n")
-        ends_of = np.cumsum(np.fromiter((len(t) + 1 for t in part), np.int64, hi - lo))
-        solid = cls > 0
-        edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1
-        if solid[0]:
-            edge = np.concatenate(([0], edge))
-        starts, ends = edge[::2], edge[1::2]
-        word = run_hashes(cp, starts, ends)
-        # shapes: classes with runs collapsed
-        keep = np.ones(len(cls), bool)
-        keep[1:] = cls[1:] != cls[:-1]
-        at = np.concatenate(([0], np.cumsum(keep)))
-        shape = run_hashes(cls[keep], at[starts], at[ends - 1] + keep[ends - 1]) if len(starts) else word
-        cuts = np.concatenate(([0], np.searchsorted(starts, ends_of)))
-        for i in range(hi - lo):
-            w, s = word[cuts[i] : cuts[i + 1]], shape[cuts[i] : cuts[i + 1]]
-            grams = [w, mix(w[:-1] * _P[0] + w[1:]), s + _P[1], mix(s[:-1] * _P[1] + s[1:]), mix((s[:-2] * _P[1] + s[1:-1]) * _P[2] + s[2:])]
+    stamp, seen = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, bool)
+    word, shape, cuts = tokens(texts)
+    for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+        found = []
+        for at in range(lo, max(hi, lo + 1), BLOCK):  # the n-grams that begin in this block
+            k = min(BLOCK, hi - at)
+            w, s = word[at : min(hi, at + BLOCK + 1)], shape[at : min(hi, at + BLOCK + 2)]
+            s2 = s[: len(w)]
+            grams = [w[:k], mix(w[:-1] * _P[0] + w[1:]), s[:k] + _P[1], mix(s2[:-1] * _P[1] + s2[1:]), mix((s[:-2] * _P[1] + s[1:-1]) * _P[2] + s[2:])]
             if (w[1:] == w[:-1]).any():
                 grams.append(np.array([_P[2]]))
             ids = (np.concatenate(grams) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+            if found:
+                ids = ids[~seen[ids]]
             n = np.arange(len(ids))
             stamp[ids] = n
-            yield lo + i, ids[stamp[ids] == n]  # each bucket once
+            ids = ids[stamp[ids] == n]  # each bucket once
+            found.append(ids)
+            if hi - lo > BLOCK:
+                seen[ids] = True
+        ids = np.concatenate(found) if len(found) > 1 else found[0]
+        seen[ids] = False
+        yield i, ids
 
 
 @dataclass
@@ -153,16 +176,17 @@ def train(texts: list[str], labels: list[int], cost: float = 1.0, epochs: int =
     return model
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label_col: str, learn, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
-    """At most per_class labelled rows of each class, those with the least id hashes; whole texts."""
-    lab = labels.where(F.col(label_col).isin(0, 1) & learn).select(F.col("doc_id").cast("long").alias("i"), F.col(label_col).cast("int").alias("y"))
-    h = F.pmod(F.xxhash64("i"), F.lit(1_000_000))
-    counts = {r["y"]: r["count"] for r in lab.groupBy("y").count().collect()}
-    if not counts:
-        return [], []
-    part = F.coalesce(*(F.when(F.col("y") == k, F.lit(int(min(1e6, 1.3e6 * per_class / n + 20)))) for k, n in counts.items()), F.lit(0))
-    few = lab.where(h < part).select("i", "y", h.alias("h")).orderBy("h", "i", "y").limit(3 * per_class)
-    got = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(few), "i").orderBy("h", "i", "y", F.xxhash64("t")).collect()
+def labelled(docs: DataFrame, labels: DataFrame, label_col: str, learn, per_class: int, id_col: str = "doc_id", text_col: str = "text", fetch: int = FETCH) -> tuple[list[str], list[int]]:
+    """At most per_class distinct texts of each class, those of the labelled rows with the least id hashes; whole texts.
+
+    Each class has its own top-k, so a rare class is not crowded out however large the other one is. fetch * per_class
+    rows of a class are read, in order of their hashes, to find per_class texts that differ.
+    """
+    lab = labels.where(F.col(label_col).isin(0, 1) & learn).select(F.col("doc_id").cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null")
+    lab = lab.withColumn("h", F.xxhash64("i"))
+    few = [lab.where(F.col("y") == k).orderBy("h", "i").limit(fetch * per_class) for k in (0, 1)]
+    base = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    got = base.join(F.broadcast(few[0].unionByName(few[1])), "i").groupBy("y", F.xxhash64("t").alias("g")).agg(F.min("h").alias("h"), F.any_value("t").alias("t")).orderBy("h", "g", "y").collect()
     texts, out, taken = [], [], {0: 0, 1: 0}
     for r in got:
         if taken[r["y"]] < per_class:
@@ -174,7 +198,6 @@ def labelled(docs: DataFrame, labels: DataFrame, label_col: str, learn, per_clas
 
 def score(docs: DataFrame, model, threshold: float, held_out=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, score, predicted, by any model with scores(texts)."""
-    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,7 +205,7 @@ def score(docs: DataFrame, model, threshold: float, held_out=None, id_col: str =
             yield pa.record_batch([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.lit(False) if held_out is None else held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    return base.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return arrow_map(base, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

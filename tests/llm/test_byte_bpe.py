@@ -44,13 +44,24 @@ def test_against_library(pair):
 def test_slices_and_memo(pair, monkeypatch):
     bpe, library = pair
     monkeypatch.setattr(byte_bpe, "SLICE", 7)
-    monkeypatch.setattr(byte_bpe, "MEMO", 3)
+    monkeypatch.setattr(byte_bpe, "MEMO_BYTES", 900)
     t = "the quick brown foxes jumpinggg over thhhe lazy dogs " * 9
     n, ids, text = bpe.digests(t)
     want = library.encode_ordinary(t)
     assert (n, ids, text) == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
 
 
+def test_memo_is_bounded_by_bytes(pair):
+    bpe, library = pair
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(n))
+    for k in range(60):
+        t = " ".join(word(r.randint(5, 40)) for _ in range(2000)) + " " + word(30000)
+        assert not k or len(bpe.encode(t)) > 10000
+        assert max(map(len, bpe.memo)) <= byte_bpe.KEPT and bpe.held <= byte_bpe.MEMO_BYTES + (4 << 20)
+    assert bpe.encode(t) == library.encode_ordinary(t)
+
+
 def test_query(spark, pair):
     bpe, library = pair
     assert pickle.loads(pickle.dumps(bpe)).encode("hello thereouw") == library.encode_ordinary("hello thereouw")

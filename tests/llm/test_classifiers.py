@@ -82,3 +82,34 @@ def test_without_labels(spark):
     assert len(got) == 3 and not any(r["held_out"] for r in got)
     assert quality.score(docs.limit(0), quality.train([], []), 0.3).count() == 0
     assert quality.labelled(docs, spark.createDataFrame([], "doc_id long, quality int"), "quality", F.lit(True), 5) == ([], [])
+
+
+def test_rare_class_keeps_its_places(spark):
+    """1 : 4,000 labels and a text that a third of the rows share: the rare class still gets its bound, the copies one place."""
+    docs = spark.range(40_000).selectExpr("id doc_id", "case when id % 3 = 0 and id >= 4000 then 'hot text' else concat('words of ', id) end text")
+    labels = spark.range(40_000).selectExpr("id doc_id", "case when id < 10 then 1 else 0 end toxic")
+    texts, y = quality.labelled(docs, labels, "toxic", F.lit(True), 8)
+    assert sum(y) == 8 and len(y) == 16 and len(set(texts)) == 16
+
+
+def test_rare_language_and_hot_text(spark):
+    docs = spark.range(30_000).selectExpr("id doc_id", "case when id < 12 then concat('rare ', id) when id % 3 = 0 then 'hot text' else concat('words of ', id) end text", "case when id < 12 then 'xx' when id % 3 = 0 then 'hh' else 'en' end lang")
+    texts, langs = language_id.labelled_sample(docs, "text", "lang", F.lit(True), 6)
+    assert langs.count("xx") == 6 and langs.count("en") == 6 and langs.count("hh") == 1 and len(set(texts)) == 13
+
+
+def test_pieces_change_nothing(monkeypatch):
+    """A text far longer than a piece is read whole, and its features do not depend on what stands beside it."""
+    from lodestack.llm import _tokens
+
+    t = "Ünder the Moon, we're 12-fold BOLD  idiot\n" * 40 + "ΟΔΟΣ straße"
+    model = language_id.train([t, "der hund"], ["en", "de"])
+    whole = _tokens.words([t, "", "a", t], (2,)), [v.tolist() for _, v in quality.features([t, "", "a b", t])], model.logits([t, "", "abc"])
+    monkeypatch.setattr(_tokens, "PIECE", 64)
+    monkeypatch.setattr(quality, "BLOCK", 7)
+    _tokens._powers.cache_clear()
+    cut = _tokens.words([t, "", "a", t], (2,)), [v.tolist() for _, v in quality.features([t, "", "a b", t])], model.logits([t, "", "abc"])
+    giant = [_tokens.words([a + "x" * 200])[0][-4:].tolist() for a in ("", "some words before ")]
+    _tokens._powers.cache_clear()
+    assert all((a == b).all() for a, b in zip(whole[0], cut[0])) and [set(v) for v in whole[1]] == [set(v) for v in cut[1]]
+    assert np.allclose(whole[2][0], cut[2][0]) and (whole[2][1] == cut[2][1]).all() and giant[0] == giant[1]
