@@ -1,11 +1,13 @@
 """Exact deduplication by an extendible-hash index on shared files.
 
-Keys are 64-bit hashes of the whole text. The directory starts with one slot and doubles while a
-bucket holds more distinct keys than its capacity; a bucket is the key range of one prefix. Each input
-task first folds its own repeats into one entry (pre-aggregation, so a hot text costs a task one row),
-entries travel with their text to the owner of their bucket, and owners walk keys in order, chain the
-texts of one key and compare bytes. The index (entries with bucket, key and chain) is a Parquet table
-in the shared folder; documents find their group again by entry, a join without hot keys.
+Keys are 64-bit hashes of the whole text. The directory starts with as many slots as buckets that are half full
+would need; a bucket that holds more distinct keys than its capacity is split by the next bit, level by level, in
+Spark, until none is overfull or its keys have no more bits. Directory and index are tables in the shared folder.
+
+Owner tasks process ranges of keys. The ranges are cut so that owners get about equal bytes: distinct texts count
+as often as they will arrive. Each input task first folds its own repeats into one entry (a hot text costs a task
+one row), entries travel with their text to their owner, and owners walk keys in order, chain the texts of one
+key and compare bytes. Documents find their group again by entry, a join without hot keys.
 
 Defined cases: null text counts as empty; null ids sort below all others; of equal rows with equal ids
 one stays; an empty table gives an empty result; other columns are ignored, whatever their names.
@@ -13,51 +15,91 @@ one stays; an empty table gives an empty result; other columns are ignored, what
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm._spark import prepare, table, written
+from lodestack.llm._spark import arrow_map, table
 from lodestack.llm._tokens import group_stream
+from lodestack.shared import dropped, shared_dir, written
+
+#: Distinct keys that a bucket may hold, bits by which ranges are measured, bytes that an owner should get, bytes of text a task folds at once.
+BUCKET_KEYS, RANGE_BITS, OWNER_BYTES, FOLD_BYTES = 4096, 16, 64 << 20, 64 << 20
+#: Rows of an output batch.
+OUT_ROWS = 2000
+
+_ENTRY = "entry long, id long, row long, key long, owner int, sha string, n long, body binary, kind int"
+_CHAIN = "kind int, entry long, id long, row long, sha string, slot long, key long, chain int, keep_id long, keep_row long, n long"
+
 
-#: Distinct keys that a bucket may hold, largest directory depth, and bytes of text a task folds at once.
-BUCKET_KEYS, MAX_DEPTH, FOLD_BYTES = 500, 17, 64 << 20
-
-_ENTRY = "entry long, id long, row long, key long, owner long, sha string, n long, body binary, kind int"
-_CHAIN = "kind int, entry long, id long, row long, sha string, bucket int, key long, chain int, keep_id long, keep_row long, n long"
-
-
-def directory(counts: dict[int, int], depth: int, capacity: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Extendible-hash directory from key counts by prefix of `depth` bits: slots, and (prefix, local depth) of each bucket."""
-    at = np.zeros(1 << depth, np.int64)
-    for prefix, n in counts.items():
-        at[prefix] = n
-    level, global_depth, buckets = [(0, 0)], 0, []
-    while level:
-        split = []
-        for prefix, local in level:
-            width = depth - local
-            if at[prefix << width : (prefix + 1) << width].sum() > capacity and local < depth:
-                split += [(prefix << 1, local + 1), (prefix << 1 | 1, local + 1)]
+def prefix(key: Column, depth: int) -> Column:
+    """The first bits of a key, as a number."""
+    return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
+
+
+def directory(keys: DataFrame, capacity: int, start: int, bits: int = 64) -> tuple[DataFrame, list[DataFrame]]:
+    """(slot, prefix, depth, n) of every bucket, and the tables it is read from. keys: distinct `key`s; slot: the first `start` bits.
+
+    A level counts the keys of each prefix; prefixes at or below the capacity are buckets, the keys of the others
+    go on to the next level. Levels after the first see the keys of overfull buckets alone.
+    """
+    out, files, rest = [], [], keys
+    for depth in range(start, bits + 1):
+        level = rest.groupBy(prefix(F.col("key"), depth).alias("prefix")).agg(F.count(F.lit(1)).alias("n")).withColumn("full", (F.col("n") > capacity) & F.lit(depth < bits))
+        level = written(level, "exact-level")
+        files.append(level)
+        slot = F.shiftright("prefix", depth - start) if depth > start else F.col("prefix")
+        out.append(level.where("not full").select(slot.alias("slot"), "prefix", F.lit(depth).alias("depth"), "n"))
+        if level.where("full").isEmpty():
+            break
+        rest = rest.join(level.where("full").select("prefix"), prefix(F.col("key"), depth) == F.col("prefix"), "left_semi")
+    every = out[0]
+    for more in out[1:]:
+        every = every.unionByName(more)
+    return every, files
+
+
+@dataclass
+class Ranges:
+    """Owners by key: cells are prefixes of RANGE_BITS bits; a cell has its first owner, and several when it is heavy."""
+
+    first: np.ndarray
+    parts: np.ndarray
+    owners: int
+
+    @classmethod
+    def cut(cls, weights: dict[int, int], target: float) -> Ranges:
+        n = 1 << RANGE_BITS
+        first, parts = np.zeros(n, np.int64), np.ones(n, np.int64)
+        owner, held = 0, 0.0
+        for cell in range(n):
+            w = weights.get(cell, 0)
+            if held and held + w > target:
+                owner, held = owner + 1, 0.0
+            first[cell] = owner
+            if w > target:
+                parts[cell] = math.ceil(w / target)
+                owner, held = owner + int(parts[cell]), 0.0
             else:
-                buckets.append((prefix, local))
-        if split:
-            global_depth += 1  # the directory doubles
-        level = split
-    buckets.sort(key=lambda b: b[0] << (depth - b[1]))
-    slots = np.zeros(1 << global_depth, np.int32)
-    for i, (prefix, local) in enumerate(buckets):
-        slots[prefix << (global_depth - local) : (prefix + 1) << (global_depth - local)] = i
-    return slots, buckets
-
-
-def _folder(slots: np.ndarray, key_bits: int):
+                held += w
+        return cls(first, parts, owner + 1)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        k = keys.view(np.uint64)
+        cell = (k >> np.uint64(64 - RANGE_BITS)).astype(np.int64)
+        within = ((k >> np.uint64(64 - RANGE_BITS - 32)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        return self.first[cell] + (within * self.parts[cell] >> 32)
+
+
+def _folder(ranges: Ranges):
     """Folds a task's equal texts: a member row per document, an entry row with the text per distinct text."""
-    depth = int(len(slots)).bit_length() - 1
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
@@ -67,10 +109,9 @@ def _folder(slots: np.ndarray, key_bits: int):
         def entries() -> pa.RecordBatch:
             e = list(known.items())
             keys = np.array([v[1] for _, v in e], np.int64)
-            owner = slots[(keys.view(np.uint64) >> np.uint64(64 - depth)).astype(np.int64)] if depth else np.zeros(len(e), np.int32)
             col = lambda i, t: pa.array([v[i] for _, v in e], t)
             return pa.record_batch(
-                [col(0, pa.int64()), col(2, pa.int64()), col(3, pa.int64()), pa.array(keys), pa.array(owner.astype(np.int64)), pa.nulls(len(e), pa.string()), col(4, pa.int64()), pa.array([t for t, _ in e], pa.binary()), pa.array(np.ones(len(e), np.int32))],
+                [col(0, pa.int64()), col(2, pa.int64()), col(3, pa.int64()), pa.array(keys), pa.array(ranges.of(keys).astype(np.int32)), pa.nulls(len(e), pa.string()), col(4, pa.int64()), pa.array([t for t, _ in e], pa.binary()), pa.array(np.ones(len(e), np.int32))],
                 ["entry", "id", "row", "key", "owner", "sha", "n", "body", "kind"],
             )
 
@@ -91,7 +132,7 @@ def _folder(slots: np.ndarray, key_bits: int):
             n = len(ids)
             entry_arr = np.array(entry_of, np.int64)
             yield pa.record_batch(
-                [pa.array(entry_arr), b.column("id"), pa.array(np.array(rows, np.int64)), pa.nulls(n, pa.int64()), pa.array(-1 - (entry_arr % 1009)), b.column("sha"), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(np.zeros(n, np.int32))],
+                [pa.array(entry_arr), b.column("id"), pa.array(np.array(rows, np.int64)), pa.nulls(n, pa.int64()), pa.array(((entry_arr ^ (entry_arr >> 36)) % ranges.owners).astype(np.int32)), b.column("sha"), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(np.zeros(n, np.int32))],
                 ["entry", "id", "row", "key", "owner", "sha", "n", "body", "kind"],
             )
             if size > FOLD_BYTES:
@@ -103,87 +144,146 @@ def _folder(slots: np.ndarray, key_bits: int):
     return fold
 
 
-def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by owner and key: chains the texts of each key by comparing bytes."""
-    names = ["kind", "entry", "id", "row", "sha", "bucket", "key", "chain", "keep_id", "keep_row", "n"]
+def _owners(start: int):
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted, members first and then entries by key: chains the texts of each key by comparing bytes."""
+        names = ["kind", "entry", "id", "row", "sha", "slot", "key", "chain", "keep_id", "keep_row", "n"]
 
-    def members(b: pa.RecordBatch) -> pa.RecordBatch:
-        n = b.num_rows
-        void = lambda t: pa.nulls(n, t)
-        return pa.record_batch([b.column("kind"), b.column("entry"), b.column("id"), b.column("row"), b.column("sha"), void(pa.int32()), void(pa.int64()), void(pa.int32()), void(pa.int64()), void(pa.int64()), void(pa.int64())], names)
+        def members(b: pa.RecordBatch) -> pa.RecordBatch:
+            n = b.num_rows
+            void = lambda t: pa.nulls(n, t)
+            return pa.record_batch([b.column("kind"), b.column("entry"), b.column("id"), b.column("row"), b.column("sha"), void(pa.int64()), void(pa.int64()), void(pa.int32()), void(pa.int64()), void(pa.int64()), void(pa.int64())], names)
 
-    def entries_only(bs):
-        for b in bs:
-            kind = b.column("kind").to_numpy()
-            lo = int((kind == 0).sum())  # members have negative owners and so come first
-            if lo:
-                ready.append(members(b.slice(0, lo)))
-            yield b.slice(lo)
+        def entries_only(bs):
+            for b in bs:
+                kind = b.column("kind").to_numpy()
+                lo = int((kind == 0).sum())
+                if lo:
+                    ready.append(members(b.slice(0, lo)))
+                yield b.slice(lo)
 
-    ready: list[pa.RecordBatch] = []
-    for run in group_stream(entries_only(batches), lambda b: b.column("key").to_numpy()):
+        def chained(rows: list[tuple]) -> pa.RecordBatch:
+            n, cols = len(rows), list(zip(*rows))
+            void = lambda t: pa.nulls(n, t)
+            return pa.record_batch([pa.array(np.ones(n, np.int32)), pa.array(cols[0], pa.int64()), void(pa.int64()), void(pa.int64()), void(pa.string()), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())))], names)
+
+        ready: list[pa.RecordBatch] = []
+        out: list[tuple] = []
+        for run in group_stream(entries_only(batches), lambda b: b.column("key").to_numpy()):
+            yield from ready
+            ready.clear()
+            chain: list[list] = []  # text, largest id, its row, count
+            seen = []
+            for b in run:
+                for e, i, r, n, t in zip(*(b.column(c).to_pylist() for c in ("entry", "id", "row", "n", "body"))):
+                    for at, c in enumerate(chain):
+                        if c[0] == t:
+                            break
+                    else:
+                        at, c = len(chain), [t, None, -1, 0]
+                        chain.append(c)
+                    c[3] += n
+                    if (i is not None, i or 0, r) > (c[1] is not None, c[1] or 0, c[2]):
+                        c[1], c[2] = i, r
+                    seen.append((e, at))
+            key = run[0].column("key")[0].as_py()
+            slot = (key & 0xFFFFFFFFFFFFFFFF) >> (64 - start) if start else 0
+            out += [(e, slot, key, at, *chain[at][1:]) for e, at in seen]
+            if len(out) >= OUT_ROWS:
+                yield chained(out)
+                out = []
         yield from ready
-        ready.clear()
-        chain: list[list] = []  # text, largest id, its row, count
-        seen = []
-        for b in run:
-            for e, i, r, n, t in zip(*(b.column(c).to_pylist() for c in ("entry", "id", "row", "n", "body"))):
-                for at, c in enumerate(chain):
-                    if c[0] == t:
-                        break
-                else:
-                    at, c = len(chain), [t, None, -1, 0]
-                    chain.append(c)
-                c[3] += n
-                if (i is not None, i or 0, r) > (c[1] is not None, c[1] or 0, c[2]):
-                    c[1], c[2] = i, r
-                seen.append((e, at))
-        n = len(seen)
-        pick = lambda j, t: pa.array([chain[at][j] for _, at in seen], t)
-        key, owner = run[0].column("key")[0].as_py(), run[0].column("owner")[0].as_py()
-        yield pa.record_batch(
-            [pa.array(np.ones(n, np.int32)), pa.array([e for e, _ in seen], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array([owner] * n, pa.int32()), pa.array([key] * n, pa.int64()), pa.array([at for _, at in seen], pa.int32()), pick(1, pa.int64()), pick(2, pa.int64()), pick(3, pa.int64())],
-            names,
-        )
-    yield from ready
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS, max_depth: int = MAX_DEPTH, key_bits: int = 64) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256. key_bits < 64 forces collisions in tests."""
+        if out:
+            yield chained(out)
+
+    return walk
+
+
+class ExactIndex:
+    """The index in the shared folder: `directory` (slot, prefix, depth, n) and `chains` (slot, key, chain, keep_id, n, sha)."""
+
+    def __init__(self, spark: SparkSession, path: str, start: int):
+        self.spark, self.path, self.start = spark, path, start
+
+    @property
+    def directory(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/directory")
+
+    @property
+    def chains(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/chains")
+
+    def find(self, texts: DataFrame, text_col: str = "text") -> DataFrame:
+        """texts with keep_id and group_size of the indexed group whose text is equal (null where there is none); other columns of these names are replaced."""
+        body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+        asked = texts.select(F.struct("*").alias("row"), F.xxhash64(body).alias("key"), F.sha2(body, 256).alias("sha"))
+        held = self.chains.select("key", "sha", F.col("keep_id").alias("k"), F.col("n").alias("n"))
+        found = asked.join(held, ["key", "sha"], "left")
+        return found.select(*(F.col("row")[c].alias(c) for c in texts.columns if c not in ("keep_id", "group_size")), F.col("k").alias("keep_id"), F.col("n").alias("group_size"))
+
+
+def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS, key_bits: int = 64, owner_bytes: int = OWNER_BYTES) -> tuple[ExactIndex, DataFrame]:
+    """The index of docs, and the table that ties documents to its entries (kind 0: documents, kind 1: entries)."""
     spark = docs.sparkSession
-    prepare(spark)
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    key = F.xxhash64(F.col("body"))
+    hashed = F.xxhash64(F.col("body"))
     if key_bits < 64:
-        key = F.shiftleft(F.shiftrightunsigned(key, 64 - key_bits), 64 - key_bits)
+        hashed = F.shiftleft(F.shiftrightunsigned(hashed, 64 - key_bits), 64 - key_bits)
     base = docs.select(F.col(id_col).cast("long").alias("id"), body.alias("body"))
-    per_prefix = base.select(key.alias("key")).distinct().groupBy(F.shiftrightunsigned("key", 64 - max_depth).alias("prefix")).count()
-    slots, _ = directory({r["prefix"]: r["count"] for r in per_prefix.collect()}, max_depth, bucket_keys)  # at most 2**max_depth rows
-    entries = base.select("id", key.alias("key"), F.sha2("body", 256).alias("sha"), "body").mapInArrow(_folder(slots, key_bits), _ENTRY)
-    index = written(entries.repartition("owner").sortWithinPartitions("owner", "key").mapInArrow(_owners, _CHAIN), "exact-index")
-    members = index.where("kind = 0").select("entry", "id", "row", "sha")
-    chains = index.where("kind = 1").select("entry", "keep_id", "keep_row", "n")
-    return members.join(chains, "entry").select(
-        F.col("id").alias("doc_id"), "keep_id", F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256")
-    )
+    tasks = max(1, base.select(F.spark_partition_id().alias("p")).distinct().count())
+    keys = written(base.select(hashed.alias("key"), F.octet_length("body").alias("size")).groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("size").alias("size")), "exact-keys")
+    weight = ((F.col("size") + 100) * F.least("c", F.lit(tasks))).cast("double")
+    n, total = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(weight), F.lit(0.0))).first()
+    start = min(key_bits, 62, max(0, math.ceil(math.log2(max(1, 2 * n / bucket_keys)))))
+    buckets, levels = directory(keys, bucket_keys, start, key_bits)
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / owner_bytes))
+    cells = keys.groupBy(prefix(F.col("key"), RANGE_BITS).alias("cell")).agg(F.sum(weight).alias("w")).collect()  # at most 2**RANGE_BITS rows
+    ranges = Ranges.cut({r["cell"]: r["w"] for r in cells}, max(1.0, total / owners))
+    path = f"{shared_dir(spark)}/lodestack/exact-index-{uuid.uuid4().hex}"
+    buckets.write.parquet(f"{path}/directory")
+    dropped(keys, *levels)
+    entries = arrow_map(base.select("id", hashed.alias("key"), F.sha2("body", 256).alias("sha"), "body"), _folder(ranges), _ENTRY)
+    dealt = entries.repartitionById(ranges.owners, F.col("owner")).sortWithinPartitions("kind", F.col("key"))
+    walked = written(arrow_map(dealt, _owners(start), _CHAIN), "exact-walked")
+    return ExactIndex(spark, path, start), walked
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256. Options: those of build(); key_bits < 64 forces collisions in tests."""
+    return indexed(docs, id_col, text_col, **options)[1]
+
+
+def indexed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> tuple[ExactIndex, DataFrame]:
+    """The index, complete on the shared files, and the rows of exact_dedup."""
+    index, walked = build(docs, id_col, text_col, **options)
+    members = walked.where("kind = 0").select("entry", "id", "row", "sha")
+    chains = walked.where("kind = 1").select("entry", "slot", "key", "chain", "keep_id", "keep_row", "n")
+    both = members.join(chains, "entry")
+    # one line a distinct text: that of the row that stays
+    both.where("row = keep_row").select("slot", "key", "chain", "keep_id", "n", "sha").write.parquet(f"{index.path}/chains")
+    rows = both.select(F.col("id").alias("doc_id"), "keep_id", F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"))
+    rows = written(rows, "exact-rows")
+    dropped(walked)
+    return index, rows
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs without those that have a kept equal; columns unchanged.
+    """Rows of docs without those that have a kept equal; columns unchanged, whatever their names.
 
-    Dropped rows are named by id and digest of the text. Where equal rows also have equal ids, the ids
-    alone cannot tell them apart: one of them stays by dropping repeats of (id, digest) as well.
+    Dropped rows are named by id and digest of the text. Where equal rows also have equal ids, the ids alone cannot
+    tell them apart: of these the one whose columns have the least hash stays.
     """
     found = exact_dedup(docs, id_col, text_col)
-    gone = found.where(F.col("group_size") > 1).groupBy(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).agg(F.max("kept").alias("_stays"), F.count(F.lit(1)).alias("_rows"))
+    gone = found.where(F.col("group_size") > 1).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("rows"))
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_gone_id")) & (sha == F.col("_gone_sha"))
-    out = docs.join(gone.where("not _stays").select("_gone_id", "_gone_sha"), same, "left_anti")
-    twins = gone.where("_stays and _rows > 1").select("_gone_id", "_gone_sha")
-    if twins.isEmpty():
-        return out
-    single = docs.join(twins, same, "left_semi").withColumn("_sha", sha).dropDuplicates([id_col, "_sha"]).drop("_sha")
-    return out.join(twins, same, "left_anti").unionByName(single)
+    whole = docs.select(F.struct("*").alias("r"), F.col(id_col).cast("long").alias("i"), sha.alias("h"))
+    same = F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_sha256"))
+    out = whole.join(gone.where("not stays"), same, "left_anti")
+    twins = gone.where("stays and rows > 1")
+    if not twins.isEmpty():
+        single = out.join(twins, same, "left_semi").groupBy("i", "h").agg(F.min_by("r", F.xxhash64("r")).alias("r")).select("r", "i", "h")
+        out = out.join(twins, same, "left_anti").unionByName(single)
+    return out.select(*(F.col("r")[c].alias(c) for c in docs.columns))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,9 @@ from pyspark.sql.window import Window
 
 from lodestack.llm._spark import table, written
 
-PRIME, ROUNDS, BUCKETS, SHARDS = 2_147_483_647, 6, 4096, 24
+PRIME, ROUNDS, SHARDS = 2_147_483_647, 6, 24
+#: Rows of a bucket of the numbering, on average, the most buckets, and copies of one row unfolded at once.
+BUCKET_ROWS, MOST_BUCKETS, STEP = 20_000, 1 << 18, 10_000
 #: Further walks allowed; beyond a thousand rows one walk fails with a chance under 1 in 15, so 64 never do.
 WALKS = 64
 
@@ -78,24 +80,30 @@ def permutation(x: Column, n: int, seed: int) -> Column:
     return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("cycle walking did not end")).cast("long"))
 
 
-def shard_rows(docs: DataFrame, n_shards: int = SHARDS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
+def shard_rows(docs: DataFrame, n_shards: int = SHARDS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
     # equal rows fold into one with a count, so that no repeated row makes a bucket large
     folded = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
-    folded = written(folded.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(buckets)).cast("int")), "shard-rows")
+    folded = written(folded, "shard-rows")
+    buckets = max(64, min(MOST_BUCKETS, -(-folded.count() // bucket_rows)))
+    folded = folded.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(buckets)).cast("int"))
     sums = sorted((r["bucket"], r["n"]) for r in folded.groupBy("bucket").agg(F.sum("copies").alias("n")).collect())  # at most `buckets` rows
-    first, total = {}, 0
+    first, total = [], 0
     for bucket, n in sums:
-        first[bucket] = total
+        first.append((bucket, total))
         total += n
-    starts = F.lit(",".join(str(first.get(i, 0)) for i in range(buckets)))
-    start = F.element_at(F.split(starts, ",").cast("array<long>"), F.col("bucket") + 1)
+    starts = spark.createDataFrame(first, "bucket int, start long")  # at most MOST_BUCKETS rows of two numbers
+    folded = folded.join(F.broadcast(starts), "bucket")
     before = Window.partitionBy("bucket").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = folded.withColumn("row", start + F.coalesce(F.sum("copies").over(before), F.lit(0)))
-    numbered = numbered.select("doc_id", "size", "text_crc32", F.explode(F.sequence(F.col("row"), F.col("row") + F.col("copies") - 1)).alias("row"))
+    numbered = folded.withColumn("row", F.col("start") + F.coalesce(F.sum("copies").over(before), F.lit(0)))
+    # copies unfold in steps: first to stretches of bounded length, which are dealt out where there are many, then to rows
+    stretch = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / F.lit(STEP)))).alias("k")
+    numbered = numbered.select("doc_id", "size", "text_crc32", "row", "copies", stretch)
+    last = F.least(F.col("copies"), (F.col("k") + 1) * STEP) - 1
+    numbered = numbered.select("doc_id", "size", "text_crc32", F.explode(F.sequence(F.col("row") + F.col("k") * STEP, F.col("row") + last)).alias("row"))
     placed = numbered.withColumn("at", permutation(F.col("row"), max(1, total), seed))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), (F.col("at") % n_shards).cast("int").alias("shard"), F.floor(F.col("at") / F.lit(n_shards)).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 

@@ -1,10 +1,13 @@
 """Operators 6 and 8 against brute force."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestack.llm import exact_dedup, sharding
 
@@ -18,7 +21,7 @@ ROWS = [(i, "x" * (i % 7) if i % 5 else None, "e", 1, 2, 3) for i in range(120)]
 
 @pytest.mark.parametrize("bits", [64, 3, 1])
 def test_exact_dedup(spark, bits):
-    got = exact_dedup.exact_dedup(frame(spark, ROWS), bucket_keys=2, max_depth=6, key_bits=bits).collect()
+    got = exact_dedup.exact_dedup(frame(spark, ROWS), bucket_keys=2, key_bits=bits).collect()
     groups = defaultdict(list)
     for r in ROWS:
         groups[r[1] or ""].append(r[0])
@@ -37,11 +40,51 @@ def test_exact_dedup_empty(spark):
     assert exact_dedup.exact_dedup(frame(spark, ROWS).limit(0)).count() == 0
 
 
-def test_directory_doubles():
-    slots, buckets = exact_dedup.directory({0: 10, 1: 1, 2: 1, 12: 3}, 4, 3)
-    assert buckets == [(0, 4), (1, 4), (1, 3), (1, 2), (1, 1)] and len(slots) == 16
-    assert slots.tolist() == [0, 1, 2, 2] + [3] * 4 + [4] * 8
-    assert exact_dedup.directory({}, 4, 3)[0].tolist() == [0]
+def test_directory_splits_what_is_overfull(spark):
+    """Against splitting on the driver; every key lies in one bucket, none holds more than its capacity unless its bits end."""
+    r = random.Random(4)
+    keys = [r.randrange(1 << 64) for _ in range(300)] + [5 << 55 | k for k in range(40)]
+    signed = [(k - (1 << 64) if k >> 63 else k,) for k in keys]
+    buckets, _ = exact_dedup.directory(spark.createDataFrame(signed, "key long"), 8, 3, 14)
+    want = set()
+
+    def split(prefix, depth):
+        n = sum(k >> (64 - depth) == prefix for k in keys)
+        if n > 8 and depth < 14:
+            split(prefix << 1, depth + 1), split(prefix << 1 | 1, depth + 1)
+        elif n:
+            want.add((prefix >> (depth - 3), prefix, depth, n))
+
+    for p in range(8):
+        split(p, 3)
+    assert {tuple(r) for r in buckets.collect()} == want and max(d for _, _, d, _ in want) == 14
+
+
+def test_ranges_have_equal_weights():
+    w = {0: 5.0, 1: 5.0, 2: 100.0, 9: 1.0, 65535: 8.0}
+    ranges = exact_dedup.Ranges.cut(w, 10.0)
+    key = lambda cell, low=0: cell << 48 | low
+    of = lambda *keys: ranges.of(np.array(keys, np.uint64).view(np.int64)).tolist()
+    assert of(key(0), key(1), key(2), key(2, (1 << 48) - 1), key(9), key(65535)) == [0, 0, 1, 10, 11, 11] and ranges.owners == 12
+
+
+def test_index_is_on_shared_files_and_can_be_asked(spark):
+    index, rows = exact_dedup.indexed(frame(spark, ROWS), bucket_keys=3)
+    texts = {r[1] or "" for r in ROWS}
+    assert index.chains.count() == len(texts) and index.directory.agg({"n": "sum"}).first()[0] == len(texts)
+    asked = spark.createDataFrame([("xx", 9), ("never seen", 9), (None, 9)], "text string, keep_id int")
+    got = {r["text"]: (r["keep_id"], r["group_size"]) for r in index.find(asked).collect()}
+    known = {r["text_sha256"]: (r["keep_id"], r["group_size"]) for r in rows.collect()}
+    assert got == {"xx": known[hashlib.sha256(b"xx").hexdigest()], "never seen": (None, None), None: known[hashlib.sha256(b"").hexdigest()]}
+
+
+def test_clashing_names_and_equal_ids(spark):
+    rows = [(1, "a", "s", 1, 2), (1, "a", "s", 7, 2), (2, "b", "s", 1, 2), (3, "b", "s", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _sha string, _gone_id int, stays int")
+    got = [tuple(r) for r in exact_dedup.keep_one_of_each(docs).collect()]
+    assert len(got) == 2 and (3, "b", "s", 1, 2) in got
+    again = [tuple(r) for r in exact_dedup.keep_one_of_each(docs.orderBy(F.desc("_gone_id")).repartition(3)).collect()]
+    assert sorted(again) == sorted(got)
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 17, 120, 1001])
@@ -67,4 +110,12 @@ def test_shards(spark):
     assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
     again = sharding.shard_rows(frame(spark, ROWS[::-1]).repartition(7), n_shards=5).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
-    assert sharding.shard_rows(frame(spark, ROWS).limit(0)).count() == 0
+    few = Counter(map(tuple, sharding.shard_rows(frame(spark, ROWS), n_shards=5, bucket_rows=1).collect()))
+    assert sum(few.values()) == len(ROWS) and sharding.shard_rows(frame(spark, ROWS).limit(0)).count() == 0
+
+
+def test_one_row_many_times(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "STEP", 70)
+    docs = spark.range(1000).selectExpr("1L doc_id", "'hot' text").union(spark.createDataFrame([(2, "x")], "doc_id long, text string"))
+    got = sharding.shard_rows(docs, n_shards=3).collect()
+    assert sorted((r["shard"] + 3 * r["slot"]) for r in got) == list(range(1001))
