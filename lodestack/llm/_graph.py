@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm._spark import dropped, written
+from lodestack.shared import dropped, written
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -33,4 +33,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         mark = now
     else:
         raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = written(e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "components")
+    dropped(e)
+    return out

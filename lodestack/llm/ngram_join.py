@@ -3,10 +3,14 @@
 Texts are sequences of lower-cased words; a text's set is that of its five-word shingles (a shorter
 text that has words is one shingle). Texts of equal words form one class, so copies never meet each
 other. Band and row counts follow from the threshold and the target recall. Classes that share a band
-hash are candidates; candidates are gathered by connected components (stars from each bucket to its
-least class, so no pairs are listed), components larger than a block are dealt out to pairs of blocks,
-and each block pair compares its full sets by matrix products over the shingles that two of them share.
-It gives, by class, the number of links and one edge to the least class it reaches: linear output.
+hash form a bucket and are candidates of each other.
+
+Buckets that have the same least class (their lead) are verified at one place, the lead's home: in a group of near
+copies most bands name the same lead, so a class travels to few homes instead of to a bucket for each band. A home
+larger than a block is dealt out to pairs of blocks. A task compares the full sets of its classes by matrix products
+over the shingles that two of them share, and counts a pair only where it belongs: at the least lead of the bands
+that both have in common. It gives, by class, the number of links and one edge to the least class it reaches:
+linear output, no list of pairs. Classes that only a chain of others ties together never meet.
 
 Defined cases: null and empty texts, and texts without words, form one class without links; null ids
 sort after all others and give a null class_id only to a class of null ids; rows with equal ids and
@@ -25,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm._graph import components
-from lodestack.llm._spark import prepare, table, written
+from lodestack.llm._spark import arrow_map, dropped, table, written
 from lodestack.llm._tokens import group_stream, mix, shingles, words
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 220
-#: Classes in a block; a task compares two blocks at most.
-BLOCK = 256
+#: Classes in a block; two blocks at most are compared at once. Bytes of sets that a task should get.
+BLOCK, TASK_BYTES = 256, 64 << 20
 _COLUMNS = 8192
 
 
@@ -77,22 +81,25 @@ def shingle_sets(texts: list[str], n: int) -> Iterator[tuple[bytes, np.ndarray]]
 def _signatures(minhash: MinHash, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, bands = [], []
+            digests, bands, sizes = [], [], []
             for d, s in shingle_sets(b.column("body").to_pylist(), n):
                 digests.append(d)
+                sizes.append(len(s))
                 bands.append(minhash.band_hashes(s) if len(s) else np.zeros(0, np.int64))
             flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in bands]))).astype(np.int32))
-            yield pa.record_batch([b.column("id"), b.column("th"), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, flat)], ["id", "th", "cls", "bands"])
+            yield pa.record_batch([b.column("id"), b.column("th"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], ["id", "th", "cls", "size", "bands"])
 
     return run
 
 
 def _sets(n: int):
+    names = ["none", "id", "th", "homes", "leads"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [s.tobytes() for _, s in shingle_sets(b.column("body").to_pylist(), n)]
-            yield pa.record_batch([b.column("cls"), b.column("root"), b.column("blocks"), b.column("block"), pa.array(sets, pa.binary())], ["cls", "root", "blocks", "block", "shingles"])
+            yield pa.record_batch([*(b.column(c) for c in names), pa.array(sets, pa.binary())], [*names, "shingles"])
 
     return run
 
@@ -122,34 +129,42 @@ def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 
 
 def _verify(threshold: float):
-    names = ["cls", "least", "links"]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in group_stream(batches, lambda b: b.column("deal").to_numpy()):
-            t = pa.Table.from_batches(group)
             # the sort key is a hash; groups whose hashes agree are told apart here
-            inner: dict[tuple, dict[bytes, tuple[int, np.ndarray]]] = {}
-            for c, r, i, j, block, s in zip(*(t.column(n).to_pylist() for n in ("cls", "root", "i", "j", "block", "shingles"))):
-                inner.setdefault((r, i, j), {})[c] = block, np.frombuffer(s, np.uint64)
-            for (_, i, j), members in inner.items():
+            inner: dict[tuple, dict[tuple, tuple]] = {}
+            for b in group:
+                for home, i, j, block, none, ident, th, leads, s in zip(*(b.column(n).to_pylist() for n in ("home", "i", "j", "block", "none", "id", "th", "leads", "shingles"))):
+                    inner.setdefault((home, i, j), {})[none, ident or 0, th] = block, leads, np.frombuffer(s, np.uint64)
+            for (home, i, j), members in inner.items():
                 if len(members) < 2:
                     continue
-                cls = sorted(members)
-                block = np.array([members[c][0] for c in cls])
-                hit = linked([members[c][1] for c in cls], threshold)
+                node = sorted(members)
+                block = np.array([members[c][0] for c in node])
+                leads = np.array([members[c][1] for c in node], np.int64)
+                x, y = np.nonzero(np.triu(linked([members[c][2] for c in node], threshold)))
                 if i != j:
-                    hit &= block[:, None] != block[None, :]
-                label = np.arange(len(cls))
+                    x, y = x[block[x] != block[y]], y[block[x] != block[y]]
+                counted = np.zeros(len(x), bool)
+                for lo in range(0, len(x), 1 << 16):  # the bands that both share, and the least lead of them
+                    p, q = leads[x[lo : lo + (1 << 16)]], leads[y[lo : lo + (1 << 16)]]
+                    least = np.where((p == q) & (p != NO_LEAD), p, NO_LEAD).min(1)
+                    counted[lo : lo + (1 << 16)] = (least == home) & (home != NO_LEAD)
+                x, y = x[counted], y[counted]
+                links = np.bincount(x, minlength=len(node)) + np.bincount(y, minlength=len(node))
+                label = np.arange(len(node))
                 while True:
-                    new = np.minimum(label, np.where(hit, label[None, :], len(cls)).min(1))
+                    new = label.copy()
+                    np.minimum.at(new, x, label[y])
+                    np.minimum.at(new, y, label[x])
                     new = new[new]
                     if (new == label).all():
                         break
                     label = new
-                links = hit.sum(1)
                 own = np.flatnonzero(links)
                 if len(own):
-                    yield pa.record_batch([pa.array([cls[k] for k in own], pa.binary()), pa.array([cls[label[k]] for k in own], pa.binary()), pa.array(links[own].astype(np.int64))], names)
+                    side = lambda at: pa.StructArray.from_arrays([pa.array([node[k][0] for k in at], pa.bool_()), pa.array([None if node[k][0] else node[k][1] for k in at], pa.int64()), pa.array([node[k][2] for k in at], pa.int64())], ["none", "id", "th"])
+                    yield pa.record_batch([side(own), side(label[own]), pa.array(links[own].astype(np.int64))], ["u", "v", "links"])
 
     return run
 
@@ -162,30 +177,27 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     each class that stays.
     """
     spark = docs.sparkSession
-    prepare(spark)
     body = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(body).alias("th"), body.alias("body"))
     minhash = MinHash(*bands_for(threshold, recall, most_hashes))
-    sig = written(base.mapInArrow(_signatures(minhash, n), "id long, th long, cls binary, bands array<long>"), "signatures")
+    sig = written(arrow_map(base, _signatures(minhash, n), "id long, th long, cls binary, size long, bands array<long>"), "signatures")
     rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("rep")
-    classes = written(sig.groupBy("cls").agg(rep, F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands")), "classes")
-    rows = classes.select("cls", F.explode("bands").alias("band"))
-    stars = rows.groupBy("band").agg(F.min("cls").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    comp = components(rows.join(stars, "band").select(F.col("cls").alias("u"), F.col("lead").alias("v")))
-    comp = written(comp.join(comp.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks")), "root"), "candidates")
-    mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block")
-    wanted = comp.withColumnRenamed("node", "cls").join(classes.select("cls", "rep"), "cls").select("cls", "root", "blocks", mine, F.col("rep.id").alias("rid"), F.col("rep.th").alias("rth"))
-    texts = base.join(wanted, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))).select("cls", "root", "blocks", "block", "body")
-    sets = texts.mapInArrow(_sets(n), "cls binary, root binary, blocks int, block int, shingles binary")
-    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cls", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "shingles")
-    dealt = dealt.withColumn("deal", F.xxhash64("root", "i", "j")).repartition("deal").sortWithinPartitions("deal")
-    links = written(dealt.mapInArrow(_verify(threshold), "cls binary, least binary, links long"), "links")
-    groups = components(links.select(F.col("cls").alias("u"), F.col("least").alias("v")))
-    member = classes.where("copies > 1").select("cls").unionByName(groups.select(F.col("node").alias("cls"))).distinct().join(classes.select("cls", "rep", "copies"), "cls")
-    member = member.join(groups.withColumnRenamed("node", "cls"), "cls", "left").join(links.groupBy("cls").agg(F.sum("links").alias("links")), "cls", "left")
-    member = written(member.select("cls", "rep", "copies", "links", F.coalesce("root", "cls").alias("root")), "members")
-    info = member.join(member.groupBy("root").agg(F.min("rep").alias("first")), "root").select("cls", "copies", "links", "first")
-    return sig.select("id", "th", "cls").join(info, "cls", "left").select(
+    classes = written(sig.groupBy("cls").agg(rep, F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands"), F.max("size").alias("size")), "classes")
+    met = written(_homes(classes, minhash.bands, block), "homes")
+    moved = met.agg(F.coalesce(F.sum(F.aggregate("homes", F.lit(0).cast("long"), lambda acc, h: acc + h["blocks"]) * (F.col("size") * 8 + 300)), F.lit(0))).first()[0]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-moved // TASK_BYTES))
+    texts = base.join(met.select("rep", "homes", "leads"), F.col("id").eqNullSafe(F.col("rep.id")) & (F.col("th") == F.col("rep.th"))).select("rep.none", "id", "th", "homes", "leads", "body")
+    sets = arrow_map(texts, _sets(n), f"none boolean, id long, th long, homes {_HOMES}, leads array<long>, shingles binary")
+    at = sets.select("none", "id", "th", "leads", "shingles", F.explode("homes").alias("h")).select("none", "id", "th", "leads", "shingles", F.col("h.home").alias("home"), F.col("h.blocks").alias("blocks"), F.col("h.block").alias("block"))
+    dealt = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.greatest("block", "other")).withColumn("j", F.least("block", "other"))
+    pair = F.shiftright(F.col("i").cast("long") * (F.col("i") + 1), 1) + F.col("j")
+    place = F.pmod(F.pmod(F.xxhash64("home"), F.lit(tasks)) + pair, F.lit(tasks)).cast("int")  # pairs of blocks of one home go to one task after another
+    dealt = dealt.select("home", "i", "j", "block", "none", "id", "th", "leads", "shingles", F.xxhash64("home", "i", "j").alias("deal"), place.alias("place")).repartitionById(tasks, F.col("place")).sortWithinPartitions("deal")
+    links = written(arrow_map(dealt, _verify(threshold), f"u {_NODE}, v {_NODE}, links long"), "links")
+    groups = components(links)
+    own = links.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links")).join(groups.select(F.col("node").alias("rep"), "root"), "rep", "full_outer")
+    member = classes.join(own, "rep", "left").where("copies > 1 or root is not null").select("cls", "copies", "links", F.coalesce("root", "rep").alias("first"))
+    out = sig.select("id", "th", "cls").join(member, "cls", "left").select(
         F.col("id").alias("doc_id"),
         F.col("th").alias("text_hash"),
         F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("class_id"),
@@ -193,12 +205,39 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce("copies", F.lit(1)).cast("long").alias("copies"),
         (F.col("first").isNull() | (F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.th") == F.col("th")))).alias("kept"),
     )
+    out = written(out, "jaccard-rows")
+    dropped(sig, classes, met, links, groups)
+    return out
+
+
+_NODE, _HOMES = "struct<none:boolean,id:long,th:long>", "array<struct<home:long,blocks:int,block:int>>"
+#: Stands for a band in which a class is alone, and sorts after all leads.
+NO_LEAD = (1 << 63) - 1
+
+
+def _homes(classes: DataFrame, bands: int, block: int) -> DataFrame:
+    """(rep, size, leads, homes) of each class that shares a bucket: its lead in each band, and where it has to go.
+
+    Leads are aggregates with map-side combine and meet the bands in a join on a unique key; both sides of it are
+    plain exchanges, so adaptive execution splits what a bucket with many classes makes large.
+    """
+    rows = classes.select("rep", "size", F.posexplode("bands").alias("k", "band"))
+    lead = F.xxhash64(F.min("rep"))
+    leads = rows.groupBy("band").agg(lead.alias("home"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", F.when(F.col("home") == NO_LEAD, 0).otherwise(F.col("home")).alias("home")).hint("rebalance")
+    led = rows.join(leads, "band").groupBy("rep").agg(F.max("size").alias("size"), F.map_from_entries(F.collect_list(F.struct("k", "home"))).alias("m"))
+    led = led.select("rep", "size", F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(NO_LEAD))).alias("leads"))
+    led = led.select("rep", "size", "leads", F.explode(F.array_distinct(F.filter("leads", lambda x: x != NO_LEAD))).alias("home"))
+    sizes = led.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks")).hint("rebalance")
+    mine = F.pmod(F.xxhash64("rep", "home"), F.col("blocks")).cast("int").alias("block")
+    return led.join(sizes, "home").groupBy("rep").agg(F.max("size").alias("size"), F.any_value("leads").alias("leads"), F.collect_list(F.struct("home", "blocks", mine)).alias("homes")).select("rep", "size", "leads", "homes")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of docs without those that have a kept near copy; columns unchanged."""
-    gone = jaccard_join(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_gone_hash")), "left_anti")
+    """Rows of docs without those that have a kept near copy; columns unchanged, whatever their names."""
+    gone = jaccard_join(docs, id_col, text_col, **options).where(~F.col("kept")).select("doc_id", "text_hash").distinct()
+    whole = docs.select(F.struct("*").alias("r"), F.col(id_col).cast("long").alias("i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
+    kept = whole.join(gone, F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")), "left_anti")
+    return kept.select(*(F.col("r")[c].alias(c) for c in docs.columns))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

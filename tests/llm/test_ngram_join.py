@@ -73,6 +73,45 @@ def test_against_all_pairs(spark, block):
     assert sorted(r[0] for r in kept.collect()) == sorted(first.values())
 
 
+def test_recall_of_the_shipped_bands(spark):
+    """Pairs from 0.8 upward, at the shipped parameters, against all pairs."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 6)))
+    texts = []
+    for _ in range(260):  # pairs that lie between 0.8 and 0.85 for the most part
+        n = r.choice([100, 200])
+        base = [word() for _ in range(n)]
+        w = list(base)
+        for at in r.sample(range(0, n, 8), n // 50):
+            w[at] = word()
+        texts += [" ".join(base), " ".join(w)]
+    toks, links, _ = brute(texts)
+    near = []
+    for a in links:
+        for b in links[a]:
+            x, y = ({w[i : i + 5] for i in range(len(w) - 4)} for w in (a, b))
+            near.append(len(x & y) / len(x | y))
+    assert sum(0.8 <= j < 0.85 for j in near) >= 200
+    got = {row["doc_id"]: row["n_links"] for row in N.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = sum(len(links[w]) for w in toks)
+    assert sum(got.values()) <= want and sum(got.values()) / want >= 0.99
+
+
+def test_chain_of_weak_copies(spark):
+    """Each text shares half of its shingles with the next: none is a link, and no task gathers the chain."""
+    r = random.Random(7)
+    words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(4000)]
+    texts = [" ".join(words[k * 20 : k * 20 + 60]) for k in range(150)] + [" ".join(words[:60]) + " end"]
+    got = {row["doc_id"]: row for row in N.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=4).collect()}
+    assert [got[k]["n_links"] for k in range(151)] == [1] + [0] * 149 + [1] and got[150]["class_id"] == 0
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 0, 0), (2, "a b c d e f.", 0, 0)], "doc_id long, text string, _gone_id int, text_hash int")
+    kept = N.keep_one_of_each(docs)
+    assert kept.columns == docs.columns and [tuple(x) for x in kept.collect()] == [(1, "a b c d e f", 0, 0)]
+
+
 def test_awkward_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (None, None), (3, "a b c d e f"), (3, "a b c d e f"), (4, "")], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["class_id"], r["copies"]) for r in N.jaccard_join(docs).collect()), key=str)
