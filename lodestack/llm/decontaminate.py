@@ -4,8 +4,9 @@ Items are indexed by words. Impacts are BM25 weights divided by the item's score
 threshold serves all items: a passage that holds every word of an item scores 1. Every document is
 cut into overlapping passages of two strides, a stride being at least as long as any item of its
 length class, so that an item that occurs lies within one passage whole. For each passage all items at
-or above the threshold are retrieved, and a retrieved item counts when enough of the five-word shingles
-of its question (all sentences but the last) and answer (the last one) occur in the passage.
+or above the threshold are retrieved, and a retrieved item is verified by the shares of its five-word shingles
+that occur in the passage: of its question (all sentences but the last) and its answer (the last one). It counts when
+the question is there (0.8), when a part of the question (0.3) stands with its answer (0.5), or half of the item in all.
 
 Most passages can be dismissed without a search: an item's words of least impact, up to a small share
 of its score, are its non-essential ones; a passage whose essential words of an item, each counted once,
@@ -15,14 +16,16 @@ Passages that pass it for some item are searched by block-max WAND, which gives
 An item whose question carries little of its weight stays below the threshold where the question stands
 without the answer, so passages are also found by shingles: one that holds k of a unit's m shingles
 (a unit is an item or a question) holds one of any m - k + 1 of them, and the rarest ones are looked up.
-With both, a pair is reported exactly when its overlap, or that of the question, is reached; the answer's
-overlap is reported only.
+With both, a pair is reported exactly when those shares say so.
 
-Items are indexed in blocks of bounded size (one for usual benchmarks), so what is broadcast is bounded.
+Items are indexed in blocks of bounded size (one for usual benchmarks), so what is broadcast is bounded; all blocks
+have the BM25 statistics of all items. Where there are several blocks, the words of the documents are found once,
+written to the shared folder, and searched block by block.
 
 Defined cases: null and empty texts have no passages; null, empty and wordless items match nothing;
 an item of one to four words counts wherever they stand in a row; a question of one to four words
-that is not the whole item would tell too little and counts only where a passage has no other words;
+that is not the whole item would tell too little and counts only where a passage has no other words; an answer of
+one to four words is looked for as these words in a row;
 repeated items and rows are reported each; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -38,10 +41,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm._spark import prepare, table
+from lodestack.llm._spark import arrow_map, table, written
 from lodestack.llm._tokens import shingles, words
 
-K1, B, THRESHOLD, OVERLAP, QUESTION_OVERLAP, SPARE = 1.2, 0.75, 0.4, 0.5, 0.8, 0.1
+K1, B, THRESHOLD, SPARE = 1.2, 0.75, 0.4, 0.1
+#: Shares of shingles that verify: of the whole item, of the question alone, or of a part of the question with the answer.
+OVERLAP, QUESTION_OVERLAP, QUESTION_PART, ANSWER_OVERLAP = 0.5, 0.8, 0.3, 0.5
 #: Items indexed at once, postings in a block, the shortest stride in words, words in a shingle, and words whose shingles are looked up at once.
 ITEM_BLOCK, POSTING_BLOCK, STRIDE, SHINGLE, SPAN = 20_000, 8, 64, 5, 1 << 18
 
@@ -52,6 +57,10 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (" ".join(parts), "")
 
 
+def verified(overlap: float, question: float, answer: float) -> bool:
+    return overlap >= OVERLAP or question >= QUESTION_OVERLAP or (question >= QUESTION_PART and answer >= ANSWER_OVERLAP)
+
+
 class Stats:
     """What BM25 weights need of all items that have words: their number, average length and document frequencies."""
 
@@ -121,16 +130,17 @@ class Index:
         self.ids = [i for i, _ in items]
         h, cuts = words([t for _, t in items])
         self.parts, units = [], {n: [] for n in range(1, SHINGLE + 1)}
-        self.sizes = []  # words in a shingle of an item and of its question, fewer only for a whole item of few words
+        self.sizes = []  # words in a shingle of an item, of its question (fewer only for a whole item of few words) and of its answer
         for i, (_, t) in enumerate(items):
             q, a = question_and_answer(t)
             w, c = words([t, q, a])
             self.parts.append(tuple(np.unique(shingles(w[c[k] : c[k + 1]])) for k in range(3)))
             size = min(SHINGLE, int(c[1]))
-            self.sizes.append((size, SHINGLE if len(w) > c[2] else size))
+            self.sizes.append((size, SHINGLE if len(w) > c[2] else size, min(SHINGLE, max(1, int(c[3] - c[2])))))
             units[size].append((i, self.parts[i][0], OVERLAP))
+            # the question, at the least share that any rule asks of it: what the passage holds of the answer is seen then
             if c[2] - c[1] >= SHINGLE:
-                units[SHINGLE].append((i, self.parts[i][1], QUESTION_OVERLAP))
+                units[SHINGLE].append((i, self.parts[i][1], QUESTION_PART if c[3] > c[2] else QUESTION_OVERLAP))
         self.grams = [Grams(own, n) for n, own in units.items() if own]
         n, average, df = stats.n, stats.average, stats.df
         tfs = [Counter(h[a:b].tolist()) for a, b in zip(cuts, cuts[1:])]
@@ -251,7 +261,11 @@ def share(part: np.ndarray, seen: np.ndarray) -> float:
 
 def matches(indexes: list[Index], texts: list[str]) -> Iterator[tuple[int, int | None, float, float, float, float]]:
     """(text number, item id, BM25 share, overlaps of item, question and answer), the best passage of each pair."""
-    h, cuts = words(texts)
+    yield from found_in(indexes, *words(texts))
+
+
+def found_in(indexes: list[Index], h: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[int, int | None, float, float, float, float]]:
+    """matches() of texts given by their words."""
     for index in indexes:
         best: dict[tuple[int, int], tuple[float, float, float, float]] = {}
         weighty = set(map(tuple, index.passages(h, cuts).tolist()))
@@ -264,14 +278,17 @@ def matches(indexes: list[Index], texts: list[str]) -> Iterator[tuple[int, int |
             passage = h[lo : min(cuts[doc + 1], cuts[doc] + (cell + 2) * index.stride)]
             found = index.search(passage) if (doc, cell) in weighty else []
             known = {i for i, _ in found}
-            found += [(i, index.score(passage, i)) for i in held.get((doc, cell), ()) if i not in known]
-            seen = {n: np.unique(shingles(passage, n)) for n in {SHINGLE, *(n for i, _ in found for n in index.sizes[i])}} if found else {}
+            found += [(i, None) for i in held.get((doc, cell), ()) if i not in known]
+            seen: dict[int, np.ndarray] = {}
             for i, score in found:
-                overlap, question, answer = (share(p, seen[n]) for p, n in zip(index.parts[i], (*index.sizes[i], SHINGLE)))
-                if overlap >= OVERLAP or question >= QUESTION_OVERLAP:
-                    best[doc, i] = max(best.get((doc, i), (-1.0,) * 4), (overlap, question, answer, score))
+                for n in index.sizes[i]:
+                    if n not in seen:
+                        seen[n] = np.unique(shingles(passage, n))
+                overlap, question, answer = (share(p, seen[n]) for p, n in zip(index.parts[i], index.sizes[i]))
+                if verified(overlap, question, answer):
+                    best[doc, i] = max(best.get((doc, i), (-1.0,) * 4), (overlap, question, answer, index.score(passage, i) if score is None else score))
         for (doc, i), (overlap, question, answer, score) in sorted(best.items()):
-            yield doc, index.ids[i], score, overlap, question, answer
+            yield doc, index.ids[i], round(score, 9), overlap, question, answer
 
 
 def build(items: list[tuple[int | None, str]], threshold: float = THRESHOLD, stats: Stats | None = None) -> list[Index]:
@@ -288,20 +305,45 @@ def build(items: list[tuple[int | None, str]], threshold: float = THRESHOLD, sta
     return [Index(own, stride, threshold, stats) for stride, own in sorted(by.items())]
 
 
-def blocks_of(items: DataFrame, item_block: int, threshold: float) -> Iterator[list[Index]]:
-    """The indexes of each block of items (i, t), about item_block of them at once, all with the statistics of all items."""
-    blocks = max(1, -(-items.count() // item_block))
+class Items:
+    """Test items (i, t) dealt into blocks of about item_block; all indexes have the statistics of all items."""
 
-    def block(k: int) -> list[tuple[int | None, str]]:
-        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()
+    def __init__(self, items: DataFrame, item_block: int, threshold: float):
+        self.items, self.threshold, self.stats = items, threshold, Stats()
+        self.blocks = max(1, -(-items.count() // item_block))
+        self.only = None
+        for k in range(self.blocks):
+            own = self._block(k)
+            self.stats.add([t for _, t in own])
+            self.only = own if self.blocks == 1 else None
+
+    def _block(self, k: int) -> list[tuple[int | None, str]]:
+        rows = self.items.where(F.pmod(F.xxhash64("i", "t"), F.lit(self.blocks)) == k).collect()
         return sorted(((r["i"], r["t"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
-    stats = Stats()
-    for k in range(blocks):
-        own = block(k)
-        stats.add([t for _, t in own])
-    for k in range(blocks):
-        yield build(own if blocks == 1 else block(k), threshold, stats)
+    def indexes(self, k: int) -> list[Index]:
+        return build(self.only if self.only is not None else self._block(k), self.threshold, self.stats)
+
+
+def _worded(base: DataFrame, keep: list[str]) -> DataFrame:
+    """base with the words of `body` (hashes, as `words`) in its place, in the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, cuts = words(b.column("body").to_pylist())
+            yield pa.record_batch([*(b.column(c) for c in keep), pa.LargeListArray.from_arrays(pa.array(cuts), pa.array(h.view(np.int64))).cast(pa.list_(pa.int64()))], [*keep, "words"])
+
+    types = dict(base.dtypes)
+    return written(arrow_map(base, run, ", ".join(f"{c} {types[c]}" for c in keep) + ", words array<long>"), "passage-words")
+
+
+def _words_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Words of a batch, from `body` or from `words`."""
+    if "body" in b.schema.names:
+        return words(b.column("body").to_pylist())
+    lists = b.column("words")
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
 
 
 _OUT = "doc_id long, text_hash long, item_id long, bm25_share double, overlap double, question_overlap double, answer_overlap double"
@@ -309,38 +351,42 @@ _OUT = "doc_id long, text_hash long, item_id long, bm25_share double, overlap do
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", item_block: int = ITEM_BLOCK, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each document and test item that it holds: doc_id, text_hash, item_id, bm25_share, overlap, question_overlap, answer_overlap."""
-    prepare(docs.sparkSession)
-    own = items.select(F.col(item_id_col).cast("long").alias("i"), F.coalesce(F.col(item_text_col), F.lit("")).alias("t"))
+    own = Items(items.select(F.col(item_id_col).cast("long").alias("i"), F.coalesce(F.col(item_text_col), F.lit("")).alias("t")), item_block, threshold)
     body = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("body"))
+    if own.blocks > 1:
+        base = _worded(base, ["doc_id", "text_hash"])
     out = None
-    for indexes in blocks_of(own, item_block, threshold):
+    for k in range(own.blocks):
+        indexes = own.indexes(k)
 
         def run(batches: Iterator[pa.RecordBatch], indexes=indexes) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                got = list(matches(indexes, b.column("body").to_pylist()))
+                got = list(found_in(indexes, *_words_of(b)))
                 if got:
                     at = pa.array([g[0] for g in got])
                     yield pa.record_batch([b.column("doc_id").take(at), b.column("text_hash").take(at), pa.array([g[1] for g in got], pa.int64()), *(pa.array([g[j] for g in got], pa.float64()) for j in range(2, 6))], ["doc_id", "text_hash", "item_id", "bm25_share", "overlap", "question_overlap", "answer_overlap"])
 
-        part = base.mapInArrow(run, _OUT)
+        part = arrow_map(base, run, _OUT)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of docs that hold no test item; columns unchanged."""
-    prepare(docs.sparkSession)
-    own = items.select(F.col("item_id").alias("i"), F.coalesce("text", F.lit("")).alias("t"))
-    for indexes in blocks_of(own, ITEM_BLOCK, threshold):
+def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, item_block: int = ITEM_BLOCK) -> DataFrame:
+    """Rows of docs that hold no test item; columns unchanged, whatever their names."""
+    own = Items(items.select(F.col("item_id").cast("long").alias("i"), F.coalesce("text", F.lit("")).alias("t")), item_block, threshold)
+    if own.blocks > 1:  # texts that hold an item, by hash, from the search of all blocks
+        gone = contaminated(docs.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text")), items, item_block=item_block, threshold=threshold).select("text_hash").distinct()
+        whole = docs.select(F.struct("*").alias("r"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
+        return whole.join(gone, F.col("h") == F.col("text_hash"), "left_anti").select(*(F.col("r")[c].alias(c) for c in docs.columns))
+    indexes = own.indexes(0)
 
-        def run(batches: Iterator[pa.RecordBatch], indexes=indexes) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                bad = {m[0] for m in matches(indexes, [t or "" for t in b.column(text_col).to_pylist()])}
-                yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bad = {m[0] for m in matches(indexes, [t or "" for t in b.column(text_col).to_pylist()])}
+            yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return arrow_map(docs, run, docs.schema)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

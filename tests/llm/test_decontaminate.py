@@ -37,6 +37,10 @@ def exhaustive(index, h):
     return {int(i): float(s[i]) for i in np.flatnonzero(s >= index.threshold - 1e-9)}
 
 
+def seen_by(passage, n):
+    return np.unique(shingles(passage, n))
+
+
 def brute(indexes, texts):
     out = set()
     for k, t in enumerate(texts):
@@ -45,10 +49,9 @@ def brute(indexes, texts):
             for cell in range(-1, len(h) // index.stride + 1):
                 p = h[max(0, cell) * index.stride : (cell + 2) * index.stride]
                 if len(p):
-                    seen = np.unique(shingles(p))
                     for i in exhaustive(index, p):
-                        whole, q, _ = (D.share(x, seen) for x in index.parts[i])
-                        if whole >= D.OVERLAP or q >= D.QUESTION_OVERLAP:
+                        whole, q, a = (D.share(x, seen_by(p, n)) for x, n in zip(index.parts[i], index.sizes[i]))
+                        if whole >= 0.5 or q >= 0.8 or q >= 0.3 and a >= 0.5:
                             out.add((k, index.ids[i]))
     return out
 
@@ -89,5 +92,9 @@ def test_items_in_blocks(spark):
     items, docs = material()
     d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     planted = {(k, i) for k, t in enumerate(docs[:120]) if k % 4 == 0 for i, x in items[:61] if x in t}
-    got = {(r["doc_id"], r["item_id"]) for r in D.contaminated(d, spark.createDataFrame(items, "item_id long, text string"), item_block=20).collect()}
-    assert planted <= got
+    b = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(tuple, D.contaminated(d, b, item_block=n).collect()), key=str) for n in (1000, 20))
+    assert one == many and planted <= {(r[0], r[2]) for r in one}
+    held = {r[0] for r in one}
+    for n in (1000, 20):
+        assert sorted(r["doc_id"] for r in D.keep_clean(d, b, item_block=n).collect()) == sorted(set(range(len(docs))) - held)

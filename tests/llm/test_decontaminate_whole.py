@@ -32,9 +32,11 @@ def by_rule(items, docs):
         for k, t in enumerate(docs):
             h = words([t or ""])[0]
             for cell in range(-1, len(h) // index.stride + 1):
-                seen = np.unique(shingles(h[max(0, cell) * index.stride : (cell + 2) * index.stride]))
-                for i, (whole, q, _) in enumerate(index.parts):
-                    if D.share(whole, seen) >= D.OVERLAP or D.share(q, seen) >= D.QUESTION_OVERLAP:
+                passage = h[max(0, cell) * index.stride : (cell + 2) * index.stride]
+                seen = {n: np.unique(shingles(passage, n)) for n in range(1, 6)}
+                for i, parts in enumerate(index.parts):
+                    whole, q, a = (D.share(x, seen[n]) for x, n in zip(parts, index.sizes[i]))
+                    if whole >= 0.5 or q >= 0.8 or q >= 0.3 and a >= 0.5:
                         out.add((k, index.ids[i]))
     return out
 
@@ -87,3 +89,16 @@ def test_items_of_few_words():
     lone = {k for k, d in enumerate(some) if "zeko" in tokens(d)} - {k for k, i in got if i == 0}
     assert lone and not {k for k, i in got if i == 205} & lone  # its question alone tells too little
     assert [m[4] for m in D.matches(D.build([(1, "Zuri, zamo!")]), ["a b zuri zamo c d e"])] == [1.0]
+
+
+def test_the_answer_decides():
+    """A third of a long question counts with the answer behind it, and not without."""
+    w = [f"w{k}x" for k in range(60)]
+    q, a = " ".join(w[:48]) + "?", " ".join(w[48:]) + "."
+    part = " ".join(w[:22])
+    filler = " ".join(f"f{k}" for k in range(20))
+    index = D.build([(1, f"{q} {a}")])
+    held = [k for k, *_ in D.matches(index, [f"{filler} {part} {filler}", f"{filler} {part} {filler} {a}", f"{filler} {a} {filler}", f"{filler} {q}"])]
+    assert held == [1, 3]
+    short = D.build([(1, f"{q} blue zebra.")])
+    assert [k for k, *_ in D.matches(short, [f"{part} {filler}", f"{part} {filler} blue zebra {filler}"])] == [1]
