@@ -37,11 +37,18 @@ def tidy() -> None:
         pass
 
 
-def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow(run, schema); each task leaves its worker tidy."""
+#: What a Python worker keeps between tasks, by name: how to forget it.
+WARM: dict[str, Callable[[], None]] = {}
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, warm: str = "") -> DataFrame:
+    """df.mapInArrow(run, schema); each task leaves its worker tidy, and forgets what others than `warm` have kept there."""
     prepare(df.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, forget in WARM.items():
+            if name != warm:
+                forget()
         try:
             yield from run(batches)
         finally:

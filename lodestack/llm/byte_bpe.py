@@ -28,11 +28,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm._spark import arrow_map, prepare, table, tidy
+from lodestack.llm._spark import WARM, arrow_map, prepare, table, tidy
 from lodestack.llm._tokens import PIECE, mix, run_hashes
 
 #: Bytes (estimated) of each of the memo's two generations, characters of a pre-token that may be kept in it, matches worked on at once.
-MEMO_BYTES, KEPT, SLICE = 24 << 20, 48, 1 << 14
+MEMO_BYTES, KEPT, SLICE = 56 << 20, 48, 1 << 14
+#: Characters of a text whose matches are listed at once.
+LONG = 1 << 19
+#: Digest of an empty text.
+NOTHING = hashlib.sha256().hexdigest()
 #: Bytes that a memo entry takes besides its characters and ids: two objects and a place in the table.
 ENTRY = 140
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -183,41 +187,63 @@ class ByteBpe:
         self.held += held
         return apart
 
-    def encode_slices(self, text: str) -> Iterator[list[int]]:
-        """Ids of the text, in slices of its pre-tokens."""
-        if len(text) <= SLICE:
-            parts = iter([self.find.findall(text)])
-        else:
-            it = (m.group() for m in self.find.finditer(text))
-            parts = iter(lambda: list(islice(it, SLICE)), [])
-        for tokens in parts:
-            if self.held > MEMO_BYTES:  # what is still in use moves on to the new memo, the rest is forgotten
-                self.memo, self.older, self.held = {}, self.memo, 0
-            apart = self.resolve(set(tokens).difference(self.memo))
-            memo = self.memo
-            got = b"".join([memo[t] if t in memo else apart[t] for t in tokens] if apart else [memo[t] for t in tokens])
-            yield np.frombuffer(got, np.uint32).tolist()
+    def encode_slices(self, texts: Iterable[str]) -> Iterator[tuple[int, list[int]]]:
+        """(number of the text, ids), in slices: one for each text, several for a long one, none where it has no tokens."""
+        held: list[tuple[int, list[str]]] = []  # pre-tokens of some texts, resolved together
+        n = 0
+        for k, text in enumerate(texts):
+            if len(text) <= LONG:
+                tokens = self.find.findall(text)
+                parts = iter([tokens] if len(tokens) <= SLICE else [tokens[i : i + SLICE] for i in range(0, len(tokens), SLICE)])
+            else:
+                it = (m.group() for m in self.find.finditer(text))
+                parts = iter(lambda: list(islice(it, SLICE)), [])
+            for tokens in parts:
+                held.append((k, tokens))
+                n += len(tokens)
+                if n >= SLICE:
+                    yield from self._resolved(held)
+                    held, n = [], 0
+        yield from self._resolved(held)
+
+    def _resolved(self, held: list[tuple[int, list[str]]]) -> Iterator[tuple[int, list[int]]]:
+        if self.held > MEMO_BYTES:  # what is still in use moves on to the new memo, the rest is forgotten
+            self.memo, self.older, self.held = {}, self.memo, 0
+        apart = self.resolve(set().union(*(tokens for _, tokens in held)).difference(self.memo))
+        known = self.memo.__getitem__ if not apart else (lambda t, memo=self.memo: memo[t] if t in memo else apart[t])
+        for k, tokens in held:
+            if tokens:
+                yield k, np.frombuffer(b"".join(map(known, tokens)), np.uint32).tolist()
 
     def encode(self, text: str) -> list[int]:
-        return [i for part in self.encode_slices(text) for i in part]
+        return [i for _, part in self.encode_slices([text]) for i in part]
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        text_of = self.text_of
-        return b"".join([text_of[i] for i in ids])
+        return b"".join(map(self.text_of.__getitem__, ids))
+
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """(number of ids, sha256 of the ids in decimal joined by spaces, sha256 of the decoded bytes) of each text."""
+        out, at = [(0, NOTHING, NOTHING)] * len(texts), -1
+        for k, ids in self.encode_slices(texts):
+            if k != at:
+                at, n, a, b = k, 0, hashlib.sha256(), hashlib.sha256()
+            a.update((" " * (n > 0) + " ".join(map(self.decimal.__getitem__, ids))).encode())
+            b.update(self.decode(ids))
+            n += len(ids)
+            out[k] = n, a, b
+        return [(n, a, b) if n == 0 else (n, a.hexdigest(), b.hexdigest()) for n, a, b in out]
+
+
+#: Encoders of this process by name: a Python worker that is used again keeps what it has resolved, until another stage uses it.
+_LIVE: dict = {}
 
-    def digests(self, text: str) -> tuple[int, str, str]:
-        """(number of ids, sha256 of the ids in decimal joined by spaces, sha256 of the decoded bytes)."""
-        n, a, b, decimal = 0, hashlib.sha256(), hashlib.sha256(), self.decimal
-        for ids in self.encode_slices(text):
-            if ids:
-                a.update((" " * (n > 0) + " ".join([decimal[i] for i in ids])).encode())
-                b.update(self.decode(ids))
-                n += len(ids)
-        return n, a.hexdigest(), b.hexdigest()
 
+def _forget() -> None:
+    for bpe in _LIVE.values():
+        bpe.memo, bpe.older, bpe.held = {}, {}, 0
 
-#: Encoders of this process by name: a Python worker that is used again keeps what it has resolved.
-_LIVE: dict = {}
+
+WARM["byte_bpe"] = _forget
 
 
 def _revived(name: str, state: dict) -> ByteBpe:
@@ -255,11 +281,11 @@ def encode_digests(docs: DataFrame, bpe: ByteBpe, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [bpe.digests(t) for t in b.column("body").to_pylist()]
+            got = bpe.digests(b.column("body").to_pylist())
             yield pa.record_batch([b.column("doc_id"), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    return arrow_map(base, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(base, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", warm="byte_bpe")
 
 
 def public_bpe() -> ByteBpe:

@@ -46,9 +46,10 @@ def test_slices_and_memo(pair, monkeypatch):
     monkeypatch.setattr(byte_bpe, "SLICE", 7)
     monkeypatch.setattr(byte_bpe, "MEMO_BYTES", 900)
     t = "the quick brown foxes jumpinggg over thhhe lazy dogs " * 9
-    n, ids, text = bpe.digests(t)
-    want = library.encode_ordinary(t)
-    assert (n, ids, text) == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    texts = [t, "", "a", t[:30], "\n", "", t]
+    for x, got in zip(texts, bpe.digests(texts)):
+        want = library.encode_ordinary(x)
+        assert got == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest(), hashlib.sha256(x.encode()).hexdigest())
 
 
 def test_memo_is_bounded_by_bytes(pair):
