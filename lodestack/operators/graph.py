@@ -2,47 +2,129 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestack.functions.arrays import let, scan
 from lodestack.operators.relational import ranked
-from lodestack.shared import dropped, written
+from lodestack.operators.search import search_symbol_text
+from lodestack.shared import written
 
 
-def traverse(nodes: DataFrame, edges: DataFrame, start: DataFrame, max_depth: int = 2, max_nodes: int = 50, direction: str = "outgoing", mode: str = "expand") -> DataFrame:
-    """Bounded breadth-first search: node, depth, rank; at most max_nodes rows, `truncated` when more were reached.
+@dataclass
+class Traversal:
+    """Nodes in the order they were reached, edges in the order they were followed, the depth reached and whether a cap cut it."""
+
+    nodes: list[tuple]  # node, depth
+    edges: list[tuple]  # edge_id, source, target
+    reached_depth: int
+    truncated: bool
+
 
-    nodes: node; edges: edge_id, source, target; start: node. A level's nodes are ordered by the rank of
-    the parent that finds them first and then by edge id. mode "strict" returns incoming edges' sources only
-    for outgoing steps, as an index that follows targets alone would; "expand" follows sources as well.
-    The frontier is capped with the result, so every level joins at most max_nodes rows with the edges.
+def walk(nodes: DataFrame, edges: DataFrame, start: list, max_depth: int = 2, max_nodes: int = 50, direction: str = "outgoing", mode: str = "expand") -> Traversal:
+    """Bounded first-in-first-out traversal. nodes: node; edges: edge_id, source, target.
+
+    A level is one filtered read of the edges and one of the nodes: the frontier has max_nodes ids at most, so it goes
+    into the filters as literals, and max_nodes edges of a node at most come back. Outgoing edges follow edge id,
+    incoming ones source and edge id. As a node is taken, max(1, max_nodes - nodes so far) of its edges count. Ids
+    that are no nodes are skipped. mode "expand" goes on to the sources of incoming edges; "strict" lists these edges
+    without going there.
     """
-    links = []
-    if direction in ("outgoing", "both"):
-        links.append(edges.select("edge_id", F.col("source").alias("a"), F.col("target").alias("b")))
-    if direction in ("incoming", "both") and mode == "expand":
-        links.append(edges.select("edge_id", F.col("target").alias("a"), F.col("source").alias("b")))
-    step = links[0] if links else None
-    for more in links[1:]:
-        step = step.unionByName(more)
-    first = start.select("node").distinct().join(nodes.select("node"), "node", "left_semi")
-    seen = written(ranked(first.withColumn("depth", F.lit(0)), [F.col("node")], max_nodes + 1), "level")
-    level = seen
-    for depth in range(1, max_depth + 1):
-        if step is None:
+
+    def of(frontier: list, near: str, far: str, order: list[str]) -> DataFrame:
+        own = edges.where(F.col(near).isin(frontier))
+        nth = F.row_number().over(Window.partitionBy(near).orderBy(*order))
+        return own.withColumn("_nth", nth).where(F.col("_nth") <= max_nodes).select(F.col(near).alias("near"), F.col(far).alias("far"), "edge_id", "source", "target", "_nth", F.lit(near == "target").alias("back"))
+
+    known: dict = {}
+
+    def exist(ids: set) -> None:
+        new = [i for i in ids if i is not None and i not in known]
+        found = {r[0] for r in nodes.where(F.col("node").isin(new)).select("node").distinct().collect()} if new else set()  # at most as many as asked
+        known.update({i: i in found for i in new})
+
+    exist(set(start))
+    level = [i for i in dict.fromkeys(start) if known.get(i)]
+    reached, out, seen_edges, taken, cut = [], [], set(), set(), False
+    for depth in range(max_depth + 1):
+        if not level:
             break
-        own = F.broadcast(level.select(F.col("node").alias("a"), F.col("rank").alias("parent")))  # max_nodes + 1 rows at most
-        found = step.where("b IS NOT NULL").join(own, "a").groupBy(F.col("b").alias("node")).agg(F.min(F.struct("parent", "edge_id")).alias("by"))
-        found = found.join(F.broadcast(seen.select("node")), "node", "left_anti").join(nodes.select("node"), "node", "left_semi")
-        have = seen.count()
-        level = ranked(found.select("node", F.lit(depth).alias("depth"), "by"), [F.col("by.parent"), F.col("by.edge_id"), F.col("node")], max(0, max_nodes + 1 - have)).select("node", "depth", (F.col("rank") + have).alias("rank"))
-        level = written(level, "level")
-        seen = seen.unionByName(level)
-        if have >= max_nodes + 1 or level.isEmpty():
+        by: dict = {}
+        if depth < max_depth:
+            ids = level[: max_nodes + 1]
+            parts = [of(ids, "source", "target", ["edge_id"])] if direction in ("outgoing", "both") else []
+            parts += [of(ids, "target", "source", ["source", "edge_id"])] if direction in ("incoming", "both") else []
+            rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+            for r in sorted(rows.collect(), key=lambda r: (r["back"], r["_nth"])):
+                by.setdefault(r["near"], []).append(r)
+            exist({r["far"] for rs in by.values() for r in rs})
+        following = []
+        for i in level:
+            if len(reached) >= max_nodes:
+                cut = True
+                break
+            if i in taken:
+                continue
+            taken.add(i)
+            reached.append((i, depth))
+            most = max(1, max_nodes - len(reached))
+            counts = {False: 0, True: 0}
+            for r in by.get(i, []):
+                counts[r["back"]] += 1
+                if counts[r["back"]] > most:
+                    continue
+                if r["edge_id"] not in seen_edges:
+                    seen_edges.add(r["edge_id"])
+                    out.append((r["edge_id"], r["source"], r["target"]))
+                if known.get(r["far"]) and r["far"] not in taken and (not r["back"] or mode == "expand"):
+                    following.append(r["far"])
+        if cut:
             break
-    every = Window.partitionBy()
-    return seen.withColumn("truncated", F.max("rank").over(every) > max_nodes).where(F.col("rank") <= max_nodes)
+        level = following
+    return Traversal(reached, out, max((d for _, d in reached), default=0), cut)
+
+
+def traverse(nodes: DataFrame, edges: DataFrame, start: DataFrame, max_depth: int = 2, max_nodes: int = 50, direction: str = "outgoing", mode: str = "expand") -> DataFrame:
+    """node, depth, rank and truncated of walk(); start: node, at most max_nodes + 1 of them are looked at."""
+    ids = [r[0] for r in start.select("node").distinct().orderBy("node").limit(max_nodes + 1).collect()]
+    t = walk(nodes, edges, ids, max_depth, max_nodes, direction, mode)
+    return edges.sparkSession.createDataFrame([(n, d, k, t.truncated) for k, (n, d) in enumerate(t.nodes, 1)], f"node {dict(nodes.dtypes)['node']}, depth int, rank long, truncated boolean")
+
+
+def traversed_edges(nodes: DataFrame, edges: DataFrame, start: list, **options) -> DataFrame:
+    """edge_id, source, target, rank and reached_depth of walk(): the edges that it followed, in order."""
+    t, types = walk(nodes, edges, start, **options), dict(edges.dtypes)
+    return edges.sparkSession.createDataFrame([(*e, k, t.reached_depth) for k, e in enumerate(t.edges, 1)], f"edge_id {types['edge_id']}, source {types['source']}, target {types['target']}, rank long, reached_depth int")
+
+
+def impact(nodes: DataFrame, edges: DataFrame, start, max_depth: int = 2, max_nodes: int = 50, direction: str = "both", missing: DataFrame | None = None) -> DataFrame:
+    """One row: what a change to a node may reach, and how far that can be trusted.
+
+    nodes: node, path, evidence_kinds (array); edges: edge_id, source, target, provenance, confidence. missing: paths
+    that are gone; when the traversal touches one, the row is empty with confidence low/empty and stale true.
+    Raises KeyError when there is no such node.
+    """
+    t = walk(nodes, edges, [start], max_depth, max_nodes, direction)
+    if not t.nodes:
+        raise KeyError(start)
+    spark = nodes.sparkSession
+    own = nodes.where(F.col("node").isin([n for n, _ in t.nodes])).select("node", "path", "evidence_kinds")
+    kinds = own.agg(F.count(F.lit(1)).alias("symbols"), F.array_sort(F.collect_set("path")).alias("files"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_kinds")))).alias("evidence_kinds"))
+    used = edges.where(F.col("edge_id").isin([e[0] for e in t.edges])).agg(F.count(F.lit(1)).alias("edges"), F.coalesce(F.bool_or(F.col("provenance").contains("cloudformation")), F.lit(False)).alias("cf"), F.coalesce(F.bool_or(F.col("confidence") < 0.7), F.lit(False)).alias("low"))
+    stale = F.lit(False)
+    if missing is not None:
+        stale = F.lit(not own.join(missing.select("path"), "path", "left_semi").isEmpty())
+    both = kinds.join(used, F.lit(True))  # one row each
+    level = F.when(stale | (F.col("edges") == 0), "low/empty").when(F.size("files") <= 1, "low/local_only").when(F.col("cf") | F.col("low"), "low/graph").when(F.lit(t.truncated), "medium/graph").otherwise("high/graph")
+    shown = F.when((F.col("edges") > 0) & (F.size("files") > 1) & F.col("cf"), F.array(F.lit("config"), F.lit("infra_parser"))).otherwise(F.col("evidence_kinds"))
+    void = F.array().cast("array<string>")
+    return both.select(
+        F.lit(start).alias("start"), F.when(stale, F.lit(0)).otherwise(F.col("symbols")).cast("long").alias("symbols"), F.when(stale, void).otherwise(F.col("files")).alias("files"), F.when(stale, F.lit(0)).otherwise(F.col("edges")).cast("long").alias("edges"),
+        F.when(stale, F.lit(0)).otherwise(F.lit(t.reached_depth)).alias("reached_depth"), F.lit(t.truncated).alias("truncated"), level.alias("confidence"), F.when(stale, void).otherwise(shown).alias("evidence_kinds"), stale.alias("stale"),
+    )
 
 
 def impact_confidence(edges: DataFrame, key: list[str], file: str, provenance: str, confidence: str, truncated: Column) -> DataFrame:
@@ -68,6 +150,23 @@ def search_symbols(nodes: DataFrame, query: str, languages: list[str] | None = N
     return top.withColumn("exact_miss", miss).where(F.col("exact_miss") | (F.col("match") < 10))
 
 
+def find_symbols(nodes: DataFrame, query: str, languages: list[str] | None = None, k: int = 20) -> DataFrame:
+    """node_id, name, path, match, rank, exact_miss: exact names, else exact names of resource-backed symbols, else full text.
+
+    nodes: node_id, name, qualified_name, language, path, signature, docstring, resource_backed (boolean). A language
+    filter does not hold back resource-backed symbols, whose language is that of their template.
+    """
+    cols = ["node_id", "name", "path", "match", "rank", "exact_miss"]
+    exact = search_symbols(nodes, query, languages, k).where(~F.col("exact_miss"))
+    if not exact.isEmpty():
+        return exact.select(*cols)
+    backed = search_symbols(nodes.where(F.coalesce("resource_backed", F.lit(False))), query, None, k).where(~F.col("exact_miss"))
+    if not backed.isEmpty():
+        return backed.select(*cols)
+    own = nodes if not languages else nodes.where(F.col("language").isin(languages))
+    return search_symbol_text(own, query, k).select("node_id", "name", "path", F.lit(10).alias("match"), "rank", F.lit(True).alias("exact_miss"))
+
+
 #: Kinds of node that a reference of a kind may mean; other kinds of reference may mean any.
 FITS = {
     "type": (("inheritance", "include", "extend", "prepend", "model_dsl"), ("class", "module")),
@@ -122,21 +221,20 @@ def resolve_references(refs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def lexical_references(docs: DataFrame, ident: str, text: str, word: str, id_out: str = "path") -> DataFrame:
-    """Occurrences of an identifier: id, line from 1, column from 0; lines are split once, positions are running lengths."""
-    edge = f"(?<![A-Za-z0-9_]){word}(?![A-Za-z0-9_])"
+    """Occurrences of an identifier: id, line from 1, column from 0. The identifier means itself, whatever characters it has.
+
+    Lines are split once; columns are running sums over the pieces between occurrences, so the work is in proportion to the text.
+    """
+    edge = "(?<![A-Za-z0-9_])" + quoted(word) + "(?![A-Za-z0-9_])"
     lines = docs.where(F.col(text).contains(word)).select(F.col(ident).alias(id_out), F.posexplode(F.split(text, "\r?\n")).alias("n", "line_text")).where(F.col("line_text").contains(word))
-    parts = F.split("line_text", edge, -1)
-    ends = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.aggregate(F.slice(parts, F.lit(1), k), F.lit(0), lambda a, p: a + F.char_length(p)) + (k - 1) * len(word))
-    hits = lines.withColumn("at", F.when(F.size(parts) > 1, ends)).where("at IS NOT NULL")
-    return hits.select(id_out, (F.col("n") + 1).alias("line"), F.explode("at").alias("col"))
-
-
-def merge_routes(outgoing: DataFrame, incoming: DataFrame, unresolved: DataFrame, lexical: DataFrame, order: list[str], n: int) -> DataFrame:
-    """References by route, the first route that has any leading; the lexical one only when the others are empty."""
-    graph = outgoing.withColumn("route", F.lit(0)).unionByName(incoming.withColumn("route", F.lit(1))).unionByName(unresolved.withColumn("route", F.lit(2)))
-    some = graph.agg(F.count(F.lit(1)).alias("_n"))
-    rest = lexical.withColumn("route", F.lit(3)).join(F.broadcast(some), F.col("_n") == 0).drop("_n")
-    return ranked(graph.unionByName(rest), [F.col("route"), *map(F.col, order)], n)
+    lengths = F.transform(F.split("line_text", edge, -1), F.char_length)
+    at = let(scan(lengths, lambda x, y: x + y), lambda ends: F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda e, k: e + k * len(word)))
+    return lines.select(id_out, (F.col("n") + 1).alias("line"), F.explode(at).alias("col"))
+
+
+def quoted(word: str) -> str:
+    """Regular expression of a word that means itself."""
+    return "\\Q" + word.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
 def _numbered(df: DataFrame, order: list[Column]) -> DataFrame:

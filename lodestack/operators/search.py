@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,29 +15,97 @@ BANDS = ["exact_document_phrase", "all_query_tokens_title_or_heading", "all_quer
 CANDIDATES = 500
 
 
-def bm25(docs: DataFrame, fields: dict[str, float], terms: list[str], tokens=T.tokens) -> DataFrame:
-    """docs with `score`, the weighted BM25 of terms over the fields; only rows that hold a term.
+def _hits(text: Column, term: str, prefix: bool) -> Column:
+    """Occurrences of a term as a token, or as the beginning of one; texts that do not contain it are told without a search."""
+    low = F.lower(text)
+    regex = f"(?<![a-z0-9_]){term}" + ("" if prefix else "(?![a-z0-9_])")
+    return F.when(low.contains(term), F.regexp_count(low, F.lit(regex))).otherwise(F.lit(0))
+
 
-    A row's counts are computed in place; the corpus gives one row of sums (count, mean lengths and
-    document frequencies) that joins back, so no postings are shuffled however large the corpus is.
+def bm25(docs: DataFrame, fields: dict[str, float], terms: list[str], prefix: bool = False, every: bool = False) -> DataFrame:
+    """docs with `score` (one of that name is replaced), the weighted BM25 of terms over the fields; only rows that hold a term.
+
+    prefix: a term stands for all tokens that it begins; every: rows must hold every term. Two passes, and no array of
+    tokens in either: one row of sums over the corpus comes back first (count, mean length, document frequencies);
+    then only rows that contain a term are counted again. Terms are tokens: letters, digits, underscores. For many queries on
+    one corpus, use TermIndex.
     """
-    out = docs.select("*", *(tokens(F.col(f)).alias(f"_t_{f}") for f in fields))
-    count = lambda f, t: F.size(F.filter(f"_t_{f}", lambda x: x == t))
-    out = out.select(*docs.columns, *(F.size(f"_t_{f}").alias(f"_len_{f}") for f in fields), *(count(f, t).alias(f"_tf_{f}_{i}") for f in fields for i, t in enumerate(terms)))
-    any_of = lambda i: sum((F.col(f"_tf_{f}_{i}") for f in fields), F.lit(0)) > 0
-    stats = out.agg(F.count(F.lit(1)).alias("_n"), *(F.avg(f"_len_{f}").alias(f"_avg_{f}") for f in fields), *(F.count_if(any_of(i)).alias(f"_df_{i}") for i in range(len(terms))))
-    scored = out.join(F.broadcast(stats), F.lit(True))  # one row
+    holds = lambda t: sum((_hits(F.col(f), t, prefix) for f in fields), F.lit(0)) > 0
+    length = sum((F.coalesce(F.regexp_count(F.lower(F.col(f)), F.lit("[a-z0-9_]+")), F.lit(0)) for f in fields), F.lit(0))
+    base = docs.select(*[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in fields])
+    g = base.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("mean"), *(F.count_if(holds(t)).alias(f"df_{i}") for i, t in enumerate(terms))).first()
+    tests = [holds(t) for t in terms]
+    any_, all_ = F.lit(False), F.lit(True)
+    for t in tests:
+        any_, all_ = any_ | t, all_ & t
     total = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.greatest(F.log((F.col("_n") - F.col(f"_df_{i}") + 0.5) / (F.col(f"_df_{i}") + 0.5)), F.lit(LEAST_IDF))
-        tf = sum((F.col(f"_tf_{f}_{i}") * w for f, w in fields.items()), F.lit(0.0))
-        length = sum((F.col(f"_len_{f}") for f in fields), F.lit(0))
-        mean = sum((F.col(f"_avg_{f}") for f in fields), F.lit(0.0))
-        total = total + idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * length / mean))
-    hit = F.lit(False)
-    for i in range(len(terms)):
-        hit = hit | any_of(i)
-    return scored.where(hit).select(*docs.columns, total.alias("score"))
+    for i, t in enumerate(terms):
+        idf = max(math.log((g["n"] - g[f"df_{i}"] + 0.5) / (g[f"df_{i}"] + 0.5)), LEAST_IDF)
+        tf = sum((_hits(F.coalesce(F.col(f).cast("string"), F.lit("")), t, prefix) * w for f, w in fields.items()), F.lit(0.0))
+        total = total + idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * length / (g["mean"] or 1.0)))
+    keep = [c for c in docs.columns if c != "score"]
+    return docs.where((all_ if every else any_) & F.lit(bool(terms))).select(*keep, total.alias("score"))
+
+
+def _in_field(i: int):
+    return lambda x: F.struct(x.alias("term"), F.lit(i).alias("field"))
+
+
+class TermIndex:
+    """Inverted index of a corpus in a folder: postings sorted by term, so a query reads the row groups of its terms alone.
+
+    Built once for each snapshot. postings: term, key, len (tokens of the row), one count for each field; stats: one row.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, fields: list[str]):
+        self.spark, self.folder, self.fields = spark, folder.rstrip("/"), fields
+
+    @classmethod
+    def build(cls, docs: DataFrame, key: str, fields: list[str], folder: str) -> TermIndex:
+        out = cls(docs.sparkSession, folder, fields)
+        toks = {f: T.tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields}
+        rows = docs.select(F.col(key).alias("key"), *(t.alias(f"t{i}") for i, t in enumerate(toks.values())))
+        rows = rows.withColumn("len", sum((F.size(f"t{i}") for i in range(len(fields))), F.lit(0)))
+        rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).write.mode("overwrite").parquet(f"{out.folder}/stats")
+        marked = F.flatten(F.array(*(F.transform(f"t{i}", _in_field(i)) for i in range(len(fields)))))
+        flat = rows.select("key", "len", F.explode(marked).alias("p")).select("p.term", "key", "len", "p.field")
+        post = flat.groupBy("term", "key", "len").agg(*(F.count_if(F.col("field") == i).cast("int").alias(f"f{i}") for i in range(len(fields))))
+        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        post.repartitionByRange(n, "term", "key").sortWithinPartitions("term", "key").write.mode("overwrite").parquet(f"{out.folder}/postings")
+        return out
+
+    def search(self, terms: list[str], weights: list[float], prefix: bool = False, every: bool = False) -> DataFrame:
+        """key, score: as bm25."""
+        post = self.spark.read.parquet(f"{self.folder}/postings")
+        g = self.spark.read.parquet(f"{self.folder}/stats").first()
+        hit = F.lit(False)
+        for t in terms:
+            hit = hit | (F.col("term").startswith(t) if prefix else F.col("term") == t)
+        tf = sum((F.col(f"f{i}") * w for i, w in enumerate(weights)), F.lit(0.0))
+        own = post.where(hit).select("key", "len", "term", tf.alias("tf"))
+        match = [F.col("term").startswith(t) if prefix else F.col("term") == t for t in terms]
+        by = own.groupBy("key", "len").agg(*(F.coalesce(F.sum(F.when(m, F.col("tf"))), F.lit(0.0)).alias(f"tf_{i}") for i, m in enumerate(match)), *(F.coalesce(F.bool_or(m), F.lit(False)).alias(f"has_{i}") for i, m in enumerate(match)))
+        df = by.agg(*(F.count_if(F.col(f"has_{i}")).alias(f"df_{i}") for i in range(len(terms))))
+        scored = by.join(F.broadcast(df), F.lit(True))  # one row
+        total = F.lit(0.0)
+        for i in range(len(terms)):
+            idf = F.greatest(F.log((F.lit(g["n"]) - F.col(f"df_{i}") + 0.5) / (F.col(f"df_{i}") + 0.5)), F.lit(LEAST_IDF))
+            total = total + idf * (F.col(f"tf_{i}") * (K1 + 1)) / (F.col(f"tf_{i}") + K1 * (1 - B + B * F.col("len") / (g["mean"] or 1.0)))
+        if every:
+            for i in range(len(terms)):
+                scored = scored.where(F.col(f"has_{i}"))
+        return scored.select("key", total.alias("score"))
+
+
+#: Fields of a symbol and their weights in its full-text search.
+SYMBOL_FIELDS = {"name": 8.0, "qualified_name": 7.0, "signature": 3.0, "docstring": 2.0}
+
+
+def search_symbol_text(nodes: DataFrame, query: str, k: int = 50) -> DataFrame:
+    """Symbols in which every term begins some token, with `score` and `rank`: by score, then name and node_id."""
+    terms = T.symbol_terms(query)
+    hits = bm25(nodes, SYMBOL_FIELDS, terms, prefix=True, every=True) if terms else nodes.withColumn("score", F.lit(0.0)).limit(0)
+    return ranked(hits.withColumn("score", F.round("score", 6)), [F.desc("score"), F.asc("name"), F.asc("node_id")], k)
 
 
 def _starts(prefix: str):
@@ -136,6 +206,22 @@ class Universes:
         fs, p = self._path(universe_id)
         return fs.exists(p)
 
+    def purge(self, now: str) -> list[str]:
+        """Deletes expired universes; gives their ids. Headers are one row each."""
+        fs, p = self._path("")
+        names = [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
+        gone = []
+        for name in sorted(names):
+            if self._exists(f"{name}/header") and self.spark.read.parquet(f"{self.folder}/{name}/header").select((F.col("expires_at") <= F.lit(now).cast("timestamp")).alias("gone")).first()["gone"]:
+                self.delete(name)
+                gone.append(name)
+        return gone
+
+    def size(self, universe_id: str) -> int:
+        if not self._exists(universe_id):
+            raise KeyError(universe_id)
+        return self.spark.read.parquet(f"{self.folder}/{universe_id}/header").first()["n"]
+
     def delete(self, universe_id: str) -> None:
         fs, p = self._path(universe_id)
         fs.delete(p, True)

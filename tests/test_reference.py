@@ -154,10 +154,6 @@ def test_graph(spark):
     s = G.search_symbols(nodes, "RUN")
     assert [(r["node_id"], r["match"]) for r in s.orderBy("rank").collect()] == [("1", 2), ("2", 2)]
     assert all(r["exact_miss"] for r in G.search_symbols(nodes, "pe").collect())
-    empty = spark.createDataFrame([], "path string, line int")
-    some = spark.createDataFrame([("b", 1), ("a", 2)], "path string, line int")
-    assert [r["route"] for r in G.merge_routes(empty, empty, empty, some, ["path", "line"], 9).collect()] == [3, 3]
-    assert [r["route"] for r in G.merge_routes(empty, some, empty, some, ["path", "line"], 9).collect()] == [1, 1]
 
 
 def test_documents(spark):
