@@ -13,7 +13,7 @@ from lodestack.shared import dropped, shared_dir, written  # noqa: F401
 from lodestack.shipping import ship
 
 #: Rows and bytes of an Arrow batch handed to Python: a batch of long texts stays small.
-ARROW_ROWS, ARROW_BYTES = 400, 16 << 20
+ARROW_ROWS, ARROW_BYTES = 400, 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
