@@ -8,9 +8,31 @@ from pyspark.sql import functions as F
 FRONT_KEYS = ["status", "doc_type", "last_reviewed", "authority", "canonical_owner", "superseded_by", "review_after", "applies_to"]
 # Status words of a front block.
 STATUS_WORDS = {
-    "current": "current accepted active published", "draft": "draft proposed proposal review", "historical": "historical historic history", "legacy": "legacy deprecated obsolete superseded retired",
-    "archived": "archived archive closed", "template": "template", "sample": "sample example fixture",
-}
+    "current": ["current", "accepted", "active", "published"],
+    "draft": ["draft", "proposed", "proposal", "review"],
+    "historical": ["historical", "historic", "history"],
+    "legacy": ["legacy", "deprecated", "obsolete", "superseded", "retired"],
+    "archived": ["archived", "archive", "closed"],
+    "template": ["template"],
+    "sample": ["sample", "example", "fixture"],
+}
+# Where a document shows its status, in the order in which the places are looked at: place, expression, status.
+STATUS_RULES = [
+    ("path", r"(^|/)(archive|archived)(/|$)", "archived"),
+    ("path", r"(^|/)(history|historical|updates|changelog|evaluations?)(/|$)", "historical"),
+    ("all", r"(^|[-_/])(legacy|deprecated|obsolete|superseded|retired)([-_/]|$)", "legacy"),
+    ("path", r"(^|/)(templates?|boilerplate)(/|$)", "template"),
+    ("title", r"(^|\s)template($|\s)", "template"),
+    ("path", r"(^|/)(samples?|examples?|fixtures?)(/|$)", "sample"),
+    ("text", r"(^|\n)status:\s*(draft|proposed|proposal|review)\b", "draft"),
+    ("path", r"^(readme|agents)\.md$", "current"),
+    ("path", r"(^|/)skills/", "current"),
+    ("path", r"^docs/specs/", "draft"),
+    ("path", r"^docs/(architecture|design|requirements|security|runbook|guide)\.md$", "current"),
+    ("path", r"^docs/(adr|api|architecture|checklists|data-flow|design|guides|requirements|runbooks|security)/", "current"),
+]
+# Points of a path.
+PATH_POINTS = [(r"^readme\.md$", 1.5), (r"(^|/)(reference|design|specs?)(/|$)", 1.25), (r"(^|/)(templates?|examples?)(/|$)", -2.0), (r"(^|/)(ai-agent|agents)(/|$)", -0.75)]
 AUTHORITY_PRIORITY = {"current": 6, "unknown": 0, "draft": -3, "historical": -5, "template": -8, "sample": -8, "legacy": -10, "archived": -10}
 CURRENCY_PRIORITY = {"current": 6, "unknown": 0, "stale": -3, "historical": -6, "superseded": -12}
 
@@ -37,26 +59,20 @@ def _map(value: Column, table: dict, other) -> Column:
 
 
 def status(path: Column, title: Column, content: Column, declared: Column) -> Column:
-    """Declared status where it is a known word; else ordered path, title and text rules."""
-    word = F.lower(unquoted(declared))
+    """Declared status where it is a known word; else ordered path, title and text rules.
+
+    Without a declaration, a line of the text that begins with "status:" declares.
+    """
+    line = F.nullif(F.trim(F.regexp_extract(F.lower(F.substring(F.coalesce(content, F.lit("")), 1, 4000)), r"(?m)^status:[ \t]*([^\r\n]+)$", 1)), F.lit(""))
+    word = F.lower(unquoted(F.coalesce(declared, line)))
     known = None
     for name, words in STATUS_WORDS.items():
-        known = F.when(word.isin(words.split()), name) if known is None else known.when(word.isin(words.split()), name)
+        known = F.when(word.isin(words), name) if known is None else known.when(word.isin(words), name)
     low, head, body = F.lower(path), F.lower(F.coalesce(title, F.lit(""))), F.lower(F.substring(F.coalesce(content, F.lit("")), 1, 4000))
-    joined = F.concat_ws("\n", low, head, F.substring(body, 1, 1000))
-    rules = (
-        F.when(low.rlike(r"(^|/)(archive|archived)(/|$)"), "archived")
-        .when(low.rlike(r"(^|/)(history|historical|updates|changelog|evaluations?)(/|$)"), "historical")
-        .when(joined.rlike(r"(^|[-_/])(legacy|deprecated|obsolete|superseded|retired)([-_/]|$)"), "legacy")
-        .when(low.rlike(r"(^|/)(templates?|boilerplate)(/|$)") | head.rlike(r"(^|\s)template($|\s)"), "template")
-        .when(low.rlike(r"(^|/)(samples?|examples?|fixtures?)(/|$)"), "sample")
-        .when(body.rlike(r"(^|\n)status:\s*(draft|proposed|proposal|review)\b"), "draft")
-        .when(low.isin("readme.md", "agents.md") | low.rlike(r"(^|/)skills/"), "current")
-        .when(low.startswith("docs/specs/"), "draft")
-        .when(low.rlike(r"^docs/(architecture|design|requirements|security|runbook|guide)\.md$"), "current")
-        .when(low.rlike(r"^docs/(adr|api|architecture|checklists|data-flow|design|guides|requirements|runbooks|security)/"), "current")
-        .otherwise("unknown")
-    )
+    places = {"path": low, "title": head, "text": body, "all": F.concat_ws("\n", low, head, F.substring(body, 1, 1000))}
+    rules = F.lit("unknown")
+    for place, regex, name in reversed(STATUS_RULES):
+        rules = F.when(places[place].rlike(regex), name).otherwise(rules)
     return F.coalesce(known, rules)
 
 
@@ -68,6 +84,11 @@ def authority_priority(state: Column) -> Column:
     return _map(state, AUTHORITY_PRIORITY, 0)
 
 
+def priority_of(state: Column) -> Column:
+    """Points of a currency state."""
+    return _map(state, CURRENCY_PRIORITY, 0)
+
+
 def currency(path: Column, state: Column, owner: Column, superseded_by: Column, review_after: Column, mapped_owner: Column, now: str) -> Column:
     """struct(state, priority). owner: declared canonical owner; mapped_owner: owner that the documentation map names; now: a timestamp."""
     start = F.when(state == "current", "current").when(state.isin("historical", "archived", "legacy"), "historical").otherwise("unknown")
@@ -87,6 +108,6 @@ def currency(path: Column, state: Column, owner: Column, superseded_by: Column,
 def path_boost(path: Column) -> Column:
     low = F.lower(path)
     out = F.lit(0.0)
-    for regex, points in ((r"^readme\.md$", 1.5), (r"(^|/)(reference|design|specs?)(/|$)", 1.25), (r"(^|/)(templates?|examples?)(/|$)", -2.0), (r"(^|/)(ai-agent|agents)(/|$)", -0.75)):
+    for regex, points in PATH_POINTS:
         out = out + F.when(low.rlike(regex), points).otherwise(0.0)
     return out

@@ -68,9 +68,13 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9\s-]", "")), r"\s+", "-")
 
 
+#: Characters between words of a normalised text.
+GAP = r"[\p{P}\p{S}\p{Z}\s]"
+
+
 def normalised(text: Column) -> Column:
-    """Lower-cased with punctuation, symbols and separators as single spaces; see nfkc for compatibility forms."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[\p{P}\p{S}\p{Z}]+", " "), r"\s+", " "))
+    """NFKC form, lower-cased, with punctuation, symbols and separators as single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(nfkc(text)), r"[\p{P}\p{S}\p{Z}]+", " "), r"\s+", " "))
 
 
 def nfkc(text: Column) -> Column:
@@ -80,7 +84,12 @@ def nfkc(text: Column) -> Column:
     def form(values):
         return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
-    return F.when(text.rlike(r"[^\x00-\x7f]"), form(text)).otherwise(text)
+    return F.coalesce(form(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
+
+
+def leading_words(text: Column, n: int) -> Column:
+    """The beginning of a text that holds its first n normalised words, however long the text is."""
+    return F.regexp_extract(text, f"^{GAP}*(?:[^\\p{{P}}\\p{{S}}\\p{{Z}}\\s]+{GAP}*){{0,{n}}}", 0)
 
 
 def concern_key(text: Column) -> Column:

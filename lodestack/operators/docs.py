@@ -108,8 +108,8 @@ def markdown_quality(docs: DataFrame, doc: str, text: str, known_paths: DataFram
     out = out.unionByName(item.where(wrong).select(doc, "line", F.lit("list_numbering").alias("rule"), F.col("num").alias("detail")))
     if known_paths is not None:
         hrefs = lines.select(doc, "line", F.explode(F.regexp_extract_all("s", F.lit(r"\[[^\]]*\]\(([^)\s]+)\)"), F.lit(1))).alias("href")).where(~F.col("href").rlike(r"^([a-z][a-z0-9+.-]*:|#|/)"))
-        at = hrefs.withColumn("path", P.canonical(F.concat_ws("/", F.nullif(P.dirname(F.col(doc)), F.lit("")), F.regexp_replace("href", "[#?].*$", ""))))
-        out = out.unionByName(at.join(known_paths.select("path").distinct(), "path", "left_anti").select(doc, "line", F.lit("broken_relative_link").alias("rule"), F.col("href").alias("detail")))
+        at = hrefs.withColumn("_target", P.canonical(F.concat_ws("/", F.nullif(P.dirname(F.col(doc)), F.lit("")), F.regexp_replace("href", "[#?].*$", ""))))
+        out = out.unionByName(at.join(known_paths.select(F.col("path").alias("_target")).distinct(), "_target", "left_anti").select(doc, "line", F.lit("broken_relative_link").alias("rule"), F.col("href").alias("detail")))
     cells = F.split(F.regexp_replace(F.trim("s"), r"^\||\|$", ""), r"(?<!\\)\|")
     table = lines.where(F.col("s").rlike(r"^\s*\|")).withColumn("n", F.size(cells)).withColumn("run", F.col("line") - F.row_number().over(w)).withColumn("first_n", F.first("n").over(Window.partitionBy(doc, "run").orderBy("line")))
     why = F.when(F.length("s") > LINE, "long line").when(F.exists(cells, lambda c: F.length(F.trim(c)) > CELL), "long cell").when(F.col("n") != F.col("first_n"), "column mismatch")

@@ -135,8 +135,8 @@ def union_candidates(fts: DataFrame, owners: DataFrame, key: str) -> DataFrame:
 
 def resolve_phrases(queries: DataFrame, query_id: str, query: str, terms: DataFrame, term: str, longest: int) -> DataFrame:
     """Every n-gram of a normalised query that equals a term: query_id, term, start, n. An equi-join on n-grams."""
-    words = F.split(T.normalised(F.col(query)), " ")
-    grams = queries.select(F.col(query_id), F.explode(T.ngrams(words, longest)).alias("_g")).select(query_id, "_g.term", "_g.start", "_g.n")
+    words = queries.select(F.col(query_id), F.split(T.normalised(F.col(query)), " ").alias("_words"))
+    grams = words.select(F.col(query_id), F.explode(T.ngrams(F.col("_words"), longest)).alias("_g")).select(query_id, "_g.term", "_g.start", "_g.n")
     return grams.join(terms.select(F.col(term).alias("term")).distinct(), "term").select(query_id, "term", "start", "n")
 
 

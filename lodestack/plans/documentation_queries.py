@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from lodestack.functions import authority as A
 from lodestack.functions import paths as P
 from lodestack.operators import docs as D
+from lodestack.operators import docs_map as DM
 from lodestack.operators import documentation as DOC
 from lodestack.operators import graph as G
+from lodestack.operators import search as S
+from lodestack.plans import planning as PL
+from lodestack.plans.api import Cursors
 from lodestack.plans.relational_queries import FILES_SQL, files, t
 from lodestack.plans.text_queries import _TOK
+from lodestack.shared import filesystem, shared_dir
 from lodestack.streaming import changes as C
 
 Q: dict = {}
@@ -33,12 +41,28 @@ def _markdown(spark, sf_dir):
     return files(spark, sf_dir).where(F.col("path").endswith(".md")).select("path", "file_id", F.concat(F.lit("# H "), first, F.when(i % 2 == 0, "\n### Deep").otherwise(""), F.when(i % 3 == 0, "\n### Deep\n### Deep").otherwise(""), F.lit("\n\n"), rest).alias("text"))
 
 
+def _listed(spark, sf_dir):
+    """Markdown with lists, links and tables that break the rules, by id."""
+    d = F.col("file_id")
+    part = lambda n, text: F.when(d % n == 0, text).otherwise("")
+    body = F.concat(F.lit("---\nstatus: draft\n---\n# T\n"), part(2, "1. one\n3. three\n"), part(3, "[gone](missing.md) [here](" ), F.when(d % 3 == 0, F.concat(P.basename(F.col("path")), F.lit(")\n"))).otherwise(""), part(5, "| a | b |\n| - | - |\n| c |\n"), part(7, "```\n1. x\n5. y\n| q |\n```\n"), F.lit("end\n"))
+    return files(spark, sf_dir).where(F.col("path").endswith(".md")).select("path", "file_id", body.alias("text"))
+
+
 @query(f"""WITH {FILES_SQL}, f AS (SELECT path, file_id, CASE WHEN file_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN file_id % 3 = 0 THEN 2 ELSE 0 END AS deep FROM files WHERE path LIKE '%.md')
 SELECT path, 'required_frontmatter' AS rule, 1::BIGINT AS n FROM f UNION ALL SELECT path, 'skipped_heading_level', 1 FROM f WHERE deep > 0 UNION ALL SELECT path, 'duplicate_heading', deep - 1 FROM f WHERE deep > 1""")
 def markdown_quality(spark, sf_dir):
     d = _markdown(spark, sf_dir)
-    keep = ["required_frontmatter", "skipped_heading_level", "duplicate_heading"]
-    return D.markdown_quality(d, "path", "text").where(F.col("rule").isin(keep)).groupBy("path", "rule").agg(F.count(F.lit(1)).alias("n"))
+    return D.markdown_quality(d, "path", "text", d.select("path")).groupBy("path", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {FILES_SQL}, f AS (SELECT path, file_id FROM files WHERE path LIKE '%.md') SELECT path, 'list_numbering' AS rule, 6 AS line, '3' AS detail FROM f WHERE file_id % 2 = 0
+UNION ALL SELECT path, 'broken_relative_link', 5 + CASE WHEN file_id % 2 = 0 THEN 2 ELSE 0 END, 'missing.md' FROM f WHERE file_id % 3 = 0
+UNION ALL SELECT path, 'table_readability', 7 + CASE WHEN file_id % 2 = 0 THEN 2 ELSE 0 END + CASE WHEN file_id % 3 = 0 THEN 1 ELSE 0 END, 'column mismatch' FROM f WHERE file_id % 5 = 0""")
+def markdown_lists_links_tables(spark, sf_dir):
+    """The rules on lists, relative links and tables."""
+    d = _listed(spark, sf_dir)
+    return D.markdown_quality(d, "path", "text", d.select("path")).select("path", "rule", "line", "detail")
 
 
 @query(f"""WITH {FILES_SQL}, f AS (SELECT path, file_id, string_split(text, chr(10))[1] AS first, CASE WHEN file_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN file_id % 3 = 0 THEN 2 ELSE 0 END AS deep FROM files WHERE path LIKE '%.md')
@@ -51,17 +75,41 @@ _RS_TOK = lambda c: _TOK.format(c)
 _RW = [("path", 7.0), ("title", 9.0), ("body", 1.0)]
 
 
-@query(f"""WITH {FILES_SQL}, d AS (SELECT path, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.md$', '') AS title, text AS body FROM files WHERE path LIKE '%.md' AND NOT starts_with(path, 'tests/fixtures/')),
+_RANKED_SCORES = f"""WITH {FILES_SQL}, d AS (SELECT path, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.md$', '') AS title, text AS body FROM files WHERE path LIKE '%.md' AND NOT starts_with(path, 'tests/fixtures/')),
 k AS (SELECT path, {_RS_TOK('path')} AS p, {_RS_TOK('title')} AS ti, {_RS_TOK('body')} AS b FROM d),
 c AS (SELECT path, len(p) + len(ti) + len(b) AS len, {', '.join(f"len(list_filter(p, lambda x: x = '{w}')) AS p{i}, len(list_filter(ti, lambda x: x = '{w}')) AS t{i}, len(list_filter(b, lambda x: x = '{w}')) AS b{i}" for i, w in enumerate(['apache', 'license', 'design']))} FROM k),
 g AS (SELECT count(*) AS n, avg(len) AS al, {', '.join(f'count(*) FILTER (WHERE p{i} + t{i} + b{i} > 0) AS df{i}' for i in range(3))} FROM c),
-s AS (SELECT path, round({' + '.join(f'greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * (7 * p{i} + 9 * t{i} + b{i}) * 2.2 / ((7 * p{i} + 9 * t{i} + b{i}) + 1.2 * (0.25 + 0.75 * len / al))' for i in range(3))}, 6) AS lexical FROM c, g WHERE {' OR '.join(f'p{i} + t{i} + b{i} > 0' for i in range(3))})
-SELECT path, lexical, lexical IS NOT NULL AS hit FROM s""")
+s AS (SELECT path, round({' + '.join(f'greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * (7 * p{i} + 9 * t{i} + b{i}) * 2.2 / ((7 * p{i} + 9 * t{i} + b{i}) + 1.2 * (0.25 + 0.75 * len / al))' for i in range(3))}, 6) AS lexical FROM c, g WHERE {' OR '.join(f'p{i} + t{i} + b{i} > 0' for i in range(3))})"""
+_RANKED = _RANKED_SCORES + """, m AS (SELECT s.path, s.lexical, d.body, CASE WHEN starts_with(s.path, 'docs/design/') THEN 'canonical' WHEN starts_with(s.path, 'docs/archive/') OR starts_with(s.path, 'examples/') THEN 'non_authoritative' ELSE 'supporting' END AS authority,
+  CASE WHEN starts_with(s.path, 'docs/design/') THEN 'current' WHEN starts_with(s.path, 'docs/archive/') THEN 'historical' ELSE 'unknown' END AS currency FROM s JOIN d USING (path)),
+b AS (SELECT *, string_split(trim(regexp_replace(lower(body), '[\\p{P}\\p{S}\\p{Z}\\s]+', ' ', 'g')), ' ') AS w FROM m), bb AS (SELECT *, CASE WHEN list_contains(w, 'apache') AND list_contains(w, 'license') AND list_contains(w, 'design') THEN 2 ELSE 4 END AS band FROM b),
+r AS (SELECT path, path AS doc_id, 1 AS owner_priority, band, 2 AS owner_tier, authority, currency, lexical, 'fts' AS candidate_source, row_number() OVER (ORDER BY band, CASE authority WHEN 'canonical' THEN 1 WHEN 'supporting' THEN 2 ELSE 3 END, CASE currency WHEN 'current' THEN 1 WHEN 'unknown' THEN 2 ELSE 4 END, lexical DESC NULLS LAST, path) AS rank, false AS overflow FROM bb)"""
+
+
+@query(_RANKED + " SELECT * FROM r")
 def ranked_docs_candidates(spark, sf_dir):
-    """The lexical component of a ranked search over the Markdown part of the catalog, without headings."""
-    index = DOC.docs_index(files(spark, sf_dir))
-    out = DOC.ranked_search(index, "apache license design", cap=100_000)
-    return out.select("path", "lexical", F.col("lexical").isNotNull().alias("hit"))
+    """Rank and all its components of a search over the Markdown part of the catalog."""
+    return DOC.ranked_search(DOC.docs_index(files(spark, sf_dir), most_bytes=1 << 30), "apache license design", cap=1 << 20)
+
+
+@query(_RANKED + " SELECT NULL::VARCHAR AS path, NULL::INT AS rank, true AS overflow FROM r HAVING count(*) > 2 UNION ALL SELECT path, rank, false FROM r WHERE (SELECT count(*) FROM r) <= 2")
+def ranked_docs_overflow(spark, sf_dir):
+    """More than two candidates, with a cap of two: one row that says so and no hits."""
+    return DOC.ranked_search(DOC.docs_index(files(spark, sf_dir), most_bytes=1 << 30), "apache license design", cap=2).select("path", "rank", "overflow")
+
+
+@query(_RANKED + " SELECT path, rank, (SELECT count(*) FROM r) AS universe FROM r WHERE rank BETWEEN 4 AND 6")
+def docs_search_page(spark, sf_dir):
+    """The second page of three hits: frozen by the first page, found by its cursor."""
+    index = DOC.docs_index(files(spark, sf_dir), most_bytes=1 << 30)
+    universes, cursors = S.Universes(spark, f"{shared_dir(spark)}/lodestack/universes-{uuid.uuid4().hex}"), Cursors(b"key of this query")
+    fs, p = filesystem(spark, universes.folder)
+    fs.deleteOnExit(p)
+    ask = lambda cursor: DM.docs_search(index, "apache license design", universes, cursors, "s1", "2030-01-01", "2030-01-02", cursor=cursor, results=3)
+    first = ask(None)
+    second = ask(first.next_cursor) if first.next_cursor else None
+    rows = [(r["path"], r["rank"], r["rank"] and universes.size(fs.listStatus(p)[0].getPath().getName())) for r in (second.data if second else [])]
+    return spark.createDataFrame(rows, "path string, rank long, universe long")
 
 
 @query(f"""WITH {FILES_SQL} SELECT path, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.md$', '') AS title, strlen(text) > 120000 AS truncated, CASE WHEN starts_with(path, 'docs/') THEN 90 ELSE 10 END AS priority FROM files WHERE path LIKE '%.md' AND NOT starts_with(path, 'tests/fixtures/')""")
@@ -109,3 +157,106 @@ def rename_split(spark, sf_dir):
     u = F.col("user_id").cast("string")
     e = t(spark, sf_dir, "events").select(F.col("user_id").alias("at"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "signup", "renamed").otherwise("modified").alias("kind"), F.concat(F.lit("p"), u).alias("path"), F.concat(F.lit("old"), u).alias("old_path"))
     return C.split_renames(e).withColumnRenamed("at", "user_id")
+
+
+# Surfaces.
+
+
+@query(f"""WITH {FILES_SQL}, d AS (SELECT path, string_split(text, chr(10))[1] AS first, file_id FROM files WHERE path LIKE '%.md' AND NOT starts_with(path, 'tests/fixtures/')), s AS (SELECT path, CASE WHEN regexp_matches(lower(path), 'architecture|design') THEN 65.0 ELSE 0.0 END AS priority, 1 + CASE WHEN file_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN file_id % 3 = 0 THEN 2 ELSE 0 END AS heading_count FROM d)
+SELECT path, priority, least(heading_count, 2)::INT AS shown, heading_count::INT AS heading_count, row_number() OVER (ORDER BY priority DESC, path) AS rank, (SELECT count(*) FROM s) > 9 AS more FROM s QUALIFY rank BETWEEN 4 AND 9""")
+def docs_overview(spark, sf_dir):
+    """The second page of an overview: rows four to nine by importance, two headings each."""
+    page = DM.docs_page(DOC.docs_index(_markdown(spark, sf_dir)), "importance", 3, 6, 2)
+    return page.select("path", "priority", F.size("headings").alias("shown"), "heading_count", "rank", "more")
+
+
+@query(f"""WITH {FILES_SQL} SELECT CASE WHEN contains(path, '/') THEN string_split(path, '/')[1] ELSE '.' END AS scope, count(*) AS docs FROM files WHERE path LIKE '%.md' AND NOT starts_with(path, 'tests/fixtures/') GROUP BY 1""")
+def docs_scope(spark, sf_dir):
+    return DM.docs_scope(DOC.docs_index(files(spark, sf_dir)))
+
+
+_SNAP = """s AS (SELECT c_custkey AS snapshot_id, 'repo' || c_nationkey AS repo, ['stale', 'fresh', 'refreshing'][((c_custkey * 7 + c_nationkey) % 3) + 1] AS freshness FROM customer), n AS (SELECT o_custkey AS snapshot_id, count(*) AS docs FROM orders WHERE o_custkey % 4 > 0 GROUP BY o_custkey),
+k AS (SELECT s.*, coalesce(docs, 0) AS docs FROM s LEFT JOIN n USING (snapshot_id))"""
+
+
+def _snapshots(spark, sf_dir):
+    k = F.col("c_custkey")
+    s = t(spark, sf_dir, "customer").select(k.alias("snapshot_id"), F.concat(F.lit("repo"), F.col("c_nationkey").cast("string")).alias("repo"), F.element_at(F.array(*map(F.lit, ("stale", "fresh", "refreshing"))), ((k * 7 + F.col("c_nationkey")) % 3 + 1).cast("int")).alias("freshness"))
+    return s, t(spark, sf_dir, "orders").where("o_custkey % 4 > 0").select(F.col("o_custkey").alias("snapshot_id"))
+
+
+@query(f"""WITH {_SNAP}, l AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY repo ORDER BY snapshot_id DESC) = 1), u AS (SELECT * FROM k WHERE freshness = 'fresh' AND docs > 0 QUALIFY row_number() OVER (PARTITION BY repo ORDER BY snapshot_id DESC) = 1),
+j AS (SELECT l.*, u.snapshot_id AS us, u.docs AS ud, l.freshness <> 'fresh' AND NOT (l.freshness = 'refreshing' AND l.docs > 0) AND u.snapshot_id IS NOT NULL AS other FROM l LEFT JOIN u USING (repo))
+SELECT repo, CASE WHEN other THEN us ELSE snapshot_id END AS snapshot_id, CASE WHEN other THEN 'fresh' WHEN freshness = 'fresh' AND docs = 0 THEN 'cold' ELSE freshness END AS freshness,
+  CASE WHEN other OR (freshness = 'refreshing' AND docs > 0) THEN 'usable' WHEN freshness <> 'fresh' THEN 'stale' WHEN docs = 0 THEN 'cold' ELSE 'usable' END AS status, CASE WHEN other THEN ud ELSE docs END AS document_count FROM j""")
+def docs_index_state(spark, sf_dir):
+    return DM.index_state(*_snapshots(spark, sf_dir))
+
+
+@query(f"""WITH {_SNAP}, l AS (SELECT repo, count(*) AS snapshots, max(snapshot_id) AS latest, arg_max(freshness, snapshot_id) AS freshness FROM s GROUP BY repo)
+SELECT repo, snapshots, latest, l.freshness, (SELECT count(*) FROM orders WHERE o_custkey = latest) AS files, coalesce(n.docs, 0) AS documents FROM l LEFT JOIN n ON n.snapshot_id = latest""")
+def repository_status(spark, sf_dir):
+    s, d = _snapshots(spark, sf_dir)
+    return DM.repository_status(s, d, t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("snapshot_id")))
+
+
+@query(f"""WITH {FILES_SQL} SELECT 'dotnet' AS platform, count(*) AS files FROM files WHERE path LIKE '%.csproj' HAVING count(*) > 0""")
+def platforms(spark, sf_dir):
+    return DM.platforms(files(spark, sf_dir))
+
+
+@query(f"""WITH {FILES_SQL}, f AS (SELECT path, CASE WHEN starts_with(path, 'docs/archive/') THEN -10.0 WHEN starts_with(path, 'docs/design/') THEN 6.0 WHEN starts_with(path, 'examples/') OR starts_with(path, 'tests/fixtures/') THEN -8.0 ELSE 0.0 END AS pr, CASE file_id % 3 WHEN 0 THEN 6 WHEN 1 THEN -3 ELSE 0 END AS cu,
+  3.0 * list_contains(string_split_regex(lower(path), '[^a-z0-9_]+'), 'docs')::INT + CASE WHEN list_contains(string_split_regex(lower(path), '[^a-z0-9_]+'), 'core') THEN 3.0 ELSE 0.0 END AS s FROM files WHERE path LIKE '%.md'),
+c AS (SELECT * FROM f WHERE s > 0 ORDER BY s + pr DESC, path LIMIT 24) SELECT path, s + pr + cu AS score, row_number() OVER (ORDER BY s + pr + cu DESC, path) AS rank FROM c QUALIFY rank <= 6""")
+def governing_docs(spark, sf_dir):
+    i, none, p = F.col("file_id") % 3, F.lit(None).cast("string"), F.col("path")
+    d = files(spark, sf_dir).where(p.endswith(".md")).select("path", A.status(p, none, none, none).alias("status"), F.when(i == 0, "current").when(i == 1, "stale").otherwise("unknown").alias("currency"))
+    return DM.governing_docs(d, ["docs", "core"], 6)
+
+
+@query("""SELECT event_type AS severity, count(*) AS n, CASE WHEN bool_or(event_type = 'error') OVER () THEN 'error' END AS worst FROM (SELECT CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'blocker' ELSE 'info' END AS event_type FROM events) GROUP BY event_type HAVING false
+UNION ALL SELECT sv, count(*), (SELECT CASE WHEN bool_or(event_type = 'signup') THEN 'blocker' WHEN bool_or(event_type = 'error') THEN 'error' ELSE 'info' END FROM events) FROM (SELECT CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'blocker' ELSE 'info' END AS sv FROM events) GROUP BY sv""")
+def diagnostics_worst(spark, sf_dir):
+    k = F.col("event_type")
+    return PL.diagnostics(t(spark, sf_dir, "events").select(F.when(k == "error", "error").when(k == "signup", "blocker").otherwise("info").alias("severity")))
+
+
+@query("""WITH u AS (SELECT DISTINCT 'pkg' || n_regionkey AS root FROM nation UNION ALL SELECT '.'), f AS (SELECT 'pkg' || (c_nationkey % 9) || '/f' || c_custkey || '.js' AS path FROM customer), b AS (SELECT CASE WHEN string_split(path, '/')[1] IN (SELECT root FROM u) THEN string_split(path, '/')[1] ELSE '.' END AS root, count(*) AS n FROM f GROUP BY 1)
+SELECT u.root, 'node' AS ecosystem, coalesce(b.n, 0) AS selected FROM u LEFT JOIN b USING (root)""")
+def project_units_selected(spark, sf_dir):
+    c = F.concat(F.lit("pkg"), (F.col("c_nationkey") % 9).cast("string"), F.lit("/f"), F.col("c_custkey").cast("string"), F.lit(".js"))
+    manifests = t(spark, sf_dir, "nation").select(F.concat(F.lit("pkg"), F.col("n_regionkey").cast("string"), F.lit("/package.json")).alias("path")).distinct().union(spark.range(1).select(F.lit("package.json")))
+    return PL.project_units(manifests, t(spark, sf_dir, "customer").select(c.alias("path")))
+
+
+@query("""WITH s AS (SELECT DISTINCT 'src/m' || n_regionkey || '/n' || n_nationkey AS d, 'src/m' || n_regionkey || '/n' || n_nationkey || '/code.py' AS path FROM nation), x AS (SELECT DISTINCT 'src/m' || (s_nationkey % 5) || '/t' || (s_suppkey % 3) AS d, 'src/m' || (s_nationkey % 5) || '/t' || (s_suppkey % 3) || '/check' || s_suppkey || '_test.py' AS test FROM supplier),
+j AS (SELECT s.path, x.test, CASE WHEN string_split(s.d, '/')[2] = string_split(x.d, '/')[2] THEN 2 ELSE 4 END AS distance FROM s, x) SELECT path AS source, test, 0 AS affinity, distance::BIGINT AS distance FROM j QUALIFY row_number() OVER (PARTITION BY path ORDER BY distance, test) = 1""")
+def nearest_tests_by_distance(spark, sf_dir):
+    """No test bears the name of a source: the nearest by path, ties by name."""
+    text = lambda c: c.cast("string")
+    src = t(spark, sf_dir, "nation").select(F.concat(F.lit("src/m"), text(F.col("n_regionkey")), F.lit("/n"), text(F.col("n_nationkey")), F.lit("/code.py")).alias("path")).distinct()
+    tests = t(spark, sf_dir, "supplier").select(F.concat(F.lit("src/m"), text(F.col("s_nationkey") % 5), F.lit("/t"), text(F.col("s_suppkey") % 3), F.lit("/check"), text(F.col("s_suppkey")), F.lit("_test.py")).alias("path")).distinct()
+    return PL.nearest_tests(src, tests)
+
+
+@query("""WITH n AS (SELECT p_partkey AS node_id, lower(p_name) AS name, lower(p_brand || '.' || p_name) AS qn, CASE p_size % 4 WHEN 0 THEN 'method' WHEN 1 THEN 'class' WHEN 2 THEN 'function' ELSE 'module' END AS kind, 'd' || p_size % 3 AS dir FROM part),
+r AS (SELECT o_orderkey AS id, p_name, p_brand, o_orderkey % 4 AS rule, 'd' || o_custkey % 4 AS dir FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)),
+a AS (SELECT name, count(*) AS n, min(node_id) AS id, count(*) FILTER (WHERE kind = 'method') AS nm, min(node_id) FILTER (WHERE kind = 'method') AS im FROM n GROUP BY name), d AS (SELECT name, dir, count(*) AS n, min(node_id) AS id FROM n WHERE kind <> 'method' GROUP BY name, dir),
+q AS (SELECT qn, count(*) FILTER (WHERE kind IN ('class', 'module')) AS n, min(node_id) FILTER (WHERE kind IN ('class', 'module')) AS id FROM n GROUP BY qn), f AS (SELECT dir, count(*) AS n, min(node_id) AS id FROM n GROUP BY dir),
+c AS (SELECT r.id, CASE rule WHEN 0 THEN CASE WHEN coalesce(d.n, 0) > 0 THEN d.n ELSE a.n END WHEN 1 THEN CASE WHEN a.nm > 0 THEN a.nm ELSE a.n END WHEN 2 THEN coalesce(q.n, 0) ELSE coalesce(f.n, 0) END AS k,
+  CASE rule WHEN 0 THEN CASE WHEN coalesce(d.n, 0) > 0 THEN d.id ELSE a.id END WHEN 1 THEN CASE WHEN a.nm > 0 THEN a.im ELSE a.id END WHEN 2 THEN q.id ELSE f.id END AS one, rule
+  FROM r LEFT JOIN a ON a.name = lower(p_name) LEFT JOIN d ON d.name = lower(p_name) AND d.dir = r.dir LEFT JOIN q ON q.qn = lower(p_brand || '.' || p_name) LEFT JOIN f ON f.dir = r.dir)
+SELECT id AS ref_id, CASE WHEN k = 1 THEN one END AS target, CASE rule WHEN 2 THEN 'inheritance' WHEN 3 THEN 'routes_to_handler_file' ELSE 'call' END AS kind, coalesce(k, 0) AS candidate_count, CASE WHEN k = 1 THEN 'resolved' WHEN k > 1 THEN 'ambiguous' ELSE 'unresolved' END AS resolution FROM c""")
+def resolve_by_rule(spark, sf_dir):
+    """Imports narrowed to their directory, receivers to methods, Ruby constants by qualified name and kind, handlers by file."""
+    size, o = F.col("p_size"), F.col("o_orderkey")
+    part = t(spark, sf_dir, "part")
+    kind = F.element_at(F.array(*map(F.lit, ("method", "class", "function", "module"))), (size % 4 + 1).cast("int"))
+    nodes = part.select(F.col("p_partkey").alias("node_id"), F.col("p_name").alias("name"), F.concat_ws(".", "p_brand", "p_name").alias("qualified_name"), kind.alias("kind"), F.lit("go").alias("language"), F.concat(F.lit("d"), (size % 3).cast("string"), F.lit("/x")).alias("path"))
+    dir_ = F.concat(F.lit("d"), (F.col("o_custkey") % 4).cast("string"))
+    rule = o % 4
+    refs = t(spark, sf_dir, "orders").join(part, F.col("p_partkey") == o % part.count()).select(
+        o.alias("ref_id"), F.lit("m").alias("source"), F.when(rule == 2, F.concat_ws("::", "p_brand", "p_name")).otherwise(F.col("p_name")).alias("name"), F.when(rule == 2, "inheritance").when(rule == 3, "lambda_handler_file").otherwise("call").alias("kind"), F.when(rule == 2, "ruby").otherwise("go").alias("language"), F.lit(True).alias("static"),
+        F.when(rule == 0, "import_selector").when(rule == 1, "receiver_or_package_local").alias("receiver"), dir_.alias("import_dir"), F.array(F.concat(dir_, F.lit("/x"))).alias("paths"),
+    )
+    return G.resolve_references(refs, nodes).select("ref_id", "target", "kind", "candidate_count", "resolution")

@@ -136,7 +136,7 @@ def evidence_kinds(spark, sf_dir):
 
 
 @query("""SELECT count(*) FILTER (WHERE event_type = 'error') = 0 AS complete, count(*) FILTER (WHERE event_type NOT IN ('error', 'signup')) AS searchable, count(*) FILTER (WHERE event_type = 'signup') AS excluded, count(*) FILTER (WHERE event_type = 'error') AS unresolved, coalesce(sum(user_id) FILTER (WHERE event_type NOT IN ('error', 'signup')), 0)::BIGINT AS bytes FROM events""")
-def coverage_receipt(spark, sf_dir):
+def lexical_coverage(spark, sf_dir):
     k = F.col("event_type")
     f = t(spark, sf_dir, "events").select(F.when(k == "error", "unresolved").when(k == "signup", "policy_exclusion").otherwise("searchable").alias("classification"), k.alias("reason"), F.col("user_id").alias("bytes"))
     return REF.coverage_receipt(f, True, False)

@@ -98,7 +98,7 @@ h AS (SELECT item_id, n, unnest(CASE WHEN len(w) >= n THEN generate_series(0, le
 terms AS (SELECT DISTINCT array_to_string(string_split({_NORM.format('text')}, ' ')[1:1 + doc_id % 3], ' ') AS term FROM documents)
 SELECT item_id, q.term, start, n, replace(q.term, ' ', '-') AS concern FROM q JOIN terms USING (term)""")
 def phrase_ngram_match(spark, sf_dir):
-    words = F.split(T.normalised(F.col("text")), " ")
+    words = F.split(T.normalised(T.leading_words(F.col("text"), 3)), " ")  # a term has three words at most
     terms = t(spark, sf_dir, "documents").select(F.array_join(F.slice(words, F.lit(1), (F.col("doc_id") % 3 + 1).cast("int")), " ").alias("term"))
     return S.resolve_phrases(t(spark, sf_dir, "benchmark"), "item_id", "text", terms, "term", 3).withColumn("concern", T.concern_key(F.col("term")))
 
@@ -170,7 +170,7 @@ _WORDS = "list_slice(" + _TOK.format("text") + ", 1, 3)"
 @query(f"""WITH s AS (SELECT doc_id, source, array_to_string({_WORDS}, '-') AS slug FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY source, slug ORDER BY doc_id) AS k FROM s)
 SELECT doc_id, CASE WHEN k = 1 THEN slug ELSE slug || '-' || k END AS slug FROM n""")
 def slug_suffix(spark, sf_dir):
-    s = t(spark, sf_dir, "documents").select("doc_id", "source", F.array_join(F.slice(T.tokens(F.col("text")), 1, 3), "-").alias("slug"))
+    s = t(spark, sf_dir, "documents").select("doc_id", "source", F.array_join(F.slice(T.tokens(F.regexp_extract("text", "^[^A-Za-z0-9_]*(?:[A-Za-z0-9_]+[^A-Za-z0-9_]*){0,3}", 0)), 1, 3), "-").alias("slug"))
     return D.unique_slugs(s, ["source"], "slug", "doc_id").select("doc_id", "slug")
 
 
@@ -290,10 +290,14 @@ def debounce_sessions(spark, sf_dir):
     return C.quiet_periods(t(spark, sf_dir, "events"), ["user_id"], "ts", "2 hours")
 
 
-@query("""SELECT count(DISTINCT user_id) AS paths, count(DISTINCT user_id) > 100 AS overflow FROM events""")
+@query("""SELECT '.' AS path, 'modified' AS kind, 'overflow' AS status FROM events HAVING count(DISTINCT user_id) > 100
+UNION ALL SELECT 'p' || (user_id % 40), CASE WHEN arg_max(event_type, event_id) = 'error' THEN 'deleted' ELSE 'modified' END, 'drained' FROM events GROUP BY user_id % 40""")
 def pending_overflow(spark, sf_dir):
-    e = t(spark, sf_dir, "events").select("user_id").distinct()
-    return e.agg(F.count(F.lit(1)).alias("paths"), (F.count(F.lit(1)) > 100).alias("overflow"))
+    """Two queues: one path a user, which is more than a hundred, and forty paths."""
+    k = F.when(F.col("event_type") == "error", "deleted").otherwise("modified")
+    e = t(spark, sf_dir, "events")
+    queue = lambda u: e.select(F.concat(F.lit("p"), u.cast("string")).alias("path"), F.col("event_id").alias("seq"), k.alias("kind"), F.col("ts").alias("at"))
+    return C.drained(queue(F.col("user_id")), 100).unionByName(C.drained(queue(F.col("user_id") % 40), 100)).select("path", "kind", "status")
 
 
 @query(f"""WITH {FILES_SQL} SELECT path, trim(regexp_replace(path, '/?[^/]*$', '')) AS dir, {"regexp_extract(path, '[^/]*$')"} AS base, len(string_split(path, '/')) AS depth FROM files""")
@@ -302,8 +306,12 @@ def path_parts(spark, sf_dir):
     return files(spark, sf_dir).select("path", P.dirname(p).alias("dir"), P.basename(p).alias("base"), F.size(P.segments(p)).cast("long").alias("depth"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(text, '(?i)\b(token|secret|password|passwd|api_?key)\b(\s*[:=]\s*)["'']?[^\s"'']+["'']?', '\1\2[redacted]', 'g') AS text FROM documents WHERE regexp_matches(text, '(?i)token = ')""")
+_REDACTED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\b(token|secret|password|passwd|api_?key)\b(\s*[:=]\s*)["'']?[^\s"'']+["'']?', '\1\2[redacted]', 'g'), '\bAKIA[0-9A-Z]{16}\b', '[redacted]', 'g'), '(?i)\bBearer\s+[A-Za-z0-9._~+/-]+=*', 'Bearer [redacted]', 'g'), '(?:/home|/Users|/root)/[^\s"'']+', '[path]', 'g')"""
+
+
+@query(f"SELECT doc_id, sha256({_REDACTED}) AS redacted_sha256, text <> {_REDACTED} AS changed FROM documents")
 def redaction(spark, sf_dir):
-    return t(spark, sf_dir, "documents").where(F.col("text").rlike("(?i)token = ")).select("doc_id", T.redacted(F.col("text")).alias("text"))
+    out = T.redacted(F.col("text"))
+    return t(spark, sf_dir, "documents").select("doc_id", "text", out.alias("out")).select("doc_id", F.sha2("out", 256).alias("redacted_sha256"), (F.col("text") != F.col("out")).alias("changed"))
 
 
