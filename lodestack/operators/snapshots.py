@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.shared import filesystem
+
 
 def path_states(expected: DataFrame, live: DataFrame, key: str, compared: list[str]) -> DataFrame:
     """key, state: valid, missing or changed."""
@@ -42,15 +45,54 @@ class PublicationConflict(RuntimeError):
     pass
 
 
-@dataclass
 class Publications:
-    """States of builds: building, published, superseded, failed. A transition names the state and generations it expects."""
-
-    rows: dict[int, dict] = field(default_factory=dict)
-    log: list[tuple[int, str, str]] = field(default_factory=list)
+    """States of builds: building, published, superseded, failed. A transition names the state and generations it expects.
+
+    Without a folder the states live in this object. With one, each transition is a file of its own there, numbered by
+    its place in the build's history and created only where no such file exists: that is the compare-and-set, it
+    holds between processes, and a restarted driver reads all states again.
+    """
+
+    def __init__(self, spark: SparkSession | None = None, folder: str | None = None):
+        self.spark, self.folder = spark, folder.rstrip("/") if folder else None
+        self.log: list[tuple[int, str, str]] = []
+        self._rows: dict[int, list[dict]] = {}
+
+    @property
+    def rows(self) -> dict[int, dict]:
+        """The last state of each build."""
+        if self.folder:
+            self._rows = {}
+            fs, root = filesystem(self.spark, self.folder)
+            for build in fs.listStatus(root) if fs.exists(root) else []:
+                own = sorted((f.getPath() for f in fs.listStatus(build.getPath())), key=lambda p: p.getName())
+                self._rows[int(build.getPath().getName())] = [json.loads(self._text(fs, p)) for p in own if p.getName().endswith(".json")]
+        return {k: v[-1] for k, v in self._rows.items() if v}
+
+    @staticmethod
+    def _text(fs, path) -> str:
+        stream = fs.open(path)
+        try:
+            return bytes(b & 0xFF for b in stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def _put(self, snapshot_id: int, row: dict) -> None:
+        history = self._rows.setdefault(snapshot_id, [])
+        if self.folder:
+            fs, p = filesystem(self.spark, f"{self.folder}/{snapshot_id}/{len(history):06d}.json")
+            try:
+                stream = fs.create(p, False)  # fails when another process took this step
+            except Exception as e:
+                raise PublicationConflict(snapshot_id) from e
+            stream.write(bytearray(json.dumps(row).encode()))
+            stream.close()
+        history.append(row)
 
     def start(self, snapshot_id: int, controller: int, invalidation: int) -> None:
-        self.rows[snapshot_id] = {"state": "building", "controller": controller, "invalidation": invalidation}
+        if snapshot_id in self.rows:
+            raise PublicationConflict(snapshot_id)
+        self._put(snapshot_id, {"state": "building", "controller": controller, "invalidation": invalidation})
 
     def finish(self, snapshot_id: int, controller: int, invalidation: int, to: str = "published") -> str:
         """Publishes when nothing newer arrived; an invalidated build is superseded instead."""
@@ -58,17 +100,43 @@ class Publications:
         if row is None or row["state"] != "building" or row["controller"] != controller:
             raise PublicationConflict(snapshot_id)
         state = "superseded" if to == "published" and row["invalidation"] < invalidation else to
+        self._put(snapshot_id, row | {"state": state})
         self.log.append((snapshot_id, row["state"], state))
-        row["state"] = state
         return state
 
     def recover(self, controller: int) -> list[int]:
         """Builds of earlier controllers fail."""
         lost = [i for i, r in self.rows.items() if r["state"] == "building" and r["controller"] < controller]
         for i in lost:
+            self._put(i, self._rows[i][-1] | {"state": "failed"})
             self.log.append((i, "building", "failed"))
-            self.rows[i]["state"] = "failed"
         return lost
 
     def current(self) -> int | None:
         return max((i for i, r in self.rows.items() if r["state"] == "published"), default=None)
+
+
+@dataclass
+class Admission:
+    """Refresh admission: one build at a time. A request while one runs reuses it and asks for a later generation; as it ends, one
+    catch-up pass follows when more was asked for than it began with."""
+
+    requested: int = 0
+    started: int = 0
+    active: bool = False
+
+    def ask(self) -> str:
+        """"start" or "reuse"."""
+        self.requested += 1
+        if self.active:
+            return "reuse"
+        self.active, self.started = True, self.requested
+        return "start"
+
+    def done(self) -> bool:
+        """Whether a catch-up pass starts now."""
+        if not self.active:
+            raise RuntimeError("no build is active")
+        self.active = self.requested > self.started
+        self.started = self.requested
+        return self.active

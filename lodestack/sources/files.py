@@ -10,17 +10,28 @@ from pyspark.sql.window import Window
 
 from lodestack.functions import paths as P
 from lodestack.operators.relational import samples_by_reason
+from lodestack.shipping import ship
+from lodestack.sources.hidden import HiddenFiles
 
 MOST_TEXT, MOST_DOC = 2_000_000, 120_000
 SHAPE_FILES = r"(^|/)(package\.json|pyproject\.toml|go\.mod|Cargo\.toml|CMakeLists\.txt|Gemfile|[^/]+\.(sln|csproj))$"
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """path (below root), size_bytes, mtime_ms, content of every file that Spark's listing gives: names that begin with a dot or underscore are left out."""
+def read_tree(spark: SparkSession, root: str, hidden: bool = True) -> DataFrame:
+    """path (below root), size_bytes, mtime_ms, content of every file below a folder.
+
+    Spark lists and reads the files; those whose names, or a folder's, begin with a dot or an underscore it leaves out,
+    and a data source adds them (content of at most two million bytes; larger ones have none). hidden=False does without them.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split("://", 1)[-1].removeprefix("file:")
     path = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), "^" + _quoted("/" + base.lstrip("/") + "/"), "")
-    return raw.select(path.alias("path"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")
+    seen = raw.select(path.alias("path"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")
+    if not hidden:
+        return seen
+    ship(spark)
+    spark.dataSource.register(HiddenFiles)
+    return seen.unionByName(spark.read.format(HiddenFiles.name()).option("path", root).load())
 
 
 def _quoted(s: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -70,19 +70,44 @@ def batch_identity(events: DataFrame) -> DataFrame:
     return events.agg(F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), F.coalesce(F.sum(F.xxhash64("path", "kind", "at").cast("decimal(38,0)")), F.lit(0)).cast("string")), 256).alias("batch_id"), F.count(F.lit(1)).alias("events"))
 
 
+EVENTS = "seq long, at timestamp, event string, path string, old_path string, exists boolean"
+#: Files of changes that a build slice takes.
+SLICE_FILES = 250
+
+
+def change_stream(spark: SparkSession, folder: str, per_trigger: int = SLICE_FILES) -> DataFrame:
+    """Events that a watcher leaves as JSON files in a folder, at most so many files a slice; the checkpoint of the query resumes it."""
+    return normalised(spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", per_trigger).json(folder))
+
+
+def hook_signals(signals: DataFrame) -> DataFrame:
+    """Edit notifications (seq, at, tool, path, old_path) as events, to be united with those of a watcher."""
+    kind = F.when(F.col("tool").isin("write", "create"), "created").when(F.col("tool").isin("delete", "remove"), "deleted").when(F.col("tool").isin("rename", "move"), "renamed").otherwise("modified")
+    return signals.where("path IS NOT NULL").select("seq", "at", kind.alias("kind"), "path", "old_path")
+
+
+def drain_status(pending: int, quiet_ms: int, refreshing: bool, most: int = MOST_PENDING, debounce_ms: int = DEBOUNCE_MS) -> tuple[str, str]:
+    """(status, freshness) of a look at the queue: idle while nothing is pending or the quiet period still runs, else drained or overflow."""
+    if pending > most:
+        return "overflow", "stale"
+    if pending and quiet_ms >= debounce_ms:
+        return "drained", "stale"
+    return "idle", "refreshing" if refreshing else "fresh"
+
+
 def run(stream: DataFrame, refresh: Callable[[DataFrame, int], None], rescan: Callable[[int], None], checkpoint: str, most: int = MOST_PENDING, available_now: bool = True, interval: str = "250 milliseconds"):
     """Starts the refresh loop: each micro-batch is coalesced; too many paths lead to a rescan. Idempotent by batch id."""
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        once = coalesced(split_renames(batch)).persist()  # one row a path: renames are split and events folded once for both uses
         try:
-            paths = split_renames(batch).select("path").distinct().limit(most + 1).count()
+            paths = once.limit(most + 1).count()
             if paths > most:
                 rescan(batch_id)
             elif paths:
-                refresh(coalesced(split_renames(batch)), batch_id)
+                refresh(once, batch_id)
         finally:
-            batch.unpersist()
+            once.unpersist()
 
     w = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)).start()
