@@ -186,7 +186,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     met = written(_homes(classes, minhash.bands, block), "homes")
     moved = met.agg(F.coalesce(F.sum(F.aggregate("homes", F.lit(0).cast("long"), lambda acc, h: acc + h["blocks"]) * (F.col("size") * 8 + 300)), F.lit(0))).first()[0]
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-moved // TASK_BYTES))
-    texts = base.join(met.select("rep", "homes", "leads"), F.col("id").eqNullSafe(F.col("rep.id")) & (F.col("th") == F.col("rep.th"))).select("rep.none", "id", "th", "homes", "leads", "body")
+    # a merge join at every size: what has to be met grows with the documents
+    texts = base.join(met.select("rep", "homes", "leads").hint("merge"), F.col("id").eqNullSafe(F.col("rep.id")) & (F.col("th") == F.col("rep.th"))).select("rep.none", "id", "th", "homes", "leads", "body")
     sets = arrow_map(texts, _sets(n), f"none boolean, id long, th long, homes {_HOMES}, leads array<long>, shingles binary")
     at = sets.select("none", "id", "th", "leads", "shingles", F.explode("homes").alias("h")).select("none", "id", "th", "leads", "shingles", F.col("h.home").alias("home"), F.col("h.blocks").alias("blocks"), F.col("h.block").alias("block"))
     dealt = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.greatest("block", "other")).withColumn("j", F.least("block", "other"))
