@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lodestack.llm._spark import arrow_map, table
 from lodestack.llm._tokens import group_stream
-from lodestack.shared import dropped, shared_dir, written
+from lodestack.shared import dropped, filesystem, shared_dir, written
 
 #: Distinct keys that a bucket may hold, bits by which ranges are measured, bytes that an owner should get, bytes of text a task folds at once.
 BUCKET_KEYS, RANGE_BITS, OWNER_BYTES, FOLD_BYTES = 4096, 16, 64 << 20, 64 << 20
@@ -222,8 +222,11 @@ class ExactIndex:
         return found.select(*(F.col("row")[c].alias(c) for c in texts.columns if c not in ("keep_id", "group_size")), F.col("k").alias("keep_id"), F.col("n").alias("group_size"))
 
 
-def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS, key_bits: int = 64, owner_bytes: int = OWNER_BYTES) -> tuple[ExactIndex, DataFrame]:
-    """The index of docs, and the table that ties documents to its entries (kind 0: documents, kind 1: entries)."""
+def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS, key_bits: int = 64, owner_bytes: int = OWNER_BYTES, index_path: str | None = None) -> tuple[ExactIndex, DataFrame]:
+    """The index of docs, and the table that ties documents to its entries (kind 0: documents, kind 1: entries).
+
+    Without an index_path the index lies in the shared folder and goes when the driver ends.
+    """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     hashed = F.xxhash64(F.col("body"))
@@ -239,7 +242,11 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucke
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / owner_bytes))
     cells = keys.groupBy(prefix(F.col("key"), RANGE_BITS).alias("cell")).agg(F.sum(weight).alias("w")).collect()  # at most 2**RANGE_BITS rows
     ranges = Ranges.cut({r["cell"]: r["w"] for r in cells}, max(1.0, total / owners))
-    path = f"{shared_dir(spark)}/lodestack/exact-index-{uuid.uuid4().hex}"
+    path = index_path
+    if path is None:
+        path = f"{shared_dir(spark)}/lodestack/exact-index-{uuid.uuid4().hex}"
+        fs, p = filesystem(spark, path)
+        fs.deleteOnExit(p)
     buckets.write.parquet(f"{path}/directory")
     dropped(keys, *levels)
     entries = arrow_map(base.select("id", hashed.alias("key"), F.sha2("body", 256).alias("sha"), "body"), _folder(ranges), _ENTRY)

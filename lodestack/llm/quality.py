@@ -135,6 +135,14 @@ def dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size:
     return w, b
 
 
+def log_count_ratio(ids: list[np.ndarray], y: np.ndarray, size: int, smooth: float) -> np.ndarray:
+    """Log of the ratio of the smoothed shares of each feature in the two classes (y: 1 or -1)."""
+    counts = {s: np.full(size, smooth) for s in (1.0, -1.0)}
+    for own, s in zip(ids, y):
+        counts[s][own] += 1
+    return np.log(counts[1.0] / counts[1.0].sum()) - np.log(counts[-1.0] / counts[-1.0].sum())
+
+
 def train(texts: list[str], labels: list[int], cost: float = 1.0, epochs: int = 8, smooth: float = 1.0, seed: int = 3) -> QualityModel:
     y = np.where(np.array(labels, int) > 0, 1.0, -1.0) if labels else np.zeros(0)
     size = 1 << BITS
@@ -146,10 +154,7 @@ def train(texts: list[str], labels: list[int], cost: float = 1.0, epochs: int =
     held = np.arange(len(y)) % 4 == 3
     if abs(y[held].sum()) == held.sum() or abs(y[~held].sum()) == (~held).sum():
         held = np.zeros(len(y), bool)
-    counts = {s: np.full(size, smooth) for s in (1.0, -1.0)}
-    for i in np.flatnonzero(~held):
-        counts[y[i]][ids[i]] += 1
-    ratio = np.log(counts[1.0] / counts[1.0].sum()) - np.log(counts[-1.0] / counts[-1.0].sum())
+    ratio = log_count_ratio([ids[i] for i in np.flatnonzero(~held)], y[~held], size, smooth)
     rows = [(v, ratio[v] / np.sqrt(max(1, len(v)))) for v in ids]
     fit = np.flatnonzero(~held)
     c = np.where(y > 0, cost * (y[fit] < 0).sum() / len(fit) * 2, cost * (y[fit] > 0).sum() / len(fit) * 2)[fit]

@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.functions.arrays import let
 from lodestack.llm import _spans as S
 from lodestack.llm._spark import table
 
@@ -95,7 +96,7 @@ def _llr(token: Column, ratio: np.ndarray) -> Column:
         pairs = F.zip_with(F.slice(at, F.lit(1), F.greatest(F.size(at) - 1, F.lit(0))), F.slice(at, F.lit(2), F.greatest(F.size(at) - 1, F.lit(0))), lambda a, b: F.element_at(flat, a * K + b + 1))
         return F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(at) - 1, F.lit(1))
 
-    return S.let(codes, mean)
+    return let(codes, mean)
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -113,3 +113,84 @@ def test_pieces_change_nothing(monkeypatch):
     _tokens._powers.cache_clear()
     assert all((a == b).all() for a, b in zip(whole[0], cut[0])) and [set(v) for v in whole[1]] == [set(v) for v in cut[1]]
     assert np.allclose(whole[2][0], cut[2][0]) and (whole[2][1] == cut[2][1]).all() and giant[0] == giant[1]
+
+
+def test_log_count_ratios_by_hand():
+    ids = [np.array([0, 1]), np.array([1]), np.array([2])]
+    got = quality.log_count_ratio(ids, np.array([1.0, 1.0, -1.0]), 4, 1.0)
+    pos, neg = np.array([2, 3, 1, 1]) / 7, np.array([1, 1, 2, 1]) / 5
+    assert np.allclose(got, np.log(pos / neg))
+
+
+def test_dual_descent_finds_the_least_primal():
+    """The primal objective is convex: where no change in any direction lowers it, it is least."""
+    rng = np.random.default_rng(1)
+    n, size = 60, 12
+    rows = [(np.sort(rng.choice(size, 4, replace=False)), rng.standard_normal(4)) for _ in range(n)]
+    y = np.where(rng.random(n) < 0.5, 1.0, -1.0)
+    c = np.full(n, 0.7)
+    w, b = quality.dual_descent(rows, y, size, c, 400, 3)
+
+    def primal(w, b):
+        return 0.5 * (w @ w + b * b) + sum(ci * max(0.0, 1 - yi * (w[i] @ v + b)) for (i, v), yi, ci in zip(rows, y, c))
+
+    best = primal(w, b)
+    for scale in (1e-3, 1e-2, 0.1, 1):
+        for _ in range(150):
+            assert primal(w + scale * rng.standard_normal(size), b + scale * rng.standard_normal()) >= best - 1e-4
+    assert best < primal(np.zeros(size), 0.0)
+
+
+def test_language_scores_against_plain_loops():
+    """Mean of the subwords' rows, listed one by one."""
+    mask = (1 << 64) - 1
+
+    def mix(h):
+        h ^= h >> 33
+        h = h * 0xFF51AFD7ED558CCD & mask
+        h ^= h >> 29
+        h = h * 0xC4CEB9FE1A85EC53 & mask
+        return h ^ (h >> 32)
+
+    mul = [int(x) for x in language_id._MUL]
+
+    def bucket(s):
+        h = len(s)
+        for j, ch in enumerate(s):
+            h = (h * mul[0] + ord(ch) * mul[1 + j % 3]) & mask
+        return mix(h) & (language_id.BUCKETS - 1)
+
+    texts = ["Der Hund, 12 ÉTÉS", "x", "12 !", "the cat's  whiskers\nare long", ""]
+    m = language_id.train(texts[:1] * 6 + texts[3:4] * 6, ["de"] * 6 + ["en"] * 6)
+    z, count = m.logits(texts)
+    for k, t in enumerate(texts):
+        words = "".join(c if c.isalpha() else " " for c in t.lower()).split()
+        subs = [f" {w} "[i : i + n] for w in words for n in language_id.ORDERS for i in range(len(w) + 3 - n)]
+        assert count[k] == len(subs)
+        want = sum((m.table[bucket(s)].astype(float) for s in subs), np.zeros(2)) / max(1, len(subs)) + m.bias
+        assert np.allclose(z[k], want, atol=1e-5)
+
+
+def test_filters_over_several_words():
+    """Word order decides the label: only a filter wider than one word can tell."""
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(30)]
+    rows, y = [], []
+    for k in range(400):
+        pair = ["kick", "dog"] if k % 2 else ["dog", "kick"]
+        t = list(rng.choice(words, 12))
+        at = int(rng.integers(0, 11))
+        rows.append(" ".join(t[:at] + pair + t[at:]))
+        y.append(k % 2)
+    m = toxicity.train(rows[:300], y[:300], None, prior=0.5, epochs=20)
+    assert np.mean((m.scores(rows[300:]) >= 0.5) == np.array(y[300:])) > 0.9
+
+
+def test_convolution_against_plain_loops():
+    m = toxicity.train(["you idiot", "kind man here", "idiot of a man", "calm sea"] * 3, [1, 0, 1, 0] * 3, None)
+    for t in ("", "one", "you are an idiot of a man", "a b c d e f g h"):
+        h, _ = toxicity.words([t], toxicity.PREFIXES)
+        e = [sum(m.tables[k][toxicity.buckets(h[k])[i]] for k in range(len(m.tables))) for i in range(h.shape[1])] or [np.zeros(toxicity.DIM)]
+        e = [*e, *[np.zeros(toxicity.DIM)] * 2]
+        pooled = [max(sum(e[i + k] @ m.filters[w][k][:, j] for k in range(w + 1)) + m.offset[w][j] for i in range(len(e) - 2)) for w in range(3) for j in range(toxicity.FILTERS)]
+        assert abs(m.logits([t])[0] - (sum(max(0.0, p) * o for p, o in zip(pooled, m.out)) + m.bias)) < 1e-3
