@@ -125,43 +125,55 @@ def go(path: str, text: str) -> Batch:
 
 
 _CPP_CLASS = re.compile(r"^\s*(?:template\s*<[^>]*>\s*)?(class|struct)\s+([A-Za-z_]\w*)(?=[^;()]*\{|[^;()]*$)")
-_CPP_FUNC = re.compile(r"^\s*(?:[A-Za-z_][\w:<>,*&\s~]*?[\s*&])?(?P<name>~?[A-Za-z_]\w*(?:::~?[A-Za-z_]\w*)*)\s*\((?P<args>[^;{}]*)\)\s*(?:const|noexcept|override|final|\s)*(?::[^;{]*)?(?P<open>\{|$)")
-_CPP_WORDS = "if for while switch return catch sizeof else do case new delete throw alignof decltype static_cast".split()
+_CPP_FUNC = re.compile(r"^\s*(?P<type>[A-Za-z_][\w:<>,*&\s~]*?[\s*&])?(?P<name>~?[A-Za-z_]\w*(?:::~?[A-Za-z_]\w*)*)\s*\((?P<args>[^;{}]*)\)\s*(?:const|noexcept|override|final|\s)*(?::[^;{]*)?(?P<open>\{|(?:=\s*(?:0|default|delete)\s*)?;|$)")
+_CPP_INCLUDE = re.compile(r"\s*#\s*include\s*[<\"]([^>\"]+)[>\"]")
+_CPP_WORDS = ["if", "for", "while", "switch", "return", "catch", "sizeof", "else", "do", "case", "new", "delete", "throw", "alignof", "decltype", "static_cast"]
 
 
 def cpp(path: str, text: str, language: str = "cpp") -> Batch:
-    """Line by line with brace depth: includes, classes, methods and functions; includes and local calls as references."""
+    """Includes, classes, methods and functions, with and without bodies; includes and calls of functions of the file as references.
+
+    Methods are named Class.method, whether they stand in their class or outside; functions by file and name. Nesting
+    follows the depth of braces in code without comments and strings.
+    """
     b = Batch(path, language)
     top = b.module(text)
-    code = blanked(text, "//", ("/*", "*/"), "\"'").split("\n")
+    raw_lines, code = text.split("\n"), blanked(text, "//", ("/*", "*/"), "\"'").split("\n")
+    of_file = path.rsplit(".", 1)[0].replace("/", ".")
     depth, stack, defined, calls = 0, [], {}, []
     for k, line in enumerate(code, 1):
-        raw = text.split("\n", k)[k - 1] if k < 3 else None
-        inc = re.match(r"\s*#\s*include\s*", line)
-        if inc:
-            raw = text.split("\n")[k - 1]
-            target = re.search(r"[<\"]([^>\"]+)[>\"]", raw)
-            if target:
-                b.ref(top, target[1].rsplit("/", 1)[-1].rsplit(".", 1)[0], "include", rng(k, 0, k, len(raw)), 0.35, include=target[1])
+        raw = raw_lines[k - 1].rstrip("\r")
+        if re.match(r"\s*#\s*include\b", line):
+            found = _CPP_INCLUDE.match(raw)
+            if found:
+                name = found[1]
+                me = b.node("include", name, f"{path}:include:{name}", rng(k, raw.index("#"), k, len(raw)), raw.strip())
+                b.edge(top, me, "contains", None, "parser", 1.0)
+                b.ref(me, re.sub(r"\.(c|cc|cpp|cxx|h|hh|hpp|hxx)$", "", name.rsplit("/", 1)[-1]), "cpp_include", rng(k, found.start(1), k, found.end(1)), 0.35, include_path=name)
             continue
         c, f = _CPP_CLASS.match(line), _CPP_FUNC.match(line)
-        inside = next((s for s in reversed(stack) if s[0] == "class"), None)
+        classes = [s for s in stack if s[0] == "class"]
         in_function = any(s[0] == "function" for s in stack)
-        if c:
-            me = b.node("class", c[2], "::".join([*(s[1] for s in stack if s[0] == "class"), c[2]]), rng(k, 0, k, len(line)), line.strip())
-            b.edge(inside[3] if inside else top, me, "contains", None, "parser", 1.0)
+        owner = classes[-1][3] if classes else top
+        if c and not in_function:
+            me = b.node("class", c[2], ".".join([*(s[1] for s in classes), c[2]]), rng(k, line.index(c[1]), k, len(raw)), raw.strip())
+            b.edge(owner, me, "contains", None, "parser", 1.0)
             stack.append(("class", c[2], depth, me))
-        elif f and not in_function and f["name"].split("::")[-1] not in _CPP_WORDS and (f["open"] == "{" or k < len(code) and code[k].lstrip().startswith("{")):
+        elif f and not in_function and f["name"].split("::")[-1] not in _CPP_WORDS and (f["type"] or "").split(" ")[0].strip() not in _CPP_WORDS:
             name = f["name"].split("::")[-1]
-            qualified = "::".join([*(s[1] for s in stack if s[0] == "class"), f["name"]])
-            me = b.node("method" if "::" in qualified else "function", name, qualified, rng(k, 0, k, len(line)), line.strip().rstrip("{").strip())
-            b.edge(inside[3] if inside else top, me, "contains", None, "parser", 1.0)
-            defined.setdefault(name, me)
-            stack.append(("function", name, depth, me))
-            line = line[f.end() - 1 :] if f["open"] else ""
+            body = f["open"] == "{" or not f["open"] and k < len(code) and code[k].lstrip().startswith("{")
+            own = name.lstrip("~") == classes[-1][1] if classes else False  # constructors and destructors name no type
+            if body or f["open"].endswith(";") and (f["type"] or own) and "=" not in line[: f.start("name")]:
+                scope = [s[1] for s in classes] + f["name"].split("::")[:-1]
+                me = b.node("method" if scope else "function", name, ".".join([*scope, name]) if scope else f"{of_file}.{name}", rng(k, f.start("name"), k, len(raw)), raw.strip().rstrip("{").strip(), body=bool(body))
+                b.edge(owner, me, "contains", None, "parser", 1.0)
+                if body:
+                    defined.setdefault(name, me)
+                    stack.append(("function", name, depth, me))
+                    line = line[f.end() - 1 :] if f["open"] else ""
         if in_function or stack and stack[-1][0] == "function":
-            owner = next(s for s in reversed(stack) if s[0] == "function")
-            calls += [(owner[3], m[1], k, m.start()) for m in re.finditer(r"\b([A-Za-z_]\w*)\s*\(", line) if m[1] not in _CPP_WORDS]
+            inside = next(s for s in reversed(stack) if s[0] == "function")
+            calls += [(inside[3], m[1], k, m.start()) for m in re.finditer(r"\b([A-Za-z_]\w*)\s*\(", line) if m[1] not in _CPP_WORDS and m[1] != inside[1]]
         for ch in code[k - 1]:
             if ch == "{":
                 depth += 1
@@ -169,9 +181,9 @@ def cpp(path: str, text: str, language: str = "cpp") -> Batch:
                 depth -= 1
                 while stack and depth <= stack[-1][2]:
                     stack.pop()
-    for owner, name, k, col in calls:
+    for inside, name, k, col in calls:
         if name in defined:
-            b.ref(owner, name, "call", rng(k, col, k, col + len(name)), 0.4)
+            b.ref(inside, name, "call", rng(k, col, k, col + len(name)), 0.4)
     return b
 
 

@@ -26,7 +26,7 @@ def extract_one(path: str, language: str, text: str) -> Batch:
     name = path.rsplit("/", 1)[-1].lower()
     if language in ("yaml", "json") and resources.is_template(text):
         return resources.cloudformation(path, text)
-    if name == "cmakelists.txt" or name.endswith(".cmake"):
+    if path.rsplit("/", 1)[-1] == "CMakeLists.txt":
         return resources.cmake(path, text)
     if name.endswith((".sln", ".csproj", ".fsproj", ".vbproj")):
         return resources.dotnet(path, text)

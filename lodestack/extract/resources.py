@@ -97,27 +97,37 @@ def cloudformation(path: str, text: str) -> Batch:
 
 
 def cmake(path: str, text: str) -> Batch:
+    """Targets of a CMakeLists.txt, one node each, with all that stands behind the name but generator expressions as sources."""
     b, pos = Batch(path, "text"), Lines(text)
-    for m in re.finditer(r"^\s*add_(library|executable)\s*\(\s*([\w.+-]+)([^)]*)\)", text, re.M | re.I):
-        sources = [s for s in m[3].split() if re.search(r"\.\w+$", s)]
-        b.node(f"cmake_{m[1].lower()}", m[2], f"{path}#{m[2]}", pos.span(m.start(), m.end()), None, None, sources=sources)
+    for m in re.finditer(r"^[ \t]*add_(library|executable)\s*\(\s*([A-Za-z_][\w.:+-]*)([^)]*)\)", text, re.M):
+        sources = [s for s in m[3].split() if not s.startswith("$<")]
+        b.node(f"cmake_{m[1]}", m[2], f"{path}:{m[2]}", pos.span(m.start(), m.end()), m[0].strip(), None, sources=sources)
     return b
 
 
 def dotnet(path: str, text: str) -> Batch:
+    """Projects of a solution (those of a C#, F# or Visual Basic project file), or the project of a project file."""
     b, pos = Batch(path, "config"), Lines(text)
-    if path.endswith(".sln"):
-        for m in re.finditer(r'^Project\("\{[^}]*\}"\)\s*=\s*"([^"]+)",\s*"([^"]+)"', text, re.M):
-            b.node("dotnet_solution_project", m[1], f"{path}#{m[1]}", pos.span(m.start(), m.end()), None, None, project=m[2].replace("\\", "/"))
+    if path.lower().endswith(".sln"):
+        for m in re.finditer(r'^Project\("[^"]+"\)\s*=\s*"([^"]+)",\s*"([^"]+\.(?:csproj|fsproj|vbproj))",\s*"([^"]+)"', text, re.M):
+            target = m[2].replace("\\", "/")
+            b.node("dotnet_solution_project", m[1], f"{path}:{m[1]}", pos.span(m.start(), m.end()), target, None, project=target, guid=m[3])
     else:
-        tag = lambda t: re.findall(rf"<{t}>([^<]*)</{t}>", text)
-        packages = re.findall(r'<PackageReference\s+Include="([^"]+)"', text)
-        me = b.node("dotnet_project", path.rsplit("/", 1)[-1].rsplit(".", 1)[0], path, rng(1, 0, text.count("\n") + 1, 0), None, None, frameworks=[f for v in tag("TargetFrameworks") + tag("TargetFramework") for f in v.split(";")], output=(tag("OutputType") or [None])[0], packages=packages)
-        for r in re.findall(r'<ProjectReference\s+Include="([^"]+)"', text):
-            b.ref(me, r.replace("\\", "/").rsplit("/", 1)[-1].rsplit(".", 1)[0], "project_reference", None, 0.8)
+        tag = lambda t: [v.strip() for v in re.findall(rf"(?i)<{t}\b[^>]*>([^<]*)</{t}>", text)]
+        include = lambda t: re.findall(rf"(?i)<{t}\b[^>]*?\bInclude\s*=\s*[\"']([^\"']+)[\"']", text)
+        root = re.search(r"(?i)<Project\b([^>]*)>", text)
+        sdk = re.search(r"(?i)\bSdk\s*=\s*[\"']([^\"']+)[\"']", root[1]) if root else None
+        packages, projects = include("PackageReference"), [r.replace("\\", "/") for r in include("ProjectReference")]
+        frameworks = sorted({f.strip() for v in tag("TargetFrameworks") + tag("TargetFramework") for f in v.split(";") if f.strip()})
+        test = any(v.lower() == "true" for v in tag("IsTestProject")) or any(p.lower() in TEST_PACKAGES for p in packages)
+        me = b.node("dotnet_project", path.rsplit("/", 1)[-1], path, rng(1, 0, text.count("\n") + 1, 0), ";".join(frameworks) or (sdk[1] if sdk else None), None, sdk=sdk[1] if sdk else None, frameworks=frameworks, output=(tag("OutputType") or [None])[0], packages=packages, projects=projects, test=test, warnings=[] if root else ["no Project element"])
+        for r in projects:
+            b.ref(me, r.rsplit("/", 1)[-1], "project_reference", None, 0.8)
     return b
 
 
+# Packages that make a project one of tests.
+TEST_PACKAGES = ["xunit", "nunit", "mstest.testframework"]
 RAILS_ROLES = [("controller", r"(^|/)app/controllers/"), ("model", r"(^|/)app/models/"), ("view", r"(^|/)app/views/"), ("job", r"(^|/)app/jobs/"), ("mailer", r"(^|/)app/mailers/"), ("routes", r"(^|/)config/routes(\.rb$|/)"), ("migration", r"(^|/)db/migrate/"), ("test", r"(^|/)(test|spec)/")]
 
 

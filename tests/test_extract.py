@@ -5,6 +5,7 @@ import json
 import pytest
 
 from lodestack.extract import languages, registry, resources
+from lodestack.extract.registry import extract_one
 from lodestack.sources import files as F_
 
 
@@ -39,8 +40,12 @@ def test_go():
 
 def test_cpp():
     b = languages.cpp("a.cpp", '#include "lib/util.h"\n#include <vector>\nclass Box {\npublic:\n  int size() const {\n    return count();\n  }\n};\nint count() { return 1; }\nvoid Box::grow(int n)\n{\n  if (n) { count(); }\n}\nint declared(int);\n')
-    assert names(b, "class") == ["Box"] and names(b, "method") == ["Box::size", "Box::grow"] and names(b, "function") == ["count"]
-    assert refs(b, "include") == ["util", "vector"] and refs(b, "call") == ["count", "count"]
+    assert names(b, "class") == ["Box"] and names(b, "method") == ["Box.size", "Box.grow"] and names(b, "function") == ["a.count", "a.declared"]
+    assert names(b, "include") == ["a.cpp:include:lib/util.h", "a.cpp:include:vector"]
+    assert refs(b, "cpp_include") == ["util", "vector"] and refs(b, "call") == ["count", "count"]
+    h = languages.cpp("inc/box.hpp", 'struct Outer {\n  Outer();\n  ~Outer();\n  virtual int area() const = 0;\n  class Inner {\n    static void go(int a, int b);\n  };\n  int later;\n};\n// int hidden();\nextern int helper(const char *name);\nint x = f(3);\n')
+    assert names(h, "class") == ["Outer", "Outer.Inner"] and names(h, "method") == ["Outer.Outer", "Outer.~Outer", "Outer.area", "Outer.Inner.go"] and names(h, "function") == ["inc.box.helper"]
+    assert not [json.loads(n["metadata"]) for n in h.nodes if json.loads(n["metadata"]).get("body")]
 
 
 def test_ruby():
@@ -83,9 +88,12 @@ def test_resources():
     broken = resources.cloudformation("t.yaml", TEMPLATE + "  : : [\n")
     assert {n["name"] for n in broken.nodes} >= {"Table", "Fn"}
     c = resources.cmake("CMakeLists.txt", "add_library(core STATIC a.cpp b.cpp)\nadd_executable(app main.cpp)\n")
-    assert [(n["kind"], n["name"]) for n in c.nodes] == [("cmake_library", "core"), ("cmake_executable", "app")] and json.loads(c.nodes[0]["metadata"])["sources"] == ["a.cpp", "b.cpp"]
+    assert [(n["kind"], n["name"]) for n in c.nodes] == [("cmake_library", "core"), ("cmake_executable", "app")] and json.loads(c.nodes[0]["metadata"])["sources"] == ["STATIC", "a.cpp", "b.cpp"]
+    assert [n["kind"] for n in extract_one("x/part.cmake", "text", "add_library(core a.cpp)").nodes] == ["resource"]
+    sln = resources.dotnet("a.sln", 'Project("{F}") = "App", "src\\App\\App.csproj", "{1}"\nEndProject\nProject("{2}") = "Folder", "Folder", "{3}"\nEndProject\n')
+    assert [(n["name"], n["signature"]) for n in sln.nodes] == [("App", "src/App/App.csproj")]
     d = resources.dotnet("a/b.csproj", '<Project><PropertyGroup><TargetFramework>net8.0</TargetFramework></PropertyGroup><ItemGroup><ProjectReference Include="..\\c\\c.csproj" /></ItemGroup></Project>')
-    assert json.loads(d.nodes[0]["metadata"])["frameworks"] == ["net8.0"] and refs(d, "project_reference") == ["c"]
+    assert json.loads(d.nodes[0]["metadata"])["frameworks"] == ["net8.0"] and refs(d, "project_reference") == ["c.csproj"]
 
 
 @pytest.fixture
