@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestack.functions import paths as P
 from lodestack.functions.arrays import let, scan
 from lodestack.operators.relational import ranked
 from lodestack.operators.search import search_symbol_text
@@ -181,7 +182,8 @@ def resolve_references(refs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     refs: ref_id, source, name, kind, language, static, receiver (import_selector, receiver_or_package_local or null),
     import_dir, paths (array); nodes: node_id, name, qualified_name, kind, language, path. Narrowing comes before
-    the count: a narrower pool is used when it is not empty. Nodes are counted by name, by name and directory, by
+    the count: a narrower pool is used when it is not empty. A Ruby require means the module of the file whose path ends in
+    its name; require_relative starts from the folder of source_path, where refs have that column. Nodes are counted by name, by name and directory, by
     qualified name and by path before they meet references, so every join is on a unique key: a name that many
     references and many nodes share costs their sum, not their product.
     """
@@ -197,8 +199,14 @@ def resolve_references(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     own = refs.withColumn("_qn", name).withColumn("_key", F.element_at(F.split(name, r"\."), -1)).withColumn("_dir", F.when(F.col("receiver") == "import_selector", F.col("import_dir")))
     handler, ruby = F.col("kind") == "lambda_handler_file", F.col("language") == "ruby"
     by_file = own.where(handler).select("ref_id", F.explode(F.array_distinct("paths")).alias("path")).join(filed, "path").groupBy("ref_id").agg(F.sum("_n_file").alias("_n_file"), F.min("_id_file").alias("_id_file"))
+    stem = F.regexp_replace(F.lower("path"), r"\.rb$", "")
+    modules = nodes.where((F.col("language") == "ruby") & (F.col("kind") == "module")).select("node_id", F.split(stem, "/").alias("_parts"))
+    suffixed = modules.select("node_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("_parts")), lambda i: F.array_join(F.slice("_parts", i, F.size("_parts")), "/"))).alias("_file")).groupBy("_file").agg(*of(some, "required"))
+    own_dir = P.dirname(F.lower("source_path")) if "source_path" in refs.columns else F.lit("")
+    named_file = F.regexp_replace(F.lower("name"), r"\.rb$", "")
+    own = own.withColumn("_file", F.when(F.col("kind") == "require", named_file).when(F.col("kind") == "require_relative", P.canonical(F.concat_ws("/", F.nullif(own_dir, F.lit("")), named_file))))
     by_qn = full.select("_key", "_qn", *(F.col(c) for c in full.columns if c not in ("_key", "_qn")))
-    out = own.join(named, "_key", "left").join(placed, ["_key", "_dir"], "left").join(by_qn, ["_key", "_qn"], "left").join(by_file, "ref_id", "left")
+    out = own.join(named, "_key", "left").join(placed, ["_key", "_dir"], "left").join(by_qn, ["_key", "_qn"], "left").join(by_file, "ref_id", "left").join(suffixed, "_file", "left")
 
     def pick(which: str) -> Column:
         """struct(n, id) of a pool."""
@@ -211,6 +219,7 @@ def resolve_references(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     nothing = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast(dict(nodes.dtypes)["node_id"]).alias("id"))
     pool = (
         F.when(handler, pick("file"))
+        .when(ruby & F.coalesce("static", F.lit(False)) & (F.col("_n_required") > 0), pick("required"))
         .when(ruby, F.when(F.coalesce("static", F.lit(False)), qualified.otherwise(pick("any"))).otherwise(nothing))
         .when((F.col("receiver") == "import_selector") & (F.col("_n_dir") > 0), pick("dir"))
         .when((F.col("receiver") == "receiver_or_package_local") & (F.col("_n_methods") > 0), pick("methods"))

@@ -158,6 +158,16 @@ def owner_tier(states: Column, authority: Column, currency: Column) -> Column:
     return F.when(has("valid") & (authority == "canonical") & (currency == "current"), 0).when(has("valid"), 1).when(F.coalesce(F.size(states), F.lit(0)) <= 0, 2).when(has("draft", "conflicting"), 3).otherwise(4)
 
 
+def rank_reasons(most: int = 8) -> Column:
+    """Why a candidate ranks where it does, as short texts in the order of the keys; columns as rank_order takes them, and candidate_source."""
+    said = lambda label, c: F.concat(F.lit(label + ": "), F.replace(c.cast("string"), F.lit("_"), F.lit(" ")))
+    lines = [
+        F.when(F.col("owner_priority") == 0, F.lit("owner of a matched concern")), said("match", F.element_at(F.array(*map(F.lit, BANDS)), F.col("band") + 1)), F.when(F.col("owner_tier") < 2, said("owner tier", F.col("owner_tier"))), said("authority", F.col("authority")),
+        said("currency", F.col("currency")), F.when(F.col("lexical").isNotNull(), said("lexical score", F.round("lexical", 3))), said("found by", F.col("candidate_source")),
+    ]
+    return F.slice(F.filter(F.array(*lines), lambda x: x.isNotNull()), 1, most)
+
+
 AUTHORITIES, CURRENCIES = ["canonical", "supporting", "non_authoritative"], ["current", "unknown", "stale", "historical", "superseded"]
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from lodestack.functions import authority as A
 from lodestack.functions import paths as P
+from lodestack.functions.text import is_json
 from lodestack.operators.relational import longest_prefix, ranked
 
 
@@ -166,6 +167,41 @@ def package_scripts(packages: DataFrame) -> DataFrame:
     return packages.select(F.when(P.dirname(F.col("path")) == "", ".").otherwise(P.dirname(F.col("path"))).alias("root"), F.explode(scripts).alias("script", "command"))
 
 
+def nearest_packages(files: DataFrame, packages: DataFrame) -> DataFrame:
+    """path, root: the nearest package above each file, null where there is none. packages: path of each manifest."""
+    root = F.when(P.dirname(F.col("path")) == "", ".").otherwise(P.dirname(F.col("path")))
+    roots = packages.select(root.alias("prefix")).distinct().withColumn("k", F.col("prefix"))
+    return longest_prefix(files.select("path"), "path", roots, "prefix", "k").select("path", F.col("unit").alias("root"))
+
+
+def scripts_for(files: DataFrame, packages: DataFrame, wanted: Iterable[str] = ("test", "lint", "typecheck", "build")) -> DataFrame:
+    """root, script, command of the nearest packages of the files: what may be planned for them. packages: path, text."""
+    own = nearest_packages(files, packages).where("root IS NOT NULL").select("root").distinct()
+    return package_scripts(packages).where(F.col("script").isin(list(wanted))).join(own, "root", "left_semi")
+
+
+#: Providers of diagnostics: name, the files they take, the column that tells that a text is faulty, message.
+PROVIDERS = [
+    ("json_syntax", lambda p: F.lower(p).endswith(".json"), lambda t: ~is_json(t), "not one JSON value"),
+    ("merge_markers", lambda p: F.lit(True), lambda t: t.rlike(r"(?m)^(<{7}|>{7}) "), "merge marker left"),
+]
+SEVERITIES = ["blocker", "error", "warning", "info"]
+
+
+def diagnose(files: DataFrame, reason: Column | None = None) -> DataFrame:
+    """path, provider, severity, message: what all providers find in files (path, text), worst first.
+
+    Files that the path policy keeps out (reason other than "source") get one finding that says so and are not looked into.
+    """
+    reason = F.lit("source") if reason is None else reason
+    f = files.select("path", "text", reason.alias("_reason"))
+    rows = [F.struct(F.lit(name).alias("provider"), F.lit("error").alias("severity"), F.lit(message).alias("message"), (takes(F.col("path")) & F.coalesce(faulty(F.col("text")), F.lit(False))).alias("use")) for name, takes, faulty, message in PROVIDERS]
+    out = F.struct(F.lit("path_policy").alias("provider"), F.lit("info").alias("severity"), F.concat(F.lit("left out: "), F.col("_reason")).alias("message"), F.lit(True).alias("use"))
+    found = f.select("path", F.explode(F.when(F.col("_reason") == "source", F.array(*rows)).otherwise(F.array(out))).alias("d")).where("d.use")
+    order = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
+    return found.select("path", "d.provider", "d.severity", "d.message").orderBy(order, "path", "provider")
+
+
 def diagnostics(findings: DataFrame) -> DataFrame:
     """severity, n and the worst outcome over all findings (path, severity)."""
     order = F.array(F.lit("info"), F.lit("warning"), F.lit("error"), F.lit("blocker"))

@@ -114,3 +114,22 @@ def nearest_tests(spark, sf_dir):
     src = b.select(F.concat(F.lit("src/m"), (F.row_number().over(Window.orderBy("b")) % 7).cast("string"), F.lit("/"), F.lower(F.replace("b", F.lit("#"), F.lit(""))), F.lit(".py")).alias("path"))
     tests = b.select(F.concat(F.lit("tests/test_"), F.lower(F.replace("b", F.lit("#"), F.lit(""))), F.lit(".py")).alias("path"))
     return PL.nearest_tests(src, tests)
+
+
+@query("""WITH r AS (SELECT DISTINCT 'pkg' || n_regionkey AS root FROM nation UNION ALL SELECT DISTINCT 'pkg' || n_regionkey || '/sub' || (n_nationkey % 3) FROM nation), f AS (SELECT 'pkg' || (c_nationkey % 7) || '/sub' || (c_custkey % 4) || '/f' || c_custkey || '.js' AS path FROM customer)
+SELECT path, CASE WHEN regexp_extract(path, '^([^/]*/[^/]*)/', 1) IN (SELECT root FROM r) THEN regexp_extract(path, '^([^/]*/[^/]*)/', 1) WHEN regexp_extract(path, '^([^/]*)/', 1) IN (SELECT root FROM r) THEN regexp_extract(path, '^([^/]*)/', 1) END AS root FROM f""")
+def nearest_packages(spark, sf_dir):
+    """The nearest package manifest above each file."""
+    text = lambda c: c.cast("string")
+    n, c = t(spark, sf_dir, "nation"), t(spark, sf_dir, "customer")
+    at = F.concat(F.lit("pkg"), text(F.col("n_regionkey")))
+    packages = n.select(F.concat(at, F.lit("/package.json")).alias("path")).union(n.select(F.concat(at, F.lit("/sub"), text(F.col("n_nationkey") % 3), F.lit("/package.json"))))
+    files_ = c.select(F.concat(F.lit("pkg"), text(F.col("c_nationkey") % 7), F.lit("/sub"), text(F.col("c_custkey") % 4), F.lit("/f"), text(F.col("c_custkey")), F.lit(".js")).alias("path"))
+    return PL.nearest_packages(files_, packages)
+
+
+@query(f"""WITH {FILES_SQL} SELECT path, 'json_syntax' AS provider, 'error' AS severity, 'not one JSON value' AS message FROM files WHERE path LIKE '%.json' AND NOT starts_with(path, 'vendor/') AND NOT json_valid(text)
+UNION ALL SELECT path, 'path_policy', 'info', 'left out: vendor' FROM files WHERE starts_with(path, 'vendor/')""")
+def diagnostics_by_provider(spark, sf_dir):
+    p = F.col("path")
+    return PL.diagnose(files(spark, sf_dir).select("path", "text"), F.when(p.startswith("vendor/"), "vendor").otherwise("source"))

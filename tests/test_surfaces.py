@@ -218,3 +218,27 @@ def test_bm25_ways_agree(spark, tmp_path):
         b = {x["key"]: round(x["score"], 9) for x in index.search(terms, [1.0, 3.0], prefix, every).collect()}
         assert a == b and (terms == ["nothing"]) == (not a)
     assert S.bm25(df.withColumn("score", F.lit("mine")), {"body": 1.0}, ["beta"]).columns == ["id", "body", "title", "score"]
+
+
+def test_ruby_requires_mean_files(spark):
+    nodes = spark.createDataFrame([("1", "tool", "lib.tool", "module", "ruby", "lib/tool.rb"), ("2", "tool", "app.tool", "module", "ruby", "app/tool.rb"), ("3", "deep", "x.deep", "module", "ruby", "lib/x/deep.rb"), ("4", "tool", "t", "function", "go", "t.go")], "node_id string, name string, qualified_name string, kind string, language string, path string")
+    cols = "ref_id string, source string, name string, kind string, language string, static boolean, receiver string, import_dir string, paths array<string>, source_path string"
+    r = lambda i, name, kind, at, static=True: (i, "s", name, kind, "ruby", static, None, None, [], at)
+    refs = spark.createDataFrame([r("a", "x/deep", "require", "main.rb"), r("b", "tool", "require", "main.rb"), r("c", "../tool.rb", "require_relative", "lib/x/deep.rb"), r("d", "lib/tool", "require", "main.rb"), r("e", "json", "require", "main.rb"), r("f", "x/deep", "require", "main.rb", False)], cols)
+    got = {x["ref_id"]: (x["target"], x["resolution"]) for x in G.resolve_references(refs, nodes).collect()}
+    assert got == {"a": ("3", "resolved"), "b": (None, "ambiguous"), "c": ("1", "resolved"), "d": ("1", "resolved"), "e": (None, "unresolved"), "f": (None, "unresolved")}
+
+
+def test_packages_and_providers(spark):
+    from lodestack.plans import planning as PL
+
+    pk = spark.createDataFrame([("package.json", '{"scripts": {"test": "t0", "other": "o"}}'), ("a/package.json", '{"scripts": {"test": "t1"}}'), ("b/package.json", "{")], "path string, text string")
+    f = spark.createDataFrame([("a/x/y.js", None), ("z.js", "<<<<<<< ours\n"), ("c.json", "{"), ("d.json", "{}")], "path string, text string")
+    assert {(r["path"], r["root"]) for r in PL.nearest_packages(f, pk).collect()} == {("a/x/y.js", "a"), ("z.js", "."), ("c.json", "."), ("d.json", ".")}
+    assert {(r["root"], r["script"], r["command"]) for r in PL.scripts_for(f, pk).collect()} == {(".", "test", "t0"), ("a", "test", "t1")}
+    assert [(r["path"], r["provider"]) for r in PL.diagnose(f, F.when(F.col("path") == "a/x/y.js", "vendor").otherwise("source")).collect()] == [("c.json", "json_syntax"), ("z.js", "merge_markers"), ("a/x/y.js", "path_policy")]
+
+
+def test_rank_reasons(spark):
+    row = spark.createDataFrame([(0, 3, 0, "canonical", "current", None, "matched_owner")], "owner_priority int, band int, owner_tier int, authority string, currency string, lexical double, candidate_source string")
+    assert row.select(S.rank_reasons()).first()[0] == ["owner of a matched concern", "match: intent owner match", "owner tier: 0", "authority: canonical", "currency: current", "found by: matched owner"]
