@@ -125,25 +125,25 @@ def ranked_symbols(spark, sf_dir):
     return DOC.ranked_symbols(n, ["red", "blue bolt"], ["Brand#2"], 40).select("node_id", "score", "rank")
 
 
-@query("""WITH h AS (SELECT 'h' || s_suppkey AS node_id, 't' || (s_nationkey % 5) AS template, 'l' || s_nationkey AS logical_id, s_suppkey % 3 AS kind_rank FROM supplier), a AS (SELECT 'f' || s_suppkey AS node_id, 'h' || (s_suppkey % 20) AS binding FROM supplier WHERE s_suppkey % 4 = 0),
+@query("""WITH h AS (SELECT 'h' || s_suppkey AS node_id, 't' || (s_nationkey % 5) AS template, 'l' || s_nationkey AS logical_id, s_suppkey % 3 AS kind_rank FROM supplier), a AS (SELECT 'f' || s_suppkey AS node_id, 'h' || (s_suppkey % 20) AS binding FROM supplier),
 o AS (SELECT *, row_number() OVER (ORDER BY template, logical_id, kind_rank, node_id) AS g FROM h), b AS (SELECT node_id, g, 0 AS a FROM o UNION ALL SELECT a.node_id, o.g, 1 FROM a JOIN o ON o.node_id = a.binding)
 SELECT node_id, row_number() OVER (ORDER BY g, a, node_id) AS rank FROM b""")
 def handler_grouping(spark, sf_dir):
     text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
     s = t(spark, sf_dir, "supplier")
     hits = s.select(text("h", F.col("s_suppkey")).alias("node_id"), text("t", F.col("s_nationkey") % 5).alias("template"), text("l", F.col("s_nationkey")).alias("logical_id"), (F.col("s_suppkey") % 3).alias("kind_rank"))
-    anchors = s.where("s_suppkey % 4 = 0").select(text("f", F.col("s_suppkey")).alias("node_id"), text("h", F.col("s_suppkey") % 20).alias("binding"))
+    anchors = s.select(text("f", F.col("s_suppkey")).alias("node_id"), text("h", F.col("s_suppkey") % 20).alias("binding"))
     return G.handler_groups(hits, anchors)
 
 
-@query("""WITH d AS (SELECT event_id % 97 AS path, CASE WHEN event_type = 'error' THEN 3 ELSE 0 END AS o FROM events), v AS (SELECT user_id % 97 AS path, CASE WHEN event_type = 'signup' THEN 2 ELSE 0 END AS o FROM events WHERE event_type IN ('signup', 'purchase')), x AS (SELECT path, o FROM d WHERE path % 3 = 0 UNION ALL SELECT path, o FROM v UNION ALL SELECT path, 1 FROM (SELECT DISTINCT path FROM d WHERE path % 7 = 1))
+@query("""WITH d AS (SELECT event_id % 97 AS path, CASE WHEN event_type = 'error' THEN 3 ELSE 0 END AS o FROM events), v AS (SELECT user_id % 97 AS path, CASE WHEN event_type = 'signup' THEN 2 ELSE 0 END AS o FROM events WHERE event_type IN ('signup', 'purchase')), x AS (SELECT path, o FROM d UNION ALL SELECT path, o FROM v UNION ALL SELECT path, 1 FROM (SELECT DISTINCT event_id % 97 AS path FROM events WHERE event_type = 'click'))
 SELECT path, count(*) AS checks, ['passed', 'deferred', 'blocked', 'failed'][max(o) + 1] AS outcome FROM x GROUP BY path""")
 def post_edit_feedback(spark, sf_dir):
     e = t(spark, sf_dir, "events")
     p = (F.col("event_id") % 97).alias("path")
-    diag = e.select(p, F.when(F.col("event_type") == "error", "error").otherwise("info").alias("severity")).where("path % 3 = 0")
+    diag = e.select(p, F.when(F.col("event_type") == "error", "error").otherwise("info").alias("severity"))
     val = e.where(F.col("event_type").isin("signup", "purchase")).select((F.col("user_id") % 97).alias("path"), F.when(F.col("event_type") == "signup", "blocked").otherwise("passed").alias("outcome"))
-    return DOC.merged_feedback(diag, val, e.select(p).distinct().where("path % 7 = 1"))
+    return DOC.merged_feedback(diag, val, e.where(F.col("event_type") == "click").select(p).distinct())
 
 
 @query(f"""WITH {FILES_SQL} SELECT path, file_id FROM files WHERE (starts_with(path, 'src/') OR starts_with(path, 'docs/')) AND NOT regexp_matches(path, '\\.(pem|tmp|exe)$')""")
@@ -175,14 +175,14 @@ def docs_scope(spark, sf_dir):
     return DM.docs_scope(DOC.docs_index(files(spark, sf_dir)))
 
 
-_SNAP = """s AS (SELECT c_custkey AS snapshot_id, 'repo' || c_nationkey AS repo, ['stale', 'fresh', 'refreshing'][((c_custkey * 7 + c_nationkey) % 3) + 1] AS freshness FROM customer), n AS (SELECT o_custkey AS snapshot_id, count(*) AS docs FROM orders WHERE o_custkey % 4 > 0 GROUP BY o_custkey),
+_SNAP = """s AS (SELECT c_custkey AS snapshot_id, 'repo' || c_nationkey AS repo, ['stale', 'fresh', 'refreshing'][((c_custkey * 7 + c_nationkey) % 3) + 1] AS freshness FROM customer), n AS (SELECT o_custkey AS snapshot_id, count(*) AS docs FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' GROUP BY o_custkey),
 k AS (SELECT s.*, coalesce(docs, 0) AS docs FROM s LEFT JOIN n USING (snapshot_id))"""
 
 
 def _snapshots(spark, sf_dir):
     k = F.col("c_custkey")
     s = t(spark, sf_dir, "customer").select(k.alias("snapshot_id"), F.concat(F.lit("repo"), F.col("c_nationkey").cast("string")).alias("repo"), F.element_at(F.array(*map(F.lit, ("stale", "fresh", "refreshing"))), ((k * 7 + F.col("c_nationkey")) % 3 + 1).cast("int")).alias("freshness"))
-    return s, t(spark, sf_dir, "orders").where("o_custkey % 4 > 0").select(F.col("o_custkey").alias("snapshot_id"))
+    return s, t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'").select(F.col("o_custkey").alias("snapshot_id"))
 
 
 @query(f"""WITH {_SNAP}, l AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY repo ORDER BY snapshot_id DESC) = 1), u AS (SELECT * FROM k WHERE freshness = 'fresh' AND docs > 0 QUALIFY row_number() OVER (PARTITION BY repo ORDER BY snapshot_id DESC) = 1),

@@ -58,13 +58,13 @@ def related_files(spark, sf_dir):
     return ranked(f, [F.desc("score"), F.asc("path")], 25)
 
 
-_R = ", ".join(f"({i}, '{n}', '{c}', (SELECT coalesce(bool_or(regexp_matches(lower(path), '{m}')), false) FROM files), (SELECT coalesce(bool_or(regexp_matches(lower(path), '{s}')), false) FROM files WHERE file_id < 40))" for i, (n, m, s, c) in enumerate(PL.RULES))
+_R = ", ".join(f"({i}, '{n}', '{c}', (SELECT coalesce(bool_or(regexp_matches(lower(path), '{m}')), false) FROM files), (SELECT coalesce(bool_or(regexp_matches(lower(path), '{s}')), false) FROM files))" for i, (n, m, s, c) in enumerate(PL.RULES))
 
 
 @query(f"""WITH {FILES_SQL}, r AS (SELECT * FROM (VALUES {_R}) v(ord, family, command, m, s)) SELECT ord, family, command, 'planned' AS status FROM r WHERE m AND s""")
 def verification_plan(spark, sf_dir):
     f = files(spark, sf_dir).select("path", "file_id")
-    return PL.verification_plan(f, f.where("file_id < 40"))
+    return PL.verification_plan(f, f)
 
 
 @query(f"""WITH {FILES_SQL}, s AS (SELECT path, ({_points(PL.CURRENT_DOCS)} + CASE WHEN contains(lower(path), 'design') THEN 8.0 ELSE 0.0 END + CASE WHEN contains(lower(path), 'docs') THEN 8.0 ELSE 0.0 END)::DOUBLE AS score, file_id FROM files),
@@ -82,11 +82,11 @@ def diagnostics_rollup(spark, sf_dir):
     return PL.diagnostics(t(spark, sf_dir, "events").select(F.when(k == "error", "error").when(k == "signup", "warning").otherwise("info").alias("severity")))
 
 
-@query(f"""WITH {FILES_SQL}, c AS (SELECT path, 'staged' AS s FROM files WHERE file_id % 20 = 1 UNION SELECT path, 'unstaged' FROM files WHERE file_id % 15 = 1 UNION SELECT path, 'caller' FROM files WHERE file_id < 5)
+@query(f"""WITH {FILES_SQL}, c AS (SELECT path, 'staged' AS s FROM files WHERE lang = 'de' UNION SELECT path, 'unstaged' FROM files WHERE size_bytes > 2000 UNION SELECT path, 'caller' FROM files WHERE path LIKE '%.md')
 SELECT path, list_sort(list(s)) AS sources FROM c GROUP BY path ORDER BY path LIMIT 50""")
 def changed_files(spark, sf_dir):
-    f = files(spark, sf_dir).select("path", "file_id")
-    return PL.changed_files({"staged": f.where("file_id % 20 = 1"), "unstaged": f.where("file_id % 15 = 1"), "caller": f.where("file_id < 5")})
+    f = files(spark, sf_dir)
+    return PL.changed_files({"staged": f.where("lang = 'de'"), "unstaged": f.where("size_bytes > 2000"), "caller": f.where(F.col("path").endswith(".md"))})
 
 
 @query(f"""WITH {FILES_SQL}, e AS (SELECT count(*) AS seen, count(*) FILTER (WHERE path LIKE '%.py' OR path LIKE '%.go' OR path LIKE '%.md') AS el, count(*) FILTER (WHERE (path LIKE '%.py' OR path LIKE '%.go' OR path LIKE '%.md') AND NOT starts_with(path, 'vendor/')) AS ad,

@@ -190,10 +190,10 @@ def upsert_latest(spark, sf_dir):
     return R.latest(t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status")), ["key"], "seq").select("key", "seq", "price", "status")
 
 
-@query("""SELECT doc_id, n_chars AS v FROM documents WHERE doc_id % 10 <> 3 UNION ALL SELECT doc_id, -n_chars FROM documents WHERE doc_id % 10 = 3 AND doc_id % 20 = 3""")
+@query("""SELECT doc_id, n_chars AS v FROM documents WHERE lang <> 'fr' UNION ALL SELECT doc_id, -n_chars FROM documents WHERE lang = 'fr' AND n_chars > 300""")
 def replace_partition(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 10).alias("p"), F.col("n_chars").alias("v"))
-    changed = d.where("p = 3 AND doc_id % 20 = 3").select("doc_id", "p", (-F.col("v")).alias("v"))
+    d = t(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("p"), F.col("n_chars").alias("v"))
+    changed = d.where("p = 'fr' AND v > 300").select("doc_id", "p", (-F.col("v")).alias("v"))
     return R.replace_rows(d, changed, ["p"]).select("doc_id", "v")
 
 
@@ -255,13 +255,13 @@ def composition_fingerprint(spark, sf_dir):
     return u.groupBy("repo").agg(F.when(F.bool_or(F.col("state") == "MACHINERY"), "blocked").when(F.bool_or(~F.col("clean")), "dirty").otherwise("clean").alias("cleanliness"), F.count(F.lit(1)).alias("units"), F.sha2(F.array_join(units, ","), 256).alias("fingerprint"))
 
 
-@query("""WITH x AS (SELECT doc_id, n_chars, sha256(text) AS h FROM documents), live AS (SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN n_chars + 1 ELSE n_chars END AS n_chars, h FROM x WHERE doc_id % 5 <> 2)
+@query("""WITH x AS (SELECT doc_id, n_chars, lang, sha256(text) AS h FROM documents), live AS (SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN n_chars + 1 ELSE n_chars END AS n_chars, h FROM x WHERE lang <> 'de')
 SELECT x.doc_id, CASE WHEN live.doc_id IS NULL THEN 'missing' WHEN live.n_chars <> x.n_chars THEN 'changed' ELSE 'valid' END AS state FROM x LEFT JOIN live USING (doc_id)""")
 def snapshot_validity(spark, sf_dir):
     from lodestack.operators.snapshots import path_states
 
-    x = t(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    live = x.where("doc_id % 5 <> 2").withColumn("n_chars", F.when(F.col("doc_id") % 7 == 1, F.col("n_chars") + 1).otherwise(F.col("n_chars")))
+    x = t(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang")
+    live = x.where("lang <> 'de'").withColumn("n_chars", F.when(F.col("doc_id") % 7 == 1, F.col("n_chars") + 1).otherwise(F.col("n_chars")))
     return path_states(x, live, "doc_id", ["n_chars"])
 
 

@@ -205,11 +205,12 @@ def bounded_bfs(spark, sf_dir):
     return G.traverse(nodes, e, start, max_depth=2, max_nodes=60)
 
 
-@query("""WITH e AS (SELECT l_suppkey AS node, l_shipdate, l_partkey % 9 AS file, CASE WHEN l_returnflag = 'R' AND l_suppkey % 3 = 0 THEN 'cloudformation' ELSE 'parser' END AS provenance, CASE WHEN l_suppkey % 4 = 1 THEN l_discount * 10 ELSE 0.9 END AS conf FROM lineitem WHERE l_suppkey % 7 <> 5 OR l_partkey % 9 = 3)
+@query("""WITH e AS (SELECT l_suppkey AS node, l_shipdate, CASE WHEN l_suppkey % 7 = 5 THEN 3 ELSE l_partkey % 9 END AS file, CASE WHEN l_returnflag = 'R' AND l_suppkey % 3 = 0 THEN 'cloudformation' ELSE 'parser' END AS provenance, CASE WHEN l_suppkey % 4 = 1 THEN l_discount * 10 ELSE 0.9 END AS conf FROM lineitem)
 SELECT node, count(*) AS edges, count(DISTINCT file) AS files, CASE WHEN count(DISTINCT file) <= 1 THEN 'low/local_only' WHEN bool_or(provenance = 'cloudformation') OR bool_or(conf < 0.7) THEN 'low/graph' WHEN count(*) > 0 AND bool_or(node % 5 = 2) THEN 'medium/graph' ELSE 'high/graph' END AS confidence FROM e GROUP BY node""")
 def impact_confidence(spark, sf_dir):
-    s, p = F.col("l_suppkey"), F.col("l_partkey") % 9
-    e = t(spark, sf_dir, "lineitem").where((s % 7 != 5) | (p == 3)).select(s.alias("node"), p.alias("file"), F.when((F.col("l_returnflag") == "R") & (s % 3 == 0), "cloudformation").otherwise("parser").alias("provenance"), F.when(s % 4 == 1, F.col("l_discount") * 10).otherwise(0.9).alias("conf"))
+    s = F.col("l_suppkey")
+    p = F.when(s % 7 == 5, 3).otherwise(F.col("l_partkey") % 9)
+    e = t(spark, sf_dir, "lineitem").select(s.alias("node"), p.alias("file"), F.when((F.col("l_returnflag") == "R") & (s % 3 == 0), "cloudformation").otherwise("parser").alias("provenance"), F.when(s % 4 == 1, F.col("l_discount") * 10).otherwise(0.9).alias("conf"))
     return G.impact_confidence(e, ["node"], "file", "provenance", "conf", F.col("node") % 5 == 2)
 
 
@@ -221,7 +222,7 @@ def symbol_search(spark, sf_dir):
 
 
 @query("""WITH n AS (SELECT p_partkey AS node_id, lower(p_name) AS name, p_type AS kind FROM part), r AS (SELECT s_suppkey AS ref_id, CASE WHEN s_suppkey % 3 = 0 THEN 'red widget' ELSE 'Supplier#' || s_suppkey END AS name FROM supplier
-  UNION ALL SELECT 100000 + c_custkey, c_name FROM customer WHERE c_custkey < 200),
+  UNION ALL SELECT 10000000000 + c_custkey, c_name FROM customer),
 x AS (SELECT lower('Customer#' || lpad(c_custkey::VARCHAR, 9, '0')) AS name, 500000 + c_custkey AS node_id FROM customer UNION ALL SELECT name, node_id FROM n), g AS (SELECT name, count(*) AS n, min(node_id) AS one FROM x GROUP BY name)
 SELECT ref_id, CASE WHEN coalesce(g.n, 0) = 1 THEN one END AS target, coalesce(g.n, 0) AS candidate_count, CASE WHEN coalesce(g.n, 0) = 1 THEN 'resolved' WHEN coalesce(g.n, 0) > 1 THEN 'ambiguous' ELSE 'unresolved' END AS resolution FROM r LEFT JOIN g ON lower(r.name) = g.name""")
 def resolve_unique_names(spark, sf_dir):
@@ -230,7 +231,7 @@ def resolve_unique_names(spark, sf_dir):
     nodes = nodes.union(t(spark, sf_dir, "customer").select(F.col("c_custkey") + 500_000, "c_name")).select("node_id", "name", F.lit(None).cast("string").alias("qualified_name"), F.lit("function").alias("kind"), F.lit("go").alias("language"), F.lit("a/b.go").alias("path"))
     k = F.col("s_suppkey")
     refs = t(spark, sf_dir, "supplier").select(k.alias("ref_id"), F.when(k % 3 == 0, "red widget").otherwise(F.concat(F.lit("Supplier#"), text(k))).alias("name"))
-    refs = refs.union(t(spark, sf_dir, "customer").where("c_custkey < 200").select(F.col("c_custkey") + 100_000, "c_name"))
+    refs = refs.union(t(spark, sf_dir, "customer").select(F.col("c_custkey") + 10_000_000_000, "c_name"))
     none = F.lit(None).cast("string")
     refs = refs.select("ref_id", F.lit("m").alias("source"), "name", F.lit("call").alias("kind"), F.lit("go").alias("language"), F.lit(True).alias("static"), none.alias("receiver"), none.alias("import_dir"), F.array().cast("array<string>").alias("paths"))
     return G.resolve_references(refs, nodes).select("ref_id", "target", "candidate_count", "resolution")
