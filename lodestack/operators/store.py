@@ -154,3 +154,20 @@ class SnapshotTables:
 def upserted(current: DataFrame, changed: DataFrame, key: list[str]) -> DataFrame:
     """current with the rows of changed in place of those of equal keys."""
     return replace_rows(current, changed, key)
+
+
+# Edits: previewed against the content they were written for. Nothing is written to a workspace here.
+
+
+def preview_edits(files: DataFrame, edits: DataFrame, reason: str | None = None) -> DataFrame:
+    """path, state and token of each edit. files: path, content_hash and, where given, the policy's reason; edits: path, old_hash, new_hash.
+
+    applies: the file is as the edit expects; drifted: it changed; missing: it is gone (an edit without old_hash makes a new
+    file, which applies then); refused: the path policy keeps it from being written. The token binds a later application to what
+    was previewed: it differs as soon as path, old or new content do.
+    """
+    live = files.select("path", "content_hash", *([F.col(reason).alias("_reason")] if reason else [F.lit("source").alias("_reason")]), F.lit(True).alias("_there"))
+    e = edits.join(live, "path", "left")
+    state = F.when(F.coalesce(F.col("_reason"), F.lit("source")) != "source", "refused").when(F.col("_there").isNull(), F.when(F.col("old_hash").isNull(), "applies").otherwise("missing")).when(F.col("content_hash").eqNullSafe(F.col("old_hash")), "applies").otherwise("drifted")
+    token = F.sha2(F.to_json(F.array("path", "old_hash", "new_hash")), 256)
+    return e.select("path", state.alias("state"), F.when(state == "applies", token).alias("token"))

@@ -12,7 +12,7 @@ from lodestack.operators import references as REF
 from lodestack.operators import relational as R
 from lodestack.operators import search as S
 from lodestack.operators import store as ST
-from lodestack.plans.relational_queries import t
+from lodestack.plans.relational_queries import FILES_SQL, files, t
 from lodestack.plans.text_queries import _EDGES, _TOK, TERMS, _bm25_sql, _graph
 from lodestack.shared import filesystem, shared_dir
 
@@ -254,3 +254,14 @@ CASE WHEN count(*) FILTER (WHERE st = 'blocked') > 0 THEN 'blocked' WHEN count(*
 def surface_health(spark, sf_dir):
     k = F.col("event_type")
     return ST.surface_health(t(spark, sf_dir, "events").select(F.when(k == "error", "degraded").when(k == "signup", "unknown").otherwise("healthy").alias("status")))
+
+
+@query(f"""WITH {FILES_SQL}, e AS (SELECT path, lang, CASE WHEN lang = 'en' THEN sha256(text) WHEN lang = 'es' THEN NULL ELSE 'old' END AS old_hash, starts_with(path, 'vendor/') AS vendor FROM files),
+s AS (SELECT CASE WHEN lang = 'es' THEN 'new/' || path ELSE path END AS path, CASE WHEN lang = 'es' THEN 'applies' WHEN vendor THEN 'refused' WHEN lang = 'en' THEN 'applies' ELSE 'drifted' END AS state FROM e) SELECT path, state, state = 'applies' AS has_token FROM s""")
+def edit_preview(spark, sf_dir):
+    """English files are edited as they are, Spanish ones are copied to new paths, others were changed meanwhile."""
+    f = files(spark, sf_dir)
+    h = F.sha2("text", 256)
+    edits = f.select(F.when(F.col("lang") == "es", F.concat(F.lit("new/"), F.col("path"))).otherwise(F.col("path")).alias("path"), F.when(F.col("lang") == "en", h).when(F.col("lang") != "es", "old").alias("old_hash"), F.lit("n").alias("new_hash"))
+    live = f.select("path", h.alias("content_hash"), F.when(F.col("path").startswith("vendor/"), "vendor").otherwise("source").alias("reason"))
+    return ST.preview_edits(live, edits, "reason").select("path", "state", F.col("token").isNotNull().alias("has_token"))
