@@ -138,10 +138,11 @@ REDACTIONS = [
 ]
 
 
-def redacted(text: Column) -> Column:
+def redacted(text: Column, most_bytes: int | None = None) -> Column:
+    """Text without secrets and host paths, of at most so many bytes; redaction comes first, so a cut shows no part of a secret."""
     for regex, put in REDACTIONS:
         text = F.regexp_replace(text, regex, put)
-    return text
+    return text if most_bytes is None else utf8_prefix(text, most_bytes)
 
 
 def base64url(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -93,6 +95,19 @@ def budgeted(df: DataFrame, order: str, size: str, most_rows: int, most_bytes: i
     return run.select(*(F.col(f"_r.{c}").alias(c) for c in df.columns if c not in ("n", "bytes", "stop")), "n", "bytes", "stop")
 
 
+def within_time(pages: Iterable, most_ms: float, clock: Callable[[], float]) -> tuple[list, str]:
+    """Pages of a budgeted scan while time is left, and why it stopped: "time" or "exhausted". clock: milliseconds.
+
+    The time is looked at before each page, so a page that has begun is finished and the first one always runs.
+    """
+    began, out = clock(), []
+    for page in pages:
+        out.append(page)
+        if clock() - began >= most_ms:
+            return out, "time"
+    return out, "exhausted"
+
+
 def retained(snapshots: DataFrame, repo: list[str], id_col: str, published: Column, fresh: Column, building: Column, n_published: int, n_fresh: int) -> DataFrame:
     """Snapshots to keep: building ones, the latest n published and the latest n fresh of each repository."""
     order = F.col(id_col).desc()

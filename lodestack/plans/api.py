@@ -46,6 +46,26 @@ def _un64(text: str) -> bytes:
     return base64.urlsafe_b64decode(text + "=" * (-len(text) % 4))
 
 
+def offset_cursor(kind: str, offset: int) -> str:
+    """An unsigned cursor of an offset page, typed by the kind of page."""
+    return _b64(json.dumps({"kind": kind, "offset": offset}, sort_keys=True, separators=(",", ":")).encode())
+
+
+def read_offset(cursor: str | None, kind: str, strict: bool = False) -> int:
+    """Offset of a cursor. One that is malformed or of another kind begins anew at 0; strict refuses it (the documentation map does)."""
+    if cursor is None:
+        return 0
+    try:
+        data = json.loads(_un64(cursor))
+        if isinstance(data, dict) and data.get("kind") == kind and type(data.get("offset")) is int and data["offset"] >= 0:
+            return data["offset"]
+    except ValueError:
+        pass
+    if strict:
+        raise BadRequest("cursor")
+    return 0
+
+
 @dataclass
 class Cursors:
     """Signed cursors: base64url JSON bound to an identity (snapshot, query, scope, policy) and a key epoch."""

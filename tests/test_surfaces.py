@@ -242,3 +242,30 @@ def test_packages_and_providers(spark):
 def test_rank_reasons(spark):
     row = spark.createDataFrame([(0, 3, 0, "canonical", "current", None, "matched_owner")], "owner_priority int, band int, owner_tier int, authority string, currency string, lexical double, candidate_source string")
     assert row.select(S.rank_reasons()).first()[0] == ["owner of a matched concern", "match: intent owner match", "owner tier: 0", "authority: canonical", "currency: current", "found by: matched owner"]
+
+
+def test_offset_cursors_and_time():
+    from lodestack.operators import relational as R
+    from lodestack.plans import api
+
+    c = api.offset_cursor("docs", 20)
+    assert api.read_offset(c, "docs") == 20 and api.read_offset(None, "docs", True) == 0
+    for bad in (c[:-3], "%%", api.offset_cursor("other", 5), api.offset_cursor("docs", -1), "bnVsbA"):
+        assert api.read_offset(bad, "docs") == 0
+        with pytest.raises(BadRequest):
+            api.read_offset(bad, "docs", True)
+    ticks = iter(range(0, 1000, 40))
+    assert R.within_time(range(9), 100, lambda: next(ticks)) == ([0, 1, 2], "time")
+    assert R.within_time(range(2), 100, lambda: 0) == ([0, 1], "exhausted")
+
+
+def test_redaction_is_cut_after_it(spark):
+    row = spark.range(1).select(T.redacted(F.lit("token = abcdefghij and é more"), 22).alias("t"), T.redacted(F.lit("/home/me/x y"), None).alias("p")).first()
+    assert row["t"] == "token = [redacted] and"[:22] and row["p"] == "[path] y"
+
+
+def test_edit_preview(spark):
+    f = spark.createDataFrame([("a", "h1", "source"), ("b", "h2", "source"), ("v", "h3", "vendor")], "path string, content_hash string, reason string")
+    e = spark.createDataFrame([("a", "h1", "n"), ("b", "hx", "n"), ("v", "h3", "n"), ("new", None, "n"), ("gone", "h", "n"), ("a", None, "n")], "path string, old_hash string, new_hash string")
+    got = {(r["path"], r["state"]): r["token"] for r in ST.preview_edits(f, e, "reason").collect()}
+    assert set(got) == {("a", "applies"), ("b", "drifted"), ("v", "refused"), ("new", "applies"), ("gone", "missing"), ("a", "drifted")} and got["a", "applies"] != got["new", "applies"] and got["b", "drifted"] is None
