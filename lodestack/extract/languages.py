@@ -84,7 +84,7 @@ def typescript(path: str, text: str) -> Batch:
 
 _GO_IMPORT = re.compile(r"^\s*(?:import\s+)?(?:(?P<alias>[A-Za-z_.][\w]*)\s+)?\"(?P<path>[^\"]+)\"\s*$", re.M)
 _GO_DEF = re.compile(r"^func\s+(?:\((?P<recv>[^)]*)\)\s*)?(?P<func>[A-Za-z_]\w*)\s*(?:\[[^\]]*\])?\(|^type\s+(?P<type>[A-Za-z_]\w*)", re.M)
-_GO_KEYWORDS = "if for switch select return func go defer range case append len cap make new panic print println copy delete close recover string int error byte rune float64 int64 bool".split()
+_GO_KEYWORDS = ["if", "for", "switch", "select", "return", "func", "go", "defer", "range", "case", "append", "len", "cap", "make", "new", "panic", "print", "println", "copy", "delete", "close", "recover", "string", "int", "error", "byte", "rune", "float64", "int64", "bool"]
 
 
 def go(path: str, text: str) -> Batch:
@@ -192,10 +192,10 @@ def c(path: str, text: str) -> Batch:
 
 
 # Words of the language and its web framework that make references.
-RUBY_REQUIRE = "require require_relative load autoload autoload_relative".split()
-RUBY_MIXIN = "include extend prepend".split()
-RUBY_ROUTES = "get post put patch delete resource resources match root draw concern concerns".split()
-RUBY_MODEL = "belongs_to has_many has_one has_and_belongs_to_many validates before_save before_create before_update before_destroy before_validation".split()
+RUBY_REQUIRE = ["require", "require_relative", "load", "autoload", "autoload_relative"]
+RUBY_MIXIN = ["include", "extend", "prepend"]
+RUBY_ROUTES = ["get", "post", "put", "patch", "delete", "resource", "resources", "match", "root", "draw", "concern", "concerns"]
+RUBY_MODEL = ["belongs_to", "has_many", "has_one", "has_and_belongs_to_many", "validates", "before_save", "before_create", "before_update", "before_destroy", "before_validation"]
 _RUBY_OPEN = re.compile(r"^\s*(?:if|unless|while|until|case|begin|for)\b|(?:=|<<)\s*(?:if|case|begin)\b|\bdo\b(?:\s*\|[^|]*\|)?\s*$")
 
 

@@ -9,22 +9,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Names and extensions that decide a path's class.
-SKIPPED_DIRECTORIES = (
-    ".cache .claude .codex .devenv .direnv .git .gocache .gradle .home .local .m2 .mypy_cache .nox .npm .nuxt .pixi .pnpm-store .pytest_cache .ruff_cache .sandbox .terraform .tox .venv .yarn "
-    "__pycache__ 3rdparty artifacts bin build coverage dist node_modules obj publish target test-artifacts testresults third_party thirdparty vendor venv"
-).split()
-VENDOR_DIRECTORIES = "3rdparty node_modules third_party thirdparty vendor venv .venv".split()
-HIDDEN_DIRECTORIES = ".devcontainer .github".split()
-HIDDEN_FILES = (
-    ".aiignore .dockerignore .editorconfig .env.example .env.sample .env.template .eslintignore .eslintrc .eslintrc.cjs .eslintrc.js .eslintrc.json .gitattributes .gitignore .node-version .npmrc .nvmrc "
-    ".prettierignore .prettierrc .prettierrc.cjs .prettierrc.js .prettierrc.json .python-version .ruby-version .tool-versions"
-).split()
-SKIPPED_EXTENSIONS = ".br .coverage .coveragexml .dll .exe .gz .map .nupkg .pdb .snupkg .trx .wasm".split()
+SKIPPED_DIRECTORIES = [".cache", ".claude", ".codex", ".devenv", ".direnv", ".git", ".gocache", ".gradle", ".home", ".local", ".m2", ".mypy_cache", ".nox", ".npm", ".nuxt", ".pixi", ".pnpm-store", ".pytest_cache", ".ruff_cache", ".sandbox", ".terraform", ".tox", ".venv", ".yarn", "__pycache__", "3rdparty", "artifacts", "bin", "build", "coverage", "dist", "node_modules", "obj", "publish", "target", "test-artifacts", "testresults", "third_party", "thirdparty", "vendor", "venv"]
+VENDOR_DIRECTORIES = ["3rdparty", "node_modules", "third_party", "thirdparty", "vendor", "venv", ".venv"]
+HIDDEN_DIRECTORIES = [".devcontainer", ".github"]
+HIDDEN_FILES = [".aiignore", ".dockerignore", ".editorconfig", ".env.example", ".env.sample", ".env.template", ".eslintignore", ".eslintrc", ".eslintrc.cjs", ".eslintrc.js", ".eslintrc.json", ".gitattributes", ".gitignore", ".node-version", ".npmrc", ".nvmrc", ".prettierignore", ".prettierrc", ".prettierrc.cjs", ".prettierrc.js", ".prettierrc.json", ".python-version", ".ruby-version", ".tool-versions"]
+SKIPPED_EXTENSIONS = [".br", ".coverage", ".coveragexml", ".dll", ".exe", ".gz", ".map", ".nupkg", ".pdb", ".snupkg", ".trx", ".wasm"]
 LANGUAGES = {
-    "python": ".py .pyi", "typescript": ".ts .tsx", "javascript": ".js .jsx .mjs .cjs", "csharp": ".cs .razor .cshtml", "ruby": ".rb", "go": ".go", "rust": ".rs", "java": ".java", "c": ".c",
-    "cpp": ".cc .cpp .cxx .h .hh .hpp .hxx", "shell": ".sh", "infrastructure": ".tf .tfvars", "yaml": ".yaml .yml", "markdown": ".md .markdown .mdx", "json": ".json .jsonc", "toml": ".toml",
-    "config": ".cfg .config .ini .env .sln .csproj .fsproj .vbproj",
-}
+    "python": [".py", ".pyi"],
+    "typescript": [".ts", ".tsx"],
+    "javascript": [".js", ".jsx", ".mjs", ".cjs"],
+    "csharp": [".cs", ".razor", ".cshtml"],
+    "ruby": [".rb"],
+    "go": [".go"],
+    "rust": [".rs"],
+    "java": [".java"],
+    "c": [".c"],
+    "cpp": [".cc", ".cpp", ".cxx", ".h", ".hh", ".hpp", ".hxx"],
+    "shell": [".sh"],
+    "infrastructure": [".tf", ".tfvars"],
+    "yaml": [".yaml", ".yml"],
+    "markdown": [".md", ".markdown", ".mdx"],
+    "json": [".json", ".jsonc"],
+    "toml": [".toml"],
+    "config": [".cfg", ".config", ".ini", ".env", ".sln", ".csproj", ".fsproj", ".vbproj"],
+}
 
 
 def basename(path: Column) -> Column:
@@ -67,7 +75,7 @@ def language(path: Column) -> Column:
     ext, name, bare = extension(path), F.lower(basename(path)), F.lower(stem(path))
     out = None
     for lang, own in LANGUAGES.items():
-        test = ext.isin(own.split())
+        test = ext.isin(own)
         if lang == "shell":
             test = test | name.isin("bashrc", "zshrc")
         elif lang == "infrastructure":
@@ -104,15 +112,16 @@ def is_temporary(path: Column) -> Column:
     return name.endswith("~") | name.startswith(".#") | name.rlike(r"\.(swp|swo|tmp)$")
 
 
-def policy(path: Column, generated: Iterable[str] = (), vendor: Iterable[str] = (), skipped: Iterable[str] = (), ignored: Column | None = None, admitted: Column | None = None, nested: Column | None = None) -> Column:
+def policy(path: Column, generated: Iterable[str] = (), vendor: Iterable[str] = (), skipped: Iterable[str] = (), ignored: Column | None = None, admitted: Column | None = None, nested: Column | None = None, shown: Iterable[str] = HIDDEN_DIRECTORIES) -> Column:
     """struct(category, reason, read, write, redaction) of a file path; the first rule that fits decides.
 
-    ignored: whether ignore rules exclude it; admitted: inside a readable submodule; nested: inside another repository.
+    ignored: whether ignore rules exclude it; admitted: inside a readable submodule; nested: inside another repository;
+    shown: directories that are read although their names begin with a dot.
     """
     low = F.transform(F.split(path, "/"), lambda s: F.lower(s))
     leaf = F.element_at(low, -1)
     above = F.slice(low, F.lit(1), F.size(low) - 1)
-    hidden = F.exists(above, lambda s: s.startswith(".") & ~s.isin(HIDDEN_DIRECTORIES)) | leaf.startswith(".") & ~leaf.isin(HIDDEN_FILES)
+    hidden = F.exists(above, lambda s: s.startswith(".") & ~s.isin(list(shown))) | leaf.startswith(".") & ~leaf.isin(HIDDEN_FILES)
     rules = [
         ((path == "") | (path == "."), "source", "source"),
         (is_secret(path), "secret", "secret"),

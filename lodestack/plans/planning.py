@@ -220,7 +220,7 @@ def changed_files(sources: dict[str, DataFrame], most: int = 50) -> DataFrame:
 
 
 # Trust: what a response may be used for. Fixed values.
-PROOF = "closure_claim passed_validation_claim safe_mutation_claim security_or_vulnerability_claim task_completion_claim whole_program_impact_claim".split()
+PROOF = ["closure_claim", "passed_validation_claim", "safe_mutation_claim", "security_or_vulnerability_claim", "task_completion_claim", "whole_program_impact_claim"]
 _READ = ["direct_read_relevant_source", "inspect_ranked_evidence", "run_planned_validation"]
 SURFACES = {
     "repository_status": (["navigation", "next_read_selection", "runtime_availability"], PROOF, _READ),

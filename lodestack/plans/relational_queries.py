@@ -47,7 +47,7 @@ _BASE = "regexp_extract(path, '[^/]*$')"
 
 
 @query(f"""WITH {FILES_SQL}, e AS (SELECT path, {_EXT} AS x FROM files)
-SELECT path, CASE {' '.join(f"WHEN x IN ({', '.join(repr(v) for v in own.split())}) THEN '{k}'" for k, own in P.LANGUAGES.items())} ELSE 'text' END AS language FROM e""")
+SELECT path, CASE {' '.join(f"WHEN x IN ({', '.join(repr(v) for v in own)}) THEN '{k}'" for k, own in P.LANGUAGES.items())} ELSE 'text' END AS language FROM e""")
 def language_infer(spark, sf_dir):
     return files(spark, sf_dir).select("path", P.language(F.col("path")).alias("language"))
 

@@ -71,9 +71,9 @@ def fingerprint(units: list[dict]) -> str:
 
 #: Families of words that decide the intent of a task: fixed values.
 INTENT = {
-    "edit": "add change create delete edit fix implement migrate modify refactor remove rename replace update write".split(),
-    "closure": "close complete done finish merge release ship".split(),
-    "read_only": "describe document explain find inspect list read review show summarize understand where".split(),
+    "edit": ["add", "change", "create", "delete", "edit", "fix", "implement", "migrate", "modify", "refactor", "remove", "rename", "replace", "update", "write"],
+    "closure": ["close", "complete", "done", "finish", "merge", "release", "ship"],
+    "read_only": ["describe", "document", "explain", "find", "inspect", "list", "read", "review", "show", "summarize", "understand", "where"],
 }
 
 

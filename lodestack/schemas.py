@@ -18,13 +18,13 @@ EXTRACTED = f"path string, language string, nodes array<struct<{', '.join(f.stri
 
 # Closed vocabularies.
 ENUMS = {
-    "freshness": "fresh stale cold refreshing unknown".split(),
-    "publication_state": "building published superseded failed".split(),
-    "coverage_state": "complete partial refreshing stale blocked unknown".split(),
-    "owner_state": "valid draft missing archived superseded conflicting excluded".split(),
-    "document_status": "current draft historical legacy archived template sample unknown".split(),
-    "event_kind": "created modified deleted renamed".split(),
-    "capability": "semantic partial_semantic resource_backed unsupported".split(),
+    "freshness": ["fresh", "stale", "cold", "refreshing", "unknown"],
+    "publication_state": ["building", "published", "superseded", "failed"],
+    "coverage_state": ["complete", "partial", "refreshing", "stale", "blocked", "unknown"],
+    "owner_state": ["valid", "draft", "missing", "archived", "superseded", "conflicting", "excluded"],
+    "document_status": ["current", "draft", "historical", "legacy", "archived", "template", "sample", "unknown"],
+    "event_kind": ["created", "modified", "deleted", "renamed"],
+    "capability": ["semantic", "partial_semantic", "resource_backed", "unsupported"],
 }
 
 
