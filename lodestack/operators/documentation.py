@@ -13,7 +13,7 @@ from lodestack.functions import authority as A
 from lodestack.functions import paths as P
 from lodestack.functions import text as T
 from lodestack.operators import search as S
-from lodestack.operators.relational import first_of, ranked
+from lodestack.operators.relational import first_of, offset_page, ranked
 
 MOST_MAP_BYTES, OWNER_PREFIX = 120_000, 16_384
 
@@ -131,7 +131,7 @@ def ranked_search(index: DataFrame, query: str, concerns: dict[str, DataFrame] |
     """
     terms = T.docs_terms(query)
     docs = index.where(P.in_scope(F.col("path"), scope)).withColumn("_heads", F.array_join("headings", " "))
-    hits = S.bm25(docs, {"path": 7.0, "title": 9.0, "_heads": 6.0, "selected_text": 1.0}, terms) if terms else docs.withColumn("score", F.lit(0.0)).limit(0)
+    hits = bm25_or_none(docs, {"path": 7.0, "title": 9.0, "_heads": 6.0, "selected_text": 1.0}, terms)
     fts = hits.select("path", F.col("score").alias("lexical")).orderBy(F.desc("lexical"), "path").limit(cap + 1)
     spark = index.sparkSession
     if concerns is None:
@@ -160,6 +160,32 @@ def ranked_search(index: DataFrame, query: str, concerns: dict[str, DataFrame] |
     return out.unionByName(blocked)
 
 
+#: Full-text hits that the legacy search rescores at least.
+WINDOW = 500
+
+
+def legacy_search(index: DataFrame, query: str, n: int = 10, offset: int = 0, scope: str | None = None, now: str = "1970-01-01") -> DataFrame:
+    """path, score, rank, more: the page offset + 1 to offset + n of a window of full-text hits, rescored by path, authority, currency and fields.
+
+    The window holds the best max(offset + n + 1, 500) hits by BM25, then path; rescoring sees these alone.
+    """
+    terms = T.docs_terms(query)
+    docs = index.where(P.in_scope(F.col("path"), scope)).withColumn("_heads", F.array_join("headings", " "))
+    hits = bm25_or_none(docs, {"path": 7.0, "title": 9.0, "_heads": 6.0, "selected_text": 1.0}, terms)
+    top = hits.orderBy(F.desc("score"), "path").limit(max(offset + n + 1, WINDOW))
+    m, none = A.front_matter(F.col("selected_text")), F.lit(None).cast("string")
+    top = top.withColumn("_m", m).withColumn("_status", A.status(F.col("path"), F.col("title"), F.col("selected_text"), F.col("_m")["status"]))
+    currency = A.currency(F.col("path"), F.col("_status"), F.col("_m")["canonical_owner"], F.col("_m")["superseded_by"], F.col("_m")["review_after"], none, now)["priority"]
+    boost = T.field_boost(F.col("title"), F.col("path"), F.col("headings"), F.col("selected_text"), query, terms)
+    score = F.greatest(F.lit(0.0), F.greatest(F.lit(0.0), F.col("score")) + A.path_boost(F.col("path")) + A.authority_priority(F.col("_status")) + currency + boost)
+    return offset_page(top.select("path", F.round(score, 4).alias("score")), [F.desc("score"), F.asc("path")], offset, n).select("path", "score", "rank", "more")
+
+
+def bm25_or_none(docs: DataFrame, fields: dict[str, float], terms: list[str]) -> DataFrame:
+    """BM25 hits; none for a query without terms."""
+    return S.bm25(docs, fields, terms) if terms else docs.withColumn("score", F.lit(0.0)).limit(0)
+
+
 def audit(findings: DataFrame, docs: DataFrame, start: int = 0, n: int = 20) -> DataFrame:
     """Chunk of a Markdown set: path, findings, worst-first totals; fingerprint of the whole set binds the cursor."""
     chunk = docs.select("path").orderBy("path").offset(start).limit(n)

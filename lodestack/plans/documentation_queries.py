@@ -75,12 +75,16 @@ _RS_TOK = lambda c: _TOK.format(c)
 _RW = [("path", 7.0), ("title", 9.0), ("body", 1.0)]
 
 
-_RANKED_SCORES = f"""WITH {FILES_SQL}, d AS (SELECT path, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.md$', '') AS title, text AS body FROM files WHERE path LIKE '%.md' AND NOT starts_with(path, 'tests/fixtures/')),
+def _ranked_scores(words):
+    n = range(len(words))
+    return f"""WITH {FILES_SQL}, d AS (SELECT path, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.md$', '') AS title, text AS body FROM files WHERE path LIKE '%.md' AND NOT starts_with(path, 'tests/fixtures/')),
 k AS (SELECT path, {_RS_TOK('path')} AS p, {_RS_TOK('title')} AS ti, {_RS_TOK('body')} AS b FROM d),
-c AS (SELECT path, len(p) + len(ti) + len(b) AS len, {', '.join(f"len(list_filter(p, lambda x: x = '{w}')) AS p{i}, len(list_filter(ti, lambda x: x = '{w}')) AS t{i}, len(list_filter(b, lambda x: x = '{w}')) AS b{i}" for i, w in enumerate(['apache', 'license', 'design']))} FROM k),
-g AS (SELECT count(*) AS n, avg(len) AS al, {', '.join(f'count(*) FILTER (WHERE p{i} + t{i} + b{i} > 0) AS df{i}' for i in range(3))} FROM c),
-s AS (SELECT path, round({' + '.join(f'greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * (7 * p{i} + 9 * t{i} + b{i}) * 2.2 / ((7 * p{i} + 9 * t{i} + b{i}) + 1.2 * (0.25 + 0.75 * len / al))' for i in range(3))}, 6) AS lexical FROM c, g WHERE {' OR '.join(f'p{i} + t{i} + b{i} > 0' for i in range(3))})"""
-_RANKED = _RANKED_SCORES + """, m AS (SELECT s.path, s.lexical, d.body, CASE WHEN starts_with(s.path, 'docs/design/') THEN 'canonical' WHEN starts_with(s.path, 'docs/archive/') OR starts_with(s.path, 'examples/') THEN 'non_authoritative' ELSE 'supporting' END AS authority,
+c AS (SELECT path, len(p) + len(ti) + len(b) AS len, {', '.join(f"len(list_filter(p, lambda x: x = '{w}')) AS p{i}, len(list_filter(ti, lambda x: x = '{w}')) AS t{i}, len(list_filter(b, lambda x: x = '{w}')) AS b{i}" for i, w in enumerate(words))} FROM k),
+g AS (SELECT count(*) AS n, avg(len) AS al, {', '.join(f'count(*) FILTER (WHERE p{i} + t{i} + b{i} > 0) AS df{i}' for i in n)} FROM c),
+s AS (SELECT path, round({' + '.join(f'greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * (7 * p{i} + 9 * t{i} + b{i}) * 2.2 / ((7 * p{i} + 9 * t{i} + b{i}) + 1.2 * (0.25 + 0.75 * len / al))' for i in n)}, 6) AS lexical FROM c, g WHERE {' OR '.join(f'p{i} + t{i} + b{i} > 0' for i in n)})"""
+
+
+_RANKED = _ranked_scores(["apache", "license", "design"]) + """, m AS (SELECT s.path, s.lexical, d.body, CASE WHEN starts_with(s.path, 'docs/design/') THEN 'canonical' WHEN starts_with(s.path, 'docs/archive/') OR starts_with(s.path, 'examples/') THEN 'non_authoritative' ELSE 'supporting' END AS authority,
   CASE WHEN starts_with(s.path, 'docs/design/') THEN 'current' WHEN starts_with(s.path, 'docs/archive/') THEN 'historical' ELSE 'unknown' END AS currency FROM s JOIN d USING (path)),
 b AS (SELECT *, string_split(trim(regexp_replace(lower(body), '[\\p{P}\\p{S}\\p{Z}\\s]+', ' ', 'g')), ' ') AS w FROM m), bb AS (SELECT *, CASE WHEN list_contains(w, 'apache') AND list_contains(w, 'license') AND list_contains(w, 'design') THEN 2 ELSE 4 END AS band FROM b),
 r AS (SELECT path, path AS doc_id, 1 AS owner_priority, band, 2 AS owner_tier, authority, currency, lexical, 'fts' AS candidate_source, row_number() OVER (ORDER BY band, CASE authority WHEN 'canonical' THEN 1 WHEN 'supporting' THEN 2 ELSE 3 END, CASE currency WHEN 'current' THEN 1 WHEN 'unknown' THEN 2 ELSE 4 END, lexical DESC NULLS LAST, path) AS rank, false AS overflow FROM bb)"""
@@ -112,6 +116,22 @@ def docs_search_page(spark, sf_dir):
     return spark.createDataFrame(rows, "path string, rank long, universe long")
 
 
+def _text_score(c, query, words):
+    return f"(CASE WHEN contains(lower({c}), '{query}') THEN {len(words) + 2} ELSE 0 END" + "".join(f" + CASE WHEN contains(lower({c}), '{w}') THEN 1 ELSE 0 END" for w in words) + ")"
+
+
+_LS = lambda c: _text_score(c, "the design", ["the", "design"])
+
+
+@query(_ranked_scores(["the", "design"]) + f""", m AS (SELECT path, round(greatest(0.0, greatest(0.0, s.lexical) + 8 * {_LS('d.title')} + 6 * {_LS('s.path')} + {_LS('d.body')}
+  + CASE WHEN starts_with(s.path, 'docs/design/') THEN 1.25 WHEN starts_with(s.path, 'examples/') THEN -2.0 ELSE 0.0 END + CASE WHEN starts_with(s.path, 'docs/archive/') THEN -10 WHEN starts_with(s.path, 'docs/design/') THEN 6 WHEN starts_with(s.path, 'examples/') THEN -8 ELSE 0 END
+  + CASE WHEN starts_with(s.path, 'docs/archive/') THEN -6 WHEN starts_with(s.path, 'docs/design/') THEN 6 ELSE 0 END), 4) AS score FROM s JOIN d USING (path))
+SELECT path, score, row_number() OVER (ORDER BY score DESC, path) AS rank, (SELECT count(*) FROM m) > 8 AS more FROM m QUALIFY rank BETWEEN 3 AND 8""")
+def legacy_docs_search(spark, sf_dir):
+    """Hits three to eight of the search that rescores a window of full-text hits."""
+    return DOC.legacy_search(DOC.docs_index(files(spark, sf_dir), most_bytes=1 << 30), "the design", 6, 2)
+
+
 @query(f"""WITH {FILES_SQL} SELECT path, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.md$', '') AS title, strlen(text) > 120000 AS truncated, CASE WHEN starts_with(path, 'docs/') THEN 90 ELSE 10 END AS priority FROM files WHERE path LIKE '%.md' AND NOT starts_with(path, 'tests/fixtures/')""")
 def docs_index_build(spark, sf_dir):
     return DOC.docs_index(files(spark, sf_dir)).select("path", "title", "truncated", "priority")
