@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +17,15 @@ CANDIDATES = 500
 
 
 def _hits(text: Column, term: str, prefix: bool) -> Column:
-    """Occurrences of a term as a token, or as the beginning of one; texts that do not contain it are told without a search."""
-    low = F.lower(text)
-    regex = f"(?<![a-z0-9_]){term}" + ("" if prefix else "(?![a-z0-9_])")
-    return F.when(low.contains(term), F.regexp_count(low, F.lit(regex))).otherwise(F.lit(0))
+    """Occurrences of a term as a token, or as the beginning of one; texts that do not contain it are told without a search.
+
+    A term with slashes or dashes is a phrase: its words as tokens that follow one another.
+    """
+    low, words = F.lower(text), [w for w in re.split("[/-]+", term) if w]
+    if not words:
+        return F.lit(0)
+    regex = "(?<![a-z0-9_])" + "[^a-z0-9_]+".join(words) + ("" if prefix else "(?![a-z0-9_])")
+    return F.when(low.contains(words[0]), F.regexp_count(low, F.lit(regex))).otherwise(F.lit(0))
 
 
 def bm25(docs: DataFrame, fields: dict[str, float], terms: list[str], prefix: bool = False, every: bool = False) -> DataFrame:
@@ -27,7 +33,7 @@ def bm25(docs: DataFrame, fields: dict[str, float], terms: list[str], prefix: bo
 
     prefix: a term stands for all tokens that it begins; every: rows must hold every term. Two passes, and no array of
     tokens in either: one row of sums over the corpus comes back first (count, mean length, document frequencies);
-    then only rows that contain a term are counted again. Terms are tokens: letters, digits, underscores. For many queries on
+    then only rows that contain a term are counted again. Terms consist of letters, digits, underscores, slashes and dashes. For many queries on
     one corpus, use TermIndex.
     """
     holds = lambda t: sum((_hits(F.col(f), t, prefix) for f in fields), F.lit(0)) > 0

@@ -217,6 +217,8 @@ def test_bm25_ways_agree(spark, tmp_path):
         a = {x["id"]: round(x["score"], 9) for x in S.bm25(df, {"body": 1.0, "title": 3.0}, terms, prefix, every).collect()}
         b = {x["key"]: round(x["score"], 9) for x in index.search(terms, [1.0, 3.0], prefix, every).collect()}
         assert a == b and (terms == ["nothing"]) == (not a)
+    docs = spark.createDataFrame([(1, "How-To guide"), (2, "how to"), (3, "how not to"), (4, "show to"), (5, "--")], "id long, body string")
+    assert {r["id"] for r in S.bm25(docs, {"body": 1.0}, ["how-to"]).collect()} == {1, 2} and S.bm25(docs, {"body": 1.0}, ["--"]).count() == 0
     assert S.bm25(df.withColumn("score", F.lit("mine")), {"body": 1.0}, ["beta"]).columns == ["id", "body", "title", "score"]
 
 
