@@ -38,6 +38,9 @@ OUT_ROWS = 2000
 _ENTRY = "entry long, id long, row long, key long, owner int, sha string, n long, body binary, kind int"
 _CHAIN = "kind int, entry long, id long, row long, sha string, slot long, key long, chain int, keep_id long, keep_row long, n long"
 
+_ROWS = "doc_id long, keep_id long, n long, kept boolean, sha string, slot long, key long, chain int"
+_DIRECTORY = "slot long, prefix long, depth int, n long"
+
 
 def prefix(key: Column, depth: int) -> Column:
     """The first bits of a key, as a number."""
@@ -200,18 +203,24 @@ def _owners(start: int):
 
 
 class ExactIndex:
-    """The index in the shared folder: `directory` (slot, prefix, depth, n) and `chains` (slot, key, chain, keep_id, n, sha)."""
+    """The index in the shared folder: `directory` (slot, prefix, depth, n), and `rows`, of which `chains` has one for each distinct text."""
 
     def __init__(self, spark: SparkSession, path: str, start: int):
         self.spark, self.path, self.start = spark, path, start
 
     @property
     def directory(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/directory")
+        return self.spark.read.schema(_DIRECTORY).parquet(f"{self.path}/directory")
+
+    @property
+    def rows(self) -> DataFrame:
+        """doc_id, keep_id, n, kept, sha, slot, key, chain of every document."""
+        return self.spark.read.schema(_ROWS).parquet(f"{self.path}/rows")
 
     @property
     def chains(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/chains")
+        """The rows that stay: slot, key, chain, keep_id, n, sha of each distinct text."""
+        return self.rows.where("kept").select("slot", "key", "chain", "keep_id", "n", "sha")
 
     def find(self, texts: DataFrame, text_col: str = "text") -> DataFrame:
         """texts with keep_id and group_size of the indexed group whose text is equal (null where there is none); other columns of these names are replaced."""
@@ -266,12 +275,9 @@ def indexed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **o
     members = walked.where("kind = 0").select("entry", "id", "row", "sha")
     chains = walked.where("kind = 1").select("entry", "slot", "key", "chain", "keep_id", "keep_row", "n")
     both = members.join(chains, "entry")
-    # one line a distinct text: that of the row that stays
-    both.where("row = keep_row").select("slot", "key", "chain", "keep_id", "n", "sha").write.parquet(f"{index.path}/chains")
-    rows = both.select(F.col("id").alias("doc_id"), "keep_id", F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"))
-    rows = written(rows, "exact-rows")
+    both.select(F.col("id").alias("doc_id"), "keep_id", "n", (F.col("row") == F.col("keep_row")).alias("kept"), "sha", "slot", "key", "chain").write.parquet(f"{index.path}/rows")
     dropped(walked)
-    return index, rows
+    return index, index.rows.select("doc_id", "keep_id", F.col("n").alias("group_size"), "kept", F.col("sha").alias("text_sha256"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
