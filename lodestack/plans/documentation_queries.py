@@ -183,7 +183,7 @@ def rename_split(spark, sf_dir):
 
 
 @query(f"""WITH {FILES_SQL}, d AS (SELECT path, string_split(text, chr(10))[1] AS first, file_id FROM files WHERE path LIKE '%.md' AND NOT starts_with(path, 'tests/fixtures/')), s AS (SELECT path, CASE WHEN regexp_matches(lower(path), 'architecture|design') THEN 65.0 ELSE 0.0 END AS priority, 1 + CASE WHEN file_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN file_id % 3 = 0 THEN 2 ELSE 0 END AS heading_count FROM d)
-SELECT path, priority, least(heading_count, 2)::INT AS shown, heading_count::INT AS heading_count, row_number() OVER (ORDER BY priority DESC, path) AS rank, (SELECT count(*) FROM s) > 9 AS more FROM s QUALIFY rank BETWEEN 4 AND 9""")
+SELECT path, priority::DOUBLE AS priority, least(heading_count, 2)::INT AS shown, heading_count::INT AS heading_count, row_number() OVER (ORDER BY priority DESC, path) AS rank, (SELECT count(*) FROM s) > 9 AS more FROM s QUALIFY rank BETWEEN 4 AND 9""")
 def docs_overview(spark, sf_dir):
     """The second page of an overview: rows four to nine by importance, two headings each."""
     page = DM.docs_page(DOC.docs_index(_markdown(spark, sf_dir)), "importance", 3, 6, 2)
@@ -227,7 +227,7 @@ def platforms(spark, sf_dir):
 
 @query(f"""WITH {FILES_SQL}, f AS (SELECT path, CASE WHEN starts_with(path, 'docs/archive/') THEN -10.0 WHEN starts_with(path, 'docs/design/') THEN 6.0 WHEN starts_with(path, 'examples/') OR starts_with(path, 'tests/fixtures/') THEN -8.0 ELSE 0.0 END AS pr, CASE file_id % 3 WHEN 0 THEN 6 WHEN 1 THEN -3 ELSE 0 END AS cu,
   3.0 * list_contains(string_split_regex(lower(path), '[^a-z0-9_]+'), 'docs')::INT + CASE WHEN list_contains(string_split_regex(lower(path), '[^a-z0-9_]+'), 'core') THEN 3.0 ELSE 0.0 END AS s FROM files WHERE path LIKE '%.md'),
-c AS (SELECT * FROM f WHERE s > 0 ORDER BY s + pr DESC, path LIMIT 24) SELECT path, s + pr + cu AS score, row_number() OVER (ORDER BY s + pr + cu DESC, path) AS rank FROM c QUALIFY rank <= 6""")
+c AS (SELECT * FROM f WHERE s > 0 ORDER BY s + pr DESC, path LIMIT 24) SELECT path, (s + pr + cu)::DOUBLE AS score, row_number() OVER (ORDER BY s + pr + cu DESC, path) AS rank FROM c QUALIFY rank <= 6""")
 def governing_docs(spark, sf_dir):
     i, none, p = F.col("file_id") % 3, F.lit(None).cast("string"), F.col("path")
     d = files(spark, sf_dir).where(p.endswith(".md")).select("path", A.status(p, none, none, none).alias("status"), F.when(i == 0, "current").when(i == 1, "stale").otherwise("unknown").alias("currency"))

@@ -243,7 +243,7 @@ def node_counts(spark, sf_dir):
     return ST.with_node_counts(files, nodes).select("file_id", "path", "node_count")
 
 
-@query("""SELECT user_id AS build, count(*) AS slices, sum(event_id)::BIGINT AS files, coalesce(sum(value), 0) AS bytes, arg_max(event_type, event_id) AS phase FROM (SELECT event_id, user_id, event_type, round(value)::BIGINT AS value FROM events) GROUP BY user_id""")
+@query("""SELECT user_id AS build, count(*) AS slices, sum(event_id)::BIGINT AS files, coalesce(sum(value), 0)::BIGINT AS bytes, arg_max(event_type, event_id) AS phase FROM (SELECT event_id, user_id, event_type, round(value)::BIGINT AS value FROM events) GROUP BY user_id""")
 def build_counters(spark, sf_dir):
     s = t(spark, sf_dir, "events").select(F.col("user_id").alias("build"), F.col("event_id").alias("files"), F.col("event_id").alias("seq"), F.round("value").cast("long").alias("bytes"), F.col("event_type").alias("phase"))
     return ST.accumulated(s, ["build"], ["files", "bytes"], "seq", ["phase"])
