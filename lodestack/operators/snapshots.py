@@ -140,3 +140,19 @@ class Admission:
         self.active = self.requested > self.started
         self.started = self.requested
         return self.active
+
+
+def composition_claims(units: DataFrame, key: str) -> DataFrame:
+    """key, units, cleanliness, pinned, fingerprint of each composition of repositories (twenty units at most each).
+
+    units: key, unit, available (boolean), clean and pinned (boolean or null where it cannot be told), revision. Cleanliness: blocked over
+    dirty over clean; pinned revisions: blocked over mismatch over complete. The fingerprint changes with any unit's name, revision
+    or availability, and not with their order.
+    """
+    blocked = lambda c: F.coalesce(F.bool_or(~F.col("available") | F.col(c).isNull()), F.lit(False))
+    some = lambda c: F.coalesce(F.bool_or(~F.col(c)), F.lit(False))
+    rows = F.array_sort(F.collect_list(F.struct("unit", "revision", "available")))
+    return units.groupBy(key).agg(
+        F.count(F.lit(1)).alias("units"), F.when(blocked("clean"), "blocked").when(some("clean"), "dirty").otherwise("clean").alias("cleanliness"),
+        F.when(blocked("pinned"), "blocked").when(some("pinned"), "mismatch").otherwise("complete").alias("pinned"), F.sha2(F.to_json(rows), 256).alias("fingerprint"),
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.operators.relational import longest_prefix, replace_rows
@@ -67,6 +67,21 @@ def node_at(nodes: DataFrame, files: DataFrame, snapshot, node_id) -> DataFrame:
 # Counters.
 
 
+def counts_by(df: DataFrame, key, **tests: Column) -> DataFrame:
+    """key, n and one count for each named test, in one pass (rows for which the test is true)."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(t).alias(name) for name, t in tests.items()))
+
+
+def next_ids(df: DataFrame, key, ident: str) -> DataFrame:
+    """key, latest_id and the next id that is free."""
+    return df.groupBy(key).agg(F.max(ident).alias("latest_id"), (F.coalesce(F.max(ident), F.lit(0)) + 1).alias("next_id"))
+
+
+def latest_where(df: DataFrame, snapshot: str, test: Column) -> DataFrame:
+    """The latest snapshot that has a row of which the test is true: no row or one."""
+    return df.groupBy(F.col(snapshot).alias("snapshot_id")).agg(F.count_if(test).alias("n")).where("n > 0").orderBy(F.desc("snapshot_id")).limit(1).select("snapshot_id")
+
+
 def with_node_counts(files: DataFrame, nodes: DataFrame) -> DataFrame:
     """files with node_count as it is now."""
     n = nodes.groupBy("file_id").agg(F.count(F.lit(1)).cast("int").alias("_nodes"))

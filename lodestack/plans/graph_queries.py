@@ -11,6 +11,7 @@ from lodestack.operators import graph as G
 from lodestack.operators import references as REF
 from lodestack.operators import relational as R
 from lodestack.operators import search as S
+from lodestack.operators import snapshots as SN
 from lodestack.operators import store as ST
 from lodestack.plans.relational_queries import FILES_SQL, files, t
 from lodestack.plans.text_queries import _EDGES, _TOK, TERMS, _bm25_sql, _graph
@@ -265,3 +266,12 @@ def edit_preview(spark, sf_dir):
     edits = f.select(F.when(F.col("lang") == "es", F.concat(F.lit("new/"), F.col("path"))).otherwise(F.col("path")).alias("path"), F.when(F.col("lang") == "en", h).when(F.col("lang") != "es", "old").alias("old_hash"), F.lit("n").alias("new_hash"))
     live = f.select("path", h.alias("content_hash"), F.when(F.col("path").startswith("vendor/"), "vendor").otherwise("source").alias("reason"))
     return ST.preview_edits(live, edits, "reason").select("path", "state", F.col("token").isNotNull().alias("has_token"))
+
+
+@query("""WITH u AS (SELECT o_custkey AS repo, o_orderkey AS unit, o_orderstatus <> 'P' AS available, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority <> '1-URGENT' END AS clean, o_totalprice > 60000 AS pinned FROM orders)
+SELECT repo, count(*) AS units, CASE WHEN bool_or(NOT available OR clean IS NULL) THEN 'blocked' WHEN bool_or(NOT clean) THEN 'dirty' ELSE 'clean' END AS cleanliness, CASE WHEN bool_or(NOT available) THEN 'blocked' WHEN bool_or(NOT pinned) THEN 'mismatch' ELSE 'complete' END AS pinned,
+  sha256('[' || string_agg('{"unit":' || unit || ',"revision":"r' || unit || '","available":' || available || '}', ',' ORDER BY unit) || ']') AS fingerprint FROM u GROUP BY repo""")
+def composition_claims(spark, sf_dir):
+    p = F.col("o_orderpriority")
+    u = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("repo"), F.col("o_orderkey").alias("unit"), (F.col("o_orderstatus") != "P").alias("available"), F.when(p != "5-LOW", p != "1-URGENT").alias("clean"), (F.col("o_totalprice") > 60_000).alias("pinned"), F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("revision"))
+    return SN.composition_claims(u, "repo")

@@ -9,6 +9,7 @@ from lodestack.functions import authority as A
 from lodestack.functions import paths as P
 from lodestack.functions.text import is_json
 from lodestack.operators import relational as R
+from lodestack.operators import store as ST
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -212,18 +213,16 @@ def range_containment(spark, sf_dir):
 @query("""SELECT o_custkey AS snapshot_id, count(*) AS files, count(*) FILTER (WHERE o_orderstatus = 'P') AS unsupported, count(*) FILTER (WHERE o_orderpriority LIKE '1%') AS resource_backed, max(o_orderkey) AS latest_id,
   coalesce(max(o_orderkey), 0) + 1 AS next_id FROM orders GROUP BY o_custkey HAVING count(*) FILTER (WHERE o_orderstatus <> 'P') > 0""")
 def snapshot_counts(spark, sf_dir):
-    s = F.col("o_orderstatus")
-    return (
-        t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("snapshot_id"))
-        .agg(F.count(F.lit(1)).alias("files"), F.count_if(s == "P").alias("unsupported"), F.count_if(F.col("o_orderpriority").startswith("1")).alias("resource_backed"), F.max("o_orderkey").alias("latest_id"), (F.coalesce(F.max("o_orderkey"), F.lit(0)) + 1).alias("next_id"), F.count_if(s != "P").alias("usable"))
-        .where("usable > 0").drop("usable")
-    )
+    s, o = F.col("o_orderstatus"), t(spark, sf_dir, "orders")
+    n = ST.counts_by(o, F.col("o_custkey").alias("snapshot_id"), unsupported=s == "P", resource_backed=F.col("o_orderpriority").startswith("1"), usable=s != "P").withColumnRenamed("n", "files")
+    ids = ST.next_ids(o, F.col("o_custkey").alias("snapshot_id"), "o_orderkey")
+    return n.where("usable > 0").drop("usable").join(ids, "snapshot_id")
 
 
 @query("SELECT max(o_custkey) AS snapshot_id FROM orders WHERE o_orderstatus = 'F'")
 def latest_usable_snapshot(spark, sf_dir):
     o = t(spark, sf_dir, "orders")
-    return o.groupBy(F.col("o_custkey").alias("snapshot_id")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("n")).where("n > 0").orderBy(F.desc("snapshot_id")).limit(1).select("snapshot_id")
+    return ST.latest_where(o, "o_custkey", F.col("o_orderstatus") == "F")
 
 
 @query("""WITH p AS (SELECT event_type AS reason, user_id % 4 AS page, count(*) AS n, sum(value) AS v FROM events GROUP BY 1, 2)

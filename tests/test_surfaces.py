@@ -271,3 +271,32 @@ def test_edit_preview(spark):
     e = spark.createDataFrame([("a", "h1", "n"), ("b", "hx", "n"), ("v", "h3", "n"), ("new", None, "n"), ("gone", "h", "n"), ("a", None, "n")], "path string, old_hash string, new_hash string")
     got = {(r["path"], r["state"]): r["token"] for r in ST.preview_edits(f, e, "reason").collect()}
     assert set(got) == {("a", "applies"), ("b", "drifted"), ("v", "refused"), ("new", "applies"), ("gone", "missing"), ("a", "drifted")} and got["a", "applies"] != got["new", "applies"] and got["b", "drifted"] is None
+
+
+def test_git_facts(spark, tmp_path):
+    import subprocess
+
+    from lodestack.sources import git as GIT
+
+    def run(*a):
+        subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
+
+    run("init", "-q")
+    (tmp_path / "a é.txt").write_text("1")
+    run("add", ".")
+    run("commit", "-qm", "one")
+    (tmp_path / "a é.txt").write_text("2")
+    (tmp_path / "b.txt").write_text("x")
+    run("add", ".")
+    run("update-index", "--add", "--cacheinfo", "160000," + "1" * 40 + ",sub")
+    run("commit", "-qm", "two")
+    repo = str(tmp_path)
+    assert GIT.links(spark, repo).collect()[0].asDict() == {"path": "sub", "head_oid": "1" * 40, "index_oid": "1" * 40}
+    got = {r["path"]: r for r in GIT.touches(spark, repo).collect()}
+    assert got["a é.txt"]["first_commit"] != got["a é.txt"]["last_commit"] and got["b.txt"]["first_commit"] == got["b.txt"]["last_commit"] == got["a é.txt"]["last_commit"]
+    s = GIT.state(spark, repo).first()
+    assert len(s["head"]) == 40 and s["head"] == got["b.txt"]["last_commit"]
+    (tmp_path / "b.txt").write_text("y")
+    assert GIT.state(spark, repo).first()["cleanliness"] == "dirty"
+    none = GIT.state(spark, str(tmp_path / "nowhere")).first()
+    assert (none["head"], none["cleanliness"]) == (None, "blocked") and GIT.touches(spark, str(tmp_path / "nowhere")).count() == 0
