@@ -123,9 +123,11 @@ def readiness(map_state: str, coverage_state: str, validity: str) -> tuple[str,
     return ("ready", None) if coverage_state == "complete" else ("blocked", "refresh")
 
 
-def ranked_search(index: DataFrame, query: str, concerns: dict[str, DataFrame] | None = None, scope: str | None = None, cap: int = S.CANDIDATES, now: str = "1970-01-01") -> DataFrame:
+def ranked_search(index: DataFrame, query: str, concerns: dict[str, DataFrame] | None = None, scope: str | None = None, cap: int = S.CANDIDATES, now: str = "1970-01-01", files: DataFrame | None = None, explain: bool = False) -> DataFrame:
     """path, rank and its eight components for a query over docs_index rows; one overflow row when a source or the union exceeds the cap.
 
+    With files (path, mtime_ms) each hit has modified_at, null for documents that are no files; explain adds the reasons of the rank.
+
     Both candidate sources are cut at cap + 1 before they meet, so the ranking handles a bounded set
     whatever the corpus holds. Owners come by the query's n-grams, an equi-join on terms.
     """
@@ -155,7 +157,12 @@ def ranked_search(index: DataFrame, query: str, concerns: dict[str, DataFrame] |
     band = S.relevance_band(query, F.col("title"), F.col("headings"), F.col("selected_text"), F.col("lexical").isNotNull(), owner)
     tier = S.owner_tier(F.col("states"), F.col("authority"), F.col("currency"))
     c = c.select("path", F.col("path").alias("doc_id"), F.when(owner & F.exists("states", lambda s: s == "valid"), 0).otherwise(1).alias("owner_priority"), band.alias("band"), tier.alias("owner_tier"), "authority", "currency", F.round("lexical", 6).alias("lexical"), F.when(F.col("lexical").isNotNull() & owner, "fts_and_matched_owner").when(owner, "matched_owner").otherwise("fts").alias("candidate_source"))
-    out = S.rank_documents(c, cap).withColumn("overflow", F.lit(False))
+    out = S.rank_documents(c, cap)
+    if files is not None:
+        out = out.join(files.select("path", F.timestamp_millis("mtime_ms").alias("modified_at")), "path", "left")
+    if explain:
+        out = out.withColumn("reasons", S.rank_reasons())
+    out = out.withColumn("overflow", F.lit(False))
     blocked = n.where(over).select(*(F.lit(None).cast(t).alias(k) for k, t in out.dtypes if k != "overflow"), F.lit(True).alias("overflow"))
     return out.unionByName(blocked)
 

@@ -219,6 +219,21 @@ def changed_files(sources: dict[str, DataFrame], most: int = 50) -> DataFrame:
     return every.groupBy("path").agg(F.array_sort(F.collect_set("source")).alias("sources")).orderBy("path").limit(most)
 
 
+def changed_context(sources: dict[str, DataFrame], files: DataFrame, most_files: int = 20, most_commands: int = 10, reason: Column | None = None) -> DataFrame:
+    """part (file, diagnostic, command), ord, path, detail: the changed files, what providers find in them, and the commands to verify them.
+
+    files: path, text. Diagnostics and plan look at the files of the page alone.
+    """
+    page = changed_files(sources, most_files)
+    rows = page.select(F.lit("file").alias("part"), F.row_number().over(Window.orderBy("path")).alias("ord"), "path", F.array_join("sources", ",").alias("detail"))
+    found = diagnose(files.join(F.broadcast(page.select("path")), "path", "left_semi"), reason)  # most_files rows
+    order = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.split("detail", ":")[0])
+    diag = found.select(F.lit("diagnostic").alias("part"), "path", F.concat_ws(": ", "severity", "provider", "message").alias("detail"))
+    diag = diag.select("part", F.row_number().over(Window.orderBy(order, "path", "detail")).alias("ord"), "path", "detail")
+    plan = verification_plan(files, page, most=most_commands).select(F.lit("command").alias("part"), (F.col("ord") + 1).alias("ord"), F.lit(None).cast("string").alias("path"), F.col("command").alias("detail"))
+    return rows.unionByName(diag).unionByName(plan)
+
+
 # Trust: what a response may be used for. Fixed values.
 PROOF = ["closure_claim", "passed_validation_claim", "safe_mutation_claim", "security_or_vulnerability_claim", "task_completion_claim", "whole_program_impact_claim"]
 _READ = ["direct_read_relevant_source", "inspect_ranked_evidence", "run_planned_validation"]

@@ -300,3 +300,21 @@ def test_git_facts(spark, tmp_path):
     assert GIT.state(spark, repo).first()["cleanliness"] == "dirty"
     none = GIT.state(spark, str(tmp_path / "nowhere")).first()
     assert (none["head"], none["cleanliness"]) == (None, "blocked") and GIT.touches(spark, str(tmp_path / "nowhere")).count() == 0
+
+
+def test_ranked_hits_with_files_and_reasons(spark):
+    index = DOC.docs_index(spark.createDataFrame([("docs/a.md", "# A\nalpha beta"), ("docs/b.md", "# B\nbeta")], "path string, text string"))
+    f = spark.createDataFrame([("docs/a.md", 1_000)], "path string, mtime_ms long")
+    got = {r["path"]: r for r in DOC.ranked_search(index, "beta", files=f, explain=True).collect()}
+    assert got["docs/a.md"]["modified_at"].timestamp() == 1 and got["docs/b.md"]["modified_at"] is None and "found by: fts" in got["docs/b.md"]["reasons"]
+    over = DOC.ranked_search(index, "beta", cap=1, files=f, explain=True).collect()
+    assert len(over) == 1 and over[0]["overflow"] and over[0]["modified_at"] is None
+
+
+def test_changed_context(spark):
+    from lodestack.plans import planning as PL
+
+    f = spark.createDataFrame([("a.json", "{"), ("pyproject.toml", ""), ("m.py", "x = 1"), ("other.json", "{")], "path string, text string")
+    one = lambda *xs: spark.createDataFrame([(x,) for x in xs], "path string")
+    got = [tuple(r) for r in PL.changed_context({"staged": one("a.json", "m.py"), "caller": one("m.py")}, f).orderBy("part", "ord").collect()]
+    assert got == [("command", 7, None, "python -m pytest"), ("diagnostic", 1, "a.json", "error: json_syntax: not one JSON value"), ("file", 1, "a.json", "staged"), ("file", 2, "m.py", "caller,staged")]
