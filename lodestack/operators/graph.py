@@ -25,6 +25,10 @@ class Traversal:
     truncated: bool
 
 
+#: Ids that go into a filter as literals; more are broadcast.
+LITERALS = 500
+
+
 def walk(nodes: DataFrame, edges: DataFrame, start: list, max_depth: int = 2, max_nodes: int = 50, direction: str = "outgoing", mode: str = "expand") -> Traversal:
     """Bounded first-in-first-out traversal. nodes: node; edges: edge_id, source, target.
 
@@ -44,7 +48,12 @@ def walk(nodes: DataFrame, edges: DataFrame, start: list, max_depth: int = 2, ma
 
     def exist(ids: set) -> None:
         new = [i for i in ids if i is not None and i not in known]
-        found = {r[0] for r in nodes.where(F.col("node").isin(new)).select("node").distinct().collect()} if new else set()  # at most as many as asked
+        if len(new) > LITERALS:
+            asked = nodes.sparkSession.createDataFrame([(i,) for i in new], f"node {dict(nodes.dtypes)['node']}")
+            own = nodes.join(F.broadcast(asked), "node", "left_semi")  # (max_nodes + 1) * 2 * max_nodes rows at most
+        else:
+            own = nodes.where(F.col("node").isin(new))
+        found = {r[0] for r in own.select("node").distinct().collect()} if new else set()  # at most as many as asked
         known.update({i: i in found for i in new})
 
     exist(set(start))

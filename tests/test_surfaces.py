@@ -176,11 +176,12 @@ def brute_walk(nodes, edges, starts, depth, most, direction, expand):
     return taken, out, cut
 
 
-def test_walk_against_a_queue(spark):
+def test_walk_against_a_queue(spark, monkeypatch):
     r = random.Random(11)
     nodes = [f"n{k}" for k in range(14)]
     edges = [(k, r.choice(nodes), r.choice([*nodes, "gone"])) for k in range(40)]
     n, e = spark.createDataFrame([(x,) for x in nodes], "node string"), spark.createDataFrame(edges, "edge_id long, source string, target string").repartition(3)
+    monkeypatch.setattr(G, "LITERALS", 3)
     for depth, most, direction, expand in [(2, 50, "both", True), (3, 6, "outgoing", True), (2, 5, "both", True), (2, 9, "incoming", True), (2, 9, "incoming", False), (1, 3, "both", False), (0, 3, "both", True)]:
         t = G.walk(n, e, ["n3", "none", "n5"], depth, most, direction, "expand" if expand else "strict")
         want = brute_walk(set(nodes), edges, ["n3", "none", "n5"], depth, most, direction, expand)
