@@ -292,6 +292,7 @@ def debounce_sessions(spark, sf_dir):
 
 
 @query("""SELECT '.' AS path, 'modified' AS kind, 'overflow' AS status FROM events HAVING count(DISTINCT user_id) > 100
+UNION ALL SELECT 'p' || user_id, CASE WHEN arg_max(event_type, event_id) = 'error' THEN 'deleted' ELSE 'modified' END, 'drained' FROM events WHERE (SELECT count(DISTINCT user_id) FROM events) <= 100 GROUP BY user_id
 UNION ALL SELECT 'p' || (user_id % 40), CASE WHEN arg_max(event_type, event_id) = 'error' THEN 'deleted' ELSE 'modified' END, 'drained' FROM events GROUP BY user_id % 40""")
 def pending_overflow(spark, sf_dir):
     """Two queues: one path a user, which is more than a hundred, and forty paths."""
