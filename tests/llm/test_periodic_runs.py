@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -13,13 +14,7 @@ WHITE = " \t\n\x0b\x0c\r"
 
 
 def words_of(text):
-    out = [""]
-    for c in text or "":
-        if c in WHITE:
-            out.append("")
-        else:
-            out[-1] += c
-    return [w for w in out if w]
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
 def brute(ws, least=6, times=4):
