@@ -125,6 +125,22 @@ def shingles(hashes: np.ndarray, n: int = 5) -> np.ndarray:
     return out
 
 
+#: ASCII white space, and the bytes of a text that are split at a time.
+SPACE, SPLIT = b" \t\n\x0b\x0c\r", 1 << 20
+
+
+def interned(text: bytes, known: dict[bytes, int]) -> np.ndarray:
+    """The ids of the words of a text, split at ASCII white space; new words are added to `known`."""
+    out, lo = [], 0
+    while lo < len(text):
+        hi = min(len(text), lo + SPLIT)
+        while hi < len(text) and text[hi] not in SPACE:  # a piece ends before white space
+            hi += 1
+        out.append(np.fromiter((known.setdefault(w, len(known)) for w in text[lo:hi].split()), np.int32))
+        lo = hi
+    return np.concatenate(out) if out else np.zeros(0, np.int32)
+
+
 def group_stream(batches, key):
     """Splits Arrow batches sorted by key into runs: yields lists of record batches with one key each.
 

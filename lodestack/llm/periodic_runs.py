@@ -24,23 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm._spark import arrow_map, table
+from lodestack.llm._tokens import interned
 
 LEAST, TIMES = 6, 4
-#: Z-values up to so many words are found for all midpoints at once. Bytes of a text that are split, and words that are joined, at a time.
+#: Z-values up to so many words are found for all midpoints at once. Words that are joined at a time.
 ROUNDS, PIECE = 8, 1 << 20
-_SPACE = b" \t\n\x0b\x0c\r"
-
-
-def interned(text: bytes, known: dict[bytes, int]) -> np.ndarray:
-    """The ids of the words of a text; new words are added to `known`."""
-    out, lo = [], 0
-    while lo < len(text):
-        hi = min(len(text), lo + PIECE)
-        while hi < len(text) and text[hi] not in _SPACE:  # a piece ends before white space
-            hi += 1
-        out.append(np.fromiter((known.setdefault(w, len(known)) for w in text[lo:hi].split()), np.int32))
-        lo = hi
-    return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
 def common(a: np.ndarray, b: np.ndarray, at: int = 0) -> int:

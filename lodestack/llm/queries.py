@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestack.llm import byte_bpe, decontaminate, exact_dedup, language_id, ngram_join, periodic_runs, pii, quality, secret_scan, sharding, toxicity
+from lodestack.llm import byte_bpe, decontaminate, exact_dedup, language_id, ngram_join, periodic_runs, pii, quality, ranked_search, secret_scan, sharding, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -16,8 +16,10 @@ QUERIES = {
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_decontamination": decontaminate.op10_decontamination,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_ranked_search": ranked_search.op12_ranked_search,
 }
 
 ORACLES = {
     "op8_exact_dedup": exact_dedup.SQL,
+    "op12_ranked_search": ranked_search.SQL,
 }
