@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestack.llm import byte_bpe, decontaminate, exact_dedup, language_id, ngram_join, periodic_runs, pii, quality, ranked_search, secret_scan, sharding, toxicity
+from lodestack.llm import byte_bpe, decontaminate, exact_dedup, language_id, license_scan, ngram_join, periodic_runs, pii, quality, ranked_search, secret_scan, sharding, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -17,9 +17,11 @@ QUERIES = {
     "op10_decontamination": decontaminate.op10_decontamination,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_ranked_search": ranked_search.op12_ranked_search,
+    "op13_license_scan": license_scan.op13_license_scan,
 }
 
 ORACLES = {
     "op8_exact_dedup": exact_dedup.SQL,
     "op12_ranked_search": ranked_search.SQL,
+    "op13_license_scan": license_scan.SQL,
 }
