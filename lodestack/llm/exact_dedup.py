@@ -6,8 +6,9 @@ Spark, until none is overfull or its keys have no more bits. Directory and index
 
 Owner tasks process ranges of keys. The ranges are cut so that owners get about equal bytes: distinct texts count
 as often as they will arrive. Each input task first folds its own repeats into one entry (a hot text costs a task
-one row), entries travel with their text to their owner, and owners walk keys in order, chain the texts of one
-key and compare bytes. Documents find their group again by entry, a join without hot keys.
+one row each time that it has gathered FOLD_BYTES), entries travel with their text to their owner, and owners walk keys in
+order, chain the texts of one key and compare bytes as they arrive: an owner holds one text for each member of the chain
+at hand and one Arrow batch, however many copies come. Documents find their group again by entry, a join without hot keys.
 
 Defined cases: null text counts as empty; null ids sort below all others; of equal rows with equal ids
 one stays; an empty table gives an empty result; other columns are ignored, whatever their names.
@@ -27,13 +28,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm._spark import arrow_map, table
-from lodestack.llm._tokens import group_stream
 from lodestack.shared import dropped, filesystem, shared_dir, written
 
 #: Distinct keys that a bucket may hold, bits by which ranges are measured, bytes that an owner should get, bytes of text a task folds at once.
 BUCKET_KEYS, RANGE_BITS, OWNER_BYTES, FOLD_BYTES = 4096, 16, 64 << 20, 64 << 20
-#: Rows of an output batch.
-OUT_ROWS = 2000
+#: Rows and bytes of text of an output batch. Bytes that an entry takes in a task besides its text (measured: dictionary, list, numbers).
+OUT_ROWS, OUT_BYTES, ENTRY_BYTES = 2000, 4 << 20, 400
 
 _ENTRY = "entry long, id long, row long, key long, owner int, sha string, n long, body binary, kind int"
 _CHAIN = "kind int, entry long, id long, row long, sha string, slot long, key long, chain int, keep_id long, keep_row long, n long"
@@ -109,14 +109,20 @@ def _folder(ranges: Ranges):
         known: dict[bytes, list] = {}
         size = 0
 
-        def entries() -> pa.RecordBatch:
-            e = list(known.items())
-            keys = np.array([v[1] for _, v in e], np.int64)
-            col = lambda i, t: pa.array([v[i] for _, v in e], t)
-            return pa.record_batch(
-                [col(0, pa.int64()), col(2, pa.int64()), col(3, pa.int64()), pa.array(keys), pa.array(ranges.of(keys).astype(np.int32)), pa.nulls(len(e), pa.string()), col(4, pa.int64()), pa.array([t for t, _ in e], pa.binary()), pa.array(np.ones(len(e), np.int32))],
-                ["entry", "id", "row", "key", "owner", "sha", "n", "body", "kind"],
-            )
+        def entries() -> Iterator[pa.RecordBatch]:
+            """The entries so far, which are forgotten as they go out."""
+            while known:
+                held, some = 0, []
+                while known and len(some) < OUT_ROWS and held < OUT_BYTES:
+                    t, v = known.popitem()
+                    some.append((t, *v))
+                    held += len(t)
+                body, entry, key, ident, row, n = (list(c) for c in zip(*some))
+                keys = np.array(key, np.int64)
+                yield pa.record_batch(
+                    [pa.array(entry, pa.int64()), pa.array(ident, pa.int64()), pa.array(row, pa.int64()), pa.array(keys), pa.array(ranges.of(keys).astype(np.int32)), pa.nulls(len(some), pa.string()), pa.array(n, pa.int64()), pa.array(body, pa.binary()), pa.array(np.ones(len(some), np.int32))],
+                    ["entry", "id", "row", "key", "owner", "sha", "n", "body", "kind"],
+                )
 
         for b in batches:
             ids, keys, texts = (b.column(n).to_pylist() for n in ("id", "key", "body"))
@@ -126,7 +132,7 @@ def _folder(ranges: Ranges):
                 e = known.get(t)
                 if e is None:
                     e = known[t] = [serial, k, i, serial, 0]
-                    size += len(t)
+                    size += len(t) + ENTRY_BYTES
                 elif i is not None and (e[2] is None or i >= e[2]) or e[2] is None:
                     e[2], e[3] = i, serial
                 e[4] += 1
@@ -139,63 +145,68 @@ def _folder(ranges: Ranges):
                 ["entry", "id", "row", "key", "owner", "sha", "n", "body", "kind"],
             )
             if size > FOLD_BYTES:
-                yield entries()
-                known, size = {}, 0
-        if known:
-            yield entries()
+                yield from entries()
+                size = 0
+        yield from entries()
 
     return fold
 
 
 def _owners(start: int):
+    names = ["kind", "entry", "id", "row", "sha", "slot", "key", "chain", "keep_id", "keep_row", "n"]
+
+    def members(b: pa.RecordBatch) -> pa.RecordBatch:
+        void = lambda t: pa.nulls(b.num_rows, t)
+        return pa.record_batch([b.column("kind"), b.column("entry"), b.column("id"), b.column("row"), b.column("sha"), void(pa.int64()), void(pa.int64()), void(pa.int32()), void(pa.int64()), void(pa.int64()), void(pa.int64())], names)
+
+    def chained(rows: list[tuple]) -> pa.RecordBatch:
+        n, cols = len(rows), list(zip(*rows))
+        void = lambda t: pa.nulls(n, t)
+        return pa.record_batch([pa.array(np.ones(n, np.int32)), pa.array(cols[0], pa.int64()), void(pa.int64()), void(pa.int64()), void(pa.string()), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())))], names)
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted, members first and then entries by key: chains the texts of each key by comparing bytes."""
-        names = ["kind", "entry", "id", "row", "sha", "slot", "key", "chain", "keep_id", "keep_row", "n"]
-
-        def members(b: pa.RecordBatch) -> pa.RecordBatch:
-            n = b.num_rows
-            void = lambda t: pa.nulls(n, t)
-            return pa.record_batch([b.column("kind"), b.column("entry"), b.column("id"), b.column("row"), b.column("sha"), void(pa.int64()), void(pa.int64()), void(pa.int32()), void(pa.int64()), void(pa.int64()), void(pa.int64())], names)
-
-        def entries_only(bs):
-            for b in bs:
-                kind = b.column("kind").to_numpy()
-                lo = int((kind == 0).sum())
-                if lo:
-                    ready.append(members(b.slice(0, lo)))
-                yield b.slice(lo)
-
-        def chained(rows: list[tuple]) -> pa.RecordBatch:
-            n, cols = len(rows), list(zip(*rows))
-            void = lambda t: pa.nulls(n, t)
-            return pa.record_batch([pa.array(np.ones(n, np.int32)), pa.array(cols[0], pa.int64()), void(pa.int64()), void(pa.int64()), void(pa.string()), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())))], names)
-
-        ready: list[pa.RecordBatch] = []
+        """Rows come sorted, members first and then entries by key: chains the texts of each key by comparing bytes.
+
+        Of the texts of a key one is held for each member of the chain; a copy is compared as it arrives and let go.
+        """
+        key: int | None = None
+        chain: list[list] = []  # text, largest id, its row, count
+        seen: list[tuple[int, int]] = []  # entry, place in the chain
         out: list[tuple] = []
-        for run in group_stream(entries_only(batches), lambda b: b.column("key").to_numpy()):
-            yield from ready
-            ready.clear()
-            chain: list[list] = []  # text, largest id, its row, count
-            seen = []
-            for b in run:
-                for e, i, r, n, t in zip(*(b.column(c).to_pylist() for c in ("entry", "id", "row", "n", "body"))):
-                    for at, c in enumerate(chain):
-                        if c[0] == t:
-                            break
-                    else:
-                        at, c = len(chain), [t, None, -1, 0]
-                        chain.append(c)
-                    c[3] += n
-                    if (i is not None, i or 0, r) > (c[1] is not None, c[1] or 0, c[2]):
-                        c[1], c[2] = i, r
-                    seen.append((e, at))
-            key = run[0].column("key")[0].as_py()
-            slot = (key & 0xFFFFFFFFFFFFFFFF) >> (64 - start) if start else 0
-            out += [(e, slot, key, at, *chain[at][1:]) for e, at in seen]
-            if len(out) >= OUT_ROWS:
-                yield chained(out)
-                out = []
-        yield from ready
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            nonlocal out
+            if seen:
+                slot = (key & 0xFFFFFFFFFFFFFFFF) >> (64 - start) if start else 0
+                out += [(e, slot, key, at, *chain[at][1:]) for e, at in seen]
+                chain.clear()
+                seen.clear()
+            while len(out) >= OUT_ROWS:
+                yield chained(out[:OUT_ROWS])
+                out = out[OUT_ROWS:]
+
+        for b in batches:
+            lo = int((b.column("kind").to_numpy() == 0).sum())
+            if lo:
+                yield members(b.slice(0, lo))
+                b = b.slice(lo)
+            bodies = b.column("body")
+            for k, e, i, r, n, body in zip(*(b.column(c).to_pylist() for c in ("key", "entry", "id", "row", "n")), bodies):
+                if k != key:
+                    yield from ended()
+                    key = k
+                t = body.as_py()
+                for at, c in enumerate(chain):
+                    if c[0] == t:
+                        break
+                else:
+                    at, c = len(chain), [t, None, -1, 0]
+                    chain.append(c)
+                c[3] += n
+                if (i is not None, i or 0, r) > (c[1] is not None, c[1] or 0, c[2]):
+                    c[1], c[2] = i, r
+                seen.append((e, at))
+        yield from ended()
         if out:
             yield chained(out)
 
@@ -231,12 +242,19 @@ class ExactIndex:
         return found.select(*(F.col("row")[c].alias(c) for c in texts.columns if c not in ("keep_id", "group_size")), F.col("k").alias("keep_id"), F.col("n").alias("group_size"))
 
 
+def _settled(docs: DataFrame) -> DataFrame:
+    """docs, written first where its plan has an exchange: entries are named by place, and a task that runs again behind an exchange may see its rows in another order."""
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    return written(docs, "exact-docs") if "Exchange" in plan or "Window" in plan else docs
+
+
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS, key_bits: int = 64, owner_bytes: int = OWNER_BYTES, index_path: str | None = None) -> tuple[ExactIndex, DataFrame]:
     """The index of docs, and the table that ties documents to its entries (kind 0: documents, kind 1: entries).
 
     Without an index_path the index lies in the shared folder and goes when the driver ends.
     """
-    spark = docs.sparkSession
+    spark, given = docs.sparkSession, docs
+    docs = _settled(given)
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     hashed = F.xxhash64(F.col("body"))
     if key_bits < 64:
@@ -261,6 +279,8 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucke
     entries = arrow_map(base.select("id", hashed.alias("key"), F.sha2("body", 256).alias("sha"), "body"), _folder(ranges), _ENTRY)
     dealt = entries.repartitionById(ranges.owners, F.col("owner")).sortWithinPartitions("kind", F.col("key"))
     walked = written(arrow_map(dealt, _owners(start), _CHAIN), "exact-walked")
+    if docs is not given:
+        dropped(docs)
     return ExactIndex(spark, path, start), walked
 
 

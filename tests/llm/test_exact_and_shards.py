@@ -1,7 +1,10 @@
 """Operators 6 and 8 against brute force."""
 
 import hashlib
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -119,3 +122,44 @@ def test_one_row_many_times(spark, monkeypatch):
     docs = spark.range(1000).selectExpr("1L doc_id", "'hot' text").union(spark.createDataFrame([(2, "x")], "doc_id long, text string"))
     got = sharding.shard_rows(docs, n_shards=3).collect()
     assert sorted((r["shard"] + 3 * r["slot"]) for r in got) == list(range(1001))
+
+
+def peak_mb(code):
+    """MB by which a process of its own grows while `code` runs after the imports."""
+    head = "import resource, numpy as np, pyarrow as pa\nfrom lodestack.llm import exact_dedup as E\nE.arrow_map\nbefore = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+    tail = "\nprint((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)"
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    return float(subprocess.run([sys.executable, "-c", head + code + tail], cwd=root, capture_output=True, text=True, check=True).stdout.split()[-1])
+
+
+def test_owner_holds_one_text_of_many_copies():
+    """800 copies of a text of 1 MB, each from another input task."""
+    code = """
+def batches():
+    for i in range(800):
+        one = lambda v, t: pa.array([v], t)
+        yield pa.record_batch([one(1, pa.int32()), one(i, pa.int64()), one(i, pa.int64()), one(i, pa.int64()), one(5, pa.int64()), one(1, pa.int64()), one(b"x" * 1_000_000, pa.binary()), one(None, pa.string())], ["kind", "entry", "id", "row", "key", "n", "body", "sha"])
+rows = [r for b in E._owners(3)(batches()) for r in b.to_pylist()]
+assert len(rows) == 800 and {(r["keep_id"], r["n"], r["chain"]) for r in rows} == {(799, 800, 0)}
+"""
+    assert peak_mb(code) < 50
+
+
+def test_a_task_of_many_short_texts_stays_small():
+    """3.6 million distinct texts of 20 bytes in one input task."""
+    code = """
+def batches():
+    for lo in range(0, 3_600_000, 400):
+        ids = np.arange(lo, lo + 400)
+        yield pa.record_batch([pa.array(ids), pa.array(ids * 7919), pa.array(["s"] * 400), pa.array([b"%020d" % i for i in ids.tolist()], pa.binary())], ["id", "key", "sha", "body"])
+n = sum(b.num_rows for b in E._folder(E.Ranges.cut({}, 1.0))(batches()))
+assert n == 7_200_000
+"""
+    assert peak_mb(code) < 200
+
+
+def test_rows_behind_an_exchange_are_written_first(spark):
+    docs = frame(spark, ROWS)
+    assert exact_dedup._settled(docs) is not docs
+    path = docs.sparkSession.createDataFrame(ROWS[:3], docs.schema)
+    assert exact_dedup._settled(path) is path
