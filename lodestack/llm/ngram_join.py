@@ -33,8 +33,10 @@ from lodestack.llm._spark import arrow_map, dropped, table, written
 from lodestack.llm._tokens import group_stream, mix, shingles, words
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 220
-#: Classes in a block; two blocks at most are compared at once. Bytes of sets that a task should get.
-BLOCK, TASK_BYTES = 256, 64 << 20
+#: Classes and bytes of sets in a block; two blocks at most are compared at once. Bytes of sets that a task should get.
+BLOCK, BLOCK_BYTES, TASK_BYTES = 256, 32 << 20, 64 << 20
+#: Shingles that are compared at a time.
+SLICE = 1 << 20
 _COLUMNS = 8192
 
 
@@ -105,10 +107,28 @@ def _sets(n: int):
 
 
 def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Boolean matrix of pairs at or above the threshold; the diagonal is false."""
+    """Boolean matrix of pairs at or above the threshold; the diagonal is false. sets: sorted, distinct.
+
+    The hashes are taken in ranges of about SLICE of all sets together, so what is needed besides the sets is bounded.
+    """
     m = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
-    own = np.repeat(np.arange(m), sizes)
+    both = np.zeros((m, m), np.float64)
+    parts = max(1, -(-int(sizes.sum()) // SLICE))
+    bounds = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+    cuts = [np.concatenate(([0], np.searchsorted(s, bounds), [len(s)])) for s in sets]
+    for k in range(parts):
+        _shared([s[c[k] : c[k + 1]] for s, c in zip(sets, cuts)], both)
+    union = sizes[:, None] + sizes[None, :] - both
+    out = (both >= threshold * union - 1e-9) & (union > 0)
+    np.fill_diagonal(out, False)
+    return out
+
+
+def _shared(sets: list[np.ndarray], both: np.ndarray) -> None:
+    """Adds the number of shingles that each two sets share."""
+    m = len(sets)
+    own = np.repeat(np.arange(m), [len(s) for s in sets])
     _, at, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = df > 1
     column = np.cumsum(shared) - 1
@@ -116,16 +136,11 @@ def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     own, at = own[keep], column[at[keep]]
     order = np.argsort(at, kind="stable")
     own, at = own[order], at[order]
-    both = np.zeros((m, m), np.float64)
     for lo in range(0, int(shared.sum()), _COLUMNS):
         a, b = np.searchsorted(at, (lo, lo + _COLUMNS))
         x = np.zeros((m, _COLUMNS), np.float32)
         x[own[a:b], at[a:b] - lo] = 1
         both += x @ x.T
-    union = sizes[:, None] + sizes[None, :] - both
-    out = (both >= threshold * union - 1e-9) & (union > 0)
-    np.fill_diagonal(out, False)
-    return out
 
 
 def _verify(threshold: float):
@@ -169,7 +184,7 @@ def _verify(threshold: float):
     return run
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = MOST_HASHES, block: int = BLOCK) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = MOST_HASHES, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of docs: doc_id, text_hash, class_id, n_links, copies, kept.
 
     class_id is the least id of all documents reached over links and copies, n_links the number of
@@ -183,12 +198,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sig = written(arrow_map(base, _signatures(minhash, n), "id long, th long, cls binary, size long, bands array<long>"), "signatures")
     rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("rep")
     classes = written(sig.groupBy("cls").agg(rep, F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands"), F.max("size").alias("size")), "classes")
-    met = written(_homes(classes, minhash.bands, block), "homes")
+    met = written(_homes(classes, minhash.bands, block, block_bytes), "homes")
     moved = met.agg(F.coalesce(F.sum(F.aggregate("homes", F.lit(0).cast("long"), lambda acc, h: acc + h["blocks"]) * (F.col("size") * 8 + 300)), F.lit(0))).first()[0]
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-moved // TASK_BYTES))
-    # a merge join at every size: what has to be met grows with the documents
-    texts = base.join(met.select("rep", "homes", "leads").hint("merge"), F.col("id").eqNullSafe(F.col("rep.id")) & (F.col("th") == F.col("rep.th"))).select("rep.none", "id", "th", "homes", "leads", "body")
-    sets = arrow_map(texts, _sets(n), f"none boolean, id long, th long, homes {_HOMES}, leads array<long>, shingles binary")
+    sets = arrow_map(_texts(base, met), _sets(n), f"none boolean, id long, th long, homes {_HOMES}, leads array<long>, shingles binary")
     at = sets.select("none", "id", "th", "leads", "shingles", F.explode("homes").alias("h")).select("none", "id", "th", "leads", "shingles", F.col("h.home").alias("home"), F.col("h.blocks").alias("blocks"), F.col("h.block").alias("block"))
     dealt = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.greatest("block", "other")).withColumn("j", F.least("block", "other"))
     pair = F.shiftright(F.col("i").cast("long") * (F.col("i") + 1), 1) + F.col("j")
@@ -211,12 +224,24 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out
 
 
+def _texts(base: DataFrame, met: DataFrame) -> DataFrame:
+    """The text of each class that met, once, however many rows have the id and text of its representative.
+
+    Equal rows fold in their input task; what is left goes by its key to the join, which needs no exchange beyond that one. A merge
+    join at every size: what has to be met grows with the documents.
+    """
+    key = [F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("i"), "th"]
+    single = base.select(*key, "body").dropDuplicates(["none", "i", "th"])
+    where = met.select(F.col("rep.none").alias("none"), F.coalesce("rep.id", F.lit(0)).alias("i"), F.col("rep.th").alias("th"), "homes", "leads").hint("merge")
+    return single.join(where, ["none", "i", "th"]).select("none", F.when(~F.col("none"), F.col("i")).alias("id"), "th", "homes", "leads", "body")
+
+
 _NODE, _HOMES = "struct<none:boolean,id:long,th:long>", "array<struct<home:long,blocks:int,block:int>>"
 #: Stands for a band in which a class is alone, and sorts after all leads.
 NO_LEAD = (1 << 63) - 1
 
 
-def _homes(classes: DataFrame, bands: int, block: int) -> DataFrame:
+def _homes(classes: DataFrame, bands: int, block: int, block_bytes: int) -> DataFrame:
     """(rep, size, leads, homes) of each class that shares a bucket: its lead in each band, and where it has to go.
 
     Leads are aggregates with map-side combine and meet the bands in a join on a unique key; both sides of it are
@@ -228,7 +253,8 @@ def _homes(classes: DataFrame, bands: int, block: int) -> DataFrame:
     led = rows.join(leads, "band").groupBy("rep").agg(F.max("size").alias("size"), F.map_from_entries(F.collect_list(F.struct("k", "home"))).alias("m"))
     led = led.select("rep", "size", F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(NO_LEAD))).alias("leads"))
     led = led.select("rep", "size", "leads", F.explode(F.array_distinct(F.filter("leads", lambda x: x != NO_LEAD))).alias("home"))
-    sizes = led.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks")).hint("rebalance")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("size") * 8 / F.lit(block_bytes)))
+    sizes = led.groupBy("home").agg(blocks.cast("int").alias("blocks")).hint("rebalance")
     mine = F.pmod(F.xxhash64("rep", "home"), F.col("blocks")).cast("int").alias("block")
     return led.join(sizes, "home").groupBy("rep").agg(F.max("size").alias("size"), F.any_value("leads").alias("leads"), F.collect_list(F.struct("home", "blocks", mine)).alias("homes")).select("rep", "size", "leads", "homes")
 

@@ -4,7 +4,9 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestack.llm import ngram_join as N
 
@@ -123,3 +125,34 @@ def test_band_choice():
     for recall in (0.9, 0.99, 0.999):
         b, r = N.bands_for(0.8, recall, 220)
         assert b * r <= 220 and 1 - (1 - 0.8**r) ** b >= recall
+
+
+def test_a_repeated_row_travels_once(spark):
+    """3,000 rows without an id that have one text, and a near copy: two texts go to the place where they meet."""
+    text = " ".join(f"word{k}" for k in range(200))
+    rows = [(None, text)] * 3000 + [(7, text + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    base = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), F.col("text").alias("body"))
+    reps = base.distinct().select(F.struct(F.col("id").isNull().alias("none"), "id", "th").alias("rep"), F.array(F.struct(F.lit(1).cast("long").alias("home"), F.lit(1).alias("blocks"), F.lit(0).alias("block"))).alias("homes"), F.array(F.lit(1).cast("long")).alias("leads"))
+    sent = N._texts(base, reps).collect()
+    assert sorted((r["none"], r["id"], r["body"]) for r in sent) == sorted([(True, None, text), (False, 7, text + " more")], key=lambda r: r[0])
+    got = N.jaccard_join(docs).groupBy("class_id", "n_links", "copies", "kept").count().collect()
+    assert sorted(tuple(r) for r in got) == [(7, 1, 1, True, 1), (7, 1, 3000, False, 3000)]
+
+
+def test_blocks_by_bytes(spark):
+    """Long near copies are dealt out to more blocks than their number asks for, with the same links."""
+    texts = corpus()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(tuple(r) for r in N.jaccard_join(docs).collect())
+    assert sorted(tuple(r) for r in N.jaccard_join(docs, block_bytes=20_000).collect()) == want
+
+
+def test_shingles_are_compared_in_ranges(monkeypatch):
+    r = np.random.default_rng(3)
+    pool = r.integers(0, 1 << 63, 4000, np.uint64) * np.uint64(2)
+    sets = [np.unique(pool[lo : lo + 900]) for lo in (0, 40, 90, 200, 1500, 1500, 3200)] + [np.zeros(0, np.uint64)]
+    want = [[i != j and len(a) > 0 and len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    for size in (1 << 20, 500, 7):
+        monkeypatch.setattr(N, "SLICE", size)
+        assert N.linked(sets, 0.8).tolist() == want
