@@ -25,8 +25,8 @@ def split_renames(events: DataFrame) -> DataFrame:
     return events.select("at", F.explode(F.when(F.col("kind") == "renamed", two).otherwise(one)).alias("e")).select("e.seq", "at", "e.kind", "e.path").where("path IS NOT NULL")
 
 
-def coalesced(events: DataFrame) -> DataFrame:
-    """One event for each path: the last wins, but created then modified stays created (with its time), deleted then created is modified.
+def coalesced(events: DataFrame, key: list[str] = ["path"]) -> DataFrame:  # noqa: B006
+    """One event for each path (or each key): the last wins, but created then modified stays created (with its time), deleted then created is modified.
 
     Only the events since the last deletion matter, and of those the first: so the fold is an aggregate with
     map-side combine instead of a sorted list of a path's events. A later deletion wins; after a deletion,
@@ -34,12 +34,12 @@ def coalesced(events: DataFrame) -> DataFrame:
     """
     at = F.struct("seq", "kind", "at")
     gone = F.max(F.when(F.col("kind") == "deleted", F.col("seq"))).alias("gone")
-    marked = events.join(events.groupBy("path").agg(gone), "path")
+    marked = events.join(events.groupBy(*key).agg(gone), key)
     since = F.col("gone").isNull() | (F.col("seq") > F.col("gone"))
-    g = marked.groupBy("path").agg(F.max(at).alias("last"), F.min(F.when(since, at)).alias("first"), F.first("gone").alias("gone"), F.max(F.when(since & (F.col("kind") == "created"), at)).alias("made"))
+    g = marked.groupBy(*key).agg(F.max(at).alias("last"), F.min(F.when(since, at)).alias("first"), F.first("gone").alias("gone"), F.max(F.when(since & (F.col("kind") == "created"), at)).alias("made"))
     # a creation after the first event restarts at "created" and holds its time against later modifications
     kind = F.when(F.col("last.kind") == "deleted", "deleted").when(F.col("gone").isNotNull() & (F.col("first.kind") == "created") & (F.col("made.seq") == F.col("first.seq")), "modified").when(F.col("made").isNotNull(), "created").otherwise("modified")
-    return g.select("path", kind.alias("kind"), F.when(kind == "created", F.col("made.at")).otherwise(F.col("last.at")).alias("at"))
+    return g.select(*key, kind.alias("kind"), F.when(kind == "created", F.col("made.at")).otherwise(F.col("last.at")).alias("at"))
 
 
 def drained(events: DataFrame, most: int = MOST_PENDING) -> DataFrame:
@@ -96,7 +96,10 @@ def drain_status(pending: int, quiet_ms: int, refreshing: bool, most: int = MOST
 
 
 def run(stream: DataFrame, refresh: Callable[[DataFrame, int], None], rescan: Callable[[int], None], checkpoint: str, most: int = MOST_PENDING, available_now: bool = True, interval: str = "250 milliseconds"):
-    """Starts the refresh loop: each micro-batch is coalesced; too many paths lead to a rescan. Idempotent by batch id."""
+    """Starts a refresh loop that folds each micro-batch alone; too many paths lead to a rescan.
+
+    What is pending does not outlive a micro-batch, and a repeated batch is repeated: `queue` has the loop with state and a ledger.
+    """
 
     def one(batch: DataFrame, batch_id: int) -> None:
         once = coalesced(split_renames(batch)).persist()  # one row a path: renames are split and events folded once for both uses
