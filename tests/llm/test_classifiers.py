@@ -194,3 +194,14 @@ def test_convolution_against_plain_loops():
         e = [*e, *[np.zeros(toxicity.DIM)] * 2]
         pooled = [max(sum(e[i + k] @ m.filters[w][k][:, j] for k in range(w + 1)) + m.offset[w][j] for i in range(len(e) - 2)) for w in range(3) for j in range(toxicity.FILTERS)]
         assert abs(m.logits([t])[0] - (sum(max(0.0, p) * o for p, o in zip(pooled, m.out)) + m.bias)) < 1e-3
+
+
+def test_choices_are_cross_validated():
+    """The choice that tells the classes apart wins, and the model keeps its prefixes."""
+    r = np.random.default_rng(2)
+    word = lambda stem: stem + "".join(r.choice(list("abcdefgh"), 9))
+    texts = [" ".join([word("q"), word("vile" if i % 2 else "good"), word("z")]) for i in range(160)]
+    found = toxicity.cross_validated(texts, [i % 2 for i in range(160)], 0.2, [(), (4,)], [0.3, 0.5])
+    assert len(found) == 4 and found[0][1] == (4,) and found[0][0] > 0.9 > found[-1][0] and found[-1][1] == ()
+    m = toxicity.train(texts, [i % 2 for i in range(160)], prefixes=(4,))
+    assert m.prefixes == (4,) and (m.scores(["qa vilexyz za", "qa goodxyz za"]) > 0.5).tolist() == [True, False]
