@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from lodestack.operators import traversal as TR
 from lodestack.plans.relational_queries import t
+from lodestack.plans.text_queries import _EDGES, _graph
+from lodestack.shared import filesystem, shared_dir
 from lodestack.streaming import queue as CQ
 
 Q: dict = {}
@@ -39,3 +44,58 @@ def queue_drains(spark, sf_dir):
     text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
     e = t(spark, sf_dir, "events").select(text("r", F.col("user_id") % 7).alias("repository"), text("p", F.col("user_id")).alias("path"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), kind.alias("kind"))
     return CQ.queue_drains(e, gap_ms=3 * 3600 * 1000, most=15)
+
+
+# Traversals of many starts: every nation and customer (impact), every region and nation (strict).
+
+
+def _folder(spark, name):
+    path = f"{shared_dir(spark)}/lodestack/{name}-{uuid.uuid4().hex}"
+    fs, p = filesystem(spark, path)
+    fs.deleteOnExit(p)
+    return path
+
+
+_ENDS = """a AS (SELECT s AS node, t AS far, edge_id, 0 AS route, row_number() OVER (PARTITION BY s ORDER BY edge_id) AS place FROM e
+UNION ALL SELECT t, s, edge_id, 1, row_number() OVER (PARTITION BY t ORDER BY s, edge_id) FROM e)"""
+
+
+def _two_levels(starts, most, routes):
+    """The graph is a forest: no node is reached twice, so ranks are running numbers of the entries."""
+    return f"""st AS ({starts}),
+l1 AS (SELECT q, a.*, 1 + row_number() OVER (PARTITION BY q ORDER BY route, place) AS rank FROM st JOIN a ON a.node = q WHERE place <= {most - 1}),
+g1 AS (SELECT q, far AS node, 1 + row_number() OVER (PARTITION BY q ORDER BY route, place) AS rank FROM l1 WHERE {routes}), n1 AS (SELECT * FROM g1 WHERE rank <= {most}),
+l2 AS (SELECT n1.q, n1.rank AS parent, a.* FROM n1 JOIN a ON a.node = n1.node WHERE a.place <= greatest(1, {most} - n1.rank)),
+g2 AS (SELECT q, far AS node, (SELECT count(*) FROM n1 x WHERE x.q = l2.q) + 1 + row_number() OVER (PARTITION BY q ORDER BY parent, route, place) AS rank FROM l2 WHERE far <> q AND {routes}),
+nd AS (SELECT q, q AS node, 0 AS depth, 1 AS rank FROM st UNION ALL SELECT q, node, 1, rank FROM n1 UNION ALL SELECT q, node, 2, rank FROM g2 WHERE rank <= {most}),
+cut AS (SELECT q, 1 + (SELECT count(*) FROM g1 WHERE g1.q = st.q) + (SELECT count(*) FROM g2 WHERE g2.q = st.q) > {most} AS truncated FROM st)"""
+
+
+@query(f"""WITH {_EDGES}, {_ENDS}, {_two_levels("SELECT 'n' || n_nationkey AS q FROM nation UNION ALL SELECT 'c' || c_custkey FROM customer", 50, "true")},
+w AS (SELECT edge_id, CASE WHEN s[1] = 'r' AND edge_id % 2 = 0 THEN 'cloudformation-route' ELSE 'parser' END AS prov FROM e),
+x AS (SELECT q, edge_id FROM l1 UNION SELECT q, edge_id FROM l2), xe AS (SELECT q, count(*) AS edges, bool_or(prov = 'cloudformation-route') AS cf FROM x JOIN w USING (edge_id) GROUP BY q),
+k AS (SELECT q, count(*) AS symbols, max(depth) AS reached_depth, list_sort(list_distinct(list(node[1] || '/' || (regexp_replace(node, '[a-z]', '')::BIGINT % 3)))) AS files, list_sort(list_distinct(flatten(list(CASE WHEN node[1] = 'r' THEN ['config'] ELSE ['parser', 'heuristic'] END)))) AS kinds FROM nd GROUP BY q)
+SELECT q AS start, symbols, files, edges, reached_depth, truncated, CASE WHEN len(files) <= 1 THEN 'low/local_only' WHEN cf THEN 'low/graph' WHEN truncated THEN 'medium/graph' ELSE 'high/graph' END AS confidence,
+CASE WHEN len(files) > 1 AND cf THEN ['config', 'infra_parser'] ELSE kinds END AS evidence_kinds, false AS stale FROM k JOIN xe USING (q) JOIN cut USING (q)""")
+def impact_of_changed(spark, sf_dir):
+    """What a change to each nation and each customer may reach within two steps and fifty nodes."""
+    e = _graph(spark, sf_dir)
+    first = F.left(F.col("source"), F.lit(1))
+    e = e.select("edge_id", "source", "target", F.when((first == "r") & (F.col("edge_id") % 2 == 0), "cloudformation-route").otherwise("parser").alias("provenance"), F.lit(0.9).alias("confidence"))
+    kind = F.left(F.col("node"), F.lit(1))
+    path = F.concat(kind, F.lit("/"), (F.regexp_replace("node", "[a-z]", "").cast("long") % 3).cast("string"))
+    n = e.select(F.explode(F.array("source", "target")).alias("node")).distinct().select("node", path.alias("path"), F.when(kind == "r", F.array(F.lit("config"))).otherwise(F.array(F.lit("parser"), F.lit("heuristic"))).alias("evidence_kinds"))
+    adjacency = TR.Adjacency.build(n, e, _folder(spark, "adjacency"), most=50)
+    return TR.impact_of_changed(adjacency, n, n.where(F.left("node", F.lit(1)).isin("n", "c")).select("node"), max_depth=2, max_nodes=50)
+
+
+@query(f"""WITH {_EDGES}, {_ENDS}, {_two_levels("SELECT 'r' || r_regionkey AS q FROM region WHERE 'r' || r_regionkey IN (SELECT s FROM e) UNION ALL SELECT 'n' || n_nationkey FROM nation", 60, "route = 0")}
+SELECT q AS query, node, depth, rank, truncated FROM nd JOIN cut USING (q)""")
+def traverse_strict(spark, sf_dir):
+    """Outgoing and incoming edges of each region and nation; sources of incoming edges are not followed."""
+    e = _graph(spark, sf_dir)
+    n = e.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+    adjacency = TR.Adjacency.build(n, e, _folder(spark, "adjacency"), most=60)
+    starts = n.where(F.left("node", F.lit(1)).isin("r", "n")).select(F.col("node").alias("query"), "node")
+    walked = TR.traverse_many(adjacency, starts, max_depth=2, max_nodes=60, direction="both", mode="strict")
+    return walked.nodes.join(walked.ends.select("query", "truncated"), "query")
