@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import text as T
 from lodestack.operators.relational import first_of, ranked
+from lodestack.operators.term_index import B, K1, LEAST_IDF, TermIndex  # noqa: F401
 
-K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 BANDS = ["exact_document_phrase", "all_query_tokens_title_or_heading", "all_query_tokens_body", "intent_owner_match", "partial_fts_match"]
 CANDIDATES = 500
 
@@ -53,56 +53,6 @@ def bm25(docs: DataFrame, fields: dict[str, float], terms: list[str], prefix: bo
     return docs.where((all_ if every else any_) & F.lit(bool(terms))).select(*keep, total.alias("score"))
 
 
-def _in_field(i: int):
-    return lambda x: F.struct(x.alias("term"), F.lit(i).alias("field"))
-
-
-class TermIndex:
-    """Inverted index of a corpus in a folder: postings sorted by term, so a query reads the row groups of its terms alone.
-
-    Built once for each snapshot. postings: term, key, len (tokens of the row), one count for each field; stats: one row.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str, fields: list[str]):
-        self.spark, self.folder, self.fields = spark, folder.rstrip("/"), fields
-
-    @classmethod
-    def build(cls, docs: DataFrame, key: str, fields: list[str], folder: str) -> TermIndex:
-        out = cls(docs.sparkSession, folder, fields)
-        toks = {f: T.tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields}
-        rows = docs.select(F.col(key).alias("key"), *(t.alias(f"t{i}") for i, t in enumerate(toks.values())))
-        rows = rows.withColumn("len", sum((F.size(f"t{i}") for i in range(len(fields))), F.lit(0)))
-        rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).write.mode("overwrite").parquet(f"{out.folder}/stats")
-        marked = F.flatten(F.array(*(F.transform(f"t{i}", _in_field(i)) for i in range(len(fields)))))
-        flat = rows.select("key", "len", F.explode(marked).alias("p")).select("p.term", "key", "len", "p.field")
-        post = flat.groupBy("term", "key", "len").agg(*(F.count_if(F.col("field") == i).cast("int").alias(f"f{i}") for i in range(len(fields))))
-        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        post.repartitionByRange(n, "term", "key").sortWithinPartitions("term", "key").write.mode("overwrite").parquet(f"{out.folder}/postings")
-        return out
-
-    def search(self, terms: list[str], weights: list[float], prefix: bool = False, every: bool = False) -> DataFrame:
-        """key, score: as bm25."""
-        post = self.spark.read.parquet(f"{self.folder}/postings")
-        g = self.spark.read.parquet(f"{self.folder}/stats").first()
-        hit = F.lit(False)
-        for t in terms:
-            hit = hit | (F.col("term").startswith(t) if prefix else F.col("term") == t)
-        tf = sum((F.col(f"f{i}") * w for i, w in enumerate(weights)), F.lit(0.0))
-        own = post.where(hit).select("key", "len", "term", tf.alias("tf"))
-        match = [F.col("term").startswith(t) if prefix else F.col("term") == t for t in terms]
-        by = own.groupBy("key", "len").agg(*(F.coalesce(F.sum(F.when(m, F.col("tf"))), F.lit(0.0)).alias(f"tf_{i}") for i, m in enumerate(match)), *(F.coalesce(F.bool_or(m), F.lit(False)).alias(f"has_{i}") for i, m in enumerate(match)))
-        df = by.agg(*(F.count_if(F.col(f"has_{i}")).alias(f"df_{i}") for i in range(len(terms))))
-        scored = by.join(F.broadcast(df), F.lit(True))  # one row
-        total = F.lit(0.0)
-        for i in range(len(terms)):
-            idf = F.greatest(F.log((F.lit(g["n"]) - F.col(f"df_{i}") + 0.5) / (F.col(f"df_{i}") + 0.5)), F.lit(LEAST_IDF))
-            total = total + idf * (F.col(f"tf_{i}") * (K1 + 1)) / (F.col(f"tf_{i}") + K1 * (1 - B + B * F.col("len") / (g["mean"] or 1.0)))
-        if every:
-            for i in range(len(terms)):
-                scored = scored.where(F.col(f"has_{i}"))
-        return scored.select("key", total.alias("score"))
-
-
 #: Fields of a symbol and their weights in its full-text search.
 SYMBOL_FIELDS = {"name": 8.0, "qualified_name": 7.0, "signature": 3.0, "docstring": 2.0}
 

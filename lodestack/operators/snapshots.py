@@ -84,6 +84,8 @@ class Publications:
             try:
                 stream = fs.create(p, False)  # fails when another process took this step
             except Exception as e:
+                if not fs.exists(p):
+                    raise  # a full disk is no lost race
                 raise PublicationConflict(snapshot_id) from e
             stream.write(bytearray(json.dumps(row).encode()))
             stream.close()
