@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.operators.relational import longest_prefix, replace_rows
 from lodestack.shared import filesystem
+from lodestack.versions import Conflict, Versions
 
 # Joins.
 
@@ -105,65 +110,128 @@ def surface_health(surfaces: DataFrame) -> DataFrame:
 
 
 class SnapshotTables:
-    """Parquet tables in a folder, partitioned by snapshot_id. A replacement overwrites the partitions of its rows alone."""
+    """Tables of snapshots in a folder. What a snapshot's table consists of is a path in the folder's current state (`versions`).
+
+    A writer puts its rows beside what is there and publishes a state that names them: until then, and if it is lost on the way, readers see
+    what they saw. A state covers all tables, so the tables of one call change together. The rows of a frame may come from the very
+    table that they replace. Files that no state needs go with `vacuum`.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.versions = Versions(spark, f"{self.folder}/versions")
 
-    def path(self, table: str) -> str:
-        return f"{self.folder}/{table}"
+    def state(self) -> dict[str, dict[str, str]]:
+        """The path of each table and snapshot."""
+        return (self.versions.latest()[1] or {"tables": {}})["tables"]
 
     def exists(self, table: str) -> bool:
-        fs, p = filesystem(self.spark, self.path(table))
-        return fs.exists(p)
+        return table in self.state()
+
+    def _open(self, path: str, snapshot) -> DataFrame:
+        return self.spark.read.parquet(path).withColumn("snapshot_id", F.lit(int(snapshot)).cast("long"))
 
     def read(self, table: str, snapshot=None) -> DataFrame:
-        df = self.spark.read.parquet(self.path(table))
-        return df if snapshot is None else df.where(F.col("snapshot_id") == snapshot)
+        """Rows with snapshot_id; of a snapshot without rows, none."""
+        parts = self.state()[table]
+        if snapshot is None:
+            return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), (self._open(p, k) for k, p in sorted(parts.items())))
+        own = parts.get(str(snapshot))
+        return self._open(own, snapshot) if own else self._open(next(iter(parts.values())), snapshot).limit(0)
+
+    def _written(self, table: str, df: DataFrame) -> str:
+        path = f"{self.folder}/{table}/{uuid.uuid4().hex}"
+        df.drop("snapshot_id").write.parquet(path)
+        return path
+
+    def _publish(self, change: Callable[[dict], None], tries: int = 20) -> None:
+        """Publishes the current state with a change made to it; where another writer was first, to that one's state."""
+        for left in range(tries - 1, -1, -1):
+            number, state = self.versions.latest()
+            tables = (state or {"tables": {}})["tables"]
+            change(tables)
+            try:
+                return self.versions.publish(number + 1, {"tables": tables})
+            except Conflict:
+                if not left:
+                    raise
+
+    def _put(self, snapshot: int, paths: dict[str, str], base: dict[str, str | None] | None = None) -> None:
+        """base: what the tables must still consist of, where the new rows were made from it."""
+
+        def change(tables: dict) -> None:
+            for name, path in paths.items():
+                own = tables.setdefault(name, {})
+                if base is not None and own.get(str(snapshot)) != base.get(name):
+                    raise Conflict(f"{name} of snapshot {snapshot} has changed meanwhile")
+                own[str(snapshot)] = path
+
+        self._publish(change)
 
     def replace(self, snapshot: int, **tables: DataFrame) -> None:
-        """Puts the rows of one snapshot in place of what it had, table by table (documents, headings, concerns and the like).
+        """Puts the given rows in place of what the snapshot had in these tables (documents, headings, concerns and the like), all at once."""
+        self._put(snapshot, {name: self._written(name, df) for name, df in tables.items()})
 
-        A table without rows loses the partition. Readers see a snapshot only once it is published, so the tables
-        need no common transaction.
-        """
-        for name, df in tables.items():
-            part = df.drop("snapshot_id").withColumn("snapshot_id", F.lit(snapshot).cast("long"))
-            fs, p = filesystem(self.spark, f"{self.path(name)}/snapshot_id={snapshot}")
-            fs.delete(p, True)
-            part.write.mode("append").partitionBy("snapshot_id").parquet(self.path(name))
+    def _without(self, snapshot: int, paths: DataFrame, tables: dict[str, DataFrame | None]) -> tuple[dict[str, str], dict[str, str | None]]:
+        state = self.state()
+        gone, out = paths.select("path").distinct(), {}
+        for name, new in tables.items():
+            kept = self.read(name, snapshot).join(gone, "path", "left_anti")
+            out[name] = self._written(name, kept if new is None else kept.drop("snapshot_id").unionByName(new.drop("snapshot_id")))
+        return out, {name: state[name].get(str(snapshot)) for name in tables}
 
-    def replace_files(self, snapshot: int, paths: DataFrame, **tables: DataFrame) -> None:
+    def replace_files(self, snapshot: int, paths: DataFrame, **tables: DataFrame | None) -> None:
         """Extraction of changed files: rows of these paths go from every table, and the given rows come; other files keep theirs.
 
-        Tables carry `path`. A table that is given as None only loses the paths.
+        Tables carry `path`. A table that is given as None only loses the paths. Raises Conflict when another writer has changed
+        one of them meanwhile: its rows are not lost.
         """
-        for name, new in tables.items():
-            old = self.read(name, snapshot)
-            kept = old.join(paths.select("path").distinct(), "path", "left_anti")
-            out = kept if new is None else kept.unionByName(new.drop("snapshot_id").withColumn("snapshot_id", F.lit(snapshot).cast("long")))
-            fresh = self.path(f"{name}.next-{snapshot}")
-            out.drop("snapshot_id").write.mode("overwrite").parquet(fresh)  # the partition is read while it is replaced: written beside it, then moved
-            fs, p = filesystem(self.spark, f"{self.path(name)}/snapshot_id={snapshot}")
-            _, f = filesystem(self.spark, fresh)
-            fs.delete(p, True)
-            if not fs.rename(f, p):
-                raise RuntimeError(f"{fresh} cannot be moved")
+        self._put(snapshot, *self._without(snapshot, paths, tables))
 
     def remove_file(self, snapshot: int, path: str, *tables: str) -> None:
-        """Removes an entry from tables; the coverage of the snapshot no longer holds and becomes stale."""
-        gone = self.spark.range(1).select(F.lit(path).alias("path"))
-        self.replace_files(snapshot, gone, **dict.fromkeys(tables))
-        if self.exists("coverage"):
-            stale = self.read("coverage", snapshot).withColumn("state", F.lit("stale")).withColumn("reason", F.lit("catalog_entry_removed"))
-            rows = [r.asDict() for r in stale.collect()]  # a row for each class of evidence
-            if rows:
-                self.replace(snapshot, coverage=self.spark.createDataFrame(rows, stale.schema))
+        """Removes an entry from tables; the coverage of the snapshot no longer holds and becomes stale, in the same state."""
+        out, base = self._without(snapshot, self.spark.range(1).select(F.lit(path).alias("path")), dict.fromkeys(tables))
+        own = self.state().get("coverage", {}).get(str(snapshot))
+        if own:
+            stale = self._open(own, snapshot).withColumn("state", F.lit("stale")).withColumn("reason", F.lit("catalog_entry_removed"))
+            out["coverage"], base["coverage"] = self._written("coverage", stale), own
+        self._put(snapshot, out, base)
+
+    def seed(self, source: int, target: int, *tables: str) -> None:
+        """The target snapshot starts with the rows of the source one. No row is copied: both name the same files until one is replaced."""
+
+        def change(state: dict) -> None:
+            for name in tables:
+                if str(source) in state.get(name, {}):
+                    state[name][str(target)] = state[name][str(source)]
+
+        self._publish(change)
 
     def drop_snapshot(self, snapshot: int, *tables: str) -> None:
-        for name in tables:
-            fs, p = filesystem(self.spark, f"{self.path(name)}/snapshot_id={snapshot}")
-            fs.delete(p, True)
+        """The schema of a table stays, also when its last snapshot goes."""
+
+        def change(state: dict) -> None:
+            for name in tables:
+                own = state.get(name, {})
+                if set(own) == {str(snapshot)}:
+                    own[str(snapshot)] = self._written(name, self._open(own[str(snapshot)], snapshot).limit(0))
+                else:
+                    own.pop(str(snapshot), None)
+
+        self._publish(change)
+
+    def vacuum(self) -> int:
+        """Deletes files and states that the current state does not need; how many folders. Only where nobody reads or writes an earlier one."""
+        state, n = self.state(), 0
+        used = {p.rsplit("/", 1)[-1] for own in state.values() for p in own.values()}
+        for name in state:
+            fs, root = filesystem(self.spark, f"{self.folder}/{name}")
+            for f in fs.listStatus(root) if fs.exists(root) else []:
+                if f.getPath().getName() not in used:
+                    fs.delete(f.getPath(), True)
+                    n += 1
+        self.versions.prune(1)
+        return n
 
 
 def upserted(current: DataFrame, changed: DataFrame, key: list[str]) -> DataFrame:
