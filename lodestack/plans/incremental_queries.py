@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from lodestack.operators import relational as R
+from lodestack.operators import term_index as TI
 from lodestack.operators import traversal as TR
 from lodestack.plans.relational_queries import t
-from lodestack.plans.text_queries import _EDGES, _graph
+from lodestack.plans.text_queries import _EDGES, _TOK, _graph
 from lodestack.shared import filesystem, shared_dir
 from lodestack.streaming import queue as CQ
 
@@ -99,3 +101,47 @@ def traverse_strict(spark, sf_dir):
     starts = n.where(F.left("node", F.lit(1)).isin("r", "n")).select(F.col("node").alias("query"), "node")
     walked = TR.traverse_many(adjacency, starts, max_depth=2, max_nodes=60, direction="both", mode="strict")
     return walked.nodes.join(walked.ends.select("query", "truncated"), "query")
+
+
+# Term index: phrases, and an index that was updated, merged and swept.
+
+_PHRASE = ["of-the", "licensed/under", "idiot"]
+
+
+def _phrase_sql(source, most=100):
+    """BM25 of _PHRASE over (doc_id, text); the words of a phrase differ, so its places never overlap."""
+
+    def places(term):
+        ws = [w for w in term.replace("/", "-").split("-")]
+        return f"len(list_filter(range(1, len(tk) + 1), lambda i: {' AND '.join(f"tk[i + {j}] = '{w}'" for j, w in enumerate(ws))}))"
+
+    k = range(len(_PHRASE))
+    tf = ", ".join(f"{places(w)} AS tf{i}" for i, w in enumerate(_PHRASE))
+    score = " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * len / al))" for i in k)
+    return f"""WITH src AS ({source}), k AS (SELECT doc_id, {_TOK.format("coalesce(text, '')")} AS tk FROM src), c AS (SELECT doc_id, len(tk) AS len, {tf} FROM k),
+g AS (SELECT count(*) AS n, avg(len) AS al, {", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in k)} FROM c),
+s AS (SELECT doc_id, round({score}, 6) AS score FROM c, g WHERE {" OR ".join(f"tf{i} > 0" for i in k)})
+SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= {most}"""
+
+
+def _phrase_hits(index):
+    hits = index.search(_PHRASE, [1.0]).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+    return R.ranked(hits, [F.desc("score"), F.asc("doc_id")], 100)
+
+
+@query(_phrase_sql("SELECT doc_id, text FROM documents"))
+def term_index_phrase(spark, sf_dir):
+    """Terms with dashes and slashes are phrases, found by their positions."""
+    return _phrase_hits(TI.TermIndex.build(t(spark, sf_dir, "documents"), "doc_id", ["text"], _folder(spark, "terms")))
+
+
+@query(_phrase_sql("""SELECT doc_id, CASE WHEN lang = 'en' AND source = 'src3' THEN 'of the ' || text ELSE text END AS text FROM documents WHERE source <> 'src5'
+UNION ALL SELECT -1 - item_id, text || ' licensed under the license' FROM benchmark"""))
+def term_index_delta(spark, sf_dir):
+    """The documents of one source go, English ones of another change, benchmark items come: three updates of one index and a merge."""
+    docs, items = t(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), t(spark, sf_dir, "benchmark")
+    index = TI.TermIndex.build(docs.select("doc_id", "text"), "doc_id", ["text"], _folder(spark, "terms"))
+    index.update(docs.where("lang = 'en' AND source = 'src3'").select("doc_id", F.concat(F.lit("of the "), "text").alias("text")), "doc_id")
+    index.update(items.select((-1 - F.col("item_id")).alias("doc_id"), F.concat("text", F.lit(" licensed under the license")).alias("text")), "doc_id", docs.where("source = 'src5'").select("doc_id"))
+    index.merge(2)
+    return _phrase_hits(index)
