@@ -64,17 +64,20 @@ def incoming_references(edges: DataFrame, targets: DataFrame, n: int = 50, offse
 def unresolved_references(refs: DataFrame, targets: DataFrame, n: int = 50, offset: int = 0) -> DataFrame:
     """Unresolved references of each target: those that it makes and those that bear its name or qualified name.
 
-    refs: ref_id, source_node_id, name, kind, path, the range and resolution; targets: node_id, name, qualified_name. The
-    three conditions are three joins on equal keys; a reference that meets several counts once.
+    refs: ref_id, source_node_id, name, kind, path, the range and resolution; targets: node_id, name, qualified_name. The three
+    conditions are three joins on equal keys; a reference that meets several counts once. References are folded and
+    paged by their own key before they meet targets: a name that r references and t targets share costs r + t * (offset + n)
+    rows. The order does not depend on the target, so what a page can hold is among the first rows of each key.
     """
-    keys = [("source_node_id", "node_id"), ("name", "name"), ("name", "qualified_name")]
+    order = [F.col("path"), *map(in_file_order, RANGE), F.col("source_node_id"), F.col("name"), F.col("kind"), F.col("ref_id")]
+    identity = ["source_node_id", "name", "kind", "path"]
     met = None
-    for own, key in keys:
-        part = refs.join(targets.select(F.col("node_id").alias("target"), F.col(key).alias("_t")).where("_t IS NOT NULL"), F.col(own) == F.col("_t")).drop("_t")
+    for own, key in [("source_node_id", "node_id"), ("name", "name"), ("name", "qualified_name")]:
+        asked = targets.select(F.col("node_id").alias("target"), F.col(key).alias("_t")).where("_t IS NOT NULL")
+        once = distinct_edges(refs.join(asked.select(F.col("_t").alias(own)).distinct(), own, "left_semi"), identity, RANGE, "ref_id")
+        part = page_of(once, own, order, offset + n).drop("position").join(asked, F.col(own) == F.col("_t")).drop("_t")
         met = part if met is None else met.unionByName(part)
-    identity = ["target", "source_node_id", "name", "kind", "path"]
-    order = [F.col("path"), *map(in_file_order, RANGE), F.col("source_node_id"), F.col("name"), F.col("kind"), F.col("ref_id")]
-    return page_of(distinct_edges(met, identity, RANGE, "ref_id"), "target", order, n, offset)
+    return page_of(distinct_edges(met, ["target", *identity], RANGE, "ref_id"), "target", order, n, offset)
 
 
 def find_references(targets: DataFrame, edges: DataFrame, refs: DataFrame, lexical: DataFrame | None = None, n: int = 50) -> DataFrame:
@@ -93,9 +96,9 @@ def find_references(targets: DataFrame, edges: DataFrame, refs: DataFrame, lexic
     found = out.unionByName(inc).unionByName(unres)
     if lexical is not None:
         bare = targets.where(~(F.coalesce(F.col("language") == "ruby", F.lit(False)) & F.coalesce("parsed", F.lit(False)))).select(F.col("node_id").alias("target"))
-        rest = lexical.join(bare, "target", "left_semi").join(found.select("target").distinct(), "target", "left_anti")
-        rest = page_of(rest, "target", [F.col("path"), F.col("start_line"), F.col("start_column")], n + 1)
+        rest = page_of(lexical.join(bare, "target", "left_semi"), "target", [F.col("path"), F.col("start_line"), F.col("start_column")], n + 1)
         found = found.unionByName(rest.select("target", F.lit(3).alias("route"), "position", none.cast(dict(out.dtypes)["other"]).alias("other"), "path", *lines, F.lit("lexical").alias("kind"), F.lit(LEXICAL).alias("confidence"), F.lit("bounded_lexical_identifier_scan").alias("provenance"), F.lit("unresolved").alias("status")))
+        found = found.withColumn("_first", F.min("route").over(Window.partitionBy("target"))).where("route < 3 OR _first = 3").drop("_first")
     nth = F.row_number().over(Window.partitionBy("target").orderBy("route", "position"))
     page = found.withColumn("position", nth).where(F.col("position") <= n + 1)
     more = F.max("position").over(Window.partitionBy("target")) > n

@@ -319,3 +319,25 @@ def test_changed_context(spark):
     one = lambda *xs: spark.createDataFrame([(x,) for x in xs], "path string")
     got = [tuple(r) for r in PL.changed_context({"staged": one("a.json", "m.py"), "caller": one("m.py")}, f).orderBy("part", "ord").collect()]
     assert got == [("command", 7, None, "python -m pytest"), ("diagnostic", 1, "a.json", "error: json_syntax: not one JSON value"), ("file", 1, "a.json", "staged"), ("file", 2, "m.py", "caller,staged")]
+
+
+def test_a_name_that_many_share_makes_no_product(spark):
+    """1,000 references and 1,000 targets of one name: each target gets its page, and no more than pages are made."""
+    refs = spark.range(1000).selectExpr("id ref_id", "concat('s', id) source_node_id", "'run' name", "'call' kind", "concat('f', id % 10) path", "cast(id as int) start_line", "0 start_column", "cast(id as int) end_line", "3 end_column", "'unresolved' resolution")
+    refs = refs.unionByName(refs.withColumn("ref_id", F.col("ref_id") + 5000))  # each twice
+    targets = spark.range(1000).selectExpr("concat('t', id) node_id", "'run' name", "case when id % 2 = 0 then 'run' else 'a.run' end qualified_name")
+    out = REF.unresolved_references(refs, targets, 5, 2)
+    rows = out.collect()
+    assert len(rows) == 5000 and {(r["position"], r["ref_id"]) for r in rows} == {(3, 20), (4, 30), (5, 40), (6, 50), (7, 60)}
+    plan = out._jdf.queryExecution().executedPlan()
+    made = []
+
+    def walk(node):
+        if "Join" in node.nodeName():
+            made.append(node.metrics().apply("numOutputRows").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    out._jdf.collectToPython()
+    walk(plan.executedPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan)
+    assert all(n <= 15_000 for n in made)
