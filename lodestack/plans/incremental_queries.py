@@ -6,10 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from lodestack.operators import identifiers as ID
+from lodestack.operators import markdown as MD
 from lodestack.operators import relational as R
+from lodestack.operators import resolution_store as RS
 from lodestack.operators import term_index as TI
 from lodestack.operators import traversal as TR
-from lodestack.plans.relational_queries import t
+from lodestack.plans.documentation_queries import _listed
+from lodestack.plans.relational_queries import FILES_SQL, t
 from lodestack.plans.text_queries import _EDGES, _TOK, _graph
 from lodestack.shared import filesystem, shared_dir
 from lodestack.streaming import queue as CQ
@@ -145,3 +149,84 @@ def term_index_delta(spark, sf_dir):
     index.update(items.select((-1 - F.col("item_id")).alias("doc_id"), F.concat("text", F.lit(" licensed under the license")).alias("text")), "doc_id", docs.where("source = 'src5'").select("doc_id"))
     index.merge(2)
     return _phrase_hits(index)
+
+
+# Resolution by deltas: customers and parts are nodes, suppliers and customers name them; then some move, some go and some names change.
+
+_NODES_AFTER = """SELECT lower(CASE WHEN c_nationkey = 7 THEN 'Moved#' || c_custkey ELSE c_name END) AS name, 'c' || c_custkey AS node_id FROM customer WHERE c_nationkey <> 3 UNION ALL SELECT lower(p_name), 'p' || p_partkey FROM part WHERE p_size <= 45"""
+
+
+@query(f"""WITH x AS ({_NODES_AFTER}), g AS (SELECT name, count(*) AS n, min(node_id) AS one FROM x GROUP BY name),
+r AS (SELECT 's' || s_suppkey AS ref_id, CASE WHEN s_nationkey = 5 THEN 'Customer#' || lpad(s_suppkey::VARCHAR, 9, '0') WHEN s_suppkey % 3 = 0 THEN 'red widget' ELSE 'Supplier#' || s_suppkey END AS name FROM supplier WHERE s_nationkey <> 9 UNION ALL SELECT 'c' || c_custkey, c_name FROM customer)
+SELECT ref_id, CASE WHEN coalesce(g.n, 0) = 1 THEN one END AS target, coalesce(g.n, 0) AS candidate_count, CASE WHEN coalesce(g.n, 0) = 1 THEN 'resolved' WHEN coalesce(g.n, 0) > 1 THEN 'ambiguous' ELSE 'unresolved' END AS resolution FROM r LEFT JOIN g ON lower(r.name) = g.name""")
+def resolve_delta(spark, sf_dir):
+    """Full resolution once, then two updates by deltas."""
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    none, k = F.lit(None).cast("string"), F.col("s_suppkey")
+    as_nodes = lambda df: df.select(F.col("id").alias("node_id"), "name", none.alias("qualified_name"), F.lit("function").alias("kind"), F.lit("go").alias("language"), F.concat(F.lit("a/"), F.col("id"), F.lit(".go")).alias("path"))
+    as_refs = lambda df: df.select(F.col("id").alias("ref_id"), F.lit("m").alias("source"), "name", F.lit("call").alias("kind"), F.lit("go").alias("language"), F.lit(True).alias("static"), none.alias("receiver"), none.alias("import_dir"), F.array().cast("array<string>").alias("paths"))
+    customer, part, supplier = (t(spark, sf_dir, n) for n in ("customer", "part", "supplier"))
+    named = lambda df, name: df.select(key("c", "c_custkey").alias("id"), name.alias("name"))
+    nodes = as_nodes(named(customer, F.col("c_name")).union(part.select(key("p", "p_partkey"), "p_name")))
+    refs = as_refs(supplier.select(key("s", "s_suppkey").alias("id"), F.when(k % 3 == 0, "red widget").otherwise(key("Supplier#", "s_suppkey")).alias("name")).union(named(customer, F.col("c_name"))))
+    store = RS.Resolutions.build(refs, nodes, _folder(spark, "resolved"))
+    store.update(nodes=as_nodes(named(customer.where("c_nationkey = 7"), key("Moved#", "c_custkey"))), gone_nodes=customer.where("c_nationkey = 3").select(key("c", "c_custkey").alias("node_id")))
+    asks = supplier.where("s_nationkey = 5").select(key("s", "s_suppkey").alias("id"), F.concat(F.lit("Customer#"), F.lpad(k.cast("string"), 9, "0")).alias("name"))
+    store.update(gone_nodes=part.where("p_size > 45").select(key("p", "p_partkey").alias("node_id")), refs=as_refs(asks), gone_refs=supplier.where("s_nationkey = 9").select(key("s", "s_suppkey").alias("ref_id")))
+    return store.results().select("ref_id", "target", "candidate_count", "resolution")
+
+
+# Identifier scans: all identifiers of benchmark items in all documents, two pages of each.
+
+_RESULTS, _FILES, _BYTES, _FILE_BYTES = 20, 150, 400_000, 20_000
+
+
+def _receipt(k):
+    """Receipts of a page: starts k (name, since, seen, n0, t0, k0), its files w and hits h."""
+    return f"""w{k} AS (SELECT name, f.path, nth, total, skipped, nth - n0 AS i, total - t0 AS size FROM s{k} JOIN f ON fits AND nth BETWEEN n0 + 1 AND n0 + {_FILES} AND total - t0 <= {_BYTES}),
+e{k} AS (SELECT name, max(i) AS files, max(size) AS bytes, max(path) AS end_path, max(nth) AS end_nth, max(total) AS end_total, max(skipped) AS end_skipped FROM w{k} GROUP BY name),
+h{k} AS (SELECT tok.name, tok.path, ordinal, line, col, row_number() OVER (PARTITION BY tok.name ORDER BY tok.path, ordinal) AS pos FROM tok JOIN w{k} USING (name, path) JOIN s{k} USING (name) WHERE since IS NULL OR tok.path <> since OR ordinal > seen QUALIFY pos <= {_RESULTS}),
+c{k} AS (SELECT name, count(*) AS hits, arg_max(path, pos) AS last_path, arg_max(ordinal, pos) AS last_ordinal, string_agg(path || ':' || line || ':' || col, ' ' ORDER BY pos) AS places FROM h{k} GROUP BY name),
+m{k} AS (SELECT s.*, coalesce(c.hits, 0) AS hits, coalesce(e.files, 0) AS files, coalesce(e.bytes, 0) AS bytes, c.last_path, c.last_ordinal, coalesce(c.places, '') AS places, e.end_path, e.end_nth, e.end_total, e.end_skipped, EXISTS (SELECT 1 FROM f WHERE fits AND nth = s.n0 + coalesce(e.files, 0) + 1) AS more FROM s{k} s LEFT JOIN e{k} e USING (name) LEFT JOIN c{k} c USING (name)),
+r{k} AS (SELECT *, CASE WHEN hits >= {_RESULTS} THEN 'result' WHEN NOT more THEN 'catalog_exhausted' WHEN files >= {_FILES} THEN 'file' ELSE 'byte' END AS stop, CASE WHEN more THEN coalesce(end_skipped, k0) ELSE (SELECT max(skipped) FROM f) END - k0 AS oversized FROM m{k}),
+p{k} AS (SELECT *, stop = 'catalog_exhausted' AND (SELECT max(skipped) FROM f) = 0 AS complete, CASE WHEN stop = 'result' THEN last_path WHEN more THEN coalesce(end_path, since) END AS next_path, CASE WHEN stop = 'result' THEN last_ordinal WHEN more THEN 0 END AS next_ordinal FROM r{k})"""
+
+
+_PAGE = "SELECT name, {0} AS page, hits, stop, files, bytes, oversized, complete, next_path, next_ordinal::INT AS next_ordinal, places FROM p{0}"
+
+
+@query(rf"""WITH f0 AS (SELECT 'doc/' || lpad(doc_id::VARCHAR, 9, '0') AS path, text, strlen(text) AS bytes, strlen(text) <= {_FILE_BYTES} AS fits FROM documents),
+f AS (SELECT path, bytes, fits, sum(fits::INT) OVER w AS nth, sum(CASE WHEN fits THEN bytes ELSE 0 END) OVER w AS total, sum((NOT fits)::INT) OVER w AS skipped FROM f0 WINDOW w AS (ORDER BY path)),
+names AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS name FROM benchmark),
+l AS (SELECT path, unnest(regexp_split_to_array(text, '\r?\n')) AS s, generate_subscripts(regexp_split_to_array(text, '\r?\n'), 1) AS line FROM f0 WHERE path IN (SELECT path FROM f WHERE fits AND nth <= 2 * {_FILES} + 1)),
+v AS (SELECT path, line, unnest(string_split(regexp_replace(s, '[^A-Za-z0-9_]', ' ', 'g'), ' ')) AS name, generate_subscripts(string_split(regexp_replace(s, '[^A-Za-z0-9_]', ' ', 'g'), ' '), 1) AS k FROM l),
+x AS (SELECT path, line, name, (sum(length(name) + 1) OVER (PARTITION BY path, line ORDER BY k) - length(name) - 1)::INT AS col FROM v),
+tok AS (SELECT *, row_number() OVER (PARTITION BY path, name ORDER BY line, col) AS ordinal FROM x WHERE name IN (SELECT name FROM names)),
+s1 AS (SELECT name, NULL::VARCHAR AS since, 0 AS seen, 0 AS n0, 0 AS t0, 0 AS k0 FROM names), {_receipt(1)},
+s2 AS (SELECT name, next_path AS since, next_ordinal AS seen, f.nth - (next_ordinal > 0)::INT AS n0, f.total - CASE WHEN next_ordinal > 0 THEN f.bytes ELSE 0 END AS t0, f.skipped AS k0 FROM p1 JOIN f ON f.path = next_path), {_receipt(2)}
+{_PAGE.format(1)} UNION ALL {_PAGE.format(2)}""")
+def identifier_pages(spark, sf_dir):
+    """Receipts of the first two pages of each name, with the places found."""
+    docs = t(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), "text")
+    index = ID.IdentifierIndex.build(docs, _folder(spark, "identifiers"), _FILE_BYTES)
+    names, out = t(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("name")).distinct(), None
+    for number in (1, 2):
+        page = index.page(names, _RESULTS, _FILES, _BYTES)
+        at = F.struct("path", "ordinal", F.concat_ws(":", "path", "line", "col").alias("place"))
+        found = page.hits.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(at)), lambda h: h["place"]), " ").alias("places"))
+        rows = page.receipts.join(found, "name", "left").fillna({"places": ""}).withColumn("page", F.lit(number))
+        out = rows if out is None else out.unionByName(rows)
+        names = page.receipts.where("next_path IS NOT NULL").select("name", "next_path", "next_ordinal")
+    return out
+
+
+@query(f"""WITH {FILES_SQL}, f AS (SELECT path, file_id, 5 + CASE WHEN file_id % 2 = 0 THEN 2 ELSE 0 END AS at_link, 5 + CASE WHEN file_id % 2 = 0 THEN 2 ELSE 0 END + CASE WHEN file_id % 3 = 0 THEN 1 ELSE 0 END AS at_table, regexp_extract(path, '[^/]*$') AS base FROM files WHERE path LIKE '%.md')
+SELECT path, 2 AS line, 'front_field' AS kind, 0 AS "column", NULL::INT AS depth, 'status' AS text, NULL::BIGINT AS number, NULL::VARCHAR AS cells, NULL::VARCHAR AS target FROM f WHERE false
+UNION ALL SELECT path, 2, 'front_field', 0, NULL, 'status', NULL, 'draft', NULL FROM f UNION ALL SELECT path, 4, 'heading', 0, 1, 'T', NULL, NULL, NULL FROM f
+UNION ALL SELECT path, 4 + k, 'ordered_list_item', 0, NULL, NULL, 2 * k - 1, NULL, NULL FROM f, (SELECT unnest([1, 2]) AS k) WHERE file_id % 2 = 0
+UNION ALL SELECT path, at_link, 'link', 0, NULL, 'gone', NULL, NULL, 'missing.md' FROM f WHERE file_id % 3 = 0 UNION ALL SELECT path, at_link, 'link', 19, NULL, 'here', NULL, NULL, base FROM f WHERE file_id % 3 = 0
+UNION ALL SELECT path, at_table + k, 'table_row', 0, NULL, NULL, NULL, ['a|b', '-|-', 'c'][k + 1], NULL FROM f, (SELECT unnest([0, 1, 2]) AS k) WHERE file_id % 5 = 0""")
+def markdown_blocks(spark, sf_dir):
+    """Every block of the Markdown part of the catalog; what stands in fenced code is none."""
+    blocks = MD.markdown_blocks(_listed(spark, sf_dir), "path", "text")
+    return blocks.select("path", "line", "kind", "column", "depth", "text", F.col("number").cast("long").alias("number"), F.when(F.col("cells").isNotNull(), F.array_join("cells", "|")).alias("cells"), "target")
