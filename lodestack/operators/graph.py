@@ -10,9 +10,8 @@ from pyspark.sql.window import Window
 
 from lodestack.functions import paths as P
 from lodestack.functions.arrays import let, scan
-from lodestack.operators.relational import ranked
+from lodestack.operators.relational import numbered, ranked
 from lodestack.operators.search import search_symbol_text
-from lodestack.shared import written
 
 
 @dataclass
@@ -255,17 +254,6 @@ def quoted(word: str) -> str:
     return "\\Q" + word.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def _numbered(df: DataFrame, order: list[Column]) -> DataFrame:
-    """df with `rank` from 1 over all its rows, order total: ranges are sorted and numbered each by itself, and start after the rows of the ranges before."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # the upper bits are the range's number, the lower 33 the row's place in it; written once, so that both stay as they are
-    rows = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()), "numbered")
-    rows = rows.withColumn("_range", F.shiftright("_m", 33))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
-    starts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return rows.join(F.broadcast(starts), "_range").withColumn("rank", F.col("_start") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_m", "_range", "_start")
-
-
 def handler_groups(hits: DataFrame, anchors: DataFrame) -> DataFrame:
     """All handler bindings by template, logical id and kind, each followed by its handler files.
 
@@ -276,4 +264,4 @@ def handler_groups(hits: DataFrame, anchors: DataFrame) -> DataFrame:
     own = hits.select("node_id", key.alias("key"))
     files = anchors.join(own.select(F.col("node_id").alias("binding"), "key"), "binding").select("node_id", "key", F.lit(1).alias("file"))
     both = own.select("node_id", "key", F.lit(0).alias("file")).unionByName(files).groupBy("node_id").agg(F.min(F.struct("key", "file")).alias("at"))
-    return _numbered(both, [F.col("at"), F.col("node_id")]).select("node_id", "rank")
+    return numbered(both, [F.col("at"), F.col("node_id")]).select("node_id", "rank")

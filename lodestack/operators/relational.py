@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestack.functions import paths
+from lodestack.shared import written
 
 
 def first_of(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -58,8 +59,25 @@ def within_cap(df: DataFrame, order: list[Column], cap: int) -> DataFrame:
     return marked.where(~F.col("overflow") | (F.col("_n") == 1)).select(*none, "seen", "overflow")
 
 
+def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df with `rank` from 1 over all its rows, order total: ranges are sorted and numbered each by itself, and start after the rows of the ranges before."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the upper bits are the range's number, the lower 33 the row's place in it; written once, so that both stay as they are
+    rows = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()), "numbered")
+    rows = rows.withColumn("_range", F.shiftright("_m", 33))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    starts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return rows.join(F.broadcast(starts), "_range").withColumn("rank", F.col("_start") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_m", "_range", "_start")
+
+
+#: Rows that one task may rank.
+ALONE = 10_000
+
+
 def ranked(df: DataFrame, order: list[Column], k: int) -> DataFrame:
-    """Top k with `rank` from 1, order total."""
+    """Top k with `rank` from 1, order total. A small top is ranked by one task, a larger one in ranges of the order."""
+    if k > ALONE:
+        return numbered(df, order).where(F.col("rank") <= k)
     top = df.orderBy(*order).limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 

@@ -96,6 +96,28 @@ def ranked_docs_candidates(spark, sf_dir):
     return DOC.ranked_search(DOC.docs_index(files(spark, sf_dir), most_bytes=1 << 30), "apache license design", cap=1 << 20)
 
 
+_CONCERNS = {"src1": [("c-license", "valid"), ("c-design", "archived")], "src2": [("c-license", "draft")], "src3": [("c-design", "conflicting")], "src4": [("c-other", "valid")], "src5": [("c-license", "archived")]}
+_MATCHED = [(unit, state) for unit, own in _CONCERNS.items() for key, state in own if key != "c-other"]
+
+
+@query(_ranked_scores(["apache", "license", "design"]) + f""", o AS (SELECT path, list_sort(list_distinct(list(state))) AS states FROM files JOIN (VALUES {", ".join(map(str, _MATCHED))}) v(unit, state) USING (unit) WHERE path IN (SELECT path FROM d) GROUP BY path),
+co AS (SELECT coalesce(s.path, o.path) AS path, lexical, states FROM s FULL JOIN o ON s.path = o.path),
+m AS (SELECT co.*, d.body, starts_with(path, 'docs/archive/') AS archived, CASE WHEN starts_with(path, 'docs/design/') THEN 'canonical' WHEN starts_with(path, 'docs/archive/') OR starts_with(path, 'examples/') THEN 'non_authoritative' ELSE 'supporting' END AS authority FROM co JOIN d USING (path)),
+u AS (SELECT *, CASE WHEN archived THEN 'historical' WHEN states IS NOT NULL OR starts_with(path, 'docs/design/') THEN 'current' ELSE 'unknown' END AS currency, string_split(trim(regexp_replace(lower(body), '[\\p{{P}}\\p{{S}}\\p{{Z}}\\s]+', ' ', 'g')), ' ') AS w FROM m),
+v AS (SELECT path, path AS doc_id, CASE WHEN list_contains(states, 'valid') THEN 0 ELSE 1 END AS owner_priority, CASE WHEN lexical IS NOT NULL AND list_contains(w, 'apache') AND list_contains(w, 'license') AND list_contains(w, 'design') THEN 2 WHEN states IS NOT NULL THEN 3 ELSE 4 END AS band,
+  CASE WHEN list_contains(states, 'valid') AND authority = 'canonical' AND currency = 'current' THEN 0 WHEN list_contains(states, 'valid') THEN 1 WHEN states IS NULL THEN 2 WHEN list_contains(states, 'draft') OR list_contains(states, 'conflicting') THEN 3 ELSE 4 END AS owner_tier, authority, currency, lexical,
+  CASE WHEN lexical IS NOT NULL AND states IS NOT NULL THEN 'fts_and_matched_owner' WHEN states IS NOT NULL THEN 'matched_owner' ELSE 'fts' END AS candidate_source FROM u)
+SELECT *, row_number() OVER (ORDER BY owner_priority, band, owner_tier, CASE authority WHEN 'canonical' THEN 1 WHEN 'supporting' THEN 2 ELSE 3 END, CASE currency WHEN 'current' THEN 1 WHEN 'unknown' THEN 2 ELSE 4 END, lexical DESC NULLS LAST, path) AS rank, false AS overflow FROM v""")
+def ranked_docs_concerns(spark, sf_dir):
+    """The ranked search with owners of concerns: a phrase of the query names two of three concerns, whose owners come in with the full-text hits."""
+    f = files(spark, sf_dir)
+    terms = spark.createDataFrame([("c-license", "apache license", 2), ("c-license", "license terms", 2), ("c-design", "design", 1), ("c-other", "absent phrase", 2)], "concern_key string, term string, token_count int")
+    named = spark.createDataFrame([(unit, key, state) for unit, own in _CONCERNS.items() for key, state in own], "unit string, concern_key string, owner_state string")
+    owners = f.select("path", "unit").join(F.broadcast(named), "unit").select("concern_key", "path", "owner_state", F.lit(1).alias("source_line"))
+    owners = owners.unionByName(spark.createDataFrame([("c-license", "docs/none.md", "missing", 9)], owners.schema))
+    return DOC.ranked_search(DOC.docs_index(f, most_bytes=1 << 30), "apache license design", {"terms": terms, "owners": owners}, cap=1 << 20)
+
+
 @query(_RANKED + " SELECT NULL::VARCHAR AS path, NULL::INT AS rank, true AS overflow FROM r HAVING count(*) > 2 UNION ALL SELECT path, rank, false FROM r WHERE (SELECT count(*) FROM r) <= 2")
 def ranked_docs_overflow(spark, sf_dir):
     """More than two candidates, with a cap of two: one row that says so and no hits."""
