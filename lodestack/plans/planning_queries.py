@@ -58,6 +58,27 @@ def related_files(spark, sf_dir):
     return ranked(f, [F.desc("score"), F.asc("path")], 25)
 
 
+_SEEDS = ["src/none.py", "tests/unit/none.go"]
+
+
+def _bonus(seed):
+    """What a seed lends a path."""
+    d, stem = seed.rsplit("/", 1)[0], seed.rsplit("/", 1)[1].rsplit(".", 1)[0]
+    same, near = f"regexp_replace(path, '/?[^/]*$', '') = '{d}'", f"starts_with(path, '{d.split('/')[0]}/')"
+    test = r"regexp_matches(lower(path), '(^|/)tests?/|[._-](test|spec)\.')"
+    base = "regexp_extract(path, '[^/]*$')"
+    return f"""CASE WHEN path = '{seed}' THEN 0.0 WHEN {same} AND lower({base}) = 'cmakelists.txt' THEN 20.0 WHEN {same} AND regexp_replace({base}, '\\.[^.]*$', '') = '{stem}' THEN 12.0
+  WHEN lower(path) IN ('package.json', 'tsconfig.json', 'pyproject.toml') THEN 11.0 WHEN {same} AND {test} THEN 10.0 WHEN {near} AND {test} THEN 9.0 WHEN {near} THEN 8.0 ELSE 0.0 END"""
+
+
+@query(f"""WITH {FILES_SQL}, s AS (SELECT path, greatest(0.0, {' + '.join(_term(w) for w in PL.task_terms(_TASK))} + CASE WHEN regexp_matches(lower(path), '^(src|lib|app|cmd|internal|include|tests?|packages)/') THEN 2.0 ELSE 0.0 END
+  + CASE WHEN path LIKE '%.py' THEN 2.0 ELSE 0.0 END - ({_points(PL.NOISE)}))::DOUBLE + greatest({", ".join(map(_bonus, _SEEDS))})::DOUBLE AS score FROM files)
+SELECT path, score, row_number() OVER (ORDER BY score DESC, path) AS rank FROM s WHERE score > 0 QUALIFY rank <= 200""")
+def related_files_seeded(spark, sf_dir):
+    """Files for a task that names two files: their neighbours score more."""
+    return PL.related_files(files(spark, sf_dir), _TASK, _SEEDS, 200)
+
+
 _R = ", ".join(f"({i}, '{n}', '{c}', (SELECT coalesce(bool_or(regexp_matches(lower(path), '{m}')), false) FROM files), (SELECT coalesce(bool_or(regexp_matches(lower(path), '{s}')), false) FROM files))" for i, (n, m, s, c) in enumerate(PL.RULES))
 
 
