@@ -12,8 +12,9 @@ from lodestack.operators import relational as R
 from lodestack.operators import resolution_store as RS
 from lodestack.operators import term_index as TI
 from lodestack.operators import traversal as TR
+from lodestack.plans import verification as V
 from lodestack.plans.documentation_queries import _listed
-from lodestack.plans.relational_queries import FILES_SQL, t
+from lodestack.plans.relational_queries import FILES_SQL, files, t
 from lodestack.plans.text_queries import _EDGES, _TOK, _graph
 from lodestack.shared import filesystem, shared_dir
 from lodestack.streaming import queue as CQ
@@ -230,3 +231,32 @@ def markdown_blocks(spark, sf_dir):
     """Every block of the Markdown part of the catalog; what stands in fenced code is none."""
     blocks = MD.markdown_blocks(_listed(spark, sf_dir), "path", "text")
     return blocks.select("path", "line", "kind", "column", "depth", "text", F.col("number").cast("long").alias("number"), F.when(F.col("cells").isNotNull(), F.array_join("cells", "|")).alias("cells"), "target")
+
+
+# Verification: commands and targets for the files of one source, in a catalog with some project files.
+
+_MANIFESTS = ["go.mod", "Makefile", "src/CMakeLists.txt", "repo.sln", "template.yaml", "infra/template.yaml", "pyproject.toml", "tests/test_f3.py", "tests/test_f7.py", "tests/test_f123.py", "tests/App.Tests.csproj"]
+
+
+def _any(table, test):
+    return f"EXISTS (SELECT 1 FROM {table} WHERE {test})"
+
+
+@query(f"""WITH {FILES_SQL}, sel AS (SELECT path, regexp_replace(path, '/?[^/]*$', '') AS dir, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]*$', '') AS stem FROM files WHERE unit = 'src3'), cat AS (SELECT path FROM files UNION ALL SELECT unnest({_MANIFESTS}) AS path),
+proj AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, min(path) AS project FROM cat WHERE lower(path) LIKE '%.csproj' GROUP BY 1),
+near AS (SELECT min(project) AS project FROM (SELECT s.path, arg_max(project, length(proj.dir)) AS project FROM sel s JOIN proj ON proj.dir = '' OR s.dir = proj.dir OR starts_with(s.dir, proj.dir || '/') WHERE s.path LIKE '%.cs' OR s.path LIKE '%.csproj' GROUP BY s.path)),
+rows AS (SELECT 0 AS major, 0 AS minor, 'go' AS family, 'make test' AS command, 'a Go module at the root' AS reason WHERE {_any("sel", "path LIKE '%.go'")}
+UNION ALL SELECT 1, 0, 'cmake', 'cmake --build build', 'a CMake project' WHERE {_any("sel", "path LIKE '%.c' OR path LIKE '%.cpp' OR path LIKE '%.h'")}
+UNION ALL SELECT 2, 0, 'dotnet', 'dotnet build ' || project, 'the project nearest to selected files' FROM near WHERE project IS NOT NULL
+UNION ALL SELECT 2, 1, 'dotnet', 'dotnet build repo.sln', 'the solution of the repository' WHERE {_any("sel", "path LIKE '%.cs' OR path LIKE '%.csproj'")}
+UNION ALL SELECT 2, 2, 'dotnet', 'dotnet test tests/App.Tests.csproj', 'a test project' WHERE {_any("sel", "path LIKE '%.cs' OR path LIKE '%.csproj'")}
+UNION ALL SELECT 3, k, 'sam', ['cfn-lint ', 'sam validate --template-file '][k + 1] || t, 'a template' FROM (SELECT unnest([0, 1]) AS k), (SELECT unnest(['infra/template.yaml', 'template.yaml']) AS t) WHERE {_any("sel", "regexp_matches(lower(path), '(^|/)(template|sam)[.]ya?ml$|(^|/)(infra|sam)/|handler')")}
+UNION ALL SELECT 5, -1, 'python', 'python3 -m pytest tests/test_f' || k || '.py', 'the test nearest to selected files' FROM (SELECT unnest([3, 7, 123]) AS k) WHERE ('f' || k) IN (SELECT stem FROM sel WHERE path LIKE '%.py')
+UNION ALL SELECT 5, 0, 'python', 'python3 -m pytest', 'a Python project at the root' WHERE {_any("sel", "path LIKE '%.py'")}
+UNION ALL SELECT 6, 0, 'docs', 'review documents', 'documents or configuration' WHERE {_any("sel", "regexp_matches(path, '[.](md|json|yaml|toml|cfg)$')")})
+SELECT row_number() OVER (ORDER BY major, minor, command) AS rank, family, command, reason, 'planned' AS status FROM rows QUALIFY rank <= 20""")
+def planned_commands(spark, sf_dir):
+    """What would verify the files of one source."""
+    f = files(spark, sf_dir)
+    catalog = f.select("path").unionByName(spark.createDataFrame([(m,) for m in _MANIFESTS], "path string"))
+    return V.planned_commands(catalog, f.where("unit = 'src3'").select("path"), most=20)
