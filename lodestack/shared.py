@@ -51,3 +51,20 @@ def dropped(*frames: DataFrame) -> None:
         if path:
             fs, p = filesystem(df.sparkSession, path)
             fs.delete(p, True)
+
+
+#: Bytes below which a table is not worth dealing out, and above which its files give enough tasks.
+SPREAD = (1 << 20, 1 << 30)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table dealt out over all cores, where its files give fewer tasks than there are cores and its size is within SPREAD.
+
+    A file of one row group is one task, however many splits it has. Plans that are more than a scan, and larger or smaller tables, stay as they are.
+    """
+    plan = df._jdf.queryExecution()
+    size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
+    if not SPREAD[0] <= size <= SPREAD[1] or "Exchange" in plan.executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
