@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.shared import dropped, shared_dir, written  # noqa: F401
+from lodestack.shared import dropped, shared_dir, spread, written  # noqa: F401
 from lodestack.shipping import ship
 
 #: Rows and bytes of an Arrow batch handed to Python: a batch of long texts stays small.
@@ -58,7 +58,8 @@ def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder; one of a few MB that lies in a single file is dealt out over the cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def crc_mod(id_col: Column, n: int) -> Column:
