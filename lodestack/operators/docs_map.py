@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -89,8 +90,9 @@ def docs_search(index: DataFrame, query: str, universes: S.Universes, cursors: C
     if ready[0] != "ready":
         return Envelope([], "docs_routing", status="blocked", errors=[f"not ready: {ready[1]}"])
     identity = {"snapshot": snapshot, "query": query, "scope": scope or ".", "policy": 1}
-    universe = hashlib.sha256(json.dumps(identity, sort_keys=True).encode()).hexdigest()[:32]
     start = cursors.read(cursor, identity) if cursor else 0
+    # each first page freezes a result of its own: another one deletes nothing that is being paged
+    universe = (cursors.frozen(cursor, identity) or "") if cursor else hashlib.sha256(json.dumps(identity, sort_keys=True).encode()).hexdigest()[:32] + uuid.uuid4().hex[:8]
     if not cursor:
         found = DOC.ranked_search(index, query, concerns, scope, now=now)
         rows = found.persist()
@@ -98,7 +100,6 @@ def docs_search(index: DataFrame, query: str, universes: S.Universes, cursors: C
             if not rows.where("overflow").isEmpty():
                 counts = searchable_counts(index, scope).first().asDict()
                 return Envelope([counts], "docs_routing", status="blocked", truncated=True, warnings=["more candidates than can be ranked"])
-            universes.delete(universe)
             universes.put(universe, rows.drop("overflow"), expires)
         finally:
             rows.unpersist()
@@ -108,7 +109,7 @@ def docs_search(index: DataFrame, query: str, universes: S.Universes, cursors: C
     except (KeyError, IndexError) as e:
         raise BadRequest("cursor expired") from e
     more = start + n < size
-    return Envelope(got, "docs_routing", evidence=["docs"], capability="resource_backed", truncated=more, next_cursor=cursors.make(identity, start + n) if more else None)
+    return Envelope(got, "docs_routing", evidence=["docs"], capability="resource_backed", truncated=more, next_cursor=cursors.make(identity, start + n, universe) if more else None)
 
 
 def governing_docs(docs: DataFrame, terms: Iterable[str], k: int = 5) -> DataFrame:

@@ -76,10 +76,16 @@ class Cursors:
     def _sign(self, body: str) -> str:
         return _b64(hmac.new(self.key, f"{self.epoch}.{body}".encode(), hashlib.sha256).digest())
 
-    def make(self, identity: dict, position: int) -> str:
-        body = _b64(json.dumps({"epoch": self.epoch, "identity": identity, "position": position}, sort_keys=True, separators=(",", ":")).encode())
+    def make(self, identity: dict, position: int, frozen: str | None = None) -> str:
+        """frozen: the stored result that the cursor goes on in."""
+        data = {"epoch": self.epoch, "identity": identity, "position": position} | ({"frozen": frozen} if frozen else {})
+        body = _b64(json.dumps(data, sort_keys=True, separators=(",", ":")).encode())
         return f"{body}.{self._sign(body)}"
 
+    def frozen(self, cursor: str, identity: dict) -> str | None:
+        self.read(cursor, identity)
+        return json.loads(_un64(cursor.partition(".")[0])).get("frozen")
+
     def read(self, cursor: str, identity: dict) -> int:
         """Position; a cursor that is forged, of another key or of another identity is refused."""
         body, _, sig = cursor.partition(".")
