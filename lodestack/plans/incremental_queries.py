@@ -12,11 +12,13 @@ from lodestack.operators import relational as R
 from lodestack.operators import resolution_store as RS
 from lodestack.operators import term_index as TI
 from lodestack.operators import traversal as TR
+from lodestack.plans import relational_queries as RQ
 from lodestack.plans import verification as V
 from lodestack.plans.documentation_queries import _listed
 from lodestack.plans.relational_queries import FILES_SQL, files, t
 from lodestack.plans.text_queries import _EDGES, _TOK, _graph
 from lodestack.shared import filesystem, shared_dir
+from lodestack.sources import reads as RD
 from lodestack.streaming import queue as CQ
 
 Q: dict = {}
@@ -260,3 +262,19 @@ def planned_commands(spark, sf_dir):
     f = files(spark, sf_dir)
     catalog = f.select("path").unionByName(spark.createDataFrame([(m,) for m in _MANIFESTS], "path string"))
     return V.planned_commands(catalog, f.where("unit = 'src3'").select("path"), most=20)
+
+
+# Requested reads: each file of the catalog asked for in three ways below a root.
+
+
+@query(f"""WITH {FILES_SQL}, pp AS (SELECT path, write_policy FROM ({RQ.SQL["path_policy"]}))
+SELECT '/repo/' || path AS path, 'write' AS mode, path AS relative, write_policy = 'allow' AS allowed, write_policy <> 'allow' AS read_only, CASE WHEN write_policy <> 'allow' THEN 'write_refused' END AS reason, CASE WHEN write_policy = 'allow' THEN true END AS "exists", CASE WHEN write_policy = 'allow' THEN size_bytes END AS size_bytes, NULL::VARCHAR AS text FROM files JOIN pp USING (path)
+UNION ALL SELECT 'x/../' || path, 'prefix', path, true, write_policy <> 'allow', NULL, true, size_bytes, left(text, list_max(list_filter(range(0, 41), lambda n: strlen(left(text, n)) <= 40))) FROM files JOIN pp USING (path)
+UNION ALL SELECT '../' || path, 'text', NULL, false, NULL, 'path_refused', NULL, NULL, NULL FROM files""")
+def requested_reads(spark, sf_dir):
+    """Writes by absolute path, prefixes of forty bytes through a folder and back, and paths that leave the root."""
+    f = files(spark, sf_dir)
+    ask = lambda before, mode: f.select(F.concat(F.lit(before), "path").alias("path"), F.lit(mode).alias("mode"))
+    requests = ask("/repo/", "write").unionByName(ask("x/../", "prefix")).unionByName(ask("../", "text"))
+    tree = f.select("path", "size_bytes", "mtime_ms", F.encode("text", "UTF-8").alias("content"))
+    return RD.answers(RD.resolved(requests, "/repo", skipped=["app"]), tree, 40).drop("mtime_ms", "content")
