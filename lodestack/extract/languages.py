@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 from lodestack.extract.common import Batch, Lines, blanked, closing, rng
 
@@ -50,14 +52,22 @@ _JS_METHOD = re.compile(r"^[ \t]+(?:(?:public|private|protected|static|readonly|
 _JS_IMPORT = re.compile(r"^[ \t]*(?P<kind>import|export)\s+(?:type\s+)?(?P<names>[^'\";]*?)\s*(?:from\s*)?(?P<q>['\"])(?P<module>[^'\"\n]+)(?P=q)", re.M)
 
 
+def _depths(code: str):
+    """A function that tells how many braces are open before a position."""
+    at = [m.start() for m in re.finditer("[{}]", code)]
+    depth = [0, *accumulate(1 if code[i] == "{" else -1 for i in at)]
+    return lambda position: depth[bisect_left(at, position)]
+
+
 def javascript(path: str, text: str, language: str = "javascript") -> Batch:
     """Functions, classes, methods, constants and types; references only from imports and re-exports."""
     b = Batch(path, language)
     top, code, pos = b.module(text), blanked(text, "//", ("/*", "*/"), "'\"`"), Lines(text)
+    depth = _depths(code)
     for m in _JS.finditer(code):
         kind = next(k for k in ("function", "class", "type", "constant") if m[k])
         name = m[kind]
-        if kind == "constant" and code[: m.start()].count("{") != code[: m.start()].count("}"):
+        if kind == "constant" and depth(m.start()):
             continue  # only constants of the module
         end = closing(code, m.end()) if kind in ("function", "class") or m["arrow"] else m.end()
         me = b.node("function" if m["arrow"] else kind, name, name, pos.span(m.start(), end), text[m.start() : text.find("\n", m.start()) % (len(text) + 1)].strip())
@@ -65,7 +75,7 @@ def javascript(path: str, text: str, language: str = "javascript") -> Batch:
         if kind == "class":
             body = code[m.end() : end]
             for k in _JS_METHOD.finditer(body):
-                if k["name"] not in ("if", "for", "while", "switch", "catch", "function", "return") and body[: k.start()].count("{") - body[: k.start()].count("}") == 1:
+                if k["name"] not in ("if", "for", "while", "switch", "catch", "function", "return") and depth(m.end() + k.start()) - depth(m.end()) == 1:
                     at = m.end() + k.start()
                     child = b.node("method", k["name"], f"{name}.{k['name']}", pos.span(at, closing(code, m.end() + k.end() - 1)), k[0].strip())
                     b.edge(me, child, "contains", None, "parser", 1.0)
