@@ -12,11 +12,12 @@ from lodestack.operators import relational as R
 from lodestack.operators import resolution_store as RS
 from lodestack.operators import term_index as TI
 from lodestack.operators import traversal as TR
+from lodestack.plans import public as PB
 from lodestack.plans import relational_queries as RQ
 from lodestack.plans import verification as V
 from lodestack.plans.documentation_queries import _listed
 from lodestack.plans.relational_queries import FILES_SQL, files, t
-from lodestack.plans.text_queries import _EDGES, _TOK, _graph
+from lodestack.plans.text_queries import _EDGES, _REDACTED, _TOK, _graph
 from lodestack.shared import filesystem, shared_dir
 from lodestack.sources import reads as RD
 from lodestack.streaming import queue as CQ
@@ -278,3 +279,12 @@ def requested_reads(spark, sf_dir):
     requests = ask("/repo/", "write").unionByName(ask("x/../", "prefix")).unionByName(ask("../", "text"))
     tree = f.select("path", "size_bytes", "mtime_ms", F.encode("text", "UTF-8").alias("content"))
     return RD.answers(RD.resolved(requests, "/repo", skipped=["app"]), tree, 40).drop("mtime_ms", "content")
+
+
+# Public shapes: sections are whole documents, bounded after redaction.
+
+
+@query(f"SELECT source AS path, doc_id AS start_line, n_chars AS end_line, left(r, list_max(list_filter(range(0, 201), lambda n: strlen(left(r, n)) <= 200))) AS text, strlen(r) AS byte_count, strlen(r) > 200 AS truncated FROM (SELECT *, {_REDACTED} AS r FROM documents)")
+def public_sections(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select(F.col("source").alias("path"), F.col("doc_id").alias("start_line"), F.col("n_chars").alias("end_line"), "text")
+    return PB.public_sections(d, 200)
