@@ -150,3 +150,27 @@ def test_runs_and_collapsed_texts(spark):
 def test_bounds_of_parameters():
     with pytest.raises(ValueError):
         P.find_runs(np.zeros(3, np.int32), np.array([0, 3]), times=2)
+
+
+def test_whole_table(spark):
+    """Every document of a table with its planted runs, against all periods of all words compared as arrays."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] for r in P.table(spark, sf, "documents").select("doc_id", "text").collect()}
+    got = {r[0]: tuple(r) for r in P.op11_periodic_runs(spark, sf).collect()}
+    assert set(got) == set(docs)
+    found = 0
+    for i, text in docs.items():
+        ws = planted(i, words_of(text))
+        ids, best = np.array(numbers(ws), np.int64), {}
+        for q in range(1, len(ws) // 4 + 1):
+            edge = np.flatnonzero(np.diff((ids[:-q] == ids[q:]).astype(np.int8), prepend=0, append=0))
+            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                if b - a + q >= max(6, 4 * q):
+                    best.setdefault((a, b - a + q), q)
+        runs = sorted((s, n, p) for (s, n), p in best.items())
+        gone = {k for s, n, p in runs for k in range(s + p, s + n)}
+        top = min(((-n, s, p) for s, n, p in runs), default=None)
+        tail = (top[1], -top[0], top[2], 1000 * -top[0] // top[2]) if top else (None,) * 4
+        assert got[i] == (i, len(runs), *tail, sha("".join(f"{s},{n},{p}\n" for s, n, p in runs)), sha(" ".join(w for k, w in enumerate(ws) if k not in gone)))
+        found += bool(runs)
+    assert found > 10
