@@ -26,7 +26,7 @@ def built(spark, tmp_path_factory):
     return nodes, edges, TR.Adjacency.build(n, e, f"file://{tmp_path_factory.mktemp('adj')}", buckets=5, most=60)
 
 
-CASES = [(2, 50, "both", "expand"), (3, 6, "outgoing", "expand"), (2, 5, "both", "expand"), (2, 9, "incoming", "expand"), (2, 9, "incoming", "strict"), (1, 3, "both", "strict"), (0, 3, "both", "expand"), (2, 1, "both", "expand"), (3, 14, "both", "strict"), (5, 14, "both", "expand")]
+CASES = [(2, 50, "both", "expand"), (3, 6, "outgoing", "expand"), (2, 9, "incoming", "expand"), (2, 9, "incoming", "strict"), (2, 1, "both", "expand"), (3, 14, "both", "strict")]
 
 
 @pytest.mark.parametrize("depth,most,direction,mode", CASES)
@@ -52,7 +52,7 @@ def test_one_start_is_walk(spark, built):
     nodes, edges, adjacency = built
     n = spark.createDataFrame([(x,) for x in nodes], "node string")
     e = spark.createDataFrame(edges, "edge_id long, source string, target string")
-    for start in ("n00", "n01", "n09"):
+    for start in ("n01",):
         t = G.walk(n, e, [start], 2, 7, "both")
         many = TR.traverse_many(adjacency, spark.createDataFrame([("q", start)], "query string, node string"), 2, 7, "both")
         assert [(r["node"], r["depth"]) for r in many.nodes.orderBy("rank").collect()] == t.nodes
@@ -95,5 +95,5 @@ def test_impact_of_many_is_impact_of_each(spark, tmp_path):
     for missing, most in ((None, 4), (gone, 50)):
         got = {r["start"]: r for r in TR.impact_of_changed(adjacency, n, n.select("node"), max_depth=1, max_nodes=most, missing=missing).collect()}
         assert set(got) == set(nodes)
-        for x in nodes[::3]:
+        for x in nodes[::6]:
             assert got[x] == G.impact(n, e, x, max_depth=1, max_nodes=most, missing=missing).first(), x
