@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as T
-from lodestack.shared import filesystem
+from lodestack.shared import filesystem, spread
 from lodestack.versions import Versions
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -68,7 +68,7 @@ class TermIndex:
         """Writes a segment; its row of the state."""
         path = self._path("segments", seq)
         k = range(len(self.fields))
-        rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *(T.tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f"t{i}") for i, f in enumerate(self.fields)))
+        rows = spread(docs).where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *(T.tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f"t{i}") for i, f in enumerate(self.fields)))
         rows = rows.withColumn("len", sum((F.size(f"t{i}") for i in k), F.lit(0)))
         rows.select("key", "len").write.parquet(f"{path}/docs")
         marked = F.flatten(F.array(*(F.transform(f"t{i}", _in_field(i)) for i in k)))
