@@ -1,7 +1,7 @@
 """Inverted index of a corpus in a folder: positional postings in segments, with tombstones and merges.
 
-A segment holds the postings of some documents (term, key, tokens of the document, a count and the positions by field), sorted by
-term, so that a query reads the row groups of its terms alone, and one row for each of its documents. An update writes a
+A segment holds the postings of some documents (term, key, tokens of the document, a count and the positions by field), made batch by
+batch where the documents are read and sorted by term, so that a query reads the row groups of its terms alone, and one row for each of its documents. An update writes a
 segment of the changed documents and a tombstone (key, upto) for each key that it replaces or removes; a tombstone hides its key in
 all segments numbered below it. What an index consists of is a state of `Versions`: readers see the segments of one state, writers publish the
 next one when all its files are there, and a writer that is lost leaves the index as it was. Numbers of documents and tokens
@@ -17,13 +17,18 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as T
-from lodestack.shared import filesystem, spread
+from lodestack.shared import arrow_limits, dropped, filesystem, spread, written
+from lodestack.shipping import ship
 from lodestack.versions import Versions
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -31,8 +36,40 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 FAN = 8
 
 
-def _in_field(i: int):
-    return lambda x, at: F.struct(x.alias("term"), F.lit(i).alias("field"), at.alias("at"))
+def _postings(n_fields: int):
+    """Postings of the documents of each Arrow batch, whose tokens come as lists, and a row without a term for each document: nothing has to meet beyond one."""
+    names = ["term", "key", "len", *(f"f{f}" for f in range(n_fields)), *(f"p{f}" for f in range(n_fields))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            void = lambda t: pa.nulls(b.num_rows, t)  # noqa: B023, E731
+            yield pa.record_batch([void(pa.string()), b.column("key"), b.column("len"), *(void(pa.int32()) for _ in range(n_fields)), *(void(pa.list_(pa.int32())) for _ in range(n_fields))], names)
+            flat, docs, at, fields = [], [], [], []
+            for f in range(n_fields):
+                col = b.column(f"t{f}")
+                sizes = pc.list_value_length(col).to_numpy(zero_copy_only=False).astype(np.int64)
+                flat.append(col.flatten())
+                docs.append(np.repeat(np.arange(b.num_rows), sizes))
+                at.append(np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+                fields.append(np.full(int(sizes.sum()), f))
+            words = pa.concat_arrays(flat).dictionary_encode()
+            if not len(words):
+                continue
+            code, doc, at, field = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate(docs), np.concatenate(at), np.concatenate(fields)
+            key = doc * len(words.dictionary) + code
+            order = np.argsort(key, kind="stable")  # by document and term; fields and places stay in order
+            starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+            first = order[starts]
+            own = pa.array(doc[first])
+            counts, places = [], []
+            for f in range(n_fields):
+                mine = field[order] == f
+                n = np.add.reduceat(mine.astype(np.int32), starts)
+                counts.append(pa.array(n.astype(np.int32)))
+                places.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(at[order][mine].astype(np.int32))))
+            yield pa.record_batch([words.dictionary.take(pa.array(code[first])), b.column("key").take(own), b.column("len").take(own), *counts, *places], names)
+
+    return run
 
 
 def _shifted(j: int):
@@ -70,13 +107,15 @@ class TermIndex:
         k = range(len(self.fields))
         rows = spread(docs).where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *(T.tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f"t{i}") for i, f in enumerate(self.fields)))
         rows = rows.withColumn("len", sum((F.size(f"t{i}") for i in k), F.lit(0)))
-        rows.select("key", "len").write.parquet(f"{path}/docs")
-        marked = F.flatten(F.array(*(F.transform(f"t{i}", _in_field(i)) for i in k)))
-        flat = rows.select("key", "len", F.explode(marked).alias("p")).select("p.term", "key", "len", "p.field", "p.at")
-        own = lambda i: F.collect_list(F.when(F.col("field") == i, F.col("at")))
-        post = flat.groupBy("term", "key", "len").agg(*(F.array_sort(own(i)).alias(f"p{i}") for i in k)).select("term", "key", "len", *(F.size(f"p{i}").alias(f"f{i}") for i in k), *(f"p{i}" for i in k))
+        arrow_limits(self.spark)
+        ship(self.spark)
+        kind = dict(rows.dtypes)["key"]
+        post = rows.mapInArrow(_postings(len(self.fields)), f"term string, key {kind}, len int, " + ", ".join([*(f"f{i} int" for i in k), *(f"p{i} array<int>" for i in k)]))
+        staged = written(post, "postings")  # texts are cut into tokens once, although ranges are sampled before they are cut
+        staged.where("term IS NULL").select("key", "len").write.parquet(f"{path}/docs")
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        post.repartitionByRange(n, "term", "key").sortWithinPartitions("term", "key").write.parquet(f"{path}/postings")
+        staged.where("term IS NOT NULL").repartitionByRange(n, "term", "key").sortWithinPartitions("term", "key").write.parquet(f"{path}/postings")
+        dropped(staged)
         return {"seq": seq, "path": path, **self._size(self.spark.read.parquet(f"{path}/docs"))}
 
     @staticmethod

@@ -68,3 +68,15 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
+
+
+#: Rows and bytes of an Arrow batch handed to Python.
+ARROW_ROWS, ARROW_BYTES = 400, 8 << 20
+
+
+def arrow_limits(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch limits to ours where they are higher; they stay, since plans take them when they run."""
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        now = str(spark.conf.get(f"spark.sql.execution.arrow.{key}"))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
