@@ -79,12 +79,12 @@ def searchable_counts(index: DataFrame, scope: str | None = None) -> DataFrame:
     return index.agg(F.count(F.lit(1)).alias("documents"), F.count_if(P.in_scope(F.col("path"), scope)).alias("in_scope"))
 
 
-def docs_search(index: DataFrame, query: str, universes: S.Universes, cursors: Cursors, snapshot: str, now: str, expires: str, scope: str | None = None, concerns: dict | None = None, cursor: str | None = None, ready: tuple[str, str | None] = ("ready", None), **asked: int) -> Envelope:
+def docs_search(index: DataFrame, query: str, universes: S.Universes, cursors: Cursors, snapshot: str, now: str, expires: str, scope: str | None = None, concerns: dict | None = None, cursor: str | None = None, ready: tuple[str, str | None] = ("ready", None), cap: int | None = S.CANDIDATES, **asked: int) -> Envelope:
     """A page of ranked documentation search.
 
     The first page ranks the candidates and freezes them; the cursor is signed and bound to snapshot, query and
-    scope, and later pages read the frozen universe. Too many candidates block with counts and no hits; an expired or foreign
-    cursor is refused.
+    scope, and later pages read the frozen universe. More candidates than the cap block with counts and no hits (None: all are
+    ranked and frozen); an expired or foreign cursor is refused.
     """
     n = limits("docs_search", **asked)["results"]
     if ready[0] != "ready":
@@ -94,7 +94,7 @@ def docs_search(index: DataFrame, query: str, universes: S.Universes, cursors: C
     # each first page freezes a result of its own: another one deletes nothing that is being paged
     universe = (cursors.frozen(cursor, identity) or "") if cursor else hashlib.sha256(json.dumps(identity, sort_keys=True).encode()).hexdigest()[:32] + uuid.uuid4().hex[:8]
     if not cursor:
-        found = DOC.ranked_search(index, query, concerns, scope, now=now)
+        found = DOC.ranked_search(index, query, concerns, scope, cap, now)
         rows = found.persist()
         try:
             if not rows.where("overflow").isEmpty():

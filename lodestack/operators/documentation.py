@@ -123,18 +123,19 @@ def readiness(map_state: str, coverage_state: str, validity: str) -> tuple[str,
     return ("ready", None) if coverage_state == "complete" else ("blocked", "refresh")
 
 
-def ranked_search(index: DataFrame, query: str, concerns: dict[str, DataFrame] | None = None, scope: str | None = None, cap: int = S.CANDIDATES, now: str = "1970-01-01", files: DataFrame | None = None, explain: bool = False) -> DataFrame:
-    """path, rank and its eight components for a query over docs_index rows; one overflow row when a source or the union exceeds the cap.
+def ranked_search(index: DataFrame, query: str, concerns: dict[str, DataFrame] | None = None, scope: str | None = None, cap: int | None = S.CANDIDATES, now: str = "1970-01-01", files: DataFrame | None = None, explain: bool = False) -> DataFrame:
+    """path, rank and its eight components for a query over docs_index rows; one overflow row when a source or the union exceeds the cap (None: all are ranked).
 
     With files (path, mtime_ms) each hit has modified_at, null for documents that are no files; explain adds the reasons of the rank.
 
     Both candidate sources are cut at cap + 1 before they meet, so the ranking handles a bounded set
-    whatever the corpus holds. Owners come by the query's n-grams, an equi-join on terms.
+    whatever the corpus holds; without a cap all candidates are ranked, in ranges of the order. Owners come by the query's n-grams, an equi-join on terms.
     """
     terms = T.docs_terms(query)
     docs = index.where(P.in_scope(F.col("path"), scope)).withColumn("_heads", F.array_join("headings", " "))
     hits = bm25_or_none(docs, {"path": 7.0, "title": 9.0, "_heads": 6.0, "selected_text": 1.0}, terms)
-    fts = hits.select("path", F.col("score").alias("lexical")).orderBy(F.desc("lexical"), "path").limit(cap + 1)
+    cut = lambda df, *order: df if cap is None else df.orderBy(*order).limit(cap + 1)
+    fts = cut(hits.select("path", F.col("score").alias("lexical")), F.desc("lexical"), "path")
     spark = index.sparkSession
     if concerns is None:
         owners = fts.select("path", F.array().cast("array<string>").alias("states")).limit(0)
@@ -142,11 +143,13 @@ def ranked_search(index: DataFrame, query: str, concerns: dict[str, DataFrame] |
         q = spark.range(1, numPartitions=1).select(F.lit(1).alias("q"), F.lit(query).alias("text"))
         matched = S.resolve_phrases(q, "q", "text", concerns["terms"], "term", 12).select("term").distinct()
         keys = concerns["terms"].join(matched, "term", "left_semi").select("concern_key").distinct()
-        owners = concerns["owners"].join(keys, "concern_key", "left_semi").join(docs.select("path"), "path", "left_semi").groupBy("path").agg(F.array_sort(F.collect_set("owner_state")).alias("states")).orderBy("path").limit(cap + 1)
+        owners = cut(concerns["owners"].join(keys, "concern_key", "left_semi").join(docs.select("path"), "path", "left_semi").groupBy("path").agg(F.array_sort(F.collect_set("owner_state")).alias("states")), "path")
     union = fts.join(owners, "path", "full_outer")
-    n = union.agg(F.count("lexical").alias("fts"), F.count("states").alias("own"), F.count(F.lit(1)).alias("all"))
-    over = F.greatest("fts", "own", "all") > cap
-    c = union.join(index, "path").join(F.broadcast(n), ~over)
+    c = union.join(index, "path")
+    if cap is not None:
+        n = union.agg(F.count("lexical").alias("fts"), F.count("states").alias("own"), F.count(F.lit(1)).alias("all"))
+        over = F.greatest("fts", "own", "all") > cap
+        c = c.join(F.broadcast(n), ~over)
     none = F.lit(None).cast("string")
     m = A.front_matter(F.col("selected_text"))
     status = A.status(F.col("path"), F.col("title"), F.col("selected_text"), m["status"])
@@ -163,6 +166,8 @@ def ranked_search(index: DataFrame, query: str, concerns: dict[str, DataFrame] |
     if explain:
         out = out.withColumn("reasons", S.rank_reasons())
     out = out.withColumn("overflow", F.lit(False))
+    if cap is None:
+        return out
     blocked = n.where(over).select(*(F.lit(None).cast(t).alias(k) for k, t in out.dtypes if k != "overflow"), F.lit(True).alias("overflow"))
     return out.unionByName(blocked)
 

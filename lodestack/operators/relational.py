@@ -74,8 +74,10 @@ def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
 ALONE = 10_000
 
 
-def ranked(df: DataFrame, order: list[Column], k: int) -> DataFrame:
-    """Top k with `rank` from 1, order total. A small top is ranked by one task, a larger one in ranges of the order."""
+def ranked(df: DataFrame, order: list[Column], k: int | None) -> DataFrame:
+    """Top k (None: all rows) with `rank` from 1, order total. A small top is ranked by one task, a larger one in ranges of the order."""
+    if k is None:
+        return numbered(df, order)
     if k > ALONE:
         return numbered(df, order).where(F.col("rank") <= k)
     top = df.orderBy(*order).limit(k)

@@ -133,7 +133,7 @@ def rank_order(path: str = "path", ident: str = "doc_id") -> list[Column]:
     return [F.col("owner_priority"), F.col("band"), F.col("owner_tier"), at("authority", AUTHORITIES), at("currency", CURRENCIES), F.desc_nulls_last("lexical"), F.col(path), F.col(ident)]
 
 
-def rank_documents(candidates: DataFrame, k: int = CANDIDATES, path: str = "path", ident: str = "doc_id") -> DataFrame:
+def rank_documents(candidates: DataFrame, k: int | None = CANDIDATES, path: str = "path", ident: str = "doc_id") -> DataFrame:
     return ranked(candidates, rank_order(path, ident), k)
 
 

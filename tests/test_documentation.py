@@ -1,8 +1,11 @@
 """Concern maps, owners, ranked search with its cap, audits."""
 
+import duckdb
 import pytest
 
 from lodestack.operators import documentation as DOC
+from lodestack.operators import search as S
+from lodestack.plans.documentation_queries import SQL, Q
 
 MAP = """# Map
 intro
@@ -69,3 +72,13 @@ def test_audit(spark):
     pages = [DOC.audit(f, docs.repartition(3), s, 2).orderBy("path").collect() for s in (0, 2, 4)]
     assert [(r["path"], r["findings"]) for p in pages for r in p] == [("a.md", 2), ("b.md", 0), ("c.md", 0), ("d.md", 1), ("e.md", 0)]
     assert len({r["fingerprint"] for p in pages for r in p}) == 1 and [p[0]["more"] for p in pages] == [True, True, False]
+
+
+def test_search_page_ranks_every_candidate(spark, tmp_path):
+    """More hits than the public cap: the query pages through all of them, as its SQL does."""
+    spark.range(16_800).selectExpr("id doc_id", "concat('a design note ', id, repeat(' more', cast(id % 7 as int))) text", "'en' lang", "'src1' source", "20L n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in Q["docs_search_page"](spark, str(tmp_path)).collect()]
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = db.execute(SQL["docs_search_page"]).fetchall()
+    assert sorted(got) == sorted(want) and len(got) == 3 and got[0][2] > S.CANDIDATES
