@@ -1,7 +1,7 @@
 """Identifier index: where each identifier stands, and bounded scans for many names that resume where they stopped.
 
 An identifier is a maximal run of ASCII letters, digits and underscores. The index has a row for each identifier of a file, with
-lines (from 1) and columns (from 0, in characters) in order, sorted by identifier; and a row for each file with running
+lines (from 1) and columns (from 0, in characters) in order, made where the file is read, without a shuffle; and a row for each file with running
 numbers of the files that a scan may read and of their bytes, in path order. A scan is told by arithmetic on these numbers: no
 file is read for it, however many names are asked for.
 
@@ -11,32 +11,62 @@ receipt says why it stopped and where the next one starts. Files larger than the
 
 from __future__ import annotations
 
+import re
+from array import array
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestack.functions.arrays import let, scan
-from lodestack.shared import written
+from lodestack.shared import arrow_limits, dropped, spread, written
+from lodestack.shipping import ship
 
 #: Budgets of a scan: files, bytes, bytes of one file, results of a name.
 FILES, BYTES, FILE_BYTES, RESULTS = 100, 1_000_000, 128_000, 50
-_IDENT = "[A-Za-z0-9_]+"
+_WORD, _LINE = re.compile("[A-Za-z0-9_]+"), re.compile("\r?\n")
 
 
-def identifiers(files: DataFrame) -> DataFrame:
-    """ident, path, places (array of line, col in order) of every file. files: path, text."""
-    lines = files.where("path IS NOT NULL").select("path", F.posexplode(F.split("text", "\r?\n")).alias("n", "s"))
-    words = F.regexp_extract_all("s", F.lit(_IDENT), F.lit(0))
-    gaps = F.transform(F.split("s", _IDENT, -1), F.char_length)
+#: Occurrences gathered before their rows are passed on: a file is not split, so a longer one is passed on alone.
+GATHERED = 1 << 18
+
 
-    def placed(ws):
-        ends = scan(F.zip_with(F.slice(gaps, F.lit(1), F.size(ws)), ws, lambda g, w: g + F.char_length(w)), lambda x, y: x + y)
-        return let(ends, lambda es: F.transform(ws, lambda w, i: F.struct(w.alias("ident"), (F.get(es, i) - F.char_length(w)).alias("col"))))
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each file, in order of identifier, made where the file is read."""
+    idents, paths, sizes, flat = [], [], [], array("i")
 
-    found = lines.where(F.col("s").rlike(_IDENT)).select("path", (F.col("n") + 1).alias("line"), F.explode(let(words, placed)).alias("w"))
-    return found.groupBy(F.col("w.ident").alias("ident"), "path").agg(F.array_sort(F.collect_list(F.struct("line", F.col("w.col").alias("col")))).alias("places"))
+    def rows() -> pa.RecordBatch:
+        at = np.frombuffer(flat, np.int32).reshape(-1, 2)
+        both = pa.StructArray.from_arrays([pa.array(at[:, 0].copy()), pa.array(at[:, 1].copy())], ["line", "col"])
+        return pa.record_batch([pa.array(idents, pa.string()), pa.array(paths, pa.string()), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), both)], ["ident", "path", "places"])
+
+    for b in batches:
+        for path, text in zip(b.column("path").to_pylist(), b.column("text")):
+            found: dict[str, array] = defaultdict(lambda: array("i"))
+            for n, line in enumerate(_LINE.split(text.as_py()), 1):
+                for m in _WORD.finditer(line):
+                    found[m[0]].extend((n, m.start()))
+            for ident in sorted(found):
+                idents.append(ident)
+                paths.append(path)
+                sizes.append(len(found[ident]) // 2)
+                flat.extend(found[ident])
+            if len(flat) >= 2 * GATHERED:
+                yield rows()
+                idents, paths, sizes, flat = [], [], [], array("i")
+    if idents:
+        yield rows()
+
+
+def identifiers(files: DataFrame) -> DataFrame:
+    """ident, path, places (array of line, col in order) of every file. files: path (unique), text. Nothing is shuffled."""
+    arrow_limits(files.sparkSession)
+    ship(files.sparkSession)
+    return spread(files).where("path IS NOT NULL AND text IS NOT NULL").select("path", "text").mapInArrow(_placed, "ident string, path string, places array<struct<line:int,col:int>>")
 
 
 def running(df: DataFrame, order: str, **sums) -> DataFrame:
@@ -60,7 +90,7 @@ class Page:
 
 
 class IdentifierIndex:
-    """`places` (ident, path, places), sorted by identifier, and `files` (path, bytes, nth, total, skipped) in a folder."""
+    """`places` (ident, path, places), the rows of a file together, and `files` (path, bytes, nth, total, skipped) in a folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -69,8 +99,7 @@ class IdentifierIndex:
     def build(cls, files: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> IdentifierIndex:
         """files: path (unique), text. A file of more than file_bytes takes no part in scans; `places` has it all the same."""
         out = cls(files.sparkSession, folder)
-        n = int(out.spark.conf.get("spark.sql.shuffle.partitions"))
-        identifiers(files).repartitionByRange(n, "ident", "path").sortWithinPartitions("ident", "path").write.mode("overwrite").parquet(f"{out.folder}/places")
+        identifiers(files).write.mode("overwrite").option("compression", "zstd").parquet(f"{out.folder}/places")
         size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
         base = files.where("path IS NOT NULL").select("path", size.alias("bytes"))
         fits = F.col("bytes") <= file_bytes
@@ -85,7 +114,10 @@ class IdentifierIndex:
     def places(self, names: DataFrame) -> DataFrame:
         """name, path, places of all files, for each of many names."""
         asked = names.select(F.col("name").alias("ident")).where("ident IS NOT NULL").distinct()
-        return self.spark.read.parquet(f"{self.folder}/places").join(asked, "ident").withColumnRenamed("ident", "name")
+        return self._places().join(asked, "ident").withColumnRenamed("ident", "name")
+
+    def _places(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/places")
 
     def page(self, names: DataFrame, max_results: int = RESULTS, max_files: int = FILES, max_bytes: int = BYTES) -> Page:
         """The next page of each name. names: name and, to go on, next_path and next_ordinal of its last receipt (null: from the start).
@@ -110,12 +142,15 @@ class IdentifierIndex:
         window = written(window.select("n0", "t0", "i", "path", "total", "skipped", "inside"), "scan-files")
         last = F.max(F.when(F.col("inside"), F.struct("i", "path", "total", "skipped")))
         ends = window.groupBy("n0", "t0").agg(last.alias("end"), F.bool_or(~F.col("inside")).alias("more"))
-        own = starts.join(window.where("inside").select("n0", "t0", "path"), ["n0", "t0"])
-        hits = own.join(self.places(starts).withColumnRenamed("path", "p").withColumnRenamed("name", "m"), (F.col("name") == F.col("m")) & (F.col("path") == F.col("p")))
+        # the files that any name may read are few beside the index: what lies in others is left out before anything is joined by name
+        read = written(window.where("inside").select("path").distinct(), "scan-paths")
+        held = self._places().join(read, "path", "left_semi").withColumnRenamed("ident", "name").join(starts, "name")
+        hits = held.join(window.where("inside").select("n0", "t0", "path"), ["n0", "t0", "path"])
         hits = hits.select("name", "at", "seen", "path", F.posexplode("places").alias("k", "x")).select("name", "at", "seen", "path", (F.col("k") + 1).alias("ordinal"), "x.line", "x.col")
         hits = hits.where("at IS NULL OR path <> at OR ordinal > seen")
         nth = F.row_number().over(Window.partitionBy("name").orderBy("path", "ordinal"))
         page = written(hits.withColumn("nth", nth).where(F.col("nth") <= max_results), "scan-hits")
+        dropped(read)
         found = page.groupBy("name").agg(F.count(F.lit(1)).alias("hits"), F.max(F.struct("nth", "path", "ordinal")).alias("last"))
         every = files.agg(F.coalesce(F.max("skipped"), F.lit(0)).alias("all_skipped"))
         r = starts.join(ends, ["n0", "t0"], "left").join(found, "name", "left").crossJoin(F.broadcast(every))  # one row

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,15 @@ def test_running_sums(spark):
         total += values[p]
         want.append((p, total, k))
     assert got == want
+
+
+def test_index_is_made_where_files_are_read(spark, monkeypatch):
+    """No occurrence goes through a shuffle, and where rows are passed on in parts nothing changes."""
+    files = spark.createDataFrame(corpus(), "path string, text string").coalesce(1)
+    got = ID.identifiers(files)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {(r["ident"], r["path"], x["line"], x["col"]) for r in got.collect() for x in r["places"]}
+    batch = pa.RecordBatch.from_pylist([{"path": p, "text": t} for p, t in corpus() if p and t is not None])
+    monkeypatch.setattr(ID, "GATHERED", 3)
+    parts = list(ID._placed(iter([batch])))
+    assert len(parts) > 10 and {(r["ident"], r["path"], x["line"], x["col"]) for part in parts for r in part.to_pylist() for x in r["places"]} == want == {(w, p, n, c) for p, t in corpus() if p for w, n, c in places(t)}
