@@ -205,3 +205,27 @@ def test_choices_are_cross_validated():
     assert len(found) == 4 and found[0][1] == (4,) and found[0][0] > 0.9 > found[-1][0] and found[-1][1] == ()
     m = toxicity.train(texts, [i % 2 for i in range(160)], prefixes=(4,))
     assert m.prefixes == (4,) and (m.scores(["qa vilexyz za", "qa goodxyz za"]) > 0.5).tolist() == [True, False]
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """More rows of a class than the sample of 1,500 that once was: counts and steps take all of them, in several replicas."""
+    docs = spark.range(6000).selectExpr("id doc_id", "concat('word', id, case when id % 2 = 0 then ' you vile ' else ' a calm ' end, 'thing ', id % 7) text")
+    labels = spark.range(5000).selectExpr("id doc_id", "cast(1 - id % 2 as int) toxic").union(spark.createDataFrame([(5500, None)], "doc_id long, toxic int"))
+    rows = toxicity.labelled_rows(docs, labels, F.col("doc_id") % 10 != 3, 700)
+    n, seen = toxicity._gathered(rows, toxicity._counts)
+    h, _ = toxicity.words(["vile"], toxicity.PREFIXES)
+    assert rows.count() == 4500 and n.tolist() == [2000, 2500] and seen[1, 0, toxicity.buckets(h[0])[0]] >= 2500
+    fitted = rows.where("not held")
+    assert 0 < fitted.count() < 4500 and fitted.rdd.getNumPartitions() > 1
+    m = toxicity.fit(rows, None, epochs=2)
+    assert (m.scores(["word9 you vile thing 3", "word9 a calm thing 3", "vile", "calm"]) >= 0.5).tolist() == [True, False, True, False]
+    assert (toxicity.fit(rows.where("y = 1")).scores(["vile", ""]) < 0.5).all() and (toxicity.fit(rows.limit(0)).scores(["vile"]) < 0.5).all()
+
+
+def test_cuts_of_counts_against_every_cut():
+    r = np.random.default_rng(8)
+    z, t = np.round(r.standard_normal(300) * 4) / 4, r.integers(0, 2, 300)
+    z += t
+    c = toxicity.best_cut(z, t, 0.1)
+    error = lambda c: 0.1 * (z[t == 1] < c).mean() + 0.9 * (z[t == 0] >= c).mean()
+    assert error(c) <= min(error(k) for k in np.arange(-10, 10, 0.01)) + 1e-9
